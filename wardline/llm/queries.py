@@ -6,9 +6,14 @@ from importlib import import_module
 
 #: query -> module of this subpackage that holds a function of its name
 WHERE = {
+    "op1_projection_forest": "ann",
     "op2_telephony_audio": "telephony",
+    "op3_sentence_rules": "licenses",
     "op4_ranked_varint_ids": "idstream",
     "op5_tree_bpe": "bytebpe",
+    "op6_subsequence_svm": "toxicity",
+    "op7_skip_chain_crf": "pii",
+    "op8_weighted_minhash": "neardup",
     "op9_pattern_packing": "packing",
     "op10_minimax_shards": "sharding",
 }
@@ -19,4 +24,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import licenses
+
+    return {"op3_sentence_rules": licenses.oracle_sql()}
