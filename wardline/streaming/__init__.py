@@ -1,0 +1 @@
+"""No streaming operators: the extracts arrive as whole quarters, and sources.manifest builds only the missing ones."""
