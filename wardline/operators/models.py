@@ -243,11 +243,13 @@ def ols(df: DataFrame, y: str, x: Sequence[str], clusters: Sequence[str] = ()) -
     xx, xy, yy, _ = cross_products(df, x, [y])
     kept = independent(xx)
     names = [x[j] for j in kept]
+    if not names:
+        raise ValueError("no column can be estimated")
     xx, xy = xx[np.ix_(kept, kept)], xy[kept, 0]
-    bread = np.linalg.inv(xx) if names else np.zeros((0, 0))
+    bread = np.linalg.inv(xx)
     beta = bread @ xy
     residual = F.col(y) - sum((float(b) * F.col(c) for b, c in zip(beta, names, strict=True)), F.lit(0.0))
-    active = df.filter(F.greatest(*[F.abs(c) for c in names]) > 1e-12 if len(names) > 1 else F.abs(names[0]) > 1e-12) if names else df
+    active = df.filter(F.greatest(*[F.abs(c) for c in names]) > 1e-12 if len(names) > 1 else F.abs(names[0]) > 1e-12)
     n, k = active.count(), len(names)
     sse = float(yy[0] - beta @ xy)
     counts: dict[str, int] = {}
@@ -264,7 +266,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], clusters: Sequence[str] = ()) -
             covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
         covariance = (covariance + covariance.T) / 2
         dof = max(min(counts[c] for c in clusters) - 1, 1)
-    return Fit(names, [c for c in x if c not in names], beta, covariance, n, counts, dof, sse, float(np.linalg.cond(xx)) if names else float("nan"))
+    return Fit(names, [c for c in x if c not in names], beta, covariance, n, counts, dof, sse, float(np.linalg.cond(xx)))
 
 
 def fixed_effects(df: DataFrame, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> tuple[Fit, dict]:

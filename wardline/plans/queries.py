@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clean, decode, labels
 from wardline.operators import describe, inference, link, metrics, models, nameprob, reconcile, reshape
-from wardline.plans import annual, star
+from wardline.plans import annual, cohort, sensitivity, star
 from wardline.plans.frames import ENCOUNTERS_SQL, OCCURRENCES_SQL, encounters, occurrences, plain, table
 from wardline.sources import manifest
 
@@ -761,6 +761,140 @@ def _suppressed(spark, sf):
     return g.select("facility", "priority", labels.suppressed(F.col("c"), F.col("c")).alias("n"), F.round(labels.suppressed(F.col("c"), F.col("m")), 4).alias("mean"))
 
 
+# ---- cohort ----
+
+
+@query(
+    "visit_volumes",
+    f"""{ENC} SELECT visit_id, count(*) OVER (PARTITION BY provider, visit_year, visit_quarter) AS provider_quarter_volume, count(*) OVER (PARTITION BY provider, visit_year) AS provider_year_volume, count(*) OVER (PARTITION BY facility, visit_year, visit_quarter) AS facility_quarter_volume FROM encounters""",
+)
+def _volumes(spark, sf):
+    return cohort.with_volumes(encounters(spark, sf)).select("visit_id", "provider_quarter_volume", "provider_year_volume", "facility_quarter_volume")
+
+
+PROB = "((provider * 17) % 100) / 100.0"
+PAIR_CTE = f"""d AS (SELECT visit_id, visit_year, provider, {case_period('race_raw', Y, decode.RACE)} AS race,
+CASE WHEN {Y} <= 2008 THEN CASE WHEN race_raw IN ('5', '6') THEN 'Hispanic or Latino (from historical combined code)' ELSE 'Not separately reported/not derivable' END ELSE {case_period('origin_raw', Y, decode.ETHNICITY)} END AS ethnicity,
+CASE WHEN provider % 3 = 0 THEN 'Black' WHEN provider % 3 = 1 THEN 'White' ELSE 'Asian' END AS physician, provider % 7 <> 0 AS last_match, provider % 5 <> 0 AS first_match, {PROB} AS p FROM encounters)"""
+
+
+def _cohort(spark, sf):
+    return encounters(spark, sf).select(
+        "visit_id", "visit_year", "provider", decode.by_period(F.col("race_raw"), year(), decode.RACE).alias("race"), decode.ethnicity(F.col("origin_raw"), F.col("race_raw"), year()).alias("ethnicity"),
+        F.expr("CASE WHEN provider % 3 = 0 THEN 'Black' WHEN provider % 3 = 1 THEN 'White' ELSE 'Asian' END").alias("physician"), F.expr("provider % 7 <> 0").alias("last_match"), F.expr("provider % 5 <> 0").alias("first_match"), F.expr(PROB).cast("double").alias("p"), "race_raw",
+    )
+
+
+@query(
+    "pair_flags",
+    f"""{ENC}, {PAIR_CTE}, f AS (SELECT *, race IN ('Black or African American', 'White') AND physician IN ('Black', 'White') AND last_match AND first_match AS race_only FROM d), g AS (SELECT *, race_only AND ethnicity = 'Not Hispanic or Latino' AS nh FROM f)
+SELECT visit_id, race_only, nh, CASE WHEN nh THEN lower(physician) || '_' || CASE WHEN race = 'White' THEN 'white' ELSE 'black' END END AS pair, CASE WHEN nh THEN CAST(lower(physician) = CASE WHEN race = 'White' THEN 'white' ELSE 'black' END AS BIGINT) END AS concordant,
+nh AND p >= 0.5 AS t50, nh AND p >= 0.7 AS t70, nh AND p >= 0.8 AS t80, nh AND p >= 0.9 AS t90 FROM g""",
+)
+def _pair_flags(spark, sf):
+    c = F.col
+    df = _cohort(spark, sf)
+    args = (c("race"), c("ethnicity"), c("physician"), c("last_match"), c("first_match"))
+    df = df.withColumn("race_only", cohort.pair_defined(*args, without_ethnicity=True)).withColumn("nh", cohort.pair_defined(*args))
+    df = df.withColumn("pair", cohort.race_pair(c("race"), c("physician"), c("nh")))
+    return df.select("visit_id", "race_only", "nh", "pair", labels.pair_indicators(c("pair"), ("Black", "White"))["concordant"].alias("concordant"), *[v.alias(k) for k, v in labels.threshold_flags(c("p"), c("nh")).items()])
+
+
+@query(
+    "patient_groups",
+    f"""{ENC}, {PAIR_CTE} SELECT d.visit_id, CASE WHEN ethnicity = 'Hispanic or Latino' THEN 'hispanic' WHEN ethnicity <> 'Not Hispanic or Latino' THEN NULL WHEN race = 'White' THEN 'white' WHEN race = 'Black or African American' THEN 'black' WHEN race = 'Asian' THEN 'asian'
+WHEN race IN ('American Indian or Alaska Native', 'Native Hawaiian or Other Pacific Islander', 'Other') THEN 'other' END AS patient_group, CASE WHEN d.visit_year <= 2008 THEN CASE race_raw WHEN '3' THEN 'Black' WHEN '4' THEN 'White' END END AS historical FROM d JOIN encounters e ON d.visit_id = e.visit_id""",
+)
+def _groups(spark, sf):
+    return _cohort(spark, sf).select("visit_id", labels.five_groups(F.col("race"), F.col("ethnicity")).alias("patient_group"), cohort.historical_group(F.col("race_raw"), year()).alias("historical"))
+
+
+@query(
+    "provider_panel",
+    f"""{ROLE_COUNTS}, t AS (SELECT provider, visit_year, sum(visits) AS visits, count(DISTINCT facility) AS n_facilities FROM rc GROUP BY 1, 2), s AS (SELECT provider, visit_year, facility, sum(visits) AS top FROM rc GROUP BY 1, 2, 3),
+r AS (SELECT provider, visit_year, facility, top / sum(top) OVER (PARTITION BY provider, visit_year) AS share, row_number() OVER (PARTITION BY provider, visit_year ORDER BY top DESC, facility) AS rn FROM s), m AS (SELECT CAST(s_suppkey AS string) AS provider, s_name FROM supplier)
+SELECT provider, visit_year, CAST(visits AS BIGINT) AS visits, n_facilities, facility AS primary_facility, round(share, 6) AS primary_share, s_name FROM t JOIN r USING (provider, visit_year) JOIN m USING (provider) WHERE rn = 1""",
+)
+def _panel(spark, sf):
+    master = table(spark, sf, "supplier").select(F.col("s_suppkey").cast("string").alias("provider"), "s_name")
+    return cohort.panel(_role_counts(spark, sf), master)
+
+
+@query(
+    "price_adjusted",
+    f"""{ENC}, q AS (SELECT visit_year, visit_quarter, avg(total) AS v FROM encounters GROUP BY 1, 2), r AS (SELECT avg(v) AS r FROM q WHERE visit_year = 2012) SELECT visit_id, s_name, round(total * r / v, 4) AS real_total FROM encounters JOIN supplier ON s_suppkey = provider JOIN q USING (visit_year, visit_quarter), r""",
+)
+def _prices(spark, sf):
+    e = encounters(spark, sf)
+    prices = metrics.cpi_factors(e.select(F.col("visit_year").alias("year"), F.col("visit_quarter").alias("quarter"), "total"), "total", 2012).withColumn("series", F.lit("all"))
+    providers = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("provider"), "s_name")
+    nothing = e.select("visit_id").limit(0)
+    out = cohort.enrich(e, providers, nothing, table(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("facility")), prices, ["all"])
+    return out.select("visit_id", "s_name", F.round(decode.real_dollars(F.col("total"), F.col("factor_all")), 4).alias("real_total"))
+
+
+@query(
+    "presentation_profile",
+    f"""WITH o AS (SELECT l_orderkey, l_suppkey % 20 AS grp, year(l_shipdate) AS y, CASE WHEN l_linenumber % 2 = 0 THEN 'ICD-9-CM' ELSE 'ICD-10-CM' END AS system, CASE WHEN l_linenumber % 2 = 0 THEN CAST(770 + l_partkey % 40 AS string) ELSE substr('RSIT', CAST(l_partkey % 4 + 1 AS int), 1) || '10' END AS code FROM lineitem),
+a AS (SELECT grp, count(DISTINCT l_orderkey) AS visits, avg(CASE WHEN system = 'ICD-9-CM' AND try_cast(code AS int) BETWEEN 780 AND 799 OR system = 'ICD-10-CM' AND code LIKE 'R%' THEN 1.0 ELSE 0 END) AS s, min(y) AS first_year, max(y) AS last_year FROM o GROUP BY 1)
+SELECT grp, visits, round(s, 6) AS symptom_share, first_year, last_year, CASE WHEN s >= 0.8 THEN 'higher_subjectivity' WHEN s <= 0.2 THEN 'lower_subjectivity' ELSE 'ambiguous_or_mixed' END AS presentation_group FROM a""",
+)
+def _presentation(spark, sf):
+    o = table(spark, sf, "lineitem").selectExpr("l_orderkey", "l_suppkey % 20 AS grp", "year(l_shipdate) AS y", "CASE WHEN l_linenumber % 2 = 0 THEN 'ICD-9-CM' ELSE 'ICD-10-CM' END AS system", "CASE WHEN l_linenumber % 2 = 0 THEN CAST(770 + l_partkey % 40 AS string) ELSE substr('RSIT', CAST(l_partkey % 4 + 1 AS int), 1) || '10' END AS code")
+    return cohort.presentation_profile(o, ["grp"], "system", "code", "y", "l_orderkey")
+
+
+@query(
+    "definition_counts",
+    f"""{ENC}, l AS (SELECT visit_year, 'adult' AS definition, sex_raw IS NOT NULL AS e, status_raw = '20' AS d FROM encounters WHERE age BETWEEN 18 AND 115 UNION ALL SELECT visit_year, 'large', sex_raw IS NOT NULL, status_raw = '20' FROM encounters WHERE total > 300000)
+SELECT visit_year, definition, count(*) AS n, count(*) FILTER (e) AS eligible, count(*) FILTER (e AND d) AS deaths FROM l GROUP BY 1, 2""",
+)
+def _definitions(spark, sf):
+    df = encounters(spark, sf).select("visit_year", F.coalesce(F.col("age").between(18, 115), F.lit(False)).alias("adult"), (F.col("total") > 300_000).alias("large"), F.col("sex_raw").isNotNull().alias("e"), (F.col("status_raw") == "20").alias("d"))
+    return cohort.definition_counts(df, ["visit_year"], ["adult", "large"], "e", "d")
+
+
+@query("outcome_support", f"""{ENC}, w AS (SELECT segment, provider, {W} AS w, total AS value FROM encounters), p AS (SELECT segment, sum(w) AS pm, pow(sum(w), 2) / sum(w * w) AS pe FROM (SELECT segment, provider, max(w) AS w FROM w GROUP BY 1, 2) GROUP BY 1)
+SELECT segment, 'total' AS outcome, count(*) AS n, round(sum(w * value) / sum(w), 3) AS mean, round(pow(sum(w), 2) / sum(w * w), 4) AS effective, round(any_value(pm), 4) AS physician_mass, round(any_value(pe), 4) AS effective_physicians FROM w JOIN p USING (segment) GROUP BY 1""")
+def _outcome_support(spark, sf):
+    s = describe.outcome_support(encounters(spark, sf).withColumn("w", F.expr(W).cast("double")), ["segment"], "w", ["total"], "provider")
+    return s.select("segment", "outcome", "n", F.round("mean", 3).alias("mean"), *[F.round(c, 4).alias(c) for c in ("effective", "physician_mass", "effective_physicians")])
+
+
+@query("timing_feasibility", f"{ENC} SELECT visit_year, count(v) AS n, count(*) FILTER (v < 0) AS negative FROM (SELECT visit_year, CASE WHEN try_cast(hour_raw AS int) BETWEEN 0 AND 23 AND discharge_hour BETWEEN 0 AND 23 THEN 24 * days + discharge_hour - try_cast(hour_raw AS int) END AS v FROM encounters) GROUP BY 1")
+def _feasible(spark, sf):
+    hours = decode.clock_hours(F.col("days"), F.col("discharge_hour"), decode.arrival_hour(F.col("hour_raw")))["los_raw"]
+    return metrics.feasibility(encounters(spark, sf).withColumn("v", hours), ["visit_year"], "v").select("visit_year", "n", "negative")
+
+
+@query("planned_contrasts", f"""{ENC}, m AS (SELECT CASE WHEN order_status = 'F' THEN 'f' ELSE 'n' END || '_' || CASE WHEN segment = 'BUILDING' THEN 'b' WHEN segment = 'MACHINERY' THEN 'm' ELSE 'n' END AS cell, avg(total) AS e FROM encounters GROUP BY 1)
+SELECT c AS contrast, round((SELECT e FROM m WHERE cell = 'f_' || substr(c, 3, 1)) - (SELECT e FROM m WHERE cell = 'f_n') - (SELECT e FROM m WHERE cell = 'n_' || substr(c, 3, 1)) + (SELECT e FROM m WHERE cell = 'n_n'), 4) AS estimate, CAST(4 AS BIGINT) AS cells FROM (SELECT unnest(['f_b_vs_n', 'f_m_vs_n']) AS c)""")
+def _planned(spark, sf):
+    cell = F.concat(F.when(F.col("order_status") == "F", "f").otherwise("n"), F.lit("_"), F.when(F.col("segment") == "BUILDING", "b").when(F.col("segment") == "MACHINERY", "m").otherwise("n"))
+    means = encounters(spark, sf).groupBy(cell.alias("cell")).agg(F.avg("total").alias("estimate"))
+    plan = [r for r in inference.directed_contrasts(["f", "b", "m", "n"], "n") if r[0] in ("f_b_vs_n", "f_m_vs_n")]
+    return inference.contrasts(means, spark.createDataFrame(plan, "contrast string, cell string, coefficient double"), []).withColumn("estimate", F.round("estimate", 4))
+
+
+@query("subset_sweep")
+def _sweep(spark, sf):
+    df = _regression(spark, sf)
+    return sensitivity.swept(df, {"main": {"x": ["a", "b", "ab"]}, "large": {"x": ["a", "b", "ab"], "where": F.col("y") > 100_000}, "no_product": {"x": ["a", "b"]}}, "y", ["facility"], ["provider"])
+
+
+@query("imputed_exposure")
+def _imputed(spark, sf):
+    df = _regression(spark, sf).withColumn("pa", F.expr(PROB).cast("double"))
+    return sensitivity.multiple_imputation(df, "provider", "pa", "a", ("ab", "b"), "y", ["a", "b", "ab"], ["facility"], ["facility"], draws=4)[1]
+
+
+@query("recomputed_coefficients")
+def _recomputed(spark, sf):
+    df = _regression(spark, sf).withColumn("one", F.lit(1.0))
+    fit = models.ols(df, "y", ["one", "a", "b", "ab"])
+    return sensitivity.recomputed(df, "y", ["one", "a", "b", "ab"], spark.createDataFrame([(r[0], r[1]) for r in fit.rows()], "term string, estimate double"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

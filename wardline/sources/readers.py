@@ -42,6 +42,7 @@ def read_csv(spark: SparkSession, path: str, names: Sequence[str], *, header: bo
     # Spark flags short rows as well: only lines with more separators outside quotes than the layout has are over-long
     bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     extra = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(names), F.lit(False))
+    extra = extra & (F.length(F.concat_ws("", F.col(f"`{names[0]}`"))) >= 0)  # a query of the flag column alone is refused
     if tolerant:
         df = df.filter(~extra)
     else:
