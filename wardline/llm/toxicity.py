@@ -29,7 +29,7 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 #: Character codes: 0 separates words, 1 to 26 are letters, 27 starts and 28 ends a word, the rest are shared by all other letters.
 START, END, OTHERS, CODES = 27, 28, 29, 48
 #: The bounded sample: at most so many texts of each label, of at most so many characters each.
-MOST_TEXTS, MOST_CHARS = 3000, 20_000
+MOST_TEXTS, MOST_CHARS = 1500, 10_000
 LANDMARKS, USUAL, HARD = 160, 32, 128
 #: A witness stands in at least this share of the toxic texts, and in three.
 LEAST_SHARE = 0.012
@@ -205,11 +205,14 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
     n_toxic, n_clean = int(toxic.sum()), int((~toxic).sum())
     if not n_toxic or not n_clean:
         return Model(np.zeros(CODES**3, np.float32), 0.0, np.append(np.zeros(TOP), np.log((share + 1e-6) / (1 - share + 1e-6))), share, [])
-    codes, first, of = words_of(values)
-    ends = np.append(first[1:], len(codes))
-    raw = codes.tobytes()
     ids: dict[bytes, int] = {}
-    kind = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(first, ends, strict=True)], np.int64)
+    kinds, owners = [], []
+    for at in range(0, len(values), 100):  # a part at a time, as the driver is small
+        codes, first, of = words_of(values[at : at + 100])
+        raw = codes.tobytes()
+        kinds.append(np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(first, np.append(first[1:], len(codes)), strict=True)], np.int64))
+        owners.append(of + at)
+    kind, of = np.concatenate(kinds), np.concatenate(owners)
     # clean texts in which each word stands; toxic ones, or words after which it stands there if these are fewer: an insult is
     # found in ever new places, while the words of one text and its copies always follow the same ones
     seen = np.unique(np.stack([kind, of]), axis=1)
@@ -225,7 +228,6 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         witness = rate >= np.quantile(rate, 0.999)
     words = list(ids)
     # the words one after another again, each once
-    all_codes = np.frombuffer(b"".join(words), np.uint8)
     all_first = np.cumsum([0] + [len(w) for w in words[:-1]])
     strong = np.argsort(-strength, kind="stable")[:LANDMARKS]
     strong = strong[witness[strong]]
@@ -242,7 +244,6 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
             np.add.at(out, ((x * CODES + y) * CODES + z)[full], np.float32(DECAY ** (b + 1)))
         return out / np.float32(norms(np.array([len(own) - (SPAN - 1)]))[0])
 
-    tables = [table_of(k) for k in chosen]
     # instances: witnesses, all words that are usual in clean texts, and a spread of the others
     spread = np.arange(len(words)) % max(1, len(words) // 12_000) == 0
     use = witness | ((in_clean > 0) & (rate < 2) & spread)
@@ -253,8 +254,8 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         rows = np.flatnonzero(use)
         own = np.concatenate([np.frombuffer(words[k], np.uint8) for k in rows])
         own_first = np.cumsum([0] + [len(words[k]) for k in rows[:-1]])
-        k_nm = np.stack([word_values(own, own_first, t) for t in tables], axis=1).astype(np.float64)
-        k_mm = np.stack([word_values(np.frombuffer(b"".join(words[k] for k in chosen), np.uint8), np.cumsum([0] + [len(words[k]) for k in chosen[:-1]]), t) for t in tables], axis=1).astype(np.float64)
+        k_nm = np.stack([word_values(own, own_first, table_of(k)) for k in chosen], axis=1).astype(np.float64)
+        k_mm = np.stack([word_values(np.frombuffer(b"".join(words[k] for k in chosen), np.uint8), np.cumsum([0] + [len(words[k]) for k in chosen[:-1]]), table_of(k)) for k in chosen], axis=1).astype(np.float64)
         value, vector = np.linalg.eigh((k_mm + k_mm.T) / 2)
         keep = value > 1e-6 * value.max()
         root = vector[:, keep] / np.sqrt(value[keep])
@@ -263,8 +264,11 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         weight *= np.where(y > 0, 1 / weight[y > 0].sum(), 1 / max(1e-9, weight[y < 0].sum()))
         w = fit_svm(k_nm @ root, y, weight * len(y))
         alpha = root @ w[:-1]
-        table, bias = sum(a * t for a, t in zip(alpha, tables, strict=True)).astype(np.float32), float(w[-1])
-        decided = word_values(all_codes, all_first, table) + bias
+        table, bias = np.zeros(CODES**3, np.float64), float(w[-1])
+        for a, k in zip(alpha, chosen, strict=True):
+            table += a * table_of(k)
+        table = table.astype(np.float32)
+        decided = np.concatenate([word_values(np.frombuffer(b"".join(words[a : a + 20_000]), np.uint8), all_first[a : a + 20_000] - all_first[a], table) for a in range(0, len(words), 20_000)]) + bias
         if turn == 2:
             break
         # each toxic text is witnessed by its highest word, unless that word is as usual in clean texts; the highest words of clean texts are counted against
@@ -278,7 +282,6 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         use[hard] = True
         fresh = [k for k in hard[:HARD].tolist() if k not in chosen]
         chosen += fresh
-        tables += [table_of(k) for k in fresh]
         use[witness] = True
     found = np.unique(of)
     prior = np.where(toxic, share / n_toxic, (1 - share) / n_clean)[found]
