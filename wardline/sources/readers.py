@@ -38,7 +38,8 @@ def read_csv(spark: SparkSession, path: str, names: Sequence[str], *, header: bo
     is no source order (Spark gives none).
     """
     schema = strings(names).add(CORRUPT, T.StringType())
-    df = spark.read.schema(schema).csv(path, header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, quote='"', escape='"')
+    # a pruned read would not see that a row is too long
+    df = spark.read.schema(schema).option("columnPruning", False).csv(path, header=header, sep=sep, mode="PERMISSIVE", columnNameOfCorruptRecord=CORRUPT, quote='"', escape='"')
     # Spark flags short rows as well: only lines with more separators outside quotes than the layout has are over-long
     bare = F.regexp_replace(F.col(CORRUPT), '"[^"]*"', "")
     extra = F.coalesce(F.length(bare) - F.length(F.replace(bare, F.lit(sep), F.lit(""))) >= len(names), F.lit(False))
