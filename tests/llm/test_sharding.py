@@ -25,6 +25,20 @@ def test_capacity_equals_brute_force():
         assert sharding.minimax_capacity(sizes, 3) == brute(list(sizes), 3)
 
 
+def test_even_cuts_keep_the_capacity():
+    rng = np.random.default_rng(9)
+    for n in (1, 3, 40, 500):
+        for _ in range(20):
+            sizes = rng.integers(1, 100, n) * rng.choice([1, 1, 1, 30], n)
+            for shards in (1, 4, 40):
+                capacity = sharding.minimax_capacity(sizes, shards)
+                ends = sharding.even_cuts(sizes, shards, capacity)
+                parts = [sizes[a:b].sum() for a, b in itertools.pairwise([0, *ends])]
+                assert ends[-1] == n and max(parts) == capacity
+    ends = sharding.even_cuts(np.ones(4000, np.int64), 40, 110)
+    assert set(np.diff([0, *ends])) == {100}
+
+
 def test_cuts_lie_in_the_open_segments():
     rng = np.random.default_rng(4)
     for _ in range(50):

@@ -46,6 +46,30 @@ def minimax_capacity(sizes: np.ndarray, shards: int) -> int:
     return low
 
 
+def even_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
+    """Ends of each shard, none over the capacity, each as near to its equal share of the total as that allows.
+
+    Filling every shard to the capacity would leave the last ones nearly empty.
+    """
+    total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+    least, at = [0] * shards, len(sizes)  # from least[k] on, the shards after k can hold the rest
+    for k in range(shards - 1, -1, -1):
+        least[k] = at
+        at = int(np.searchsorted(total, total[at] - capacity, side="left"))
+    if at > 0:
+        return greedy_cuts(sizes, shards, capacity) or []
+    ends, start = [], 0
+    for k in range(shards):
+        share = total[-1] * (k + 1) / shards
+        near = int(np.searchsorted(total, share))
+        if near > 0 and near <= len(sizes) and share - total[near - 1] < total[min(near, len(sizes))] - share:
+            near -= 1
+        most = int(np.searchsorted(total, total[start] + capacity, side="right")) - 1
+        start = min(max(near, least[k], start), most)
+        ends.append(start)
+    return ends
+
+
 def may_cut(sizes: np.ndarray, low: int, high: int, shards: int) -> np.ndarray:
     """Segments in or at the start of which a greedy cut can fall for some capacity from low to high, wherever their inner cuts lie."""
     total = np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
@@ -89,7 +113,7 @@ def find_cuts(groups: DataFrame, rows: int, shards: int) -> list[int]:
         size, count = np.concatenate([size[~open_], got["size"].to_numpy(np.int64)]), np.concatenate([count[~open_], got["groups"].to_numpy(np.int64)])
         order = np.argsort(start, kind="stable")
         start, size, count, width = start[order], size[order], count[order], finer
-    ends = greedy_cuts(size, shards, max(low, minimax_capacity(size, shards)))
+    ends = even_cuts(size, shards, max(low, minimax_capacity(size, shards)))
     return [int(start[e]) for e in ends if e < len(size)]
 
 
