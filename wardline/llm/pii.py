@@ -19,6 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -317,16 +318,16 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 def mask(docs: DataFrame, field: Field) -> DataFrame:
     """docs with the found spans masked in text and n_chars, if there, counted anew. Null texts stay null."""
-    shared = docs.sparkSession.sparkContext.broadcast(field)
+    shared, at = docs.sparkSession.sparkContext.broadcast(field), docs.columns.index("text")
 
-    def scan(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            values = f["text"].tolist()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            values = b.column(at).to_pylist()
             found = find(["" if t is None else t for t in values], shared.value)
-            f = f.assign(text=[None if t is None else masked(t, s) for t, (_, s) in zip(values, found, strict=True)])
-            yield f
+            texts_ = pa.array([None if t is None else masked(t, s) for t, (_, s) in zip(values, found, strict=True)], b.schema.field(at).type)
+            yield b.set_column(at, b.schema.field(at), texts_)
 
-    out = docs.mapInPandas(scan, docs.schema)
+    out = docs.mapInArrow(scan, docs.schema)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 

@@ -18,6 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -347,14 +348,14 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
 def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
     """The rows of docs that aren't predicted toxic, with all their columns."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def keep(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            s = shared.value.score(["" if t is None else t for t in f["text"]])
-            yield f[s < 0.5][names]
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = shared.value.score(["" if t is None else t for t in b.column("text").to_pylist()])
+            yield b.filter(pa.array(s < 0.5))
 
-    return docs.mapInPandas(keep, docs.schema)
+    return docs.mapInArrow(keep, docs.schema)
 
 
 def op6_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
