@@ -123,7 +123,7 @@ def search(rows: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector
     picked = entries.orderBy(F.xxhash64("vec"), "vec").limit(SAMPLE).select("vec").toPandas()
     forest = fit(np.array(picked["vec"].tolist(), np.float64).reshape(-1, dims), float(np.sqrt(stats["m"])), k)
     shared = spark.sparkContext.broadcast(forest)  # TREES * SAMPLE / LEAF planes
-    groups = int(max(tasks(spark), np.ceil(stats["n"] * TREES / GROUP_ROWS)))
+    groups = int(max(8, np.ceil(stats["n"] * TREES / GROUP_ROWS)))  # from the index's size alone: a query has a row of results for each
     per_tree = 2**forest.depth
 
     def vectors(f: pd.DataFrame) -> np.ndarray:
