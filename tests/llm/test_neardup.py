@@ -92,6 +92,45 @@ def test_a_chain_is_one_class(spark):
     assert got == {**{k: 0 for k in range(12)}, **{50 + k: 50 + k for k in range(5)}}
 
 
+def family():
+    """Edits round one template: most pairs just below the threshold, some of two edits of the same place above it."""
+    rng = np.random.default_rng(5)
+    words, rows = [f"w{k}" for k in range(400)], []
+    for k in range(160):
+        own = words.copy()
+        for j in rng.choice(80, 5, replace=False):
+            own[5 * j + 2] = f"x{k}y{j}"
+        rows.append((k, " ".join(own)))
+    return rows
+
+
+def test_near_members_far_from_the_centre_are_one_class(spark):
+    rows = family()
+    want = classes(rows)
+    got = {r["doc_id"]: r["class_id"] for r in n.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    first = {}
+    for (i, _), c in zip(rows, want, strict=True):
+        first.setdefault(c, i)
+    assert len(first) < len(rows) / 2
+    assert all(got[i] == got[first[c]] for (i, _), c in zip(rows, want, strict=True))
+
+
+def test_a_bucket_of_many_chunks_is_compared_whole(spark, monkeypatch):
+    docs = spark.createDataFrame(family(), "doc_id long, text string")
+    whole = sorted(n.near_duplicates(docs).select("doc_id", "class_id").collect())
+    monkeypatch.setattr(n, "CHUNK", 16)
+    assert sorted(n.near_duplicates(docs).select("doc_id", "class_id").collect()) == whole
+
+
+def test_many_pairs_are_counted_as_one_by_one():
+    h, before, bounds = n.shingles([t for _, t in family()[:40]])
+    e, w = n.elements(h, before), np.where(h % np.uint64(3) == 0, 0.8, 1.0)
+    pairs = np.array([(u, v) for u in range(40) for v in range(u)])
+    one = [max(n.jaccard(e[bounds[u] : bounds[u + 1]], w[bounds[u] : bounds[u + 1]], e[bounds[v] : bounds[v + 1]], w[bounds[v] : bounds[v + 1]])) for u, v in pairs]
+    for threshold in (0.7, 0.75, 0.8):
+        assert n.similar((e, w, bounds), pairs, threshold).tolist() == [x >= threshold for x in one]
+
+
 def test_hard_rows(spark, hard):
     found = n.near_duplicates(hard)
     rows = sorted(((r["doc_id"], r["class_id"]) for r in found.collect()), key=str)

@@ -7,10 +7,11 @@ frequent one stands out. Improved consistent weighted sampling draws an element
 two documents as often as their weighted Jaccard similarity; documents that agree in a band are candidates. A candidate counts when
 its exact weighted Jaccard similarity, or the plain one, is at least the threshold.
 
-Each text is paired with the most central member (that in the largest buckets) of each of its buckets, at most BANDS pairs a text, and,
-as far as `heads` asks for it, with the next ones. A pair goes on to verification unless a byte of each of the BANDS x ROWS draws says
-that it lies more than four standard deviations below the threshold. With heads=None rounds go on, twice as many heads in each, until
-every two members of a bucket are compared or in one class.
+Each text is first paired with the most central member (that in the largest buckets) of each of its buckets, at most BANDS pairs a
+text. Then every two members of a bucket that still are in different classes are compared, in the first bucket that they share: a
+bucket is cut into chunks of about CHUNK members, and each two chunks meet in a block of their own, so that no bucket has to fit a
+task. A pair goes on to verification unless a byte of each of the BANDS x ROWS draws says that it lies more than four standard
+deviations below the threshold; only members of such pairs are fetched with their texts.
 """
 
 from __future__ import annotations
@@ -22,7 +23,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import documents, texts, written
 
@@ -32,7 +32,9 @@ BANDS, ROWS = 20, 6
 DF_BITS = 20
 LEVELS, LEAST_WEIGHT = 8, 0.75
 TABLE_BITS = 16
-HEADS = 1
+#: Members of a large bucket that meet as many others in a block.
+CHUNK = 512
+BLOCK = ["band", "key", "i", "j"]
 SEED = 20_240_601
 #: Texts are worked on in parts of about this many bytes, which fit a core's cache.
 PART_BYTES = 1 << 20
@@ -184,6 +186,58 @@ def jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tup
     return (float(both / union), len(i) / (len(a) + len(b) - len(i))) if union > 0 else (0.0, 0.0)
 
 
+def similar(values: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
+    """For pairs (int[n, 2]) of sets, whether their weighted or plain Jaccard similarity is at least the threshold.
+
+    values: all sets' elements one after another, their weights, and the bounds of the sets. Many pairs of the same sets are
+    counted by products of matrices, a tile of elements at a time; those next to the threshold once more by themselves.
+    """
+    e, w, bounds = values
+    at = [slice(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
+
+    def own(some: np.ndarray) -> np.ndarray:
+        return np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in some]).reshape(-1, 2)
+
+    u, u_at = np.unique(pairs[:, 0], return_inverse=True)
+    v, v_at = np.unique(pairs[:, 1], return_inverse=True)
+    if len(pairs) <= 4 * (len(u) + len(v)):
+        return (own(pairs) >= threshold).any(axis=1)
+    of = np.repeat(np.arange(len(at)), np.diff(bounds))
+    _, kind, often = np.unique(e, return_inverse=True, return_counts=True)
+    named = np.cumsum(often > 1) - 1  # an element of one set alone is in no intersection
+    kept = np.flatnonzero(often[kind] > 1)
+    kept = kept[np.argsort(named[kind[kept]], kind="stable")]
+    column = named[kind[kept]]
+    both, plain, tile = np.zeros((len(u), len(v))), np.zeros((len(u), len(v))), 2048
+    for low in range(0, int((often > 1).sum()), tile):
+        some = slice(*np.searchsorted(column, [low, low + tile]))
+        has, weight = np.zeros((len(at), tile)), np.zeros(tile)
+        has[of[kept[some]], column[some] - low] = 1
+        weight[column[some] - low] = w[kept[some]]
+        both += (has[u] * weight) @ has[v].T
+        plain += has[u] @ has[v].T
+    size = np.diff(bounds).astype(np.float64)
+    total = np.bincount(of, w, len(at))
+    sims = np.stack([x[u_at, v_at] / np.maximum(y[pairs[:, 0]] + y[pairs[:, 1]] - x[u_at, v_at], 1e-9) for x, y in ((both, total), (plain, size))], axis=1)
+    close = np.flatnonzero((np.abs(sims - threshold) < 1e-9).any(axis=1))
+    sims[close] = own(pairs[close])
+    return (sims >= threshold).any(axis=1)
+
+
+def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The rows of one block after another, from frames in the order of BLOCK."""
+    rest = None
+    for f in frames:
+        f = f if rest is None else pd.concat([rest, f], ignore_index=True)
+        k = f[BLOCK].to_numpy(np.int64)
+        bounds = [0, *(np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1).tolist(), len(f)]
+        for a, b in zip(bounds[:-2], bounds[1:-1], strict=True):
+            yield f.iloc[a:b]
+        rest = f.iloc[bounds[-2] :]
+    if rest is not None and len(rest):
+        yield rest
+
+
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """node, comp (its class's smallest node) for every node of edges (u, v), by large-star and small-star steps."""
     def both(e: DataFrame) -> DataFrame:
@@ -213,7 +267,7 @@ def _nodes(docs: DataFrame) -> DataFrame:
     return texts(docs).withColumn("node", F.xxhash64("text"))
 
 
-def near_classes(docs: DataFrame, threshold: float = THRESHOLD, heads: int | None = HEADS) -> DataFrame:
+def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """node and comp of all nodes that are in a class with another node."""
     spark, nodes = docs.sparkSession, _nodes(docs)
     df = document_frequencies(nodes)
@@ -235,9 +289,10 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, heads: int | Non
                     keys, draws = signatures(elements(h, before), levels(h), np.append(bounds[:-1][full], bounds[-1]), table)
                     yield pd.DataFrame({"node": ids[a:b][full], "bands": list(keys), "draws": [d.tobytes() for d in draws]})
 
+    n_draws = BANDS * ROWS
+    least = n_draws * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / n_draws))
+
     def likely(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        n = BANDS * ROWS
-        least = n * (threshold - 4 * np.sqrt(threshold * (1 - threshold) / n))
         for f in frames:
             same = [(np.frombuffer(a, np.uint8) == np.frombuffer(b, np.uint8)).sum() >= least for a, b in zip(f["da"], f["db"], strict=True)]
             yield f.loc[np.array(same, bool), ["u", "v"]]
@@ -255,6 +310,44 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, heads: int | Non
                 sims = np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in zip(g["u"], g["v"], strict=True)]).reshape(-1, 2)
                 yield g.loc[(sims >= threshold).any(axis=1), ["u", "v"]]
 
+    def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """For each member of a block, with which of the others it is to be compared; those without any pair go."""
+        for f in _blocks(frames):
+            (band, _, i, j), node, comp, chunk = f[BLOCK].iloc[0], f["node"].to_numpy(), f["comp"].to_numpy(), f["chunk"].to_numpy()
+            keys, draws = np.stack(f["bands"].to_numpy())[:, : int(band)], np.frombuffer(b"".join(f["draws"]), np.uint8).reshape(len(f), -1)
+            right, needed, others = np.flatnonzero(chunk == j), np.zeros(len(f), bool), [b""] * len(f)
+            for x in np.flatnonzero(chunk == i):
+                y = right[right > x] if i == j else right
+                y = y[comp[y] != comp[x]]
+                y = y[~(keys[y] == keys[x]).any(axis=1)]  # those met before, in an earlier band
+                y = y[(draws[y] == draws[x]).sum(axis=1) >= least]
+                if len(y):
+                    needed[x] = needed[y] = True
+                    others[x] = node[y].astype("<i8").tobytes()
+            if needed.any():
+                yield f.assign(others=others).loc[needed, [*BLOCK, "node", "comp", "others"]]
+
+    def settle(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Links of a block's members that aren't yet in one class, as few as make the classes."""
+        weight = shared.value[1]
+        for f in _blocks(frames):
+            h, before, bounds = shingles(f["text"].tolist())
+            place = {node: k for k, node in enumerate(f["node"])}
+            pairs = np.array([(k, place[v]) for k, x in enumerate(f["others"]) for v in np.frombuffer(x, "<i8").tolist()]).reshape(-1, 2)
+            node, comp, joined = f["node"].to_numpy(), f["comp"].to_numpy(), []
+            parent = {c: c for c in comp.tolist()}
+            for u, v in pairs[similar((elements(h, before), weight[levels(h)], bounds), pairs, threshold)]:
+                a, b = int(comp[u]), int(comp[v])
+                while parent[a] != a:
+                    a = parent[a] = parent[parent[a]]
+                while parent[b] != b:
+                    b = parent[b] = parent[parent[b]]
+                if a != b:
+                    parent[a] = b
+                    joined.append((node[u], node[v]))
+            if joined:
+                yield pd.DataFrame(joined, columns=["u", "v"])
+
     signed = nodes.select("node", "text").mapInPandas(sign, "node long, bands array<long>, draws binary").groupBy("node").agg(F.first("bands").alias("bands"), F.first("draws").alias("draws"))
     signed = written(signed, "signatures")
     rows = signed.select("node", F.posexplode("bands").alias("band", "key"))
@@ -275,31 +368,32 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD, heads: int | Non
 
     centres = rows.groupBy("band", "key").agg(F.max_by("node", F.struct("central", "node")).alias("v"))
     links = verify(rows.join(centres, ["band", "key"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
-    low, high = 1, 3
-    while True:
-        comp = written(components(links), "classes")
-        if heads is not None and low >= heads:
-            return comp
-        named = rows.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        mixed = named.groupBy("band", "key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b")).filter("_a <> _b").select("band", "key")
-        place = F.row_number().over(Window.partitionBy("band", "key").orderBy(F.desc("central"), F.desc("node"))) - 1
-        ranked = written(named.join(mixed, ["band", "key"]).withColumn("rank", place), "ranked")
-        if not ranked.filter(F.col("rank") > low).take(1):
-            return comp
-        near = ranked.filter((F.col("rank") >= low) & (F.col("rank") < high)).select("band", "key", F.col("node").alias("v"), F.col("rank").alias("head"), F.col("comp").alias("of"))
-        pairs = ranked.join(near, ["band", "key"]).filter("rank > head and comp <> of").select(F.col("node").alias("u"), "v").distinct()
-        links = links.unionAll(verify(pairs))
-        low, high = high, 2 * high + 1
-
-
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, heads: int | None = HEADS) -> DataFrame:
+    comp = written(components(links), "classes")
+    # the rest: members of buckets that still hold several classes
+    named = rows.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
+    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("_a <> _b").drop("_a", "_b")
+    member = named.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), "parts").cast("int"))
+    dealt = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "comp")
+
+    def by_block(df: DataFrame) -> DataFrame:
+        return df.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
+
+    meeting = by_block(dealt.join(signed, "node")).mapInPandas(meet, "band int, key long, i int, j int, node long, comp long, others binary")
+    meeting = written(meeting, "meetings")
+    involved = meeting.select("node").distinct()
+    held = nodes.select("node", "text").join(involved.hint("merge"), "node", "left_semi").dropDuplicates(["node"])
+    more = written(by_block(meeting.join(held.hint("merge"), "node")).mapInPandas(settle, "u long, v long"), "links")
+    return written(components(links.unionAll(more)), "classes") if more.take(1) else comp
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id, node, comp for every row of (doc_id, text); class_id is the smallest doc_id of the class.
 
     Equal texts are in one class, null and empty ones too. A row without an id belongs to its text's class; a class without any
     id has a null class_id. Repeated rows stay. Texts without words are alike only where they are equal. comp names the class.
     """
     nodes = _nodes(docs).select("doc_id", "node")
-    comp = near_classes(docs, threshold, heads)
+    comp = near_classes(docs, threshold)
     rows = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
     return rows.join(least, "comp").select("doc_id", "class_id", "node", "comp")
