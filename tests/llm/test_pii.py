@@ -67,6 +67,27 @@ def test_repetitions_share_their_label(field):
     assert alone == ([], [])
 
 
+def test_fifty_repetitions_share_their_label(field):
+    filler = " It was a long day and nothing else was said about it." * 20
+    text = "Call +1 (407) 555-7710 now." + (filler + " Later 1 407 555 7710, or not.") * 50
+    (base, spans), = pii.find([text], field)
+    assert len(base) == 1
+    assert [text[a:b] for a, k, b in spans if k == 3] == ["+1 (407) 555-7710"] + ["1 407 555 7710"] * 50
+    # where a repetition by itself looks like none, only what is certain makes it a phone number
+    n = len(pii.LABELS)
+    wary = pii.Field(np.zeros((n, pii.FEATURES)), np.zeros((n, n)), 6 * np.eye(n))
+    wary.unary[0, 0] = 2
+    (_, spans), = pii.find([text], wary)
+    assert len(spans) == 51
+    assert pii.find([text.replace("+1 (407) 555-7710", "me")], wary) == [([], [])]
+
+
+def test_edges_are_linear_and_reach_a_last_sign():
+    tokens = ["1 407 555 7710"] * 20 + ["+1 (407) 555-7710"] + ["1 407 555 7710"] * 20 + ["1 407 555 7711"]
+    edges = pii.skip_edges(tokens, [0] * 20 + [4] + [0] * 21)
+    assert edges == [(k, 20) for k in range(20)] + [(20, k) for k in range(21, 42)]
+
+
 def test_masking():
     assert pii.masked("mail a@b.c or +1 234", [(5, 0, 10), (14, 3, 20)]) == "mail [EMAIL] or [PHONE]"
 

@@ -30,6 +30,8 @@ LABELS = ("none", *KINDS)
 #: The bounded sample: at most so many texts with candidates, of at most so many characters.
 MOST_TEXTS, MOST_CHARS = 2000, 20_000
 ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
+#: Log odds of a label that a pattern gave: more than any number of messages outweighs.
+CERTAIN = 1e6
 
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL_END = re.compile(r"[A-Za-z0-9._%+-]*\Z")
@@ -138,35 +140,116 @@ def key(token: str) -> str:
     return "".join(c for c in token.lower() if c.isalnum())
 
 
-def skip_edges(tokens: list[str]) -> list[tuple[int, int]]:
-    """Each token with the one before it of the same key, or of one that differs in a leading country digit or in its last sign.
+def skip_edges(tokens: list[str], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Each token with one hub: the first token of the same key, or of one that differs in a leading country digit or in its last sign.
 
-    Each has at most two such edges to earlier tokens, so that their number grows with the tokens.
+    Where patterns label a token of the key (known), the first such is the hub, so that what is certain reaches every repetition at
+    once; else all are two steps apart. Each token has at most three such edges to hubs, so that their number grows with the tokens.
     """
-    last: dict[str, int] = {}
-    near: dict[str, int] = {}
-    out = []
+    groups: dict[tuple[str, str], list[int]] = {}
     for k, t in enumerate(tokens):
         own = key(t)
         if len(own) >= 6:
-            if own in last:
-                out.append((last[own], k))
-            tail = own[-9:]
-            if tail in near and near[tail] != last.get(own):
-                out.append((near[tail], k))
-            last[own] = near[tail] = k
+            for group in (("all", own), ("end", own[-9:]), ("start", own[:-1])):
+                if len(group[1]) >= 6:
+                    groups.setdefault(group, []).append(k)
+    out = set()
+    for members in groups.values():
+        hub = next((k for k in members if known and known[k]), members[0])
+        out.update((min(hub, k), max(hub, k)) for k in members if k != hub)
+    return sorted(out)
+
+
+def joined(spans: list[tuple[int, int, int]]) -> str:
+    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
+
+
+def candidates(text: str) -> list[tuple[int, int]]:
+    """Places of the candidate tokens, without signs at their edges."""
+    out = []
+    if HINT.search(text):
+        for m in CANDIDATE.finditer(text):
+            a, b = m.span()
+            if not HINT.search(text, a, b):
+                continue
+            while a < b and text[a] in EDGE and text[a] != "(":
+                a += 1
+            while a < b and text[b - 1] in EDGE:
+                b -= 1
+            if a < b:
+                out.append((a, b))
     return out
 
 
+def features(token: str) -> np.ndarray:
+    """What a token shows by itself. Fixed length."""
+    d = digits_of(token)
+    n, letters, dots = len(d), sum(c.isalpha() for c in token), token.count(".")
+    parts = token.split(".")
+    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+    hyphened = re.fullmatch(r"[0-9]+(?:[ -][0-9]+)*", token) is not None
+    x = np.zeros(FEATURES)
+    x[0] = 1
+    x[1] = "@" in token and dots > 0
+    x[2] = "@" in token
+    x[3] = token.startswith("+")
+    x[4] = quad
+    x[5] = 14 <= n <= 19 and hyphened and luhn(d)
+    x[6] = 14 <= n <= 19 and hyphened
+    x[7] = 10 <= n <= 15 and not letters
+    x[8] = letters > 0
+    x[9] = dots == 3 and not letters
+    x[10] = "(" in token and ")" in token
+    x[11] = letters > 0 and n > 0 and "@" not in token
+    x[12 + min(n, 20) // 3] = 1
+    return x
+
+
+FEATURES = 12 + 7
+
+
+def key(token: str) -> str:
+    """Equal for tokens that show the same personal datum: their lower-case letters and digits."""
+    return "".join(c for c in token.lower() if c.isalnum())
+
+
+def skip_edges(tokens: list[str], known: list[int] | None = None) -> list[tuple[int, int]]:
+    """Each token with one hub: the first token of the same key, or of one that differs in a leading country digit or in its last sign.
+
+    Where patterns label a token of the key (known), the first such is the hub, so that what is certain reaches every repetition at
+    once; else all are two steps apart. Each token has at most three such edges to hubs, so that their number grows with the tokens.
+    """
+    groups: dict[tuple[str, str], list[int]] = {}
+    for k, t in enumerate(tokens):
+        own = key(t)
+        if len(own) >= 6:
+            for group in (("all", own), ("end", own[-9:]), ("start", own[:-1])):
+                if len(group[1]) >= 6:
+                    groups.setdefault(group, []).append(k)
+    out = set()
+    for members in groups.values():
+        hub = next((k for k in members if known and known[k]), None)
+        if hub is None:
+            out.update(zip(members[:-1], members[1:], strict=True))
+        else:
+            out.update((min(hub, k), max(hub, k)) for k in members if k != hub)
+    return sorted(out)
+
+
 @dataclass
 class Field:
     unary: np.ndarray  # [labels, features]
     chain: np.ndarray  # [labels, labels], symmetric
     skip: np.ndarray
 
-    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray) -> np.ndarray:
-        """float[n, labels] by loopy sum-product in log space; messages of all edges move at once. chain, skip: int[edges, 2]."""
+    def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
+        """float[n, labels] by loopy sum-product in log space; messages of all edges move at once. chain, skip: int[edges, 2].
+
+        known: labels that patterns gave, 0 for none; these are certain, however many repetitions look like none.
+        """
         local = x @ self.unary.T
+        if known is not None:
+            local[known > 0] = CERTAIN * np.eye(len(LABELS))[known[known > 0]]
         edges = np.concatenate([chain, skip]).reshape(-1, 2)
         if not len(edges):
             return _softmax(local)
@@ -205,23 +288,28 @@ def weaken(token: str) -> str:
     return re.sub(r"[+().]", "", token).strip()
 
 
+def pattern_labels(spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -> list[int]:
+    """For each candidate the label of the pattern's span that covers most of it, 0 without one."""
+    return [next((k + 1 for s, k, e in spans if s < b and a < e and min(b, e) - max(a, s) >= 0.8 * (b - a)), 0) for a, b in places]
+
+
 def train(values: list[str], rounds: int = 200) -> Field:
     """Fit by pseudo-likelihood to the labels of the patterns, with a weakened copy of every third labelled token after its text."""
     xs, ys, chains, skips, base = [], [], [], [], 0
     for text in values:
         spans, places = base_spans(text), candidates(text)
-        tokens, labels = [text[a:b] for a, b in places], []
-        for a, b in places:
-            labels.append(next((k + 1 for s, k, e in spans if s < b and a < e and min(b, e) - max(a, s) >= 0.8 * (b - a)), 0))
+        tokens, labels = [text[a:b] for a, b in places], pattern_labels(spans, places)
+        known = labels.copy()
         for k, (t, y) in enumerate(list(zip(tokens, labels, strict=True))):
             if y in (2, 4) and (base + k) % 3 == 0:
                 tokens.append(weaken(t))
                 labels.append(y)
+                known.append(0)
         if tokens:
             xs.append(np.stack([features(t) for t in tokens]))
             ys.append(np.array(labels))
             chains.append(chain_edges(len(tokens)) + base)
-            skips.append(np.array(skip_edges(tokens), np.int64).reshape(-1, 2) + base)
+            skips.append(np.array(skip_edges(tokens, known), np.int64).reshape(-1, 2) + base)
             base += len(tokens)
     n = len(LABELS)
     field = Field(np.zeros((n, FEATURES)), np.zeros((n, n)), np.zeros((n, n)))
@@ -249,7 +337,7 @@ def train(values: list[str], rounds: int = 200) -> Field:
 
 def find(values: list[str], field: Field) -> list[tuple[list, list]]:
     """For each text the spans of the patterns, and all spans: these and those that the field adds."""
-    out, xs, chains, skips, places, base = [], [], [], [], [], 0
+    out, xs, chains, skips, labels, places, base = [], [], [], [], [], [], 0
     for k, text in enumerate(values):
         spans = base_spans(text)
         out.append((spans, spans))
@@ -258,12 +346,14 @@ def find(values: list[str], field: Field) -> list[tuple[list, list]]:
             tokens = [text[a:b] for a, b in found]
             xs.append(np.stack([features(t) for t in tokens]))
             chains.append(chain_edges(len(tokens)) + base)
-            skips.append(np.array(skip_edges(tokens), np.int64).reshape(-1, 2) + base)
+            known = pattern_labels(spans, found) if spans else [0] * len(found)
+            labels += known
+            skips.append(np.array(skip_edges(tokens, known), np.int64).reshape(-1, 2) + base)
             places.append((k, found, base))
             base += len(tokens)
     if not xs:
         return out
-    p = field.marginals(np.concatenate(xs), np.concatenate(chains), np.concatenate(skips))
+    p = field.marginals(np.concatenate(xs), np.concatenate(chains), np.concatenate(skips), np.array(labels))
     for k, found, at in places:
         spans = out[k][0]
         own = p[at : at + len(found)]
