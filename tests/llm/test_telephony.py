@@ -78,3 +78,20 @@ def test_hard_rows(spark, hard):
     same = [r["feature"] for r in rows if r["doc_id"] in (1, 2)]
     assert len(set(same)) == 1
     assert t.audio_features(t.store_mulaw(hard.limit(0))).count() == 0
+
+
+def test_pcm_is_stored_and_described_as_stored(spark):
+    stored = t.stored_audio(spark.createDataFrame([(1, "a short text"), (2, None)], "doc_id long, text string"))
+    for r in stored.collect():
+        with wave.open(BytesIO(r["pcm"])) as w:
+            assert (w.getframerate(), w.getsampwidth(), w.getnframes()) == (16000, 2, 2 * t.UNIT)
+        with_codes = t.read_wav(r["media"])
+        assert t.read_wav(r["pcm"])[2] == t.resample_double(t.to_pcm(t.MULAW, with_codes[2])).astype("<i2").tobytes()
+    other = stored.selectExpr("doc_id", "n_bytes", "media", "concat(pcm, X'00') AS pcm")
+    want = {r["doc_id"]: f"pcm={zlib.crc32(r['pcm']):08x}" for r in other.collect()}
+    assert {r["doc_id"]: r["feature"].split(";")[-1] for r in t.audio_features(other).collect()} == want
+
+
+def test_op2_writes_pcm(spark, sf_dir):
+    files = t.op2_telephony_audio(spark, sf_dir).inputFiles()
+    assert {"media", "pcm"} <= set(spark.read.parquet(*files).columns)

@@ -126,7 +126,7 @@ def decode_audio(media: DataFrame, media_col: str = "media") -> DataFrame:
     """
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+        for f in (part for frame in frames for part in _by_bytes(frame, media_col)):
             found = [read_wav(x) for x in f[media_col]]
             yield f.assign(pcm=[None if x is None else wav(resample_double(to_pcm(x[0], x[2])).astype("<i2").tobytes(), PCM, 2 * x[1], 16) for x in found])
 
@@ -148,11 +148,16 @@ def store_mulaw(docs: DataFrame, unit: int = UNIT) -> DataFrame:
     return texts(docs).mapInPandas(store, "doc_id long, n_bytes long, media binary")
 
 
+def stored_audio(docs: DataFrame) -> DataFrame:
+    """The code stream of every text (store_mulaw) and, beside it, its resampled PCM (decode_audio), written and read back."""
+    return written(decode_audio(store_mulaw(docs)), "telephony")
+
+
 def audio_features(stored: DataFrame) -> DataFrame:
-    """Read each stored mu-law WAV back, decode its samples as all three codes, resample, and describe the result.
+    """Read each stored mu-law WAV and its stored PCM (column pcm, of decode_audio) back, decode the samples as all three codes, and describe the result.
 
     feature: peak, sum of magnitudes and sign changes of the mu-law PCM and of the A-law PCM, then the sum of magnitudes and CRC of
-    the ADPCM decoding of the payload's blocks of 576 bytes, then the CRC of the stored 16 kHz PCM.
+    the ADPCM decoding of the payload's blocks of 576 bytes, then the CRC of the 16 kHz PCM WAV as it is stored. Media without that column are decoded first.
     """
 
     def describe(pcm: np.ndarray) -> str:
@@ -165,26 +170,27 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 data = [read_wav(x)[2] for x in f["media"]]
                 blocks = np.frombuffer(b"".join(data), np.uint8).reshape(-1, ADPCM_BLOCK)
                 adpcm, rows, at = decode_adpcm(blocks), [], 0
-                for x, media in zip(data, f["media"], strict=True):
+                for x, media, pcm in zip(data, f["media"], f["pcm"], strict=True):
                     codes, own = np.frombuffer(x, np.uint8), adpcm[at : at + len(x) // ADPCM_BLOCK]
                     at += len(own)
                     mu = MULAW_TO_PCM[codes]
-                    pcm = wav(resample_double(mu).astype("<i2").tobytes(), PCM, RATE_OUT, 16)
                     block_sum = int(np.abs(own.astype(np.int32)).sum(dtype=np.int64))
                     feature = f"mulaw={describe(mu)};alaw={describe(ALAW_TO_PCM[codes])};adpcm={block_sum}:{zlib.crc32(own.astype('<i2').tobytes()):08x};pcm={zlib.crc32(pcm):08x}"
                     rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(pcm)))
                 out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"], index=f.index)
                 yield pd.concat([f[["doc_id", "n_bytes"]], out], axis=1)
 
+    if "pcm" not in stored.columns:
+        stored = decode_audio(stored)
     return stored.mapInPandas(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long")
 
 
 def _by_bytes(frame: pd.DataFrame, column: str, most: int = 4 << 20) -> Iterator[pd.DataFrame]:
     """Consecutive rows of about `most` bytes in all, so that a batch of long media doesn't expand at once."""
-    part = np.cumsum(frame[column].str.len().to_numpy()) // most
+    part = np.cumsum(frame[column].str.len().fillna(0).to_numpy(np.int64)) // most
     for _, f in frame.groupby(part, sort=False):
         yield f
 
 
 def op2_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio_features(written(store_mulaw(documents(spark, sf_dir)), "telephony"))
+    return audio_features(stored_audio(documents(spark, sf_dir)))
