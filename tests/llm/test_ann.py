@@ -26,13 +26,20 @@ def result(df):
     return out
 
 
-def test_op1_on_a_whole_small_table(spark, sf_dir):
-    rows = [(r["vec_id"], r["embedding"]) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()]
-    got, want = result(ann.op1_projection_forest(spark, sf_dir)), brute(rows, 20)
+def test_op1_on_a_whole_table(spark, sf_dir):
+    """No table is small enough to be searched whole: recall is that of the trees; what is returned has its exact score and place."""
+    vectors = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
+    got, want = result(ann.op1_projection_forest(spark, sf_dir)), brute(list(vectors.items()), 20)
     assert got.keys() == want.keys()
-    for q in want:
-        assert [i for i, _ in got[q]] == [i for i, _ in want[q]]
-        assert all(math.isclose(a, b, rel_tol=1e-12, abs_tol=1e-15) for (_, a), (_, b) in zip(got[q], want[q], strict=True))
+    assert recall_of(got, want) >= 0.9
+    for q, hits in got.items():
+        assert len(hits) == 20 and q not in [i for i, _ in hits]
+        assert hits == sorted(hits, key=lambda h: (-h[1], h[0]))
+        assert all(math.isclose(s, (vectors[q] * vectors[i]).sum(), rel_tol=1e-12, abs_tol=1e-15) for i, s in hits)
+
+
+def recall_of(got, want):
+    return np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / max(1, len(want[q])) for q in want])
 
 
 def test_recall(spark):
@@ -41,7 +48,52 @@ def test_recall(spark):
     rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
     got, want = result(ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0)), brute(rows, 20)
     assert all(len(v) == 20 for v in got.values()) and got.keys() == want.keys()
-    assert np.mean([len({i for i, _ in got[q]} & {i for i, _ in want[q]}) / 20 for q in want]) >= 0.9
+    assert recall_of(got, want) >= 0.9
+
+
+def test_levels_below_the_sample_and_a_hot_vector(spark, monkeypatch):
+    """Deeper trees than the sample fits, many parts in pieces, a third of all rows one vector, many ties."""
+    rng = np.random.default_rng(7)
+    monkeypatch.setattr(ann, "SAMPLE", 512)
+    monkeypatch.setattr(ann, "PART_ROWS", 2000)
+    centre = rng.normal(size=(150, 16))
+    x = (centre[rng.integers(0, 150, 4000)] + 0.6 * rng.normal(size=(4000, 16))).round(1)
+    x[::3] = x[0]
+    rows = [(i, [float(c) for c in v]) for i, v in enumerate(x)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    rows = [(r["vec_id"], r["embedding"]) for r in df.collect()]
+    got, want = result(ann.search(df, F.col("vec_id") % 20 == 0)), brute(rows, 20)
+    assert got.keys() == want.keys() and all(len(v) == 20 for v in got.values())
+    assert recall_of(got, want) >= 0.85
+    # copies of the hot vector are answered by the ones with the smallest ids
+    copies = [i for i in range(0, 4000, 3)][:21]
+    for q in (q for q in want if q % 3 == 0):
+        mine = [i for i, _ in got[q] if i % 3 == 0]
+        assert mine == [i for i in copies if i != q][: len(mine)]
+
+
+def test_the_queue_hands_out_leaves_by_their_sum_of_margins():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(600, 8))
+    f = ann.fit(x[:100], float(np.sqrt((x * x).sum(axis=1).max())), len(x), trees=3, leaf=8)
+    assert f.low_normals.shape[1] > 0
+    q = rng.normal(size=(4, 8))
+    for vec, order in zip(np.hstack([q, np.zeros((4, 1))]), f.queue(q), strict=True):
+        sums = {}
+        for t in range(3):
+            for leaf in range(2**f.depth):
+                node, total, fitted = leaf + 2**f.depth - 1, 0.0, f.depth - f.low_normals.shape[1]
+                while node:
+                    up = (node - 1) // 2
+                    level = (up + 1).bit_length() - 1
+                    n, o = (f.normals[t, up], f.offsets[t, up]) if level < fitted else (f.low_normals[t, level - fitted], f.low_offsets[t, level - fitted])
+                    total += (vec @ n - o) * (1 if node % 2 == 0 else -1)
+                    node = up
+                sums[leaf + (t << f.depth)] = total
+        order = list(order)
+        assert sorted(order) == sorted(sums)
+        got = [sums[x] for x in order]
+        assert all(a >= b - 1e-4 for a, b in zip(got[:-1], got[1:], strict=True))
 
 
 def test_ties_and_copies(spark):
