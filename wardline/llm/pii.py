@@ -3,16 +3,21 @@
 The patterns find e-mail addresses, IP addresses, card and phone numbers wherever they stand. The field works on a text's candidate
 tokens (runs without white space that hold a digit or an at sign, with the parts that belong to one number): each has a label, none
 or one of the four kinds. Neighbouring candidates share a chain potential, and candidates whose letters and digits are the same, or
-nearly, share a skip potential, however far apart they stand. Loopy sum-product messages spread what is certain at one place to the
-others, so that a number whose repetition has lost its plus sign or dots gets the label of the place where it is whole.
-
-The field is trained on a bounded sample of texts whose tokens the patterns label, some of them with their tell-tale signs removed,
-by pseudo-likelihood. Spans that the patterns found always stay; the field only adds spans that overlap none of them.
+nearly, share a skip potential, however far apart they stand. Loopy sum-product messages run until they settle, and spread what is
+certain at one place to the others, so that a number whose repetition has lost its plus sign, its dots or a digit, or has letters
+in place of digits, gets the label of the place where it is whole.
+
+The field is trained by pseudo-likelihood on a bounded sample of texts whose tokens the patterns label. For a part of these, a
+broken repetition of one of many shapes is added with the same label, and for another part a broken number that stands whole
+nowhere, with the label none: a shape alone isn't enough. Spans that the patterns found always stay; the field only adds spans that
+overlap none of them.
 """
 
 from __future__ import annotations
 
+import bisect
 import hashlib
+import itertools
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -29,7 +34,9 @@ KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
 #: The bounded sample: at most so many texts with candidates, of at most so many characters.
 MOST_TEXTS, MOST_CHARS = 2000, 20_000
-ROUNDS, DAMPING, SURE = 8, 0.3, 0.9
+#: Messages keep this share of the last round's at first, and ever more of it after so many rounds; they have settled when none moves
+#: by more than SETTLED. A token is labelled when it is surer than SURE.
+DAMPING, ROUNDS, SETTLED, SURE = 0.3, 30, 1e-3, 0.9
 #: Log odds of a label that a pattern gave: more than any number of messages outweighs.
 CERTAIN = 1e6
 
@@ -108,124 +115,60 @@ def candidates(text: str) -> list[tuple[int, int]]:
     return out
 
 
-def features(token: str) -> np.ndarray:
-    """What a token shows by itself. Fixed length."""
-    d = digits_of(token)
-    n, letters, dots = len(d), sum(c.isalpha() for c in token), token.count(".")
-    parts = token.split(".")
-    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    hyphened = re.fullmatch(r"[0-9]+(?:[ -][0-9]+)*", token) is not None
-    x = np.zeros(FEATURES)
-    x[0] = 1
-    x[1] = "@" in token and dots > 0
-    x[2] = "@" in token
-    x[3] = token.startswith("+")
-    x[4] = quad
-    x[5] = 14 <= n <= 19 and hyphened and luhn(d)
-    x[6] = 14 <= n <= 19 and hyphened
-    x[7] = 10 <= n <= 15 and not letters
-    x[8] = letters > 0
-    x[9] = dots == 3 and not letters
-    x[10] = "(" in token and ")" in token
-    x[11] = letters > 0 and n > 0 and "@" not in token
-    x[12 + min(n, 20) // 3] = 1
-    return x
-
-
-FEATURES = 12 + 7
+#: Letters that stand for digits.
+LIKE_DIGITS = str.maketrans("oliszb", "011528")
+SEPARATED = re.compile(r"[0-9]+(?:[ ._/,:()-]+[0-9]+)*[)]?")
+#: Shapes of numbers: groups of digits between separators.
+PHONE_GROUPS = {(1, 3, 3, 4), (3, 3, 4), (2, 3, 3, 4), (1, 3, 7), (3, 7), (10,), (11,)}
+FEATURES = 15 + 7
 
 
 def key(token: str) -> str:
-    """Equal for tokens that show the same personal datum: their lower-case letters and digits."""
-    return "".join(c for c in token.lower() if c.isalnum())
-
-
-def skip_edges(tokens: list[str], known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Each token with one hub: the first token of the same key, or of one that differs in a leading country digit or in its last sign.
-
-    Where patterns label a token of the key (known), the first such is the hub, so that what is certain reaches every repetition at
-    once; else all are two steps apart. Each token has at most three such edges to hubs, so that their number grows with the tokens.
-    """
-    groups: dict[tuple[str, str], list[int]] = {}
-    for k, t in enumerate(tokens):
-        own = key(t)
-        if len(own) >= 6:
-            for group in (("all", own), ("end", own[-9:]), ("start", own[:-1])):
-                if len(group[1]) >= 6:
-                    groups.setdefault(group, []).append(k)
-    out = set()
-    for members in groups.values():
-        hub = next((k for k in members if known and known[k]), members[0])
-        out.update((min(hub, k), max(hub, k)) for k in members if k != hub)
-    return sorted(out)
-
-
-def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for a, k, b in spans)
-
-
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Places of the candidate tokens, without signs at their edges."""
-    out = []
-    if HINT.search(text):
-        for m in CANDIDATE.finditer(text):
-            a, b = m.span()
-            if not HINT.search(text, a, b):
-                continue
-            while a < b and text[a] in EDGE and text[a] != "(":
-                a += 1
-            while a < b and text[b - 1] in EDGE:
-                b -= 1
-            if a < b:
-                out.append((a, b))
-    return out
+    """Equal for tokens that show the same personal datum: letters and digits in lower case; in numbers, letters like digits are these."""
+    own = "".join(c for c in token.lower() if c.isalnum())
+    return own.translate(LIKE_DIGITS) if 2 * len(digits_of(own)) > len(own) and "@" not in token else own
 
 
 def features(token: str) -> np.ndarray:
     """What a token shows by itself. Fixed length."""
-    d = digits_of(token)
-    n, letters, dots = len(d), sum(c.isalpha() for c in token), token.count(".")
-    parts = token.split(".")
-    quad = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
-    hyphened = re.fullmatch(r"[0-9]+(?:[ -][0-9]+)*", token) is not None
+    number = key(token)
+    d, letters, dots = digits_of(number), sum(c.isalpha() for c in number), token.count(".")
+    n, groups = len(d), tuple(map(len, re.findall("[0-9]+", token)))
+    plain = not letters and SEPARATED.fullmatch(token.lstrip("+(")) is not None
+    parts = re.findall("[0-9]+", token)
     x = np.zeros(FEATURES)
     x[0] = 1
     x[1] = "@" in token and dots > 0
     x[2] = "@" in token
     x[3] = token.startswith("+")
-    x[4] = quad
-    x[5] = 14 <= n <= 19 and hyphened and luhn(d)
-    x[6] = 14 <= n <= 19 and hyphened
+    x[4] = dots == 3 and len(parts) == 4 and plain and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    x[5] = 14 <= n <= 19 and not letters and luhn(d)
+    x[6] = 14 <= n <= 19 and not letters
     x[7] = 10 <= n <= 15 and not letters
     x[8] = letters > 0
     x[9] = dots == 3 and not letters
     x[10] = "(" in token and ")" in token
     x[11] = letters > 0 and n > 0 and "@" not in token
-    x[12 + min(n, 20) // 3] = 1
+    x[12] = plain and len(parts) == 4 and dots != 3 and all(len(p) <= 3 and int(p) <= 255 for p in parts)
+    x[13] = plain and groups in PHONE_GROUPS
+    x[14] = plain and 14 <= n <= 19 and len(set(groups[:-1])) <= 1
+    x[15 + min(n, 20) // 3] = 1
     return x
 
 
-FEATURES = 12 + 7
-
-
-def key(token: str) -> str:
-    """Equal for tokens that show the same personal datum: their lower-case letters and digits."""
-    return "".join(c for c in token.lower() if c.isalnum())
-
-
 def skip_edges(tokens: list[str], known: list[int] | None = None) -> list[tuple[int, int]]:
-    """Each token with one hub: the first token of the same key, or of one that differs in a leading country digit or in its last sign.
+    """Edges between tokens of the same key, of keys that differ in leading signs or in the last one, or of the same name before an at sign.
 
-    Where patterns label a token of the key (known), the first such is the hub, so that what is certain reaches every repetition at
-    once; else all are two steps apart. Each token has at most three such edges to hubs, so that their number grows with the tokens.
+    Where patterns label a token of the key (known), the first such is the hub of all others, so that what is certain reaches every
+    repetition at once; else each token is linked to the next. A token is in at most four groups, so that edges grow with the tokens.
     """
     groups: dict[tuple[str, str], list[int]] = {}
     for k, t in enumerate(tokens):
         own = key(t)
-        if len(own) >= 6:
-            for group in (("all", own), ("end", own[-9:]), ("start", own[:-1])):
-                if len(group[1]) >= 6:
-                    groups.setdefault(group, []).append(k)
+        name = key(t.partition("@")[0]) if "@" in t else ""
+        for group, least in ((("all", own), 6), (("end", own[-9:]), 6), (("start", own[:-1]), 6), (("at", name), 3)):
+            if len(group[1]) >= least:
+                groups.setdefault(group, []).append(k)
     out = set()
     for members in groups.values():
         hub = next((k for k in members if known and known[k]), None)
@@ -245,7 +188,8 @@ class Field:
     def marginals(self, x: np.ndarray, chain: np.ndarray, skip: np.ndarray, known: np.ndarray | None = None) -> np.ndarray:
         """float[n, labels] by loopy sum-product in log space; messages of all edges move at once. chain, skip: int[edges, 2].
 
-        known: labels that patterns gave, 0 for none; these are certain, however many repetitions look like none.
+        Rounds go on until no message moves by more than SETTLED. Each round after the first ROUNDS moves them less, so that they
+        settle on every graph. known: labels that patterns gave, 0 for none; these are certain, however many repetitions look like none.
         """
         local = x @ self.unary.T
         if known is not None:
@@ -258,13 +202,16 @@ class Field:
         table = np.concatenate([table, table.transpose(0, 2, 1)])
         back = np.concatenate([np.arange(len(edges)) + len(edges), np.arange(len(edges))])
         message = np.zeros((len(source), len(LABELS)))
-        for _ in range(ROUNDS):
+        for k in itertools.count():
             belief = local.copy()
             np.add.at(belief, target, message)
             out = belief[source] - message[back]
             new = _logsumexp(out[:, :, None] + table)
             new -= _logsumexp(new[:, :, None])
-            message = DAMPING * message + (1 - DAMPING) * new
+            move = (1 - DAMPING) / (1 + max(0, k - ROUNDS)) * (new - message)
+            message = message + move
+            if np.abs(move).max() <= SETTLED:
+                break
         np.add.at(local, target, message)
         return _softmax(local)
 
@@ -283,28 +230,62 @@ def chain_edges(n: int) -> np.ndarray:
     return np.stack([np.arange(n - 1), np.arange(1, n)], axis=1) if n > 1 else np.zeros((0, 2), np.int64)
 
 
-def weaken(token: str) -> str:
-    """The token without the signs by which its kind is known: a training case for what only its repetition tells."""
-    return re.sub(r"[+().]", "", token).strip()
+def weaken(token: str, shape: int) -> str:
+    """The token broken in one of SHAPES ways: a training case for what only its repetition tells. A digit or at sign stays."""
+    groups = re.findall("[0-9]+", token)
+    if len(groups) == 1 and len(groups[0]) >= 12:  # a card number in fours
+        groups = re.findall("[0-9]{1,4}", groups[0])
+    if "@" in token:
+        name, _, domain = token.partition("@")
+        return [f"{name}@{domain.split('.')[0]}", f"{name}@{domain.replace('.', ',')}", f"{name}@", f"{name.upper()}@{domain.replace('.', '_')}"][shape % 4]
+    if shape < 5:
+        return [" ", "-", "/", ",", ""][shape].join(groups)
+    if shape == 5:  # the last digit is another
+        return " ".join(groups)[:-1] + str((int(groups[-1][-1]) + 1) % 10)
+    return re.sub(r"[+()]", "", token).replace("0" if shape == 6 else "1", "O" if shape == 6 else "l")
+
+
+SHAPES = 8
 
 
 def pattern_labels(spans: list[tuple[int, int, int]], places: list[tuple[int, int]]) -> list[int]:
-    """For each candidate the label of the pattern's span that covers most of it, 0 without one."""
-    return [next((k + 1 for s, k, e in spans if s < b and a < e and min(b, e) - max(a, s) >= 0.8 * (b - a)), 0) for a, b in places]
+    """For each candidate the label of the first pattern's span that covers most of it, 0 without one."""
+    starts, out = [a for a, _, _ in spans], []
+    ends = list(itertools.accumulate((b for _, _, b in spans), max))
+    for a, b in places:
+        label, k = 0, bisect.bisect_left(starts, b) - 1
+        while k >= 0 and ends[k] > a:  # spans that could reach into this place, from the last on
+            s, kind, e = spans[k]
+            if min(b, e) - max(a, s) >= 0.8 * (b - a):
+                label = kind + 1
+            k -= 1
+        out.append(label)
+    return out
 
 
-def train(values: list[str], rounds: int = 200) -> Field:
-    """Fit by pseudo-likelihood to the labels of the patterns, with a weakened copy of every third labelled token after its text."""
-    xs, ys, chains, skips, base = [], [], [], [], 0
-    for text in values:
-        spans, places = base_spans(text), candidates(text)
-        tokens, labels = [text[a:b] for a, b in places], pattern_labels(spans, places)
-        known = labels.copy()
-        for k, (t, y) in enumerate(list(zip(tokens, labels, strict=True))):
-            if y in (2, 4) and (base + k) % 3 == 0:
-                tokens.append(weaken(t))
-                labels.append(y)
+def broken_copies(text: str, seed: int) -> tuple[list[str], list[int], list[int]]:
+    """A text's candidate tokens, their labels and what patterns say of each, with broken ones after them."""
+    spans, places = base_spans(text), candidates(text)
+    tokens, labels = [text[a:b] for a, b in places], pattern_labels(spans, places)
+    known = labels.copy()
+    for k, (t, y) in enumerate(list(zip(tokens, labels, strict=True))):
+        if y:
+            shape, turn = (seed + 3 * k) % SHAPES, (seed + k) % 3
+            if turn == 0:  # the same one again, broken
+                tokens.append(weaken(t, shape))
+            elif turn == 1:  # another one of its shape, broken, that is nowhere whole
+                tokens.append(weaken("".join(str((int(c) + 1 + (j + seed) % 9) % 10) if c in "0123456789" else c for j, c in enumerate(t)) if y > 1 else "z" + t[::-1], shape))
+            if turn < 2:
+                labels.append(y if turn == 0 else 0)
                 known.append(0)
+    return tokens, labels, known
+
+
+def train(values: list[str], rounds: int = 300) -> Field:
+    """Fit by pseudo-likelihood to the labels of the patterns and of the broken copies."""
+    xs, ys, chains, skips, base = [], [], [], [], 0
+    for seed, text in enumerate(values):
+        tokens, labels, known = broken_copies(text, seed)
         if tokens:
             xs.append(np.stack([features(t) for t in tokens]))
             ys.append(np.array(labels))
@@ -336,35 +317,25 @@ def train(values: list[str], rounds: int = 200) -> Field:
 
 
 def find(values: list[str], field: Field) -> list[tuple[list, list]]:
-    """For each text the spans of the patterns, and all spans: these and those that the field adds."""
-    out, xs, chains, skips, labels, places, base = [], [], [], [], [], [], 0
-    for k, text in enumerate(values):
+    """For each text the spans of the patterns, and all spans: these and those that the field adds. Each text by itself."""
+    out = []
+    for text in values:
         spans = base_spans(text)
-        out.append((spans, spans))
-        found = candidates(text)
-        if found:
-            tokens = [text[a:b] for a, b in found]
-            xs.append(np.stack([features(t) for t in tokens]))
-            chains.append(chain_edges(len(tokens)) + base)
-            known = pattern_labels(spans, found) if spans else [0] * len(found)
-            labels += known
-            skips.append(np.array(skip_edges(tokens, known), np.int64).reshape(-1, 2) + base)
-            places.append((k, found, base))
-            base += len(tokens)
-    if not xs:
-        return out
-    p = field.marginals(np.concatenate(xs), np.concatenate(chains), np.concatenate(skips), np.array(labels))
-    for k, found, at in places:
-        spans = out[k][0]
-        own = p[at : at + len(found)]
-        best = own.argmax(axis=1)
+        places = candidates(text)
+        known = pattern_labels(spans, places)
+        if all(known):  # nothing is left to be decided
+            out.append((spans, spans))
+            continue
+        tokens = [text[a:b] for a, b in places]
+        p = field.marginals(np.stack([features(t) for t in tokens]), chain_edges(len(tokens)), np.array(skip_edges(tokens, known), np.int64).reshape(-1, 2), np.array(known))
+        best, sure = p.argmax(axis=1), p.max(axis=1)
+        starts, ends = [a for a, _, _ in spans], list(itertools.accumulate((b for _, _, b in spans), max))
         new = []
-        for (a, b), y, sure in zip(found, best, own.max(axis=1), strict=True):
-            if y and sure >= SURE:
-                new.append((a, int(y) - 1, b))
-        if new:
-            taken = np.array([(a, b) for a, _, b in spans]).reshape(-1, 2)
-            out[k] = (spans, sorted(spans + [s for s in new if not ((taken[:, 0] < s[2]) & (s[0] < taken[:, 1])).any()]))
+        for k in np.flatnonzero((best > 0) & (sure >= SURE)).tolist():
+            (a, b), last = places[k], bisect.bisect_left(starts, places[k][1]) - 1
+            if last < 0 or ends[last] <= a:
+                new.append((a, int(best[k]) - 1, b))
+        out.append((spans, sorted(spans + new) if new else spans))
     return out
 
 
