@@ -45,6 +45,22 @@ def test_block_code_round_trip():
     assert len(idstream.encode_ids(np.zeros(8, np.int64))[1]) == 2
 
 
+def test_words_of_letters_and_signs_equal_the_library(library):
+    w, rng = wordtok.WordIds(WORDS), np.random.default_rng(8)
+    letters = [chr(k) for k in [*range(33, 127), *range(0xC0, 0x250), 0xAA, 0xB5, 0xBA, 0xD7, 0xF7, 0x3A3, 0x130]]
+    for n in rng.integers(1, 12, 4000):
+        t = "".join(rng.choice(letters, n))
+        assert w.encode(t) == packed(library(t)), t
+
+
+def test_held_words_are_bounded(docs):
+    w = wordtok.WordIds(WORDS, most_bytes=20_000)
+    for t in [*docs["text"][:50], "x" * 100_000, "日本語" * 30_000]:
+        w.encode(t or "")
+        assert w.bytes < 20_000 + 250 * 1 + 400 * len((t or "").split())
+    assert all(len(k) <= wordtok.MOST_WORD for k in w)
+
+
 def test_ids_files(spark, hard, library, tmp_path):
     idstream.write_ids(hard, WORDS, f"file://{tmp_path}/f", block_ids=1000)
     got = idstream.read_ids(spark, f"file://{tmp_path}/f").toPandas().sort_values("start")
@@ -54,6 +70,23 @@ def test_ids_files(spark, hard, library, tmp_path):
     assert list(got["start"]) == list(np.cumsum([0] + [len(x) for _, x in want[:-1]]))
 
 
+def test_files_stand_in_the_order_of_ids(spark, tmp_path, monkeypatch):
+    """A third of the rows have no id, a third the same one, and each file holds the ids after those of the one before."""
+    monkeypatch.setattr(idstream, "BUCKET_DOCS", 100)
+    rows = [(None if k % 3 == 0 else 77_000 if k % 3 == 1 else 40 * k, f"text {k} of many") for k in range(3000)]
+    idstream.write_ids(spark.createDataFrame(rows, "doc_id long, text string"), WORDS, f"file://{tmp_path}/f")
+    seen, sizes = [], []
+    for path in sorted((tmp_path / "f").glob("part-*")):
+        blocks = pd.read_parquet(path)
+        assert blocks[["bucket", "block"]].apply(tuple, axis=1).is_monotonic_increasing
+        heads = np.concatenate([np.frombuffer(x, "<i8").reshape(-1, 3) for x in blocks["docs"]])
+        seen += [-1 if not known else int(i) for i, known, _ in heads]
+        sizes.append(len(heads))
+    assert seen == sorted(seen) and len(seen) == 3000 and max(sizes) < 250
+    got = idstream.read_ids(spark, f"file://{tmp_path}/f").toPandas().sort_values("start")
+    assert [-1 if pd.isna(i) else int(i) for i in got["doc_id"]] == seen
+
+
 def test_ids_files_of_nothing(spark, hard, tmp_path):
     idstream.write_ids(hard.limit(0), WORDS, f"file://{tmp_path}/f")
     assert idstream.read_ids(spark, f"file://{tmp_path}/f").count() == 0

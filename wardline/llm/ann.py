@@ -294,7 +294,7 @@ def search(rows: DataFrame, queries, k: int = 20, id_col: str = "vec_id", vector
 
     left = written(entries.mapInPandas(index, "part int, leaf long, n int, names binary, vecs binary"), "index")
     wanted = fine.filter("asked").groupBy("h1", "h2").agg(F.first("vec").alias("vec"))
-    right = wanted.repartition(tasks(spark), "h1", "h2").mapInPandas(ask, "part int, h1 long, h2 long, vec binary, leaves binary")
+    right = wanted.repartition(tasks(spark)).mapInPandas(ask, "part int, h1 long, h2 long, vec binary, leaves binary")
     # a part in which a leaf is much larger than others is met in several pieces
     pieces = left.groupBy("part").agg(F.ceil(F.sum("n") / (4 * PART_ROWS)).cast("int").alias("pieces"))
     left = left.join(pieces, "part").withColumn("piece", F.pmod(F.xxhash64("names"), "pieces").cast("int")).drop("pieces")

@@ -1,6 +1,7 @@
 """Token-ID files: frequency-ranked ids in a byte-aligned variable-length code with separate control bytes.
 
-A file is a series of blocks, each a row of a Parquet table, in ascending (bucket, block) order, which is ascending doc_id order.
+A file is a series of blocks, each a row of a Parquet table, in ascending (bucket, block) order, which is ascending doc_id order. Each
+bucket is a range of doc_id and a file of its own, and files are named in this order.
 A block holds whole documents of up to BLOCK_IDS ids (a longer document has a block of its own) and is read without any other:
 
   docs      per document: doc_id, a flag that it is not null, number of ids (three little-endian 64-bit integers)
@@ -24,6 +25,10 @@ from .common import documents, shared_dir, tasks, texts
 from .wordtok import word_ids
 
 BLOCK_IDS = 1 << 20
+#: Documents of a bucket, about.
+BUCKET_DOCS = 100_000
+#: Blocks whose places in the stream are broadcast, at most: 2^18 rows of two ints and a long, 4 MB.
+MOST_BROADCAST = 1 << 18
 END_ID = 1
 BLOCK_SCHEMA = "bucket int, block int, n_ids long, docs binary, ranks binary, control binary, data binary"
 #: For each control byte, the lengths of its four ranks.
@@ -62,24 +67,40 @@ def decode_ids(ranks: bytes, control: bytes, data: bytes, n: int) -> np.ndarray:
 def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, block_ids: int = BLOCK_IDS) -> None:
     """Encode every text, append end_id, and write all ids to `path` in ascending doc_id order.
 
-    Null ids stand first, repeated ids in the order of their ids' bytes. An empty text has only end_id. An empty table gives a
-    folder without blocks. Buckets are ranges of doc_id between quantiles, found from that column alone; ids of documents are the
-    only thing that is shuffled, compressed.
+    Null ids stand first. Repeated ids stand in the order of their texts' hash, then of their ids' bytes. An empty text has only
+    end_id. An empty table gives a folder without blocks. Buckets are ranges of doc_id between quantiles, found from that column
+    alone, of about BUCKET_DOCS documents; an id that fills several of them (or none) is dealt to these by ranges of the hash. Ids of
+    documents are the only thing that is shuffled, compressed.
     """
     spark, docs = docs.sparkSession, texts(docs)
-    n = tasks(spark)
+    rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
+    n = max(1, -(-rows // BUCKET_DOCS), min(tasks(spark), rows))
     found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else None
-    bounds = np.unique(np.array(found or [], np.int64))
+    bounds, often = np.unique(np.array(found or [], np.int64), return_counts=True)
+    null_buckets = max(1, -(-nulls * n // max(1, rows)))
+    # a bound that several quantiles share begins as many buckets
+    first = null_buckets + np.concatenate([[0], np.cumsum(often)])
+    buckets = int(first[-1]) + 1
+    deal = F.xxhash64("text") if nulls or (often > 1).any() else F.lit(0).cast("long")
+
+    def bucket_of(known: np.ndarray, ids: np.ndarray, deal: np.ndarray) -> np.ndarray:
+        place = np.searchsorted(bounds, ids, side="right")
+        own = first[place].copy()  # the bucket after the last bound that isn't larger
+        at = np.maximum(place - 1, 0)
+        share = (deal.astype(np.int64) >> 32) + (1 << 31)  # 0 to 2^32, in the order of deal
+        if len(bounds):
+            hot = (place > 0) & (bounds[at] == ids) & (often[at] > 1)
+            own[hot] -= (often[at] - 1)[hot] - (share[hot] * often[at][hot] >> 32)
+        return np.where(known, own, share * null_buckets >> 32).astype(np.int32)
 
     def encode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
 
-        words, press = word_ids(tokenizer), zstandard.ZstdCompressor(3)
+        words, press = word_ids(tokenizer), zstandard.ZstdCompressor(1)
         width, end = ("<u2" if words.size <= 1 << 16 else "<u4"), end_id.to_bytes(4, "little")
         for f in frames:
-            known = f["doc_id"].notna()
-            bucket = np.where(known, 1 + np.searchsorted(bounds, f["doc_id"].fillna(0).to_numpy(np.int64), side="right"), 0)
-            yield pd.DataFrame({"bucket": bucket.astype(np.int32), "doc_id": f["doc_id"].astype("Int64"), "ids": [press.compress(np.frombuffer(words.encode(t) + end, "<u4").astype(width).tobytes()) for t in f["text"]]})
+            bucket = bucket_of(f["doc_id"].notna().to_numpy(), f["doc_id"].fillna(0).to_numpy(np.int64), f["deal"].to_numpy())
+            yield pd.DataFrame({"bucket": bucket, "doc_id": f["doc_id"].astype("Int64"), "deal": f["deal"], "ids": [press.compress(np.frombuffer(words.encode(t) + end, "<u4").astype(width).tobytes()) for t in f["text"]]})
 
     def blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import zstandard
@@ -107,9 +128,10 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
             yield flush()
 
     (
-        docs.mapInPandas(encode, "bucket int, doc_id long, ids binary")
-        .repartition(n, "bucket")
-        .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "ids")
+        docs.withColumn("deal", deal)
+        .mapInPandas(encode, "bucket int, doc_id long, deal long, ids binary")
+        .repartitionById(buckets, "bucket")
+        .sortWithinPartitions("bucket", F.col("doc_id").asc_nulls_first(), "deal", "ids")
         .mapInPandas(blocks, BLOCK_SCHEMA)
         .write.option("compression", "zstd")
         .parquet(path)
@@ -128,6 +150,8 @@ def _read(spark: SparkSession, path: str, what: str, of) -> DataFrame:
     buckets = sizes.groupBy("bucket").agg(F.sum("n_ids").alias("n"))
     ahead = buckets.select("bucket", (F.sum("n").over(Window.orderBy("bucket")) - F.col("n")).alias("ahead"))
     first = sizes.join(ahead, "bucket").select("bucket", "block", (F.col("ahead") + F.sum("n_ids").over(Window.partitionBy("bucket").orderBy("block")) - F.col("n_ids")).alias("first"))
+    # broadcast within a size that is looked up; beyond it, the blocks are shuffled
+    first = F.broadcast(first) if sizes.count() <= MOST_BROADCAST else first
     name = what.split()[0]
 
     def decode(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
