@@ -40,3 +40,22 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id long and text string only; a null text is empty. Other columns, whatever their names, go."""
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+
+
+#: A key with more rows than this, and than a thousandth of all rows, is hot: there are 1000 such keys at most.
+HOT_ROWS = 10_000
+
+
+def hot_join(left: DataFrame, right: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) for a right side with one row for each key, however many rows of the left one share a key.
+
+    Rows of hot keys stay where they are and meet a broadcast of those keys' rows, 1000 at most; all others are shuffled. Both sides
+    are read more than once: they should be stored. Null keys meet nothing.
+    """
+    total = left.count()
+    if total <= HOT_ROWS:
+        return left.join(right, on, how)
+    counts = left.groupBy(*on).agg(F.count("*").alias("_n")).filter(F.col("_n") > max(HOT_ROWS, total / 1000)).drop("_n")
+    hot = F.broadcast(counts)
+    some = left.join(hot, on, "left_semi").join(F.broadcast(right.join(hot, on, "left_semi")), on, how)
+    return some.unionByName(left.join(hot, on, "left_anti").join(right, on, how))

@@ -5,13 +5,14 @@ weight of a shingle is its count times its IDF), each weighted by the damped inv
 frequencies are counted over all documents in 2^20 buckets of the shingle's hash; a bucket holds rare shingles alike, and a
 frequent one stands out. Improved consistent weighted sampling draws an element for each of BANDS x ROWS hash functions, equal for
 two documents as often as their weighted Jaccard similarity; documents that agree in a band are candidates. A candidate counts when
-its exact weighted Jaccard similarity, or the plain one, is at least the threshold.
+its exact weighted Jaccard similarity is at least the threshold.
 
 Each text is first paired with the most central member (that in the largest buckets) of each of its buckets, at most BANDS pairs a
-text. Then every two members of a bucket that still are in different classes are compared, in the first bucket that they share: a
-bucket is cut into chunks of about CHUNK members, and each two chunks meet in a block of their own, so that no bucket has to fit a
-task. A pair goes on to verification unless a byte of each of the BANDS x ROWS draws says that it lies more than four standard
-deviations below the threshold; only members of such pairs are fetched with their texts.
+text. Then every two members of a bucket that still are in different classes are compared, in the first bucket that they share: the
+largest class of a bucket and its other members are cut into chunks of about CHUNK members, and each two chunks meet in a block of
+their own, but for two of the largest class, whose members have nothing to be compared for. So no bucket has to fit a task, and a
+group of copies costs rows in proportion to its size. A pair goes on to verification unless a byte of each of the BANDS x ROWS draws
+says that it lies more than four standard deviations below the threshold; only members of such pairs are fetched with their texts.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, texts, written
+from .common import documents, hot_join, texts, written
 
 WORDS = 5
 THRESHOLD = 0.8
@@ -178,16 +179,16 @@ def idf_levels(df: np.ndarray, documents: int) -> tuple[np.ndarray, np.ndarray]:
     return level, 1 - np.arange(LEVELS) / (LEVELS - 1) * (1 - LEAST_WEIGHT)
 
 
-def jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> tuple[float, float]:
-    """Weighted and plain Jaccard similarity of two sets of distinct elements."""
+def jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
+    """Weighted Jaccard similarity of two sets of distinct elements: an element weighs the same in both."""
     _, i, _ = np.intersect1d(a, b, assume_unique=True, return_indices=True)
     both = wa[i].sum()
     union = wa.sum() + wb.sum() - both
-    return (float(both / union), len(i) / (len(a) + len(b) - len(i))) if union > 0 else (0.0, 0.0)
+    return float(both / union) if union > 0 else 0.0
 
 
 def similar(values: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray, threshold: float) -> np.ndarray:
-    """For pairs (int[n, 2]) of sets, whether their weighted or plain Jaccard similarity is at least the threshold.
+    """For pairs (int[n, 2]) of sets, whether their weighted Jaccard similarity is at least the threshold.
 
     values: all sets' elements one after another, their weights, and the bounds of the sets. Many pairs of the same sets are
     counted by products of matrices, a tile of elements at a time; those next to the threshold once more by themselves.
@@ -196,32 +197,30 @@ def similar(values: tuple[np.ndarray, np.ndarray, np.ndarray], pairs: np.ndarray
     at = [slice(x, y) for x, y in zip(bounds[:-1], bounds[1:], strict=True)]
 
     def own(some: np.ndarray) -> np.ndarray:
-        return np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in some]).reshape(-1, 2)
+        return np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in some])
 
     u, u_at = np.unique(pairs[:, 0], return_inverse=True)
     v, v_at = np.unique(pairs[:, 1], return_inverse=True)
     if len(pairs) <= 4 * (len(u) + len(v)):
-        return (own(pairs) >= threshold).any(axis=1)
+        return own(pairs) >= threshold
     of = np.repeat(np.arange(len(at)), np.diff(bounds))
     _, kind, often = np.unique(e, return_inverse=True, return_counts=True)
     named = np.cumsum(often > 1) - 1  # an element of one set alone is in no intersection
     kept = np.flatnonzero(often[kind] > 1)
     kept = kept[np.argsort(named[kind[kept]], kind="stable")]
     column = named[kind[kept]]
-    both, plain, tile = np.zeros((len(u), len(v))), np.zeros((len(u), len(v))), 2048
+    both, tile = np.zeros((len(u), len(v))), 2048
     for low in range(0, int((often > 1).sum()), tile):
         some = slice(*np.searchsorted(column, [low, low + tile]))
         has, weight = np.zeros((len(at), tile)), np.zeros(tile)
         has[of[kept[some]], column[some] - low] = 1
         weight[column[some] - low] = w[kept[some]]
         both += (has[u] * weight) @ has[v].T
-        plain += has[u] @ has[v].T
-    size = np.diff(bounds).astype(np.float64)
-    total = np.bincount(of, w, len(at))
-    sims = np.stack([x[u_at, v_at] / np.maximum(y[pairs[:, 0]] + y[pairs[:, 1]] - x[u_at, v_at], 1e-9) for x, y in ((both, total), (plain, size))], axis=1)
-    close = np.flatnonzero((np.abs(sims - threshold) < 1e-9).any(axis=1))
+    total, found = np.bincount(of, w, len(at)), both[u_at, v_at]
+    sims = found / np.maximum(total[pairs[:, 0]] + total[pairs[:, 1]] - found, 1e-9)
+    close = np.flatnonzero(np.abs(sims - threshold) < 1e-9)
     sims[close] = own(pairs[close])
-    return (sims >= threshold).any(axis=1)
+    return sims >= threshold
 
 
 def _blocks(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -249,9 +248,9 @@ def components(edges: DataFrame, most: int = 60) -> DataFrame:
         # large star: a node links its larger neighbours to its smallest one; small star: smaller ones and itself
         near = both(e)
         least = near.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = near.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = written(hot_join(near.filter("v > u"), least, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct(), "edges")
         low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
+        small = hot_join(large, low, ["u"]).select(F.col("v").alias("u"), F.col("m").alias("v")).unionAll(low.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
         e = written(small, "edges")
         now = e.agg(F.count("*").alias("n"), F.sum(F.hash("u", "v").cast("long")).alias("h")).first()
         if now == seen:
@@ -307,8 +306,8 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
                 h, before, bounds = shingles(list(of.values()))
                 e, w = elements(h, before), weight[levels(h)]
                 at = {node: slice(x, y) for node, x, y in zip(of, bounds[:-1], bounds[1:], strict=True)}
-                sims = np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in zip(g["u"], g["v"], strict=True)]).reshape(-1, 2)
-                yield g.loc[(sims >= threshold).any(axis=1), ["u", "v"]]
+                sims = np.array([jaccard(e[at[u]], w[at[u]], e[at[v]], w[at[v]]) for u, v in zip(g["u"], g["v"], strict=True)])
+                yield g.loc[sims >= threshold, ["u", "v"]]
 
     def meet(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """For each member of a block, with which of the others it is to be compared; those without any pair go."""
@@ -352,7 +351,7 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     signed = written(signed, "signatures")
     rows = signed.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = rows.groupBy("band", "key").agg(F.count("*").alias("n")).filter("n > 1")
-    rows = rows.join(sizes, ["band", "key"])
+    rows = hot_join(rows, sizes, ["band", "key"])
     central = rows.groupBy("node").agg(F.sum("n").alias("central"))
     rows = written(rows.join(central, "node").select("band", "key", "node", "central"), "buckets")
 
@@ -367,13 +366,16 @@ def near_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
         return written(pairs.join(b, "v").join(a, "u").mapInPandas(compare, "u long, v long"), "links")
 
     centres = rows.groupBy("band", "key").agg(F.max_by("node", F.struct("central", "node")).alias("v"))
-    links = verify(rows.join(centres, ["band", "key"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
+    links = verify(hot_join(rows, centres, ["band", "key"]).filter("node <> v").select(F.col("node").alias("u"), "v").distinct())
     comp = written(components(links), "classes")
-    # the rest: members of buckets that still hold several classes
-    named = rows.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp"))
-    mixed = named.groupBy("band", "key").agg(F.min("comp").alias("_a"), F.max("comp").alias("_b"), F.ceil(F.count("*") / CHUNK).cast("int").alias("parts")).filter("_a <> _b").drop("_a", "_b")
-    member = named.join(mixed, ["band", "key"]).withColumn("chunk", F.pmod(F.xxhash64("node", "key"), "parts").cast("int"))
-    dealt = member.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("band", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "comp")
+    # the rest: members of buckets that still hold several classes; the largest class of each and its chunks, then those of all others
+    named = written(rows.join(comp, "node", "left").select("band", "key", "node", F.coalesce("comp", "node").alias("comp")), "members")
+    held = named.groupBy("band", "key", "comp").agg(F.count("*").alias("n")).groupBy("band", "key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("_m"), F.sum("n").alias("_n"))
+    mixed = held.filter("_n > _m").select("band", "key", "main", F.ceil(F.col("_m") / CHUNK).cast("int").alias("a"), F.ceil((F.col("_n") - F.col("_m")) / CHUNK).cast("int").alias("b"))
+    member = hot_join(named, mixed, ["band", "key"])
+    chunk = F.when(F.col("comp") == F.col("main"), F.pmod(F.xxhash64("node", "key"), "a")).otherwise(F.col("a") + F.pmod(F.xxhash64("node", "key"), "b")).cast("int")
+    others = F.sequence(F.when(F.col("comp") == F.col("main"), F.col("a")).otherwise(0), F.col("a") + F.col("b") - 1)
+    dealt = member.withColumn("chunk", chunk).withColumn("with", F.explode(others)).select("band", "key", F.least("chunk", "with").alias("i"), F.greatest("chunk", "with").alias("j"), "chunk", "node", "comp")
 
     def by_block(df: DataFrame) -> DataFrame:
         return df.repartition(*BLOCK).sortWithinPartitions(*BLOCK)
@@ -392,11 +394,14 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     Equal texts are in one class, null and empty ones too. A row without an id belongs to its text's class; a class without any
     id has a null class_id. Repeated rows stay. Texts without words are alike only where they are equal. comp names the class.
     """
-    nodes = _nodes(docs).select("doc_id", "node")
     comp = near_classes(docs, threshold)
-    rows = nodes.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    least = rows.groupBy("comp").agg(F.min("doc_id").alias("class_id"))
-    return rows.join(least, "comp").select("doc_id", "class_id", "node", "comp")
+    rows = written(_nodes(docs).select("doc_id", "node"), "nodes")
+    # from rows to texts to classes, and back: each of these may be most of the table
+    named = rows.groupBy("node").agg(F.min("doc_id").alias("_least")).join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    named = written(named, "named")
+    least = named.groupBy("comp").agg(F.min("_least").alias("class_id"))
+    classes = written(hot_join(named, least, ["comp"]).select("node", "comp", "class_id"), "named")
+    return hot_join(rows, classes, ["node"]).select("doc_id", "class_id", "node", "comp")
 
 
 def op8_weighted_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
