@@ -5,7 +5,7 @@ import math
 import duckdb
 import pytest
 
-from wardline.plans import queries as library
+from wardline.plans import registry as library
 
 TABLES = "region nation customer supplier part orders lineitem events".split()
 
@@ -26,11 +26,11 @@ def plain(v):
     return repr(round(float(v), 6) + 0.0) if isinstance(v, (int, float)) or type(v).__name__ == "Decimal" else str(v)
 
 
-@pytest.mark.parametrize("name", sorted(library.ORACLES))
+@pytest.mark.parametrize("name", sorted(library.oracle_sql()))
 def test_equals_sql(spark, sf_dir, con, name):
-    df = library.QUERIES[name](spark, sf_dir)
+    df = library.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
-    rel = con.sql(library.ORACLES[name])
+    rel = con.sql(library.oracle_sql()[name])
     assert columns == sorted(rel.columns)
     got = sorted(tuple(plain(r[c]) for c in columns) for r in df.collect())
     at = [rel.columns.index(c) for c in columns]
@@ -41,4 +41,4 @@ def test_entry_and_registration():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries())
-    assert set(library.QUERIES) <= set(e.queries())
+    assert set(library.queries()) <= set(e.queries())

@@ -136,6 +136,18 @@ def missingness(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> Dat
     return long_.groupBy(*by, "variable").agg(F.count("*").alias("n"), F.count_if(F.col("value").isNull()).alias("missing")).withColumn("missing_share", F.col("missing") / F.col("n"))
 
 
+def availability(df: DataFrame, by: Sequence[str], columns: Sequence[str]) -> DataFrame:
+    """Rows, known ones and their share, distinct values, and the least and most of them as text, by group and variable, in one scan."""
+    long_ = reshape.melt(df, by, columns, kind="string")
+    value = F.col("value")
+    return long_.groupBy(*by, "variable").agg(F.count("*").alias("rows"), F.count(value).alias("present"), (F.count(value) / F.count("*")).alias("present_share"), F.count_distinct(value).alias("n_values"), F.min(value).alias("least"), F.max(value).alias("most"))
+
+
+def ordered(df: DataFrame, order: Sequence[Column], place: str = "place") -> DataFrame:
+    """A small result table with each row's place in a stated order, from 1. The order should be of no ties."""
+    return df.withColumn(place, F.row_number().over(Window.orderBy(*order)))
+
+
 def coverage(df: DataFrame, by: Sequence[str], mapped: Column) -> DataFrame:
     """How many rows have a mapping."""
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(mapped).alias("mapped")).withColumn("coverage", F.col("mapped") / F.col("n"))

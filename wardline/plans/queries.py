@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,25 +10,14 @@ from pyspark.sql import functions as F
 from wardline.functions import clean, decode, labels
 from wardline.operators import describe, inference, link, metrics, models, nameprob, reconcile, reshape
 from wardline.plans import annual, cohort, sensitivity, star
-from wardline.plans.frames import ENCOUNTERS_SQL, OCCURRENCES_SQL, encounters, occurrences, plain, table
+from wardline.plans.frames import ENCOUNTERS_SQL, OCCURRENCES_SQL, encounters, occurrences, table
+from wardline.plans.registry import query
 from wardline.sources import manifest
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
 ENC, OCC = f"WITH {ENCOUNTERS_SQL}", f"WITH {OCCURRENCES_SQL}"
 BOTH = f"WITH {ENCOUNTERS_SQL}, {OCCURRENCES_SQL}"
 
 
-def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = lambda spark, sf_dir: plain(f(spark, sf_dir))
-        if sql is not None:
-            ORACLES[name] = sql
-        return f
-
-    return add
-
-
 def case_period(c: str, year: str, book: Sequence[tuple], missing: str | None = "Missing", other: str | None = "Unmapped") -> str:
     """A code book as a join-free CASE of another engine."""
     out = []
@@ -893,11 +882,3 @@ def _recomputed(spark, sf):
     df = _regression(spark, sf).withColumn("one", F.lit(1.0))
     fit = models.ols(df, "y", ["one", "a", "b", "ab"])
     return sensitivity.recomputed(df, "y", ["one", "a", "b", "ab"], spark.createDataFrame([(r[0], r[1]) for r in fit.rows()], "term string, estimate double"))
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return dict(QUERIES)
-
-
-def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
