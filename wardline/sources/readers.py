@@ -55,10 +55,19 @@ def read_csv(spark: SparkSession, path: str, names: Sequence[str], *, header: bo
 
 
 def read_piped(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Pipe-separated files with headers of their own, united by name, with the name of each row's file."""
+    """Pipe-separated files (paths or patterns) with headers of their own, united by name, with the name of each row's file.
+
+    Files are grouped by their headers, so that a scan is made for each layout and not for each file. No file at all is an error.
+    """
+    files = sorted(r["path"] for p in paths for r in spark.read.format("binaryFile").option("pathGlobFilter", "[!_]*").load(p).filter("length > 0").select("path").collect())
+    by_header: dict[tuple[str, ...], list[str]] = {}
+    for f in files:
+        by_header.setdefault(tuple(header_of(spark, f, "|")), []).append(f)
+    if not by_header:
+        raise ValueError(f"no file in {list(paths)}")
     out = None
-    for path in paths:
-        df = spark.read.csv(path, header=True, sep="|").withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
+    for own in by_header.values():
+        df = spark.read.csv(own, header=True, sep="|").withColumn("source_file", F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1))
         out = df if out is None else out.unionByName(df, allowMissingColumns=True)
     return out
 
