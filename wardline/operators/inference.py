@@ -48,7 +48,7 @@ def uniform(*parts: Column) -> Column:
 
 def whole_cluster_sample(df: DataFrame, cluster: str, share: float, seed: int) -> DataFrame:
     """All rows of the clusters that a hash of the cluster picks; which ones doesn't depend on any outcome."""
-    return df.filter(F.pmod(F.xxhash64(F.col(cluster), F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000))
+    return df.filter(uniform(F.lit(seed), F.col(cluster)) < share)
 
 
 def bernoulli_draws(df: DataFrame, unit: str, probability: str, draws: int, seed: int) -> DataFrame:

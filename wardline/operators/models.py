@@ -288,18 +288,80 @@ def sequence(df: DataFrame, y: str, exposure: Sequence[str], controls: Sequence[
     return spark.createDataFrame(out, "model_id string, term string, estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean")
 
 
-def refits(df: DataFrame, subsets: dict[str, Column], y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
-    """The same model on each subset: years left out, complete cases, volumes, exact subsets, influential units left out. Non-estimable ones are rows with a note."""
+FIT_SCHEMA = "estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string"
+
+
+def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
+    """group, term, estimate, ...: one fit for each group (a subset, a draw, a year left out), all of them in the same few jobs.
+
+    Effects are those of each group; cross-products and scores are summed by group, so that only k x k numbers for each of them reach
+    the driver. Collinear terms of a group are rows with a note, as is a group in which nothing can be estimated. Rows with a null in
+    any of the columns go; errors as in ols().
+    """
+    keep = list(dict.fromkeys([group, y, *x, *effects, *clusters]))
+    own, how = df.filter(complete(keep)).select(*keep), {"converged": True}
+    if effects:
+        names = [f"_g{k}" for k in range(len(effects))]
+        own = own.withColumns({n: F.struct(F.col(group).alias("g"), F.col(e).alias("e")) for n, e in zip(names, effects, strict=True)})
+        own, how = demean(own, [y, *x], names)
+        own = own.drop(*names)
+    else:
+        own = own.withColumns({"_one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in (y, *x)})
+        x = ["_one", *x]
+    own, k = _cut(own), len(x)
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    active = F.greatest(*[F.abs(c) for c in x]) if k > 1 else F.abs(x[0])
+    sums = own.groupBy(group).agg(F.count_if(active > 1e-12).alias("n"), *[F.sum(F.col(x[i]) * F.col(x[j])) for i, j in pairs], *[F.sum(F.col(c) * F.col(y)) for c in x]).collect()
+    solved, betas = {}, []
+    for r in sums:
+        xx = np.zeros((k, k))
+        for (i, j), v in zip(pairs, r[2:], strict=False):
+            xx[i, j] = xx[j, i] = float(v or 0)
+        xy, kept = np.array([float(v or 0) for v in r[2 + len(pairs) :]]), independent(xx)
+        beta, bread = np.zeros(k), np.zeros((k, k))
+        if kept:
+            bread[np.ix_(kept, kept)] = np.linalg.inv(xx[np.ix_(kept, kept)])
+            beta = bread @ xy
+        solved[r[0]] = (int(r["n"]), kept, beta, bread)
+        betas.append((r[0], beta.tolist()))
+    spark = df.sparkSession
+    kind = df.select(group).schema[0].dataType.simpleString()
+    fitted = own.join(spark.createDataFrame(betas, f"{group} {kind}, _b array<double>"), group)
+    residual = F.col(y) - sum((F.get("_b", F.lit(j)) * F.col(c) for j, c in enumerate(x)), F.lit(0.0))
+    fitted = fitted.filter(active > 1e-12).withColumn("_u", residual)
+    sets, meats = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else []), []
+    for own_set in sets:
+        s = fitted.groupBy(group, *own_set).agg(*[F.sum(F.col(c) * F.col("_u")).alias(f"s{j}") for j, c in enumerate(x)])
+        got = s.groupBy(group).agg(F.count("*"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).collect()
+        meats.append({r[0]: r for r in got})
     out = []
-    for name, where in subsets.items():
-        part = df.filter(where)
-        try:
-            fit, how = fixed_effects(part, y, x, effects, clusters)
-            out += [(name, *r, how["converged"], None) for r in fit.rows()]
-            out += [(name, c, None, None, None, None, None, None, None, fit.n, how["converged"], "collinear") for c in fit.dropped]
-        except (ValueError, IndexError, np.linalg.LinAlgError) as e:
-            out.append((name, None, None, None, None, None, None, None, None, 0, False, str(e)[:100]))
-    return df.sparkSession.createDataFrame(out, "subset string, term string, estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string")
+    for g, (n, kept, beta, bread) in solved.items():
+        if not kept or not n:
+            out.append((g, None, *[None] * 7, 0, how["converged"], "no column can be estimated"))
+            continue
+        covariance, least = np.zeros((k, k)), None
+        for j, m in enumerate(meats):
+            meat, clusters_n = np.zeros((k, k)), int(m[g][1])
+            for (i, l), v in zip(pairs, m[g][2:], strict=True):
+                meat[i, l] = meat[l, i] = float(v or 0)
+            factor = clusters_n / (clusters_n - 1) * (n - 1) / max(n - len(kept), 1) if clusters_n > 1 else float("nan")
+            covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
+            least = clusters_n if least is None else min(least, clusters_n) if j < 2 else least
+        fit = Fit([x[j] for j in kept], [x[j] for j in range(k) if j not in kept], beta[kept], covariance[np.ix_(kept, kept)], n, {}, max((least or n) - 1, 1), 0.0, 0.0)
+        out += [(g, *r, how["converged"], None) for r in fit.rows() if r[0] != "_one"]
+        out += [(g, c, *[None] * 7, n, how["converged"], "collinear") for c in fit.dropped]
+    return spark.createDataFrame(out, f"{group} {kind}, term string, {FIT_SCHEMA}")
+
+
+def stacked(df: DataFrame, subsets: dict[str, Column], name: str = "subset") -> DataFrame:
+    """Each row once for every subset whose condition it meets, in one scan."""
+    items = F.array(*[F.struct(F.lit(k).alias("k"), F.coalesce(c, F.lit(False)).alias("c")) for k, c in subsets.items()])
+    return df.withColumn(name, F.explode(F.transform(F.filter(items, lambda s: s["c"]), lambda s: s["k"])))
+
+
+def refits(df: DataFrame, subsets: dict[str, Column], y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
+    """The same model on each subset: years left out, complete cases, volumes, exact subsets, influential units left out. An empty subset has no row."""
+    return grouped_fits(stacked(df, subsets), "subset", y, x, effects, clusters)
 
 
 def refit_summary(refitted: DataFrame) -> DataFrame:
@@ -307,12 +369,13 @@ def refit_summary(refitted: DataFrame) -> DataFrame:
 
 
 def wild_bootstrap(cluster_scores: DataFrame, cluster: str, score: str, estimate: float, draws: int = 9999, seed: int = 1) -> DataFrame:
-    """Sign flips of cluster scores: p-value and basic interval. A sign is the parity of a hash of seed, draw and cluster.
+    """Sign flips of cluster scores: p-value and basic interval. A sign is the first bit of the SHA-256 of seed, draw and cluster.
 
     Clusters times draws are made and summed within tasks; nothing but one sum for each draw is shuffled.
     """
     flips = cluster_scores.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), F.col("draw"), F.col(cluster)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    key = F.concat_ws("|", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col(cluster).cast("string"))
+    sign = F.when(F.substring(F.sha2(key, 256), 1, 1) < "8", 1.0).otherwise(-1.0)
     sums = flips.groupBy("draw").agg(F.sum(sign * F.col(score)).alias("delta"))
     q = sums.agg(F.count("*").alias("draws"), F.stddev_samp("delta").alias("sd"), F.percentile("delta", F.lit(0.025)).alias("q025"), F.percentile("delta", F.lit(0.975)).alias("q975"), F.count_if(F.abs("delta") >= abs(estimate)).alias("beyond"))
     return q.select("draws", F.lit(estimate).alias("estimate"), "sd", (F.lit(estimate) - F.col("q975")).alias("ci_low"), (F.lit(estimate) - F.col("q025")).alias("ci_high"), ((F.col("beyond") + 1) / (F.col("draws") + 1)).alias("p"))

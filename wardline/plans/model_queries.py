@@ -1 +1,319 @@
-"""Registered below."""
+"""Queries of designs, models, draws and multiplicity. The SQL solves the normal equations of two or three columns by determinants."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from wardline.operators import inference, models, nameprob, reshape
+from wardline.plans import sensitivity
+from wardline.plans.frames import ENCOUNTERS_SQL, encounters
+from wardline.plans.queries import SHARES, _name_parts, _name_sql
+from wardline.plans.registry import query
+
+ENC = f"WITH {ENCOUNTERS_SQL}"
+PROB = "((provider * 17) % 100) / 100.0"
+A, B = "CAST(order_status = 'F' AS int)", "CAST(segment = 'BUILDING' AS int)"
+REG = f"reg AS (SELECT provider AS c1, facility AS c2, visit_year, total AS y, {A} AS x1, {B} AS x2, {A} * {B} AS x3 FROM encounters)"
+
+
+def _regression(spark, sf) -> DataFrame:
+    e = encounters(spark, sf)
+    return e.select("provider", "facility", "visit_year", (F.col("visit_year") * 10 + F.col("visit_quarter")).alias("period"), "segment", F.col("total").alias("y"), (F.col("order_status") == "F").cast("double").alias("a"), (F.col("segment") == "BUILDING").cast("double").alias("b")).withColumn("ab", F.col("a") * F.col("b"))
+
+
+def demeaned(name: str, source: str, by: str, k: int = 3) -> str:
+    """A CTE of g, c1, c2, y and x1 ... xk without the means of a level, within each group g."""
+    cells = ", ".join(f"{c} - avg({c}) OVER (PARTITION BY {by}) AS {c}" for c in ("y", *(f"x{j}" for j in range(1, k + 1))))
+    return f"{name} AS (SELECT g, c1, c2, {cells} FROM {source})"
+
+
+def solved(source: str, k: int, clusters: int, lost: int = 0) -> str:
+    """CTEs after which `fit` holds g, j (the column's number), estimate, se and n. lost: coefficients that are not among the columns."""
+    xs = range(1, k + 1)
+    active = f"greatest({', '.join(f'abs(x{i})' for i in xs)}) > 1e-12"  # rows without any variation count neither towards n nor clusters
+    sums = ", ".join(f"sum(x{i} * x{j}) AS a{i}{j}" for i in xs for j in xs) + ", " + ", ".join(f"sum(x{i} * y) AS b{i}" for i in xs)
+    if k == 2:
+        det = "(a11 * a22 - a12 * a12)"
+        inverse = {(1, 1): "a22", (1, 2): "-a12", (2, 2): "a11"}
+    else:
+        det = "(a11 * (a22 * a33 - a23 * a23) - a12 * (a12 * a33 - a23 * a13) + a13 * (a12 * a23 - a22 * a13))"
+        inverse = {(1, 1): "a22 * a33 - a23 * a23", (1, 2): "a13 * a23 - a12 * a33", (1, 3): "a12 * a23 - a13 * a22", (2, 2): "a11 * a33 - a13 * a13", (2, 3): "a12 * a13 - a11 * a23", (3, 3): "a11 * a22 - a12 * a12"}
+    inv = ", ".join(f"({e}) / {det} AS i{i}{j}" + (f", ({e}) / {det} AS i{j}{i}" if i != j else "") for (i, j), e in inverse.items())
+    betas = ", ".join(f"{' + '.join(f'i{i}{j} * b{j}' for j in xs)} AS beta{i}" for i in xs)
+    rows = " UNION ALL ".join(f"SELECT g, {i} AS j, c1, c2, ({' + '.join(f'i{i}{j} * x{j}' for j in xs)}) * (y - {' - '.join(f'beta{j} * x{j}' for j in xs)}) AS s FROM {source} JOIN beta USING (g) WHERE {active}" for i in xs)
+    sets = [("c1",), ("c2",), ("c1", "c2")][: 1 if clusters == 1 else 3]
+    parts = ", ".join(f"v{m} AS (SELECT g, j, count(*) AS n{m}, sum(s * s) AS v{m} FROM (SELECT g, j, {', '.join(own)}, sum(s) AS s FROM part GROUP BY g, j, {', '.join(own)}) GROUP BY g, j)" for m, own in enumerate(sets))
+    total = " + ".join(f"{'-' if m == 2 else ''}v{m} * n{m} / (n{m} - 1)" for m in range(len(sets)))
+    estimate = "CASE j " + " ".join(f"WHEN {i} THEN beta{i}" for i in xs) + " END"
+    return f"""sums AS (SELECT g, count(*) FILTER ({active}) AS n, {sums} FROM {source} GROUP BY g), inv AS (SELECT *, {inv} FROM sums), beta AS (SELECT *, {betas} FROM inv), part AS ({rows}), {parts},
+fit AS (SELECT g, j, {estimate} AS estimate, sqrt(({total}) * (n - 1) / (n - {k + lost})) AS se, n FROM beta JOIN v0 USING (g) {' '.join(f'JOIN v{m} USING (g, j)' for m in range(1, len(sets)))})"""
+
+
+TERM = "CASE j WHEN 1 THEN 'a' WHEN 2 THEN 'b' ELSE 'ab' END"
+
+
+@query(
+    "model_sequence",
+    f"""WITH RECURSIVE {ENCOUNTERS_SQL}, {REG}, cells AS (SELECT c1, c2, count(*) AS w, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3 FROM reg GROUP BY 1, 2),
+turns AS (SELECT 0 AS k, c1, c2, w, y, x1, x2, x3 FROM cells UNION ALL SELECT k + 1, c1, c2, w, {', '.join(f'{c} - sum(w * {c}) OVER (PARTITION BY k, c1) / sum(w) OVER (PARTITION BY k, c1) AS {c}' for c in ('y', 'x1', 'x2', 'x3'))}
+  FROM (SELECT k, c1, c2, w, {', '.join(f'{c} - sum(w * {c}) OVER (PARTITION BY k, c2) / sum(w) OVER (PARTITION BY k, c2) AS {c}' for c in ('y', 'x1', 'x2', 'x3'))} FROM turns WHERE k < 60)),
+flat AS (SELECT c1, c2, {', '.join(f'cells.{c} - turns.{c} AS m_{c}' for c in ('y', 'x1', 'x2', 'x3'))} FROM turns JOIN cells USING (c1, c2) WHERE k = 60),
+one AS (SELECT 'm1' AS g, * FROM reg), two AS (SELECT 'm2' AS g, * FROM reg), {demeaned('d1', 'one', 'g')}, {demeaned('d2', 'two', 'c2')},
+d3 AS (SELECT 'm3' AS g, c1, c2, {', '.join(f'{c} - m_{c} AS {c}' for c in ('y', 'x1', 'x2', 'x3'))} FROM reg JOIN flat USING (c1, c2)), every AS (SELECT * FROM d1 UNION ALL SELECT * FROM d2 UNION ALL SELECT * FROM d3), {solved('every', 3, 2)}
+SELECT g AS model_id, {TERM} AS term, round(estimate, 3) AS estimate, round(CASE WHEN g = 'm1' THEN se * sqrt((n - 3.0) / (n - 4)) ELSE se END, 3) AS se, n, TRUE AS converged FROM fit""",
+)
+def _sequence(spark, sf):
+    out = models.sequence(_regression(spark, sf), "y", ["a", "b", "ab"], [], {"m1": [], "m2": ["facility"], "m3": ["facility", "provider"]}, ["provider", "facility"])
+    return out.select("model_id", "term", F.round("estimate", 3).alias("estimate"), F.round("se", 3).alias("se"), "n", "converged")
+
+
+LOYO = f"{ENC}, {REG}, y AS (SELECT DISTINCT visit_year AS g FROM encounters), src AS (SELECT y.g, reg.* FROM reg JOIN y ON visit_year <> y.g), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)}"
+
+
+@query("leave_one_year_out", f"{LOYO} SELECT {TERM} AS term, count(*) AS refits, round(min(estimate), 4) AS least, round(quantile_cont(estimate, 0.5), 4) AS median, round(max(estimate), 4) AS most FROM fit GROUP BY 1")
+def _loyo(spark, sf):
+    out = models.refit_summary(_years_left_out(spark, sf))
+    return out.select("term", "refits", *[F.round(c, 4).alias(c) for c in ("least", "median", "most")])
+
+
+@query("year_refits", f"{LOYO} SELECT 'without_' || CAST(g AS string) AS subset, {TERM} AS term, round(estimate, 4) AS estimate, round(se, 4) AS se, round(estimate / se, 4) AS t, n FROM fit")
+def _year_refits(spark, sf):
+    return _years_left_out(spark, sf).select("subset", "term", F.round("estimate", 4).alias("estimate"), F.round("se", 4).alias("se"), F.round("t", 4).alias("t"), "n")
+
+
+def _years_left_out(spark, sf):
+    df = _regression(spark, sf)
+    years = [r[0] for r in df.select("visit_year").distinct().orderBy("visit_year").collect()]
+    return models.refits(df, {f"without_{y}": F.col("visit_year") != y for y in years}, "y", ["a", "b", "ab"], ["facility"], ["provider"])
+
+
+@query(
+    "without_facilities",
+    f"""{ENC}, {REG}, y AS (SELECT unnest([0, 1, 2, -1]) AS g), src AS (SELECT y.g, reg.* FROM reg JOIN y ON c2 <> y.g), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)}
+SELECT CAST(f.g AS string) AS subset, {TERM.replace('CASE j', 'CASE f.j')} AS term, round(f.estimate, 4) AS estimate, round(f.estimate - full_.estimate, 4) AS shift FROM fit f JOIN fit full_ ON full_.g = -1 AND full_.j = f.j WHERE f.g <> -1""",
+)
+def _without(spark, sf):
+    out = sensitivity.without_each(_regression(spark, sf), "facility", [0, 1, 2], "y", ["a", "b", "ab"], ["facility"], ["provider"])
+    return out.select("subset", "term", F.round("estimate", 4).alias("estimate"), F.round("shift", 4).alias("shift"))
+
+
+SCORES = f"""{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)}, est AS (SELECT estimate FROM fit WHERE j = 3), sc AS (SELECT c2 AS facility, sum(s) AS score FROM part WHERE j = 3 GROUP BY 1)"""
+
+
+def _scores(spark, sf):
+    df, _ = models.demean(_regression(spark, sf), ["y", "a", "b", "ab"], ["facility"])
+    fit = models.ols(df, "y", ["a", "b", "ab"], ["provider", "facility"])
+    return models.influence_scores(df, fit, "y", "ab", "facility"), float(fit.beta[fit.names.index("ab")])
+
+
+@query(
+    "wild_bootstrap",
+    f"""{SCORES}, f AS (SELECT draw, sum(CASE WHEN substr(sha256('1|' || CAST(draw AS string) || '|' || CAST(facility AS string)), 1, 1) < '8' THEN score ELSE -score END) AS delta FROM sc, range(1, 10000) t(draw) GROUP BY 1)
+SELECT count(*) AS draws, round((SELECT estimate FROM est), 3) AS estimate, round(stddev_samp(delta), 3) AS sd, round((SELECT estimate FROM est) - quantile_cont(delta, 0.975), 3) AS ci_low, round((SELECT estimate FROM est) - quantile_cont(delta, 0.025), 3) AS ci_high,
+round((count(*) FILTER (abs(delta) >= abs((SELECT estimate FROM est))) + 1) / 10000.0, 6) AS p FROM f""",
+)
+def _wild(spark, sf):
+    s, estimate = _scores(spark, sf)
+    return models.wild_bootstrap(s, "facility", "score", estimate).select("draws", *[F.round(c, 3).alias(c) for c in ("estimate", "sd", "ci_low", "ci_high")], "p")
+
+
+@query("top_influence", f"{SCORES} SELECT facility, round(-score, 4) AS shift, round(abs(score), 4) AS size FROM sc ORDER BY abs(score) DESC, facility LIMIT 10")
+def _influence(spark, sf):
+    s, _ = _scores(spark, sf)
+    return models.influence(s, "facility", "score").select("facility", F.round("shift", 4).alias("shift"), F.round("size", 4).alias("size"))
+
+
+@query(
+    "subset_sweep",
+    f"""{ENC}, {REG}, src AS (SELECT 'main' AS g, * FROM reg UNION ALL SELECT 'large', * FROM reg WHERE y > 100000), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)}, first_ AS (SELECT g, {TERM} AS term, estimate, se, n FROM fit)
+SELECT g AS spec, 'y' AS outcome, term, round(estimate, 4) AS estimate, round(se, 4) AS se, n FROM first_ UNION ALL SELECT g, 'y', term, round(estimate, 4), round(se, 4), n FROM (WITH src2 AS (SELECT 'no_product' AS g, * FROM reg), {demeaned('e', 'src2', 'g, c2', 2)}, {solved('e', 2, 1)} SELECT g, CASE j WHEN 1 THEN 'a' ELSE 'b' END AS term, estimate, se, n FROM fit)""",
+)
+def _sweep(spark, sf):
+    df = _regression(spark, sf)
+    out = sensitivity.swept(df, {"main": {"x": ["a", "b", "ab"]}, "large": {"x": ["a", "b", "ab"], "where": F.col("y") > 100_000}, "no_product": {"x": ["a", "b"]}}, "y", ["facility"], ["provider"])
+    return out.select("spec", "outcome", "term", F.round("estimate", 4).alias("estimate"), F.round("se", 4).alias("se"), "n")
+
+
+UNIFORM = "(CAST(CAST('0x' || substr(sha256('{seed}|' || CAST(draw AS string) || '|' || CAST({unit} AS string)), 1, 16) AS UBIGINT) AS DOUBLE) + 0.5) / 18446744073709551616.0"
+
+
+@query(
+    "imputed_exposure",
+    f"""{ENC}, u AS (SELECT DISTINCT provider, {PROB} AS p, draw FROM encounters, range(1, 21) t(draw)), dr AS (SELECT provider, draw, CAST({UNIFORM.format(seed=1, unit='provider')} < p AS int) AS v FROM u),
+src AS (SELECT draw AS g, facility AS c1, facility AS c2, total AS y, v AS x1, {B} AS x2, v * {B} AS x3 FROM encounters JOIN dr USING (provider)), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)},
+p AS (SELECT {TERM} AS term, count(*) AS m, avg(estimate) AS b, avg(se * se) AS within, var_samp(estimate) AS between_ FROM fit GROUP BY 1)
+SELECT term, m, round(b, 3) AS estimate, round(sqrt(within), 3) AS within_root, round(sqrt(between_), 3) AS between_root, round(sqrt(within + (1 + 1.0 / m) * between_), 3) AS se, round((m - 1) * pow(1 + within / ((1 + 1.0 / m) * between_), 2), 1) AS df, round((1 + 1.0 / m) * between_ / (within + (1 + 1.0 / m) * between_), 5) AS missing_information FROM p""",
+)
+def _imputed(spark, sf):
+    df = _regression(spark, sf).withColumn("pa", F.expr(PROB).cast("double"))
+    out = sensitivity.multiple_imputation(df, "provider", "pa", "a", ("ab", "b"), "y", ["a", "b", "ab"], ["facility"], ["facility"])[1]
+    return out.select("term", "m", F.round("estimate", 3).alias("estimate"), F.round(F.sqrt("within"), 3).alias("within_root"), F.round(F.sqrt("between"), 3).alias("between_root"), F.round("se", 3).alias("se"), F.round("df", 1).alias("df"), F.round("missing_information", 5).alias("missing_information"))
+
+
+@query(
+    "recomputed_coefficients",
+    f"""{ENC}, {REG}, m AS (SELECT avg(y) FILTER (x1 = 0 AND x2 = 0) AS m00, avg(y) FILTER (x1 = 1 AND x2 = 0) AS m10, avg(y) FILTER (x1 = 0 AND x2 = 1) AS m01, avg(y) FILTER (x1 = 1 AND x2 = 1) AS m11 FROM reg), r AS (SELECT 'one' AS term, m00 AS e FROM m UNION ALL SELECT 'a', m10 - m00 FROM m UNION ALL SELECT 'b', m01 - m00 FROM m UNION ALL SELECT 'ab', m11 - m10 - m01 + m00 FROM m)
+SELECT term, round(e, 4) AS reported, round(e, 4) AS recomputed, TRUE AS passed FROM r""",
+)
+def _recomputed(spark, sf):
+    df = _regression(spark, sf).withColumn("one", F.lit(1.0))
+    fit = models.ols(df, "y", ["one", "a", "b", "ab"])
+    out = sensitivity.recomputed(df, "y", ["one", "a", "b", "ab"], spark.createDataFrame([(r[0], r[1]) for r in fit.rows()], "term string, estimate double"))
+    return out.select("term", F.round("reported", 4).alias("reported"), F.round("recomputed", 4).alias("recomputed"), "passed")
+
+
+def newton(rounds: int = 12) -> str:
+    """CTEs b0, b1, ...: the slope of a Poisson model with a level for each facility, which drop out of the likelihood."""
+    p = "(n1 * exp(b) / (n0 + n1 * exp(b)))"
+    return ", ".join(["b0 AS (SELECT 0.0::DOUBLE AS b)"] + [f"b{k} AS (SELECT any_value(b) + sum(s1 - sy * {p}) / sum(sy * {p} * (1 - {p})) AS b FROM fac, b{k - 1})" for k in range(1, rounds + 1)])
+
+
+@query(
+    "poisson_glm",
+    f"""{ENC}, p AS (SELECT facility, provider, days AS y, {A} AS x FROM encounters), fac AS (SELECT facility, sum(y) AS sy, count(*) FILTER (x = 0) AS n0, count(*) FILTER (x = 1) AS n1, sum(y * x) AS s1 FROM p GROUP BY 1), {newton()},
+mu AS (SELECT provider, y, x, sy * exp(b * x) / (n0 + n1 * exp(b)) AS m, n1 * exp(b) / (n0 + n1 * exp(b)) AS xbar FROM p JOIN fac USING (facility), b12), h AS (SELECT sum(m * (x - xbar) * (x - xbar)) AS h, count(*) AS n FROM mu), s AS (SELECT provider, sum((x - xbar) * (y - m)) AS s FROM mu GROUP BY 1),
+v AS (SELECT sum(s * s) AS v, count(*) AS g FROM s) SELECT 'a' AS term, round(b, 4) AS estimate, round(sqrt(g / (g - 1) * v) / h, 4) AS se, g - 1 AS df, n, TRUE AS converged FROM b12, h, v""",
+)
+def _glm(spark, sf):
+    df = encounters(spark, sf).select("facility", "provider", F.col("days").alias("y"), (F.col("order_status") == "F").cast("double").alias("a"))
+    fit, how = models.glm(df, "y", ["a"], ["facility"], "poisson_log", "provider")
+    return spark.createDataFrame([(r[0], round(r[1], 4), round(r[2], 4), r[7], r[8], how["converged"]) for r in fit.rows()], "term string, estimate double, se double, df int, n long, converged boolean")
+
+
+@query(
+    "directed_cells",
+    f"""{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)}, g AS (SELECT least(count(DISTINCT c1), count(DISTINCT c2)) - 1 AS df FROM reg)
+SELECT 'did' AS contrast, round(estimate, 3) AS estimate, round(se, 3) AS se, TRUE AS identified, n, df FROM fit, g WHERE j = 3 UNION ALL SELECT 'level', NULL, NULL, FALSE, (SELECT count(*) FROM reg), df FROM g""",
+)
+def _cells(spark, sf):
+    df = _regression(spark, sf)
+    left = {"f": F.col("a"), "n": 1 - F.col("a")}
+    right = {"b": F.col("b"), "o": 1 - F.col("b")}
+    df = df.withColumns(reshape.cell_basis((left, right)))
+    cells = ["f_b", "f_o", "n_b", "n_o"]
+    out = models.cell_model(df, "y", cells, [], ["facility"], ["provider", "facility"], {"did": {"f_b": 1, "f_o": -1, "n_b": -1, "n_o": 1}, "level": {"f_b": 1}})
+    return out.withColumn("estimate", F.round("estimate", 3)).withColumn("se", F.round("se", 3))
+
+
+@query("cell_basis", f"{ENC} SELECT visit_id, {PROB} * {B} AS p_b, {PROB} * (1 - {B}) AS p_o, (1 - {PROB}) * {B} AS q_b, (1 - {PROB}) * (1 - {B}) AS q_o FROM encounters".replace(" AS p_b", " AS p_b"))
+def _basis(spark, sf):
+    e = encounters(spark, sf).withColumn("p", F.expr(PROB).cast("double")).withColumn("b", (F.col("segment") == "BUILDING").cast("double"))
+    basis = reshape.cell_basis(({"p": F.col("p"), "q": 1 - F.col("p")}, {"b": F.col("b"), "o": 1 - F.col("b")}))
+    return e.select("visit_id", *[c.alias(n) for n, c in basis.items()])
+
+
+@query(
+    "design_frame",
+    f"""{ENC} SELECT visit_id, age AS lin, greatest(age - 18, 0) AS k18, greatest(age - 65, 0) AS k65, CASE WHEN segment = 'AUTOMOBILE' THEN 1.0 ELSE 0 END AS AUTOMOBILE, CASE WHEN segment = 'MACHINERY' THEN 1.0 ELSE 0 END AS MACHINERY, coalesce(age, 40) AS age_filled, CASE WHEN age IS NULL THEN 1.0 ELSE 0 END AS age_missing,
+CASE WHEN segment = 'AUTOMOBILE' THEN 1.0 ELSE 0 END * age AS auto_lin, CASE WHEN segment = 'MACHINERY' THEN 1.0 ELSE 0 END * greatest(age - 65, 0) AS machinery_k65, age IS NOT NULL AND sex_raw IS NOT NULL AS complete FROM encounters""",
+)
+def _design(spark, sf):
+    e = encounters(spark, sf)
+    bends, levels = models.spline(F.col("age"), [18, 65]), models.one_hot(F.col("segment"), ["BUILDING", "AUTOMOBILE", "MACHINERY"], "BUILDING")
+    filled, missing = models.imputed(F.col("age"), 40)
+    products = models.interactions(levels, bends)
+    zero = {n: F.when(F.col("age").isNotNull(), c) for n, c in bends.items()}  # greatest() passes over nulls
+    return e.select(
+        "visit_id", zero["lin"].alias("lin"), *[F.coalesce(bends[k], F.lit(0.0)).alias(k) for k in ("k18", "k65")], *[c.alias(n) for n, c in levels.items()], filled.alias("age_filled"), missing.alias("age_missing"),
+        products["AUTOMOBILE:lin"].alias("auto_lin"), products["MACHINERY:k65"].alias("machinery_k65"), models.complete(["age", "sex_raw"]).alias("complete"),
+    )
+
+
+@query(
+    "sample_policies",
+    f"""{ENC}, d AS (SELECT visit_id, age AS los, CASE WHEN visit_id % 5 = 0 THEN NULL ELSE total END AS charge, visit_id % 3 > 0 AS ok FROM encounters) SELECT 'common_primary' AS policy, count(*) AS n, count(*) FILTER (ok) AS eligible FROM d WHERE los IS NOT NULL AND charge IS NOT NULL UNION ALL SELECT 'los_outcome', count(*), count(*) FILTER (ok) FROM d WHERE los IS NOT NULL UNION ALL SELECT 'charge_outcome', count(*), count(*) FILTER (ok) FROM d WHERE charge IS NOT NULL""",
+)
+def _policies(spark, sf):
+    d = encounters(spark, sf).select("visit_id", F.col("age").alias("los"), F.when(F.col("visit_id") % 5 != 0, F.col("total")).alias("charge"), (F.col("visit_id") % 3 > 0).alias("ok"))
+    out = None
+    for policy in models.POLICIES:
+        every = models.sample(d, policy, ["los", "charge"]).agg(F.count("*").alias("n"))
+        own = models.sample(d, policy, ["los", "charge"], "ok").agg(F.count("*").alias("eligible"))
+        one = every.join(own).select(F.lit(policy).alias("policy"), "n", "eligible")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+FAMILY = {"cohort": "CASE c_custkey % 2 WHEN 0 THEN 'race' ELSE 'gender' END", "model": "CASE c_custkey % 3 WHEN 0 THEN 'm2_facility' WHEN 1 THEN 'm1_plain' ELSE 'm3_physician' END", "outcome": "CASE c_custkey % 5 WHEN 0 THEN 'los_hours' WHEN 1 THEN 'total_charge' WHEN 2 THEN 'died' WHEN 3 THEN 'n_codes' ELSE 'else' END", "policy": "CASE c_custkey % 4 WHEN 0 THEN 'los_outcome' WHEN 1 THEN 'charge_outcome' ELSE 'common_primary' END", "p": "CASE WHEN c_custkey % 7 = 0 THEN NULL ELSE ((c_custkey * 7919) % 1009) / CAST(1009 AS double) END"}
+FAMILY_SQL = f"""f AS (SELECT c_custkey, {', '.join(f'{e} AS {n}' for n, e in FAMILY.items())} FROM customer), n AS (SELECT *, policy IN ('los_outcome', 'charge_outcome') AS own, outcome IN ('los_hours', 'total_charge') AS head FROM f),
+a AS (SELECT c_custkey, p, CASE WHEN cohort = 'race' AND model LIKE 'm2@_%' ESCAPE '@' AND head AND own THEN 'confirmatory_race_primary' ELSE 'secondary_' || cohort || '_' || model || CASE WHEN own THEN '_outcome_specific_robustness' WHEN head THEN '_common_sample_primary_robustness' WHEN outcome = 'died' THEN '_disposition' WHEN outcome = 'n_codes' THEN '_intensity' ELSE '_other' END END AS family FROM n)"""
+
+
+def _families(spark, sf):
+    from wardline.plans.frames import table
+
+    df = table(spark, sf, "customer").select("c_custkey", *[F.expr(e).alias(n) for n, e in FAMILY.items()]).withColumn("p", F.col("p").cast("double"))
+    family, method = inference.family_of(F.col("cohort"), F.col("model"), F.col("outcome"), F.col("policy"), {"disposition": ["died"], "intensity": ["n_codes"]})
+    return df.withColumn("family", family).withColumn("method", method)
+
+
+@query("family_assignment", f"WITH {FAMILY_SQL} SELECT c_custkey, family, CASE WHEN family LIKE 'confirm%' THEN 'holm' ELSE 'fdr_bh' END AS method FROM a")
+def _assignment(spark, sf):
+    return _families(spark, sf).select("c_custkey", "family", "method")
+
+
+@query("family_counts", f"WITH {FAMILY_SQL} SELECT family, count(*) AS rows, count(p) AS estimable FROM a GROUP BY 1")
+def _family_counts(spark, sf):
+    return inference.family_counts(_families(spark, sf), ["family"], "p")
+
+
+@query(
+    "readjusted",
+    f"""WITH {FAMILY_SQL}, r AS (SELECT *, count(*) OVER (PARTITION BY family) AS m, row_number() OVER (PARTITION BY family ORDER BY p, c_custkey) AS r FROM a WHERE p IS NOT NULL) SELECT family, c_custkey, round(least(1.0, min(m * p / r) OVER (PARTITION BY family ORDER BY p, c_custkey ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)), 6) AS recomputed, TRUE AS passed FROM r""",
+)
+def _readjusted(spark, sf):
+    return sensitivity.readjusted(inference.adjust(_families(spark, sf).select("family", "c_custkey", "p"), ["family"], "p", ["c_custkey"]), ["family"], "p", ["c_custkey"], "bh")
+
+
+@query("cluster_sample", f"{ENC}, s AS (SELECT DISTINCT provider FROM encounters WHERE (CAST(CAST('0x' || substr(sha256('7|' || CAST(provider AS string)), 1, 16) AS UBIGINT) AS DOUBLE) + 0.5) / 18446744073709551616.0 < 0.3) SELECT visit_id FROM encounters WHERE provider IN (SELECT provider FROM s)")
+def _cluster_sample(spark, sf):
+    return inference.whole_cluster_sample(encounters(spark, sf), "provider", 0.3, 7).select("visit_id")
+
+
+CLASSES = {"a": f"0.5 * {PROB}", "b": f"0.5 - 0.25 * {PROB}", "c": f"0.5 - 0.25 * {PROB}"}
+DRAWS = f"cd AS (SELECT provider, draw, CASE WHEN u < 0.5 * p THEN 'a' WHEN u < 0.5 * p + (0.5 - 0.25 * p) THEN 'b' ELSE 'c' END AS value FROM (SELECT provider, p, draw, {UNIFORM.format(seed=5, unit='provider')} AS u FROM (SELECT DISTINCT provider, {PROB} AS p FROM encounters), range(1, 21) t(draw)))"
+
+
+def _classed(spark, sf):
+    return encounters(spark, sf).withColumns({n: F.expr(e).cast("double") for n, e in CLASSES.items()})
+
+
+@query(
+    "categorical_imputation",
+    f"""{ENC}, {DRAWS}, m AS (SELECT draw, value, avg(total) AS e, var_samp(total) / count(*) AS v FROM encounters JOIN cd USING (provider) GROUP BY 1, 2), p AS (SELECT value, count(*) AS m, avg(e) AS e, avg(v) AS w, var_samp(e) AS b FROM m GROUP BY 1) SELECT value, m, round(e, 3) AS estimate, round(sqrt(w + (1 + 1.0 / m) * b), 3) AS se FROM p""",
+)
+def _categorical(spark, sf):
+    """Twenty draws of a class for each provider, the mean in each class, pooled."""
+    df = _classed(spark, sf)
+    drawn = inference.categorical_draws(df, "provider", list(CLASSES), 20, 5)
+    e = df.select("provider", "total").join(drawn, "provider").groupBy("draw", "value").agg(F.avg("total").alias("e"), (F.var_samp("total") / F.count("*")).alias("v"))
+    return inference.rubin(e, ["value"], "e", "v").select("value", "m", F.round("estimate", 3).alias("estimate"), F.round("se", 3).alias("se"))
+
+
+@query(
+    "drawn_cells",
+    f"""{ENC}, {DRAWS} SELECT visit_id, {', '.join(f"CASE WHEN value = '{c}' AND segment {op} 'BUILDING' THEN 1.0 ELSE 0 END AS {c}_{n}" for c in CLASSES for n, op in (('in', '='), ('out', '<>')))} FROM encounters JOIN cd USING (provider) WHERE draw = 3""",
+)
+def _drawn(spark, sf):
+    right = {"in": (F.col("segment") == "BUILDING").cast("double"), "out": (F.col("segment") != "BUILDING").cast("double")}
+    out = sensitivity.drawn_cells(_classed(spark, sf), "provider", list(CLASSES), right, 3, 5)
+    return out.select("visit_id", *[f"{c}_{n}" for c in CLASSES for n in right])
+
+
+@query(
+    "modifier_terms",
+    f"""{ENC}, d AS (SELECT visit_id, {A} AS a, {B} AS b, priority FROM encounters) SELECT visit_id, a, b, {', '.join(f"CASE WHEN priority = '{p}' THEN 1.0 ELSE 0 END AS m{k}, a * CASE WHEN priority = '{p}' THEN 1.0 ELSE 0 END AS a{k}, b * CASE WHEN priority = '{p}' THEN 1.0 ELSE 0 END AS b{k}" for k, p in enumerate(('2-HIGH', '3-MEDIUM')))} FROM d""",
+)
+def _modifiers(spark, sf):
+    df = encounters(spark, sf).select("visit_id", (F.col("order_status") == "F").cast("double").alias("a"), (F.col("segment") == "BUILDING").cast("double").alias("b"), "priority")
+    out, _ = sensitivity.modified(df, ["a", "b"], "priority", ["1-URGENT", "2-HIGH", "3-MEDIUM"], "1-URGENT")
+    return out.select("visit_id", "a", "b", *[F.col(f"`{x}`").alias(f"{n}{k}") for k, p in enumerate(("2-HIGH", "3-MEDIUM")) for n, x in (("m", f"m_{p}"), ("a", f"a_m_{p}"), ("b", f"b_m_{p}"))])
+
+
+@query("name_prior_sensitivity", f"""WITH a AS ({_name_sql(nameprob.POPULATION_PRIOR, 12)}), b AS ({_name_sql(nameprob.PHYSICIAN_PRIOR, 12)}), l AS (SELECT *, greatest({', '.join(f'abs(a.{c} - b.{c})' for c in SHARES)}) AS gap,
+{' , '.join(f"CASE {' '.join(f'WHEN {t}.{c} = greatest(' + ', '.join(f'{t}.{k}' for k in SHARES) + f') THEN {chr(39)}{c}{chr(39)}' for c in SHARES)} END AS label_{t}" for t in 'ab')} FROM a JOIN b ON a.id = b.id)
+SELECT count(*) AS n, count(*) FILTER (label_a = label_b) AS same_label, round(max(gap), 6) AS max_gap, round(avg(gap), 6) AS mean_gap, CAST(0 AS BIGINT) AS bad_sums FROM l""")
+def _sensitivity(spark, sf):
+    names, d = _name_parts(spark, sf)
+    return nameprob.prior_sensitivity(nameprob.model(names, d, "id", {"last": "ln", "first": "fn", "middle": "mn"}), "population", "physician")

@@ -487,14 +487,15 @@ def _lik(key: str, k: int) -> str:
     return f"greatest(((CAST(substr({key}, 3) AS int) * {k} + 3) % 7) / 7.0, 1e-300)"
 
 
-def _name_sql() -> str:
+def _name_sql(prior: dict[str, float] | None = None, places: int = 6) -> str:
+    prior = prior or nameprob.POPULATION_PRIOR
     scores = ", ".join(
-        f"ln({nameprob.POPULATION_PRIOR[c]!r}) + ln({_lik('ln', k)}) + ln({_lik('f2', k)}) + CASE WHEN mm THEN ln({_lik('mn', k)}) ELSE 0 END AS s_{c}" for c, k in SHARES.items()
+        f"ln({prior[c]!r}) + ln({_lik('ln', k)}) + ln({_lik('f2', k)}) + CASE WHEN mm THEN ln({_lik('mn', k)}) ELSE 0 END AS s_{c}" for c, k in SHARES.items()
     )
     total = " + ".join(f"exp(s_{c} - m)" for c in SHARES)
     return f"""WITH {NAME_TABLE}, a AS (SELECT *, CASE WHEN fn LIKE 'Xx-%' THEN upper(substr(fn, 4)) ELSE fn END AS f2, mn IS NOT NULL AND CAST(substr(mn, 3) AS int) < 3 AS mm FROM names),
 ok AS (SELECT * FROM a WHERE CAST(substr(ln, 3) AS int) < 20 AND CAST(substr(f2, 3) AS int) < 9), s AS (SELECT id, {scores} FROM ok), g AS (SELECT *, greatest({', '.join(f's_{c}' for c in SHARES)}) AS m FROM s)
-SELECT id, {', '.join(f'round(exp(s_{c} - m) / ({total}), 6) AS {c}' for c in SHARES)} FROM g"""
+SELECT id, {', '.join(f'round(exp(s_{c} - m) / ({total}), {places}) AS {c}' for c in SHARES)} FROM g"""
 
 
 @query("name_posterior", _name_sql())
@@ -504,12 +505,6 @@ def _posterior(spark, sf):
     return out.filter(F.col("population_max").isNotNull()).select("id", *[F.col(f"population_{c}").alias(c) for c in SHARES])
 
 
-@query("name_prior_sensitivity")
-def _sensitivity(spark, sf):
-    names, d = _name_parts(spark, sf)
-    return nameprob.prior_sensitivity(nameprob.model(names, d, "id", {"last": "ln", "first": "fn", "middle": "mn"}), "population", "physician")
-
-
 # ---- statistics ----
 
 OUTCOMES = ["total", "days", "discharge_hour"]
@@ -640,43 +635,6 @@ def _slope(spark, sf):
     return spark.createDataFrame([("a", round(fit.rows()[0][1], 4), fit.n)], "term string, estimate double, n long")
 
 
-@query("model_sequence")
-def _sequence(spark, sf):
-    return models.sequence(_regression(spark, sf), "y", ["a", "b", "ab"], [], {"m1": [], "m2": ["facility"], "m3": ["facility", "provider"]}, ["provider", "facility"])
-
-
-@query("leave_one_year_out")
-def _loyo(spark, sf):
-    df = _regression(spark, sf)
-    years = [r[0] for r in df.select((F.col("period") / 10).cast("int").alias("y")).distinct().orderBy("y").collect()]
-    return models.refit_summary(models.refits(df, {f"without_{y}": (F.col("period") / 10).cast("int") != y for y in years}, "y", ["a", "b", "ab"], ["facility"], ["provider"]))
-
-
-@query("wild_bootstrap")
-def _wild(spark, sf):
-    df, _ = models.demean(_regression(spark, sf), ["y", "a", "b", "ab"], ["facility"])
-    fit = models.ols(df, "y", ["a", "b", "ab"], ["provider", "facility"])
-    s = models.influence_scores(df, fit, "y", "ab", "facility")
-    return models.wild_bootstrap(s, "facility", "score", float(fit.beta[fit.names.index("ab")]), 999)
-
-
-@query("poisson_glm")
-def _glm(spark, sf):
-    df = encounters(spark, sf).select("facility", "provider", F.col("days").alias("y"), (F.col("order_status") == "F").cast("double").alias("a"))
-    fit, how = models.glm(df, "y", ["a"], ["facility"], "poisson_log", "provider")
-    return spark.createDataFrame([(*r, how["converged"]) for r in fit.rows()], "term string, estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean")
-
-
-@query("directed_cells")
-def _cells(spark, sf):
-    df = _regression(spark, sf)
-    left = {"f": F.col("a"), "n": 1 - F.col("a")}
-    right = {"b": F.col("b"), "o": 1 - F.col("b")}
-    df = df.withColumns(reshape.cell_basis((left, right)))
-    cells = ["f_b", "f_o", "n_b", "n_o"]
-    return models.cell_model(df, "y", cells, [], ["facility"], ["provider", "facility"], {"did": {"f_b": 1, "f_o": -1, "n_b": -1, "n_o": 1}, "level": {"f_b": 1}})
-
-
 # ---- checks, manifests, star schema ----
 
 
@@ -850,10 +808,13 @@ def _outcome_support(spark, sf):
     return s.select("segment", "outcome", "n", F.round("mean", 3).alias("mean"), *[F.round(c, 4).alias(c) for c in ("effective", "physician_mass", "effective_physicians")])
 
 
-@query("timing_feasibility", f"{ENC} SELECT visit_year, count(v) AS n, count(*) FILTER (v < 0) AS negative FROM (SELECT visit_year, CASE WHEN try_cast(hour_raw AS int) BETWEEN 0 AND 23 AND discharge_hour BETWEEN 0 AND 23 THEN 24 * days + discharge_hour - try_cast(hour_raw AS int) END AS v FROM encounters) GROUP BY 1")
+VALID_HOURS = "CASE WHEN try_cast(hour_raw AS int) BETWEEN 0 AND 23 AND discharge_hour BETWEEN 0 AND 23 THEN 24 * days + discharge_hour - try_cast(hour_raw AS int) END"
+
+
+@query("timing_feasibility", f"{ENC} SELECT visit_year, count(v) AS n, count(*) FILTER (v < 0) AS negative, {', '.join(f'quantile_disc(v, {q}) AS p{n}' for q, n in ((0.5, '50'), (0.95, '95'), (0.99, '99'), (0.995, '99_5')))} FROM (SELECT visit_year, {VALID_HOURS} AS v FROM encounters) GROUP BY 1")
 def _feasible(spark, sf):
     hours = decode.clock_hours(F.col("days"), F.col("discharge_hour"), decode.arrival_hour(F.col("hour_raw")))["los_raw"]
-    return metrics.feasibility(encounters(spark, sf).withColumn("v", hours), ["visit_year"], "v").select("visit_year", "n", "negative")
+    return metrics.feasibility(encounters(spark, sf).withColumn("v", hours), ["visit_year"], "v")
 
 
 @query("planned_contrasts", f"""{ENC}, m AS (SELECT CASE WHEN order_status = 'F' THEN 'f' ELSE 'n' END || '_' || CASE WHEN segment = 'BUILDING' THEN 'b' WHEN segment = 'MACHINERY' THEN 'm' ELSE 'n' END AS cell, avg(total) AS e FROM encounters GROUP BY 1)
@@ -863,22 +824,3 @@ def _planned(spark, sf):
     means = encounters(spark, sf).groupBy(cell.alias("cell")).agg(F.avg("total").alias("estimate"))
     plan = [r for r in inference.directed_contrasts(["f", "b", "m", "n"], "n") if r[0] in ("f_b_vs_n", "f_m_vs_n")]
     return inference.contrasts(means, spark.createDataFrame(plan, "contrast string, cell string, coefficient double"), []).withColumn("estimate", F.round("estimate", 4))
-
-
-@query("subset_sweep")
-def _sweep(spark, sf):
-    df = _regression(spark, sf)
-    return sensitivity.swept(df, {"main": {"x": ["a", "b", "ab"]}, "large": {"x": ["a", "b", "ab"], "where": F.col("y") > 100_000}, "no_product": {"x": ["a", "b"]}}, "y", ["facility"], ["provider"])
-
-
-@query("imputed_exposure")
-def _imputed(spark, sf):
-    df = _regression(spark, sf).withColumn("pa", F.expr(PROB).cast("double"))
-    return sensitivity.multiple_imputation(df, "provider", "pa", "a", ("ab", "b"), "y", ["a", "b", "ab"], ["facility"], ["facility"], draws=4)[1]
-
-
-@query("recomputed_coefficients")
-def _recomputed(spark, sf):
-    df = _regression(spark, sf).withColumn("one", F.lit(1.0))
-    fit = models.ols(df, "y", ["one", "a", "b", "ab"])
-    return sensitivity.recomputed(df, "y", ["one", "a", "b", "ab"], spark.createDataFrame([(r[0], r[1]) for r in fit.rows()], "term string, estimate double"))

@@ -17,16 +17,14 @@ def swept(df: DataFrame, specs: dict[str, dict], y: str, effects: Sequence[str],
     Probability exposures, thresholds, modifiers, subsets, negative controls and interactions differ only in these. A specification
     that can't be estimated is a row with a note.
     """
-    out = []
+    alike: dict[tuple, dict[str, Column]] = {}
     for name, s in specs.items():
-        own = df.filter(s["where"]) if "where" in s else df
-        try:
-            fit, how = models.fixed_effects(own, s.get("y", y), s["x"], s.get("effects", effects), clusters)
-            out += [(name, s.get("y", y), *r, how["converged"], None) for r in fit.rows()]
-            out += [(name, s.get("y", y), c, *[None] * 7, fit.n, how["converged"], "collinear") for c in fit.dropped]
-        except (ValueError, IndexError, np.linalg.LinAlgError) as e:
-            out.append((name, s.get("y", y), None, *[None] * 7, 0, False, str(e)[:100]))
-    return df.sparkSession.createDataFrame(out, "spec string, outcome string, term string, estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string")
+        alike.setdefault((s.get("y", y), tuple(s["x"]), tuple(s.get("effects", effects))), {})[name] = s.get("where", F.lit(True))
+    out = None
+    for (outcome, x, own), subsets in alike.items():  # specifications that differ in their rows alone are fitted together
+        part = models.grouped_fits(models.stacked(df, subsets, "spec"), "spec", outcome, x, own, clusters).withColumn("outcome", F.lit(outcome))
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
 def modified(df: DataFrame, exposure: Sequence[str], modifier: str, levels: Sequence, reference) -> tuple[DataFrame, list[str]]:
@@ -38,10 +36,10 @@ def modified(df: DataFrame, exposure: Sequence[str], modifier: str, levels: Sequ
 
 def without_each(df: DataFrame, column: str, values: Sequence, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
     """Refits that leave out one value at a time: years, or the facilities that influence() names; with the shift from the full fit."""
-    full, _ = models.fixed_effects(df, y, x, effects, clusters)
-    base = df.sparkSession.createDataFrame([(n, float(b)) for n, b in zip(full.names, full.beta, strict=True)], "term string, full double")
-    fits = models.refits(df, {str(v): F.coalesce(F.col(column) != v, F.lit(True)) for v in values}, y, x, effects, clusters)
-    return fits.join(base, "term", "left").withColumn("shift", F.col("estimate") - F.col("full"))
+    every = {"full": F.lit(True)} | {str(v): F.coalesce(F.col(column) != v, F.lit(True)) for v in values}
+    fits = models.refits(df, every, y, x, effects, clusters)
+    base = fits.filter("subset = 'full'").select("term", F.col("estimate").alias("full"))
+    return fits.filter("subset <> 'full'").join(base, "term", "left").withColumn("shift", F.col("estimate") - F.col("full"))
 
 
 def multiple_imputation(df: DataFrame, unit: str, probability: str, exposure: str, product: tuple[str, str] | None, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str], draws: int = 20, seed: int = 1) -> tuple[DataFrame, DataFrame]:
@@ -49,15 +47,12 @@ def multiple_imputation(df: DataFrame, unit: str, probability: str, exposure: st
 
     product: (name, other column) of an interaction made anew in every draw.
     """
-    drawn = inference.bernoulli_draws(df, unit, probability, draws, seed)
-    out = []
-    for d in range(1, draws + 1):
-        own = df.drop(exposure).join(drawn.filter(F.col("draw") == d).select(unit, F.col("value").cast("double").alias(exposure)), unit)
-        if product:
-            own = own.withColumn(product[0], F.col(exposure) * F.col(product[1]))
-        fit, _ = models.fixed_effects(own, y, x, effects, clusters)
-        out += [(d, r[0], r[1], r[2] ** 2) for r in fit.rows()]
-    estimates = df.sparkSession.createDataFrame(out, "draw int, term string, estimate double, variance double")
+    drawn = inference.bernoulli_draws(df, unit, probability, draws, seed).select(unit, "draw", F.col("value").cast("double").alias(exposure))
+    own = df.drop(exposure).join(drawn, unit)  # every draw of every row, fitted together
+    if product:
+        own = own.withColumn(product[0], F.col(exposure) * F.col(product[1]))
+    fits = models.grouped_fits(own, "draw", y, x, effects, clusters).filter("note is null")
+    estimates = fits.select("draw", "term", "estimate", F.pow("se", 2).alias("variance"))
     return estimates, inference.rubin(estimates, ["term"], "estimate", "variance")
 
 
@@ -110,13 +105,19 @@ def recomputed(df: DataFrame, y: str, x: Sequence[str], reported: DataFrame, tol
 
 
 def readjusted(df: DataFrame, family: Sequence[str], p: str, key: Sequence[str], adjusted: str, method: str = "bh", tolerance: float = 1e-9) -> DataFrame:
-    """Adjusted p-values by their definition on the driver's copy of a family table (results are few), compared with reported ones."""
-    out = []
-    rows = df.filter(F.col(p).isNotNull()).select(*family, *key, p, adjusted).toPandas()
-    for _, g in rows.groupby(list(family), dropna=False):
+    """family, key, recomputed, passed: adjusted p-values by their definition, family by family in Python, compared with reported ones.
+
+    A family of results has thousands of rows at most; each is one task's group. Null p-values have no row.
+    """
+    columns = [*family, *key]
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.select(*columns).schema)
+
+    def again(g):
         g = g.sort_values([p, *key])
         v, m = g[p].to_numpy(float), len(g)
         rank = np.arange(1, m + 1)
         a = np.minimum.accumulate((m * v / rank)[::-1])[::-1] if method == "bh" else np.maximum.accumulate((m - rank + 1) * v)
-        out += [(*map(str, g.iloc[k][list(key)]), float(min(1, a[k])), bool(abs(min(1, a[k]) - g[adjusted].iloc[k]) <= tolerance)) for k in range(m)]
-    return df.sparkSession.createDataFrame(out, ", ".join(f"{k} string" for k in key) + ", recomputed double, passed boolean")
+        a = np.minimum(a, 1.0)
+        return g[columns].assign(recomputed=a, passed=np.abs(a - g[adjusted].to_numpy(float)) <= tolerance)
+
+    return df.filter(F.col(p).isNotNull()).select(*columns, p, adjusted).groupBy(*family).applyInPandas(again, f"{schema}, recomputed double, passed boolean")
