@@ -48,7 +48,7 @@ PAYER_GROUP = [
     (ALL, ["A", "B"], "Medicare"), (ALL, ["C", "D"], "Medicaid"), (ALL, ["E", "F", "G"], "Commercial"), (ALL, ["L"], "Self-pay"), (ALL, ["H"], "Workers compensation"), (ALL, ["I", "J"], "Federal government"),
     (ALL, ["K", "O"], "Other government"), (ALL, ["Q"], "Liability"), (ALL, ["N"], "Non-payment/charity"), (ALL, ["P"], "Unknown"), (ALL, ["M"], "Other"),
 ]
-#: (first age, last age, label).
+#: Fixed values from here to EM_SENTINEL. (first age, last age, label).
 AGE_BANDS = [(0, 17, "0-17"), (18, 44, "18-44"), (45, 64, "45-64"), (65, 84, "65-84"), (85, 115, "85+")]
 #: From 2018 on: sentinel ages and their bands.
 AGE_SENTINELS = {0: "0-28 days", 777: "29-364 days", 888: "100 years and older", 999: "Unknown"}

@@ -47,6 +47,7 @@ def discretion(label: Column, higher: Sequence[str] = HIGHER_DISCRETION, lower:
 
 
 def presentation_group(share: Column, high: float = 0.8, low: float = 0.2) -> Column:
+    """By the share of symptom codes; both limits belong to their groups, and a null share is mixed."""
     return F.when(share >= high, "higher_subjectivity").when(share <= low, "lower_subjectivity").otherwise("ambiguous_or_mixed")
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import reshape
+from .quantiles import beside, exact_quantiles
 
 Z95 = 1.95996398454
 
@@ -31,9 +32,10 @@ def summary(df: DataFrame, by: Sequence[str], outcomes: Sequence[str], percentil
     long_ = reshape.melt(df, by, outcomes, "outcome")
     out = long_.groupBy(*by, "outcome").agg(
         F.count("*").alias("rows"), F.count("value").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.min("value").alias("min"), F.max("value").alias("max"),
-        F.percentile("value", F.array(*[F.lit(p) for p in percentiles])).alias("_p"),
     )
-    return out.select(*by, "outcome", "rows", "n", (F.col("rows") - F.col("n")).alias("missing"), "mean", "sd", "min", "max", *[F.get("_p", F.lit(k)).alias(f"p{round(100 * p):02d}") for k, p in enumerate(percentiles)])
+    names = {f"p{round(100 * p):02d}": p for p in percentiles}
+    out = beside(out, exact_quantiles(long_, [*by, "outcome"], "value", names), [*by, "outcome"])
+    return out.select(*by, "outcome", "rows", "n", (F.col("rows") - F.col("n")).alias("missing"), "mean", "sd", "min", "max", *names)
 
 
 def four_cell_contrast(df: DataFrame, pair: str, cells: Sequence[str], outcomes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
@@ -71,6 +73,13 @@ def standardized_differences(df: DataFrame, group: str, comparisons: dict[str, t
     return out.withColumn("imbalanced", F.abs("smd") >= flag)
 
 
+def cell_means(df: DataFrame, dimensions: Sequence[str], outcomes: Sequence[str]) -> DataFrame:
+    """n, mean and sd of each outcome in every combination of the dimensions that occurs; null dimensions are left out."""
+    known = df.dropna(subset=list(dimensions))
+    long_ = reshape.melt(known, dimensions, outcomes, "outcome", keep_nulls=False)
+    return long_.groupBy(*dimensions, "outcome").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+
+
 def composition(df: DataFrame, by: Sequence[str], variables: Sequence[str]) -> DataFrame:
     """n and per cent of each value of each variable within its group."""
     from pyspark.sql.window import Window
@@ -87,7 +96,9 @@ def rates_by_stratum(df: DataFrame, variables: Sequence[str], linked: Column) ->
 
 def profile(df: DataFrame, group: str, variables: Sequence[str]) -> DataFrame:
     """Mean, sd and median of variables by group, such as linked and unlinked rows."""
-    return reshape.melt(df, [group], variables, keep_nulls=False).groupBy(group, "variable").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"), F.percentile("value", F.lit(0.5)).alias("median"))
+    long_ = reshape.melt(df, [group], variables, keep_nulls=False)
+    out = long_.groupBy(group, "variable").agg(F.count("*").alias("n"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+    return beside(out, exact_quantiles(long_, [group, "variable"], "value", {"median": 0.5}), [group, "variable"])
 
 
 def rate_distribution(df: DataFrame, units: Sequence[str], linked: Column) -> DataFrame:

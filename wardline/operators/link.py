@@ -60,14 +60,18 @@ def best_match(left: DataFrame, right: DataFrame, on: Sequence[str], key: Sequen
     return unique_on(left.join(right, list(on)), key, order)
 
 
-def range_join(df: DataFrame, ranges: DataFrame, key: Column, low: str, high: str, prefix: int | None = None) -> DataFrame:
-    """Rows whose key lies in a range of a small table. With `prefix`, ranges within one prefix join on it and not by comparing all."""
-    if prefix is None:
-        return df.join(ranges, key.between(F.col(low), F.col(high)))
-    own = ranges.withColumn("_p", F.substring(low, 1, prefix))
-    wide = own.filter(F.substring(high, 1, prefix) != F.col("_p")).take(1)
-    if wide:
-        raise ValueError(f"a range crosses the first {prefix} signs")
+def range_join(df: DataFrame, ranges: DataFrame, key: Column, low: str, high: str, prefix: int) -> DataFrame:
+    """Rows whose key lies in a range of a small table, both ends included; a row for each range that holds it. Null keys are in none.
+
+    Ranges are written out for each prefix (the first signs) that they touch, and joined on it: the more rows share a prefix, the
+    fewer should be its ranges. A range within one prefix may hold any signs; one that crosses prefixes must have ends of digits.
+    """
+    first, last = F.substring(low, 1, prefix), F.substring(high, 1, prefix)
+    steps = F.sequence(first.try_cast("int"), last.try_cast("int"))
+    touched = F.when(first == last, F.array(first)).otherwise(F.transform(steps, lambda k: F.lpad(k.cast("string"), prefix, "0")))
+    if ranges.filter((first != last) & steps.isNull()).take(1):
+        raise ValueError(f"a range of other signs than digits crosses the first {prefix} signs")
+    own = ranges.withColumn("_p", F.explode(touched))
     return df.withColumn("_p", F.substring(key, 1, prefix)).join(own, "_p").filter(key.between(F.col(low), F.col(high))).drop("_p")
 
 
@@ -98,6 +102,7 @@ def restrict(df: DataFrame, observed: DataFrame, key: str) -> DataFrame:
 
 
 def absent(df: DataFrame, other: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Rows without a partner; a null key has none."""
     return df.join(other.select(*on), list(on), "left_anti")
 
 

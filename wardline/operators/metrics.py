@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from wardline.functions import decode
 
 from . import reshape
+from .quantiles import beside, exact_quantiles
 
 
 def default_category(df: DataFrame, code: str, category: str, is_default: str, sequence: str) -> DataFrame:
@@ -38,10 +39,12 @@ def condition_hits(hits: DataFrame, key: str, condition: str, lists: dict[str, s
 
 
 def condition_count(hits: DataFrame, key: str, condition: str) -> DataFrame:
+    """Distinct known conditions of each visit; visits without hits have no row."""
     return hits.groupBy(key).agg(F.count_distinct(condition).alias("n_conditions"))
 
 
 def procedure_metrics(procedures: DataFrame, key: str, code: str, system: str, role: str, group: str) -> DataFrame:
+    """Counts by system, distinct known groups, the highest evaluation level (null without one) and flags of special codes, by visit."""
     c, em = F.col(code), F.col(role) == "evaluation_management"
 
     def any_of(codes: Sequence[str]) -> Column:
@@ -66,13 +69,13 @@ def completed(visits: DataFrame, metrics: DataFrame, key: str, zeros: Sequence[s
 
 def at_least_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.9, positive: bool = False) -> DataFrame:
     """threshold (the exact quantile of the value in its partition) and high_flag. A small table of thresholds is joined back."""
-    limits = df.groupBy(*by).agg(F.percentile(value, F.lit(q)).alias("threshold"))
     high = F.col(value) >= F.col("threshold")
-    return df.join(limits, list(by), "left").withColumn("high_flag", (F.col(value) > 0) & high if positive else high)
+    return beside(df, exact_quantiles(df, by, value, {"threshold": q}), by).withColumn("high_flag", (F.col(value) > 0) & high if positive else high)
 
 
 def winsor_limits(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
-    return df.groupBy(*by).agg(*[F.percentile(value, F.lit(q)).alias(name) for name, q in quantiles.items()])
+    """Exact quantiles of each partition's known values; a partition without any has nulls."""
+    return exact_quantiles(df, by, value, quantiles)
 
 
 def collapse(df: DataFrame, key: str, modes: Sequence[str] = (), lists: Sequence[str] = (), counts: Sequence[str] = (), latest: dict[str, str] | None = None, flags: dict[str, Column] | None = None, sep: str = " | ") -> DataFrame:
@@ -89,15 +92,14 @@ def collapse(df: DataFrame, key: str, modes: Sequence[str] = (), lists: Sequence
 
 def history(df: DataFrame, by: Sequence[str], charge: str, provider: str, flags: dict[str, Column]) -> DataFrame:
     """Visits, distinct providers, shares of known flags, and mean, median, p90 and sum of charges."""
-    return df.groupBy(*by).agg(
+    out = df.groupBy(*by).agg(
         F.count("*").alias("visits"),
         F.count_distinct(provider).alias("providers"),
         *[F.avg(c.cast("double")).alias(f"{name}_share") for name, c in flags.items()],
         F.avg(charge).alias("charge_mean"),
-        F.percentile(charge, F.lit(0.5)).alias("charge_median"),
-        F.percentile(charge, F.lit(0.9)).alias("charge_p90"),
         F.sum(charge).alias("charge_sum"),
     )
+    return beside(out, exact_quantiles(df, by, charge, {"charge_median": 0.5, "charge_p90": 0.9}), by)
 
 
 def span(df: DataFrame, by: Sequence[str], year: str, quarter: str, names: str | None = None) -> DataFrame:
@@ -196,6 +198,7 @@ def volumes(df: DataFrame, provider: str, facility: str, year: str, quarter: str
 
 
 def any_listed(occurrences: DataFrame, key: str, flags: dict[str, Column]) -> DataFrame:
+    """0/1 for each flag: whether any of the visit's occurrences meets it; a null condition doesn't."""
     return occurrences.groupBy(key).agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in flags.items()])
 
 
@@ -236,5 +239,6 @@ def exposure_overlap(df: DataFrame, unit: str, group: str, a: str, b: str) -> Da
 
 def medians(df: DataFrame, columns: Sequence[str], where: Column | None = None) -> DataFrame:
     """Exact medians for imputation."""
-    source = df if where is None else df.filter(where)
-    return source.agg(*[F.percentile(c, F.lit(0.5)).alias(c) for c in columns])
+    long_ = reshape.melt(df if where is None else df.filter(where), [], columns)
+    found = exact_quantiles(long_, ["variable"], "value", {"median": 0.5})
+    return found.agg(*[F.max(F.when(F.col("variable") == c, F.col("median"))).alias(c) for c in columns])

@@ -291,12 +291,12 @@ def sequence(df: DataFrame, y: str, exposure: Sequence[str], controls: Sequence[
 FIT_SCHEMA = "estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string"
 
 
-def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
+def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str], expected: Sequence = ()) -> DataFrame:
     """group, term, estimate, ...: one fit for each group (a subset, a draw, a year left out), all of them in the same few jobs.
 
     Effects are those of each group; cross-products and scores are summed by group, so that only k x k numbers for each of them reach
-    the driver. Collinear terms of a group are rows with a note, as is a group in which nothing can be estimated. Rows with a null in
-    any of the columns go; errors as in ols().
+    the driver. Collinear terms of a group are rows with a note, as is a group in which nothing can be estimated and an expected one
+    without rows. Rows with a null in any of the columns go; errors as in ols().
     """
     keep = list(dict.fromkeys([group, y, *x, *effects, *clusters]))
     own, how = df.filter(complete(keep)).select(*keep), {"converged": True}
@@ -350,6 +350,7 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
         fit = Fit([x[j] for j in kept], [x[j] for j in range(k) if j not in kept], beta[kept], covariance[np.ix_(kept, kept)], n, {}, max((least or n) - 1, 1), 0.0, 0.0)
         out += [(g, *r, how["converged"], None) for r in fit.rows() if r[0] != "_one"]
         out += [(g, c, *[None] * 7, n, how["converged"], "collinear") for c in fit.dropped]
+    out += [(g, None, *[None] * 7, 0, False, "no row") for g in expected if g not in solved]
     return spark.createDataFrame(out, f"{group} {kind}, term string, {FIT_SCHEMA}")
 
 
@@ -360,8 +361,8 @@ def stacked(df: DataFrame, subsets: dict[str, Column], name: str = "subset") ->
 
 
 def refits(df: DataFrame, subsets: dict[str, Column], y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
-    """The same model on each subset: years left out, complete cases, volumes, exact subsets, influential units left out. An empty subset has no row."""
-    return grouped_fits(stacked(df, subsets), "subset", y, x, effects, clusters)
+    """The same model on each subset: years left out, complete cases, volumes, exact subsets, influential units left out. An empty subset is a row with a note."""
+    return grouped_fits(stacked(df, subsets), "subset", y, x, effects, clusters, list(subsets))
 
 
 def refit_summary(refitted: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ PARTS = ("last", "first", "middle")
 POPULATION_PRIOR = {"white": 0.5783619, "black": 0.1205021, "hispanic": 0.1872988, "asian": 0.06106737, "other": 0.05276981}
 PHYSICIAN_COUNTS = {"white": 29_395, "black": 3_451, "hispanic": 9_309, "asian": 8_524, "other": 1_959}
 PHYSICIAN_PRIOR = {k: v / sum(PHYSICIAN_COUNTS.values()) for k, v in PHYSICIAN_COUNTS.items()}
+#: Suffixes of surnames.
 SUFFIXES = "JUNIOR|SENIOR|THIRD|III|JR|II|IV"
 LEAST = 1e-300
 
@@ -58,34 +60,35 @@ def candidates(parts: DataFrame, key: str) -> DataFrame:
 
 
 def best_names(cands: DataFrame, d: DataFrame, key: str) -> DataFrame:
-    """The candidate of the highest priority that stands in the dictionary, for each key and name type."""
+    """The candidate of the highest priority that stands in the dictionary, for each key and name type: an aggregate, no ordered window."""
     named = d.withColumnRenamed("name", "candidate")
-    return link.best_match(cands, named, ["name_type", "candidate"], [key, "name_type"], [F.col("priority")])
+    found = cands.join(named, ["name_type", "candidate"])
+    rest = [c for c in found.columns if c not in (key, "name_type", "priority")]
+    best = found.groupBy(key, "name_type").agg(F.min(F.struct("priority", *rest)).alias("b"))
+    return best.select(key, "name_type", "b.priority", *[f"b.{c}" for c in rest])
 
 
 def wide_names(best: DataFrame, key: str, classes: Sequence[str] = CLASSES, parts: Sequence[str] = PARTS) -> DataFrame:
     """One row for each key: a match flag and likelihoods for each part."""
-    cells = [F.max(F.when(F.col("name_type") == p, F.col(c))).alias(f"{p}_{c}") for p in parts for c in classes]
-    flags = [F.coalesce(F.bool_or(F.col("name_type") == p), F.lit(False)).alias(f"{p}_match") for p in parts]
-    return best.groupBy(key).agg(*flags, *cells)
+    values = F.struct(*[F.col(c) for c in classes])
+    wide = best.groupBy(key).agg(*[F.max(F.when(F.col("name_type") == p, values)).alias(f"_{p}") for p in parts])
+    return wide.select(key, *[F.col(f"_{p}").isNotNull().alias(f"{p}_match") for p in parts], *[F.col(f"_{p}.{c}").alias(f"{p}_{c}") for p in parts for c in classes])
 
 
 def log_score(prior: float, c: str, parts: Sequence[str] = PARTS) -> Column:
-    out = F.lit(prior)
-    out = F.log(out)
+    out = F.lit(float(np.log(prior)))
     for p in parts:
         out = out + F.when(F.col(f"{p}_match"), F.log(F.greatest(F.coalesce(F.col(f"{p}_{c}"), F.lit(0.0)), F.lit(LEAST)))).otherwise(0.0)
     return out
 
 
 def posterior(df: DataFrame, prior: dict[str, float], prefix: str, applicable: Column, parts: Sequence[str] = PARTS) -> DataFrame:
-    """prefix_class for each class: the softmax of the log scores; null where the model doesn't apply."""
-    logs = {c: f"_{prefix}_{c}" for c in prior}
-    df = df.withColumns({name: log_score(prior[c], c, parts) for c, name in logs.items()})
-    df = df.withColumn("_m", F.greatest(*logs.values()))
-    df = df.withColumn("_d", sum((F.exp(F.col(n) - F.col("_m")) for n in logs.values()), F.lit(0.0)))
-    df = df.withColumns({f"{prefix}_{c}": F.when(applicable, F.exp(F.col(n) - F.col("_m")) / F.col("_d")) for c, n in logs.items()})
-    return df.drop("_m", "_d", *logs.values())
+    """prefix_class for each class: the softmax of the log scores; null where the model doesn't apply. Scores are one array, made once."""
+    scores = F.array(*[log_score(p, c, parts) for c, p in prior.items()])
+    powers = F.transform(F.array_compact(F.array("_s")), lambda s: F.transform(s, lambda x: F.exp(x - F.array_max(s))))
+    df = df.withColumn("_s", F.when(applicable, scores)).withColumn("_e", F.get(powers, F.lit(0)))
+    df = df.withColumn("_d", F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    return df.withColumns({f"{prefix}_{c}": F.get("_e", F.lit(k)) / F.col("_d") for k, c in enumerate(prior)}).drop("_s", "_e", "_d")
 
 
 def derived(prefix: str, classes: Sequence[str] = CLASSES, two: tuple[str, str] = ("black", "white")) -> dict[str, Column]:

@@ -378,6 +378,58 @@ def _ordered(spark, sf):
     return metrics.ordered(c, [F.desc_nulls_last("charges"), F.col("segment")], "place").withColumn("charges", F.round("charges", 2))
 
 
+# ---- summaries by year ----
+
+MIX = {"payer": "payer_raw", "disposition": "status_raw", "physician": "CASE WHEN provider % 3 = 0 THEN 'MD' ELSE 'other' END", "facility": "CASE WHEN facility % 2 = 0 THEN 'rural' ELSE 'urban' END"}
+
+
+@query(
+    "annual_mix",
+    f"""{ENC}, l AS ({' UNION ALL '.join(f"SELECT visit_year, '{n}' AS variable, {e} AS value FROM encounters" for n, e in MIX.items())}) SELECT visit_year, variable, value, count(*) AS n, round(100 * count(*) / sum(count(*)) OVER (PARTITION BY visit_year, variable), 6) AS percent FROM l GROUP BY 1, 2, 3""",
+)
+def _mix(spark, sf):
+    return describe.composition(encounters(spark, sf).select("visit_year", *[F.expr(e).alias(n) for n, e in MIX.items()]), ["visit_year"], list(MIX))
+
+
+@query(
+    "annual_top_codes",
+    f"""WITH o AS (SELECT year(l_shipdate) AS y, CASE WHEN l_linenumber <= 3 THEN 'clinical' ELSE 'procedure' END AS kind, l_partkey AS code FROM lineitem), c AS (SELECT y, kind, code, count(*) AS n FROM o GROUP BY 1, 2, 3),
+r AS (SELECT *, n / sum(n) OVER (PARTITION BY y, kind) AS share, row_number() OVER (PARTITION BY y, kind ORDER BY n DESC, code) AS rank FROM c) SELECT CAST(y AS BIGINT) AS y, kind, code, n, round(share, 6) AS share, rank FROM r WHERE rank <= 25""",
+)
+def _annual_top(spark, sf):
+    o = table(spark, sf, "lineitem").selectExpr("year(l_shipdate) AS y", "CASE WHEN l_linenumber <= 3 THEN 'clinical' ELSE 'procedure' END AS kind", "l_partkey AS code")
+    return metrics.top_k(o, ["y", "kind"], "code", 25)
+
+
+@query(
+    "pair_trends",
+    f"""{ENC}, l AS (SELECT order_status, visit_year, 'total' AS outcome, total AS value FROM encounters UNION ALL SELECT order_status, visit_year, 'age', age FROM encounters) SELECT order_status, visit_year, outcome, count(*) AS rows, count(value) AS n, count(*) - count(value) AS missing, round(avg(value), 6) AS mean, round(stddev_samp(value), 6) AS sd,
+round(min(value), 6) AS min, round(max(value), 6) AS max, round(quantile_cont(value, 0.5), 6) AS p50 FROM l GROUP BY 1, 2, 3""",
+)
+def _trends(spark, sf):
+    return describe.summary(encounters(spark, sf), ["order_status", "visit_year"], ["total", "age"], (0.5,))
+
+
+@query(
+    "intersection_means",
+    f"""{ENC}, d AS (SELECT CASE WHEN order_status = 'F' THEN 'f' ELSE 'n' END AS a, CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN 'x' ELSE 'y' END AS b, CASE sex_raw WHEN '1' THEN 'm' WHEN 'M' THEN 'm' WHEN '2' THEN 'w' WHEN 'F' THEN 'w' END AS c, CASE WHEN provider % 2 = 0 THEN 'p' ELSE 'q' END AS d, total, age FROM encounters),
+l AS (SELECT a, b, c, d, 'total' AS outcome, total AS v FROM d UNION ALL SELECT a, b, c, d, 'age', age FROM d) SELECT a, b, c, d, outcome, count(*) AS n, round(avg(v), 6) AS mean, round(stddev_samp(v), 6) AS sd FROM l WHERE c IS NOT NULL AND v IS NOT NULL GROUP BY 1, 2, 3, 4, 5""",
+)
+def _intersections(spark, sf):
+    d = encounters(spark, sf).selectExpr("CASE WHEN order_status = 'F' THEN 'f' ELSE 'n' END AS a", "CASE WHEN segment IN ('BUILDING', 'MACHINERY') THEN 'x' ELSE 'y' END AS b", "CASE sex_raw WHEN '1' THEN 'm' WHEN 'M' THEN 'm' WHEN '2' THEN 'w' WHEN 'F' THEN 'w' END AS c", "CASE WHEN provider % 2 = 0 THEN 'p' ELSE 'q' END AS d", "total", "age")
+    return describe.cell_means(d, ["a", "b", "c", "d"], ["total", "age"])
+
+
+@query(
+    "provider_coverage",
+    f"""{ENC}, l AS (SELECT 'visit_year' AS variable, CAST(visit_year AS string) AS value, provider % 4 <> 0 AS k FROM encounters UNION ALL SELECT 'role', CASE WHEN provider % 2 = 0 THEN 'attending' ELSE 'operating' END, provider % 4 <> 0 FROM encounters UNION ALL SELECT 'method', CASE provider % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'licence' END, provider % 4 <> 0 FROM encounters)
+SELECT variable, value, count(*) AS n, count(*) FILTER (k) AS linked, round(count(*) FILTER (k) / count(*), 6) AS rate FROM l GROUP BY 1, 2""",
+)
+def _provider_coverage(spark, sf):
+    d = encounters(spark, sf).selectExpr("visit_year", "CASE WHEN provider % 2 = 0 THEN 'attending' ELSE 'operating' END AS role", "CASE provider % 3 WHEN 0 THEN 'direct' WHEN 1 THEN 'licence' END AS method", "provider % 4 <> 0 AS k")
+    return describe.rates_by_stratum(d, ["visit_year", "role", "method"], F.col("k"))
+
+
 # ---- names ----
 
 SHARES = {"white": 5, "black": 3, "hispanic": 2, "asian": 4, "other": 1}

@@ -253,7 +253,7 @@ def _best(spark, sf):
 @query("range_join", "WITH r AS (SELECT unnest(['000', '010', '030']) AS lo, unnest(['009', '024', '049']) AS hi, unnest(['low', 'mid', 'high']) AS class) SELECT p_partkey, class FROM part JOIN r ON lpad(CAST(p_size AS string), 3, '0') BETWEEN lo AND hi")
 def _range(spark, sf):
     ranges = spark.createDataFrame([("000", "009", "low"), ("010", "024", "mid"), ("030", "049", "high")], "lo string, hi string, class string")
-    return link.range_join(table(spark, sf, "part"), ranges, F.lpad(F.col("p_size").cast("string"), 3, "0"), "lo", "hi").select("p_partkey", "class")
+    return link.range_join(table(spark, sf, "part"), ranges, F.lpad(F.col("p_size").cast("string"), 3, "0"), "lo", "hi", 2).select("p_partkey", "class")
 
 
 @query("threshold_pairs", f"{ENC} SELECT t AS threshold, priority, count(*) AS n FROM encounters, (SELECT unnest([0.5, 0.7, 0.8, 0.9])::DOUBLE AS t) WHERE (visit_id * 37 % 100) / 100.0 >= t GROUP BY 1, 2")

@@ -22,7 +22,7 @@ def swept(df: DataFrame, specs: dict[str, dict], y: str, effects: Sequence[str],
         alike.setdefault((s.get("y", y), tuple(s["x"]), tuple(s.get("effects", effects))), {})[name] = s.get("where", F.lit(True))
     out = None
     for (outcome, x, own), subsets in alike.items():  # specifications that differ in their rows alone are fitted together
-        part = models.grouped_fits(models.stacked(df, subsets, "spec"), "spec", outcome, x, own, clusters).withColumn("outcome", F.lit(outcome))
+        part = models.grouped_fits(models.stacked(df, subsets, "spec"), "spec", outcome, x, own, clusters, list(subsets)).withColumn("outcome", F.lit(outcome))
         out = part if out is None else out.unionByName(part)
     return out
 

@@ -32,8 +32,8 @@ def fan_out(df: DataFrame, path: str, tables: dict[str, Sequence[str]], keys: Se
 
 
 def write_csv(df: DataFrame, path: str) -> None:
-    """A small result as one CSV file with a header."""
-    df.coalesce(1).write.mode("overwrite").csv(path, header=True)
+    """A small result as one CSV file with a header; what it is computed from keeps its own tasks."""
+    df.repartition(1).write.mode("overwrite").csv(path, header=True)
 
 
 def manifest(df: DataFrame, by: Sequence[str], measures: dict[str, Column], passed: Column, fingerprint: str | None = None) -> DataFrame:
