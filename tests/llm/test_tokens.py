@@ -1,4 +1,5 @@
 import array
+import bisect
 import hashlib
 import zlib
 
@@ -127,6 +128,47 @@ def test_op5(spark, sf_dir, docs, hard):
     assert bytebpe.encode_documents(hard.limit(0), RANKS, public_tokenizers.PATTERN).count() == 0
 
 
+def test_op5_equals_tiktoken_on_every_row(spark, sf_dir, docs):
+    b = bytebpe.tree_bpe(RANKS, public_tokenizers.PATTERN)
+    k = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=b.ranks, special_tokens={})
+    got = bytebpe.op5_tree_bpe(spark, sf_dir).toPandas().set_index("doc_id").loc[docs["doc_id"]]
+    ids = [packed(k.encode_ordinary(t or "")) for t in docs["text"]]
+    assert list(got["n_tokens"]) == [len(x) // 4 for x in ids]
+    assert list(got["ids_sha256"]) == [hashlib.sha256(x).hexdigest() for x in ids]
+
+
+def test_decoding_goes_up_the_tree():
+    b = bytebpe.tree_bpe(RANKS, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(6)
+    for n in (0, 1, 255, 256, 257, 1000, 5000):
+        ids = rng.integers(0, 50_256, n)
+        assert b.decode(packed(ids)) == b"".join(b.bytes_of[i] for i in ids.tolist())
+
+
+def best_fit_decreasing(lengths, capacity):
+    """Sequences that a second packer needs, piece by piece."""
+    free, sequences = [], 0
+    for n in sorted(lengths, reverse=True):
+        k = bisect.bisect_left(free, n)
+        if k == len(free):
+            sequences += 1
+            left = capacity - n
+        else:
+            left = free.pop(k) - n
+        bisect.insort(free, left)
+    return sequences
+
+
+def test_patterns_need_no_more_sequences_than_best_fit():
+    rng = np.random.default_rng(5)
+    for k in range(14):
+        many = int(rng.integers(20, 3000))
+        kind = [rng.integers(1, 4097, many), np.minimum(4096, rng.lognormal(6, 1.2, many).astype(int) + 1), rng.choice([700, 1300, 2049, 1365, 4000], many), np.minimum(4096, (rng.pareto(1.1, many) * 200).astype(int) + 1)][k % 4]
+        n, c = np.unique(kind, return_counts=True)
+        _, sequences = packing.plan_sequences(dict(zip(n.tolist(), c.tolist(), strict=True)))
+        assert sequences <= best_fit_decreasing(kind.tolist(), 4096), (k, many, sequences)
+
+
 def whole(rows, capacity):
     """Every sequence is filled from 0 without gaps or overlaps, up to the capacity."""
     for _, s in rows.sort_values("offset").groupby("sequence_id"):

@@ -1,4 +1,5 @@
 import os
+import re
 import zlib
 
 import numpy as np
@@ -78,6 +79,42 @@ def test_held_out_accuracy(spark, model):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == (r["score"] >= 0.5) for r in got.values())
 
 
+def slow_score(model, text):
+    """A text's score word by word and triple by triple, from the definition."""
+    values = []
+    for word in re.findall("[a-z0-9äöüßéèêàçñíóáú]+", text.lower()):
+        codes = [t.START, *(int(t.CHAR_CODES[ord(c)]) for c in word), t.END]
+        total = square = 0.0
+        for i in range(len(codes)):
+            for k in range(i + 2, min(len(codes), i + t.SPAN)):
+                for j in range(i + 1, k):
+                    total += float(model.table[(codes[i] * t.CODES + codes[j]) * t.CODES + codes[k]]) * t.DECAY ** (k - i + 1)
+                    square += t.DECAY ** (2 * (k - i + 1))
+        values.append(min(2.0, max(-2.0, total / max(square, t.DECAY**6) ** 0.5 + model.bias)))
+    top = sorted(values, reverse=True)[: t.TOP] + [-2.0] * max(0, t.TOP - len(values))
+    return 1 / (1 + np.exp(-(np.dot(top, model.weights[:-1]) + model.weights[-1])))
+
+
+def test_scores_equal_brute_force(spark, model):
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("length(text) between 20 and 3000").orderBy("doc_id").limit(120).collect()
+    texts = [re.sub("[^a-z0-9äöüßéèêàçñíóáú]+", " ", r["text"].lower()) for r in rows]
+    texts = [" ".join(w for w in x.split() if len(w) > 1) for x in texts]  # letters that stand alone are joined, which the definition here leaves out
+    texts = [x for x in texts if x]
+    assert np.allclose(model.score(texts), [slow_score(model, x) for x in texts], atol=2e-4)
+
+
+def test_letters_of_other_shapes_are_plain_letters(model):
+    plain = ["a clown stood there", "idiot"]
+    odd = ["".join(chr(0x1D41A + ord(c) - 97) if "a" <= c <= "z" else c for c in x) for x in plain]
+    assert np.allclose(model.score(odd), model.score(plain))
+
+
+def test_a_row_without_an_id_is_not_held_out(spark, tmp_path):
+    spark.createDataFrame([(None, "some text"), (5, None)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    assert {r["doc_id"]: r["held_out"] for r in t.op6_subsequence_svm(spark, str(tmp_path)).collect()} == {None: False, 5: zlib.crc32(b"5") % 5 == 0}
+
+
 def test_hard_rows(spark, hard, model):
     rows = t.score(hard, model).collect()
     assert len(rows) == len(HARD)

@@ -20,6 +20,8 @@ from .common import documents, texts
 
 #: White space that stands beside other white space or at an end: then a text can't be cut before each of its spaces.
 SPACES = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Ids that a leaf of the decoding tree holds.
+LEAF_IDS = 256
 BESIDE = re.compile(rf"[{SPACES}] | [{SPACES}]|\A | \Z")
 
 
@@ -125,8 +127,12 @@ class TreeBpe:
         return (self._new(first, self.first, "") if head is None else head) + b"".join(found)
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of little-endian unsigned 32-bit ids, concatenated up the tree."""
-        return b"".join(map(self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()))
+        """The bytes of little-endian unsigned 32-bit ids: leaves of LEAF_IDS ids, neighbours concatenated up the tree."""
+        of, held = self.bytes_of.__getitem__, memoryview(ids).cast("I").tolist()
+        parts = [b"".join(map(of, held[k : k + LEAF_IDS])) for k in range(0, len(held), LEAF_IDS)]
+        while len(parts) > 1:
+            parts = [b"".join(parts[k : k + 2]) for k in range(0, len(parts), 2)]
+        return parts[0] if parts else b""
 
 
 _held: dict[tuple[str, str], TreeBpe] = {}

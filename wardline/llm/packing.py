@@ -2,9 +2,10 @@
 
 Lengths are at most `capacity`, so their histogram has at most that many entries and everything that the driver works on is
 bounded. Lengths fall in bins; a pattern is a multiset of up to `depth` bins that fills a sequence. Non-negative least squares
-finds how often each pattern stands so that the bins' counts are met; the counts are rounded down, and what they leave over is
-packed best-fit, longest first, into the gaps of the patterns' sequences and into new ones. The outcome is a plan: for each
-length, runs of documents (by their number among those of this length) with the sequence of the first, one sequence on for each
+finds how often each pattern stands so that the bins' counts are met; a share of each count is taken and rounded down, and what
+that leaves over is packed best-fit, longest first, into the gaps of the patterns' sequences and into new ones. The share is the one
+of SHARES that needs the fewest sequences: rounding nearly all counts leaves best-fit too little to fill the gaps with where lengths
+are few. The outcome is a plan: for each length, runs of documents (by their number among those of this length) with the sequence of the first, one sequence on for each
 next document, and the place within it.
 """
 
@@ -28,6 +29,8 @@ CAPACITY = 4096
 END_ID = 1
 BINS = 128
 DEPTH = 3
+#: Shares of the fitted counts that are tried, the largest first.
+SHARES = (1.0, 0.95, 0.85, 0.7, 0.5, 0.3)
 
 
 def patterns(bins: int, depth: int) -> list[tuple[int, ...]]:
@@ -84,7 +87,7 @@ def fit_counts(bin_counts: np.ndarray, options: list[tuple[int, ...]], rounds: i
 class Plan:
     """Runs of sequences: (first sequence, number of sequences, lengths in each). Numbers only grow with the lengths' variety."""
 
-    def __init__(self, histogram: dict[int, int], capacity: int, bins: int, depth: int):
+    def __init__(self, histogram: dict[int, int], capacity: int, counts: dict[tuple[int, ...], int], bins: int):
         self.capacity, self.left = capacity, {n: c for n, c in histogram.items() if c}
         self.given: dict[int, int] = defaultdict(int)
         self.runs: list[tuple[int, int, int, int, int]] = []  # length, first document, documents, sequence, offset
@@ -95,7 +98,7 @@ class Plan:
         if full:
             self._give(capacity, full, self._new(full), 0)
         if self.left:
-            self._patterns(bins, depth)
+            self._patterns(counts, bins)
         self._best_fit()
 
     def _new(self, n: int) -> int:
@@ -115,19 +118,12 @@ class Plan:
                 bisect.insort(self.free, free)
             self.gaps[free].append((sequence, n))
 
-    def _patterns(self, bins: int, depth: int) -> None:
-        share = self.capacity / bins
-        of = {n: int(np.ceil(n / share)) for n in self.left}
+    def _patterns(self, counts: dict[tuple[int, ...], int], bins: int) -> None:
+        of = bins_of(self.left, self.capacity, bins)
         stock: dict[int, list[int]] = defaultdict(list)  # bin -> its lengths, the longest last
         for n in sorted(self.left):
             stock[of[n]].append(n)
-        counts = np.zeros(bins)
-        for n, c in self.left.items():
-            counts[of[n] - 1] += c
-        options = patterns(bins, depth)
-        repeat = np.floor(fit_counts(counts, options)).astype(np.int64)
-        for k in np.argsort(-repeat, kind="stable"):
-            todo, option = int(repeat[k]), options[k]
+        for option, todo in sorted(counts.items(), key=lambda x: -x[1]):
             need = {b: option.count(b) for b in option}
             while todo:
                 # a run: as many sequences as the longest lengths in stock of each bin allow
@@ -179,10 +175,30 @@ class Plan:
                 self._gap(free - length, sequence, n)
 
 
+def bins_of(lengths, capacity: int, bins: int) -> dict[int, int]:
+    return {n: -(-n * bins // capacity) for n in lengths}
+
+
 def plan_sequences(histogram: dict[int, int], capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH) -> tuple[pd.DataFrame, int]:
-    """The runs (length, first, n, sequence, offset) of the better of two plans, with and without patterns, and the number of sequences."""
-    plan = Plan(histogram, capacity, min(bins, capacity), depth)
-    return pd.DataFrame(plan.runs, columns=["length", "first", "n", "sequence", "offset"]), plan.next
+    """The runs (length, first, n, sequence, offset) of the plan that needs the fewest sequences among SHARES, and their number.
+
+    Of plans as good, that with the largest share. A plan that fills all its sequences but the last is taken at once.
+    """
+    bins, best = min(bins, capacity), None
+    options, counts, of = patterns(bins, depth), np.zeros(bins), bins_of(histogram, capacity, bins)
+    for n, c in histogram.items():
+        if n < capacity:
+            counts[of[n] - 1] += c
+    fitted = fit_counts(counts, options) if counts.any() else np.zeros(len(options))
+    least = -(-sum(n * c for n, c in histogram.items()) // capacity)
+    for share in SHARES:
+        repeat = np.floor(fitted * share).astype(np.int64)
+        plan = Plan(histogram, capacity, {options[k]: int(repeat[k]) for k in np.flatnonzero(repeat)}, bins)
+        if best is None or plan.next < best.next:
+            best = plan
+        if best.next <= least:
+            break
+    return pd.DataFrame(best.runs, columns=["length", "first", "n", "sequence", "offset"]), best.next
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, bins: int = BINS, depth: int = DEPTH) -> DataFrame:

@@ -13,6 +13,7 @@ is a probability by logistic regression, fitted to the sample, on the decisions
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,11 +32,15 @@ OFFSETS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
 START, END, OTHERS, CODES = 27, 28, 29, 48
 #: The bounded sample: at most so many texts of each label, of at most so many characters each.
 MOST_TEXTS, MOST_CHARS = 1500, 10_000
+#: Landmarks: the strongest witnesses, the words that are most usual in clean texts, and the hardest clean words of each fit, at most.
 LANDMARKS, USUAL, HARD = 160, 32, 128
 #: A witness stands in at least this share of the toxic texts, and in three.
 LEAST_SHARE = 0.012
 PART_CHARS = 1 << 20
 TOP = 3
+#: Of the sample's distinct words: other clean words that are instances (every so manieth of them), and clean words that count as
+#: hard after each fit.
+OTHER_WORDS, HARD_WORDS = 12_000, 2000
 
 
 def char_codes() -> np.ndarray:
@@ -56,6 +61,8 @@ WHITE[[k for k in range(1 << 16) if chr(k).isspace()]] = True
 def words_of(values: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """codes: all words of the texts one after another, each as START, its characters, END and SPAN - 1 zeros; the places where words
     start in it; the text of each word."""
+    # letters of other shapes, such as full-width or mathematical ones, are the plain letters
+    values = [t if t.isascii() else unicodedata.normalize("NFKC", t) for t in values]
     points = np.frombuffer("\n".join(t.lower() for t in values).encode("utf-32-le", "surrogatepass"), np.uint32)
     small = np.minimum(points, 0xFFFF).astype(np.int64)
     code = CHAR_CODES[small]
@@ -246,7 +253,7 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         return out / np.float32(norms(np.array([len(own) - (SPAN - 1)]))[0])
 
     # instances: witnesses, all words that are usual in clean texts, and a spread of the others
-    spread = np.arange(len(words)) % max(1, len(words) // 12_000) == 0
+    spread = np.arange(len(words)) % max(1, len(words) // OTHER_WORDS) == 0
     use = witness | ((in_clean > 0) & (rate < 2) & spread)
     use[usual] = True
     clean_kinds = np.flatnonzero((in_clean > 0) & ~witness)
@@ -279,7 +286,7 @@ def train(values: list[str], toxic: np.ndarray, share: float) -> Model:
         top = np.zeros(len(words), bool)
         top[[kind[order[k]] for k in last if toxic[of[order[k]]]]] = True
         witness = (witness & (decided > -0.5)) | (top & (in_toxic >= least / 2) & (rate >= 6) & (decided > 0))
-        hard = clean_kinds[np.argsort(-decided[clean_kinds], kind="stable")[:2000]]
+        hard = clean_kinds[np.argsort(-decided[clean_kinds], kind="stable")[:HARD_WORDS]]
         use[hard] = True
         fresh = [k for k in hard[:HARD].tolist() if k not in chosen]
         chosen += fresh
@@ -334,7 +341,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score, predicted for every row of (doc_id, text).
 
     Null and empty texts, and those without letters or digits, have the share of toxic labels as score. Equal texts have equal
-    scores. Null and repeated ids and repeated rows stay.
+    scores. Null and repeated ids and repeated rows stay. A row without an id is not held out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)  # a table of CODES^3 numbers
 
@@ -361,4 +368,4 @@ def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
 def op6_subsequence_svm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     model = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).select("doc_id", (F.crc32(F.col("doc_id").cast("string")) % 5 == 0).alias("held_out"), "score", "predicted")
+    return score(docs, model).select("doc_id", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False)).alias("held_out"), "score", "predicted")
