@@ -225,3 +225,27 @@ def test_checks(spark):
     assert reconcile.sums_match(res, res, ["e"]).first()["passed"]
     assert link.disagreements(df, df.withColumn("v", F.lit("a")).filter("k = 1"), ["k"], ["v", "p"]).filter("disagreements > 0").count() == 0
     assert link.absent(df, df.filter("k = 1"), ["k"]).count() == 2
+
+
+def test_hot_keys_are_numbered_by_ranges(spark, monkeypatch):
+    rows = [(None if k % 3 == 0 else k % 50, (k * 7919) % 1009, k) for k in range(1000)]
+    df = spark.createDataFrame(rows, "key long, o long, id long")
+    want = sorted(metrics.duplicates(df, "key", [F.col("o"), F.col("id")]).collect(), key=str)
+    monkeypatch.setattr(metrics, "NUMBERED_ROWS", 100)
+    assert sorted(metrics.duplicates(df, "key", [F.col("o"), F.col("id")]).collect(), key=str) == want
+
+
+def test_exact_quantiles(spark, monkeypatch):
+    from wardline.operators import quantiles
+
+    rng = np.random.default_rng(2)
+    rows = [(None if g == 0 else g, float(v)) for g in range(4) for v in np.round(rng.lognormal(3, 1, 700), 1)] + [(9, None), (8, 1.5), (7, 1.0), (7, 2.0)] + [(6, 5.0)] * 300
+    shares = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9, "e": 0.995, "f": 1.0}
+    df = spark.createDataFrame(rows, "g int, v double")
+    for slack in (0.0005, 0.05):
+        monkeypatch.setattr(quantiles, "SLACK", slack)
+        got = {r["g"]: [r[k] for k in shares] for r in quantiles.exact_quantiles(df, ["g"], "v", shares).collect()}
+        assert got.pop(9) == [None] * 6
+        assert all(np.allclose(x, np.quantile([v for k, v in rows if k == g and v is not None], list(shares.values()))) for g, x in got.items()) and len(got) == 7
+    whole = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
+    assert np.isclose(whole, np.median([v for _, v in rows if v is not None]))

@@ -12,13 +12,17 @@ PRIMARY = ("los_hours", "total_charge")
 
 
 def adjust(df: DataFrame, family: Sequence[str], p: str, order: Sequence[str], alpha: float = 0.05) -> DataFrame:
-    """Holm and Benjamini-Hochberg p-values within families; null p-values get none and don't count. `order` breaks ties."""
+    """Holm and Benjamini-Hochberg p-values within families; null p-values get none and don't count. `order` breaks ties and must leave none.
+
+    A family is ordered in one task: it is a set of results, of thousands of rows, and not of data.
+    """
     known = df.filter(F.col(p).isNotNull())
     w = Window.partitionBy(*family).orderBy(p, *order)
     m = F.count("*").over(Window.partitionBy(*family))
     ranked = known.withColumn("_m", m).withColumn("_r", F.row_number().over(w))
     up = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    down = w.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    # a running minimum from the largest p-value down: rows from each one to the end, without summing each frame anew
+    down = Window.partitionBy(*family).orderBy(F.desc(p), *[F.desc(o) for o in order]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     ranked = ranked.withColumn("holm", F.least(F.lit(1.0), F.max((F.col("_m") - F.col("_r") + 1) * F.col(p)).over(up)))
     ranked = ranked.withColumn("bh", F.least(F.lit(1.0), F.min(F.col("_m") * F.col(p) / F.col("_r")).over(down))).drop("_m", "_r")
     rest = df.filter(F.col(p).isNull()).withColumn("holm", F.lit(None).cast("double")).withColumn("bh", F.lit(None).cast("double"))

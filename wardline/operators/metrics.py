@@ -202,10 +202,41 @@ def any_listed(occurrences: DataFrame, key: str, flags: dict[str, Column]) -> Da
     return occurrences.groupBy(key).agg(*[F.max(F.when(c, 1).otherwise(0)).alias(n) for n, c in flags.items()])
 
 
+#: Rows of one key that are numbered in one task, at most.
+NUMBERED_ROWS = 1_000_000
+
+
 def duplicates(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
-    """Number of rows with this key and this row's number among them, in a stated order; null keys count together."""
+    """Number of rows with this key and this row's number among them, in a stated order; null keys count together.
+
+    Keys with more than NUMBERED_ROWS rows, such as null where many ids are missing, are numbered by ranges of the order: within each
+    range first, then with the ranges before it added. Whether there are such keys is looked up at once.
+    """
     w = Window.partitionBy(key)
-    return df.withColumn("dup_count", F.count("*").over(w)).withColumn("dup_seq", F.row_number().over(w.orderBy(*order)))
+    hot = df.groupBy(F.col(key).alias("_hot")).agg(F.count("*").alias("_n")).filter(F.col("_n") > NUMBERED_ROWS)
+    n = hot.count()  # no more than rows / NUMBERED_ROWS
+    if not n:
+        return df.withColumn("dup_count", F.count("*").over(w)).withColumn("dup_seq", F.row_number().over(w.orderBy(*order)))
+    marked = df.join(F.broadcast(hot), F.col(key).eqNullSafe(F.col("_hot")), "left")
+    rest = marked.filter("_n is null").drop("_hot", "_n")
+    rest = rest.withColumn("dup_count", F.count("*").over(w)).withColumn("dup_seq", F.row_number().over(w.orderBy(*order)))
+    # stored, so that ranges are the same whenever a task is run again
+    ranges = stored(marked.filter("_n is not null").drop("_hot").repartitionByRange(key, *order).withColumn("_p", F.spark_partition_id()))
+    inner = Window.partitionBy(key, "_p")
+    sizes = ranges.groupBy(F.col(key).alias("_hot"), F.col("_p").alias("_q")).agg(F.count("*").alias("_size"))
+    before = sizes.withColumn("_before", F.sum("_size").over(Window.partitionBy("_hot").orderBy("_q")) - F.col("_size")).drop("_size")
+    numbered = ranges.withColumn("_r", F.row_number().over(inner.orderBy(*order))).join(before, F.col(key).eqNullSafe(F.col("_hot")) & (F.col("_p") == F.col("_q")))
+    numbered = numbered.select(*df.columns, F.col("_n").alias("dup_count"), (F.col("_before") + F.col("_r")).cast("int").alias("dup_seq"))
+    return rest.unionByName(numbered)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """checkpoint() to the session's shared folder; without one (local tests) a cache."""
+    sc = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(folder)
+    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
 
 
 def visit_key(year: Column, quarter: Column, record: Column, seq: Column) -> Column:

@@ -15,16 +15,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-TOLERANCES = ((1e-8, 200), (1e-6, 200))
-
+from .metrics import stored as _cut
+from .quantiles import exact_quantiles
 
-def _cut(df: DataFrame) -> DataFrame:
-    """checkpoint() to the session's shared folder; without one (local tests) a cache."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
+TOLERANCES = ((1e-8, 200), (1e-6, 200))
 
 
 # ---- design ----
@@ -387,6 +381,12 @@ def influence(cluster_scores: DataFrame, cluster: str, score: str, k: int = 10)
     return cluster_scores.select(cluster, (-F.col(score)).alias("shift"), F.abs(F.col(score)).alias("size")).orderBy(F.desc("size"), cluster).limit(k)
 
 
+def influence_summary(cluster_scores: DataFrame, score: str) -> DataFrame:
+    """clusters, and the exact 99th percentile and the largest of the shifts that leaving one of them out makes, to first order."""
+    sizes = cluster_scores.select(F.abs(F.col(score)).alias("size"))
+    return sizes.agg(F.count("size").alias("clusters"), F.max("size").alias("largest")).join(exact_quantiles(sizes, [], "size", {"p99": 0.99}))
+
+
 def influence_scores(df: DataFrame, fit: Fit, y: str, term: str, cluster: str) -> DataFrame:
     """cluster, score: each cluster's part in one coefficient."""
     bread_row = np.linalg.inv(cross_products(df.filter(complete([y, *fit.names])), fit.names)[0])[fit.names.index(term)]

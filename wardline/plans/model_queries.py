@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from wardline.operators import inference, models, nameprob, reshape
 from wardline.plans import sensitivity
-from wardline.plans.frames import ENCOUNTERS_SQL, encounters
+from wardline.plans.frames import ENCOUNTERS_SQL, encounters, table
 from wardline.plans.queries import SHARES, _name_parts, _name_sql
 from wardline.plans.registry import query
 
@@ -124,6 +124,31 @@ def _influence(spark, sf):
     return models.influence(s, "facility", "score").select("facility", F.round("shift", 4).alias("shift"), F.round("size", 4).alias("size"))
 
 
+@query("influence_summary", f"{SCORES} SELECT count(*) AS clusters, round(max(abs(score)), 4) AS largest, round(quantile_cont(abs(score), 0.99), 4) AS p99 FROM sc")
+def _influence_summary(spark, sf):
+    s, _ = _scores(spark, sf)
+    return models.influence_summary(s, "score").select("clusters", F.round("largest", 4).alias("largest"), F.round("p99", 4).alias("p99"))
+
+
+@query(
+    "collinear_columns",
+    f"""{ENC}, {REG}, m AS (SELECT avg(y) FILTER (x1 = 0) AS m0, avg(y) FILTER (x1 = 1) AS m1 FROM reg) SELECT 'one' AS term, TRUE AS kept, round(m0, 4) AS estimate FROM m UNION ALL SELECT 'a', TRUE, round(m1 - m0, 4) FROM m UNION ALL SELECT 'twice', FALSE, NULL UNION ALL SELECT 'rest', FALSE, NULL""",
+)
+def _collinear(spark, sf):
+    df = _regression(spark, sf).withColumns({"one": F.lit(1.0), "twice": 2 * F.col("a"), "rest": 3 - F.col("a")})
+    fit = models.ols(df, "y", ["one", "a", "twice", "rest"])
+    return spark.createDataFrame([(n, True, round(float(b), 4)) for n, b in zip(fit.names, fit.beta, strict=True)] + [(n, False, None) for n in fit.dropped], "term string, kept boolean, estimate double")
+
+
+@query(
+    "singletons_dropped",
+    f"WITH r0 AS (SELECT o_orderkey, o_custkey AS e1, CAST(floor(o_totalprice) AS BIGINT) % 3000 AS e2 FROM orders), {', '.join(f'r{k} AS (SELECT * FROM r{k - 1} QUALIFY count(*) OVER (PARTITION BY e{2 - k % 2}) > 1)' for k in range(1, 31))} SELECT o_orderkey FROM r30",
+)
+def _singletons(spark, sf):
+    o = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("e1"), F.expr("floor(o_totalprice) % 3000").alias("e2"))
+    return models.drop_singletons(o, ["e1", "e2"]).select("o_orderkey")
+
+
 @query(
     "subset_sweep",
     f"""{ENC}, {REG}, src AS (SELECT 'main' AS g, * FROM reg UNION ALL SELECT 'large', * FROM reg WHERE y > 100000), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)}, first_ AS (SELECT g, {TERM} AS term, estimate, se, n FROM fit)
@@ -181,6 +206,17 @@ def _glm(spark, sf):
     return spark.createDataFrame([(r[0], round(r[1], 4), round(r[2], 4), r[7], r[8], how["converged"]) for r in fit.rows()], "term string, estimate double, se double, df int, n long, converged boolean")
 
 
+@query(
+    "outcome_models",
+    f"""{ENC}, p AS (SELECT facility, provider, days AS y, {A} AS x FROM encounters), fac AS (SELECT facility, sum(y) AS sy, count(*) FILTER (x = 0) AS n0, count(*) FILTER (x = 1) AS n1, sum(y * x) AS s1 FROM p GROUP BY 1), {newton()}
+SELECT 'days' AS outcome, 'poisson_log' AS family, 'a' AS term, round(b, 4) AS estimate, (SELECT count(*) FROM p) AS n, CAST(NULL AS string) AS note FROM b12 UNION ALL SELECT 'rare', 'binomial_logit', NULL, NULL, count(*), CAST(count(*) FILTER (visit_id <= 40) AS string) || ' events' FROM encounters""",
+)
+def _outcomes(spark, sf):
+    df = encounters(spark, sf).select("facility", "provider", "days", (F.col("visit_id") <= 40).cast("double").alias("rare"), (F.col("order_status") == "F").cast("double").alias("a"))
+    out = sensitivity.outcome_models(df, {"days": "poisson_log", "rare": "binomial_logit"}, ["a"], ["facility"], "provider")
+    return out.select("outcome", "family", "term", F.round("estimate", 4).alias("estimate"), "n", "note")
+
+
 @query(
     "directed_cells",
     f"""{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)}, g AS (SELECT least(count(DISTINCT c1), count(DISTINCT c2)) - 1 AS df FROM reg)
@@ -241,8 +277,6 @@ a AS (SELECT c_custkey, p, CASE WHEN cohort = 'race' AND model LIKE 'm2@_%' ESCA
 
 
 def _families(spark, sf):
-    from wardline.plans.frames import table
-
     df = table(spark, sf, "customer").select("c_custkey", *[F.expr(e).alias(n) for n, e in FAMILY.items()]).withColumn("p", F.col("p").cast("double"))
     family, method = inference.family_of(F.col("cohort"), F.col("model"), F.col("outcome"), F.col("policy"), {"disposition": ["died"], "intensity": ["n_codes"]})
     return df.withColumn("family", family).withColumn("method", method)
