@@ -19,8 +19,8 @@ from .common import documents, tasks, texts, written
 SHARDS = 40
 OVERHEAD = 16
 BITS = 60
-#: Totals fetched at a time: 2^18 rows of three longs, 6 MB.
-MOST_SEGMENTS = 1 << 18
+#: Totals fetched at a time: 2^16 rows of four longs, 2 MB.
+MOST_SEGMENTS = 1 << 16
 
 
 def greedy_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int] | None:
@@ -57,7 +57,7 @@ def even_cuts(sizes: np.ndarray, shards: int, capacity: int) -> list[int]:
         least[k] = at
         at = int(np.searchsorted(total, total[at] - capacity, side="left"))
     if at > 0:
-        return greedy_cuts(sizes, shards, capacity) or []
+        raise ValueError(f"{shards} shards of {capacity} don't hold {int(total[-1])}")
     ends, start = [], 0
     for k in range(shards):
         share = total[-1] * (k + 1) / shards
