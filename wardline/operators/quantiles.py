@@ -28,7 +28,8 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dic
     edges = [float(q) for share in quantiles.values() for q in (max(0.0, share - SLACK), min(1.0, share + SLACK))]
     v = F.col(value).cast("double")
     bounds = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.count(v).alias("_n"), F.percentile_approx(v, edges, ACCURACY).alias("_e"))
-    rows = cells.filter(known).join(bounds, [cells[k].eqNullSafe(bounds[k]) for k in keys]).select(*[cells[k] for k in keys], "_v", "_c", "_n", "_e") if keys else cells.filter(known).join(bounds)
+    full = cells.filter(known)
+    rows = bounds.join(full, [bounds[k].eqNullSafe(full[k]) for k in keys], "left").select(*[bounds[k] for k in keys], "_v", "_c", "_n", "_e") if keys else full.join(bounds)
     aggs = [F.first("_n").alias("_n")]
     for k in range(len(names)):
         low, high = F.get("_e", F.lit(2 * k)), F.get("_e", F.lit(2 * k + 1))
@@ -51,14 +52,7 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dic
         place = (F.col("_n") - 1) * F.lit(float(share))
         low = F.floor(place)
         out.append((at(k, low) + (at(k, F.ceil(place)) - at(k, low)) * (place - low)).alias(names[k]))
-    groups = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).distinct() if keys else None
-    done = found.select(*keys, *out)
-    if groups is None:
-        return done
-    # groups without any value
-    whole = groups.join(done, [groups[k].eqNullSafe(done[k]) for k in keys], "left")
-    return whole.select(*[groups[k].alias(c) for c, k in zip(by, keys, strict=True)], *names)
-
+    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *out)
 
 
 def beside(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
