@@ -75,7 +75,7 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID,
     spark, docs = docs.sparkSession, texts(docs)
     rows, nulls = docs.agg(F.count("*"), F.count_if(F.col("doc_id").isNull())).first()
     n = max(1, -(-rows // BUCKET_DOCS), min(tasks(spark), rows))
-    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], 10_000).alias("q")).first()["q"] if n > 1 else None
+    found = docs.agg(F.percentile_approx("doc_id", [k / n for k in range(1, n)], max(10_000, 10 * n)).alias("q")).first()["q"] if n > 1 else None
     bounds, often = np.unique(np.array(found or [], np.int64), return_counts=True)
     null_buckets = max(1, -(-nulls * n // max(1, rows)))
     # a bound that several quantiles share begins as many buckets
