@@ -55,11 +55,11 @@ def _tolerant(spark, sf):
     return readers.read_csv(spark, path, ["id", "customer"], header=False, tolerant=True, key="id", key_pattern="[0-9]+")
 
 
-@query("piped_scan", "SELECT CAST(s_suppkey AS string) AS k, s_name AS name, CAST(NULL AS string) AS balance FROM supplier UNION ALL SELECT CAST(c_custkey AS string), NULL, CAST(CAST(c_acctbal AS BIGINT) AS string) FROM customer")
+@query("piped_scan", "SELECT CAST(s_suppkey AS string) AS k, s_name AS name, CAST(NULL AS string) AS balance FROM supplier UNION ALL SELECT CAST(c_custkey AS string), NULL, CAST(CAST(floor(c_acctbal) AS BIGINT) AS string) FROM customer")
 def _piped(spark, sf):
     """Two sets of files whose columns differ, found by a pattern."""
     root = shared(spark, "piped")
-    for name, df in (("suppliers", table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_name AS name")), ("customers", table(spark, sf, "customer").selectExpr("c_custkey AS k", "CAST(round(c_acctbal) AS long) AS balance"))):
+    for name, df in (("suppliers", table(spark, sf, "supplier").selectExpr("s_suppkey AS k", "s_name AS name")), ("customers", table(spark, sf, "customer").selectExpr("c_custkey AS k", "CAST(floor(c_acctbal) AS string) AS balance"))):
         df.write.option("header", True).option("sep", "|").csv(f"{root}/{name}")
     return readers.read_piped(spark, [f"{root}/*"]).select("k", "name", "balance")
 
