@@ -36,7 +36,7 @@ TREES, LEAF = 16, 32
 #: The bounded sample to which trees are fitted, and the sample points that a fitted node has at least, about.
 SAMPLE, SAMPLE_LEAF = 32_768, 8
 #: Recall over the probes that visits are set for; means are taken over at most so many points of a node, so often.
-RECALL, PROBES, MEANS_OF, MEANS_ROUNDS = 0.93, 128, 256, 4
+RECALL, PROBES, MEANS_OF, MEANS_ROUNDS = 0.95, 128, 256, 4
 #: Index entries (vectors times trees) of a part, about.
 PART_ROWS = 40_000
 HITS = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("id", "<i8"), ("score", "<f8")])
