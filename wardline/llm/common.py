@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +43,16 @@ def texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
+def pieces(raw: bytes, size: int = 1 << 20) -> Iterator[bytes]:
+    """A text parted at spaces, so that its words are never all held at once."""
+    at = 0
+    while at < len(raw):
+        end = raw.find(b" ", at + size)
+        end = len(raw) if end < 0 else end
+        yield raw[at:end]
+        at = end
+
+
 #: A key with more rows than this, and than a thousandth of all rows, is hot: there are 1000 such keys at most.
 HOT_ROWS = 10_000
 

@@ -16,6 +16,7 @@ WHERE = {
     "op8_weighted_minhash": "neardup",
     "op9_pattern_packing": "packing",
     "op10_minimax_shards": "sharding",
+    "op11_fp_search": "lexical",
     "op12_fm_spelling": "spelling",
     "op13_streaming_dedup": "exactdedup",
 }
@@ -26,6 +27,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import exactdedup, licenses, spelling
+    from . import exactdedup, lexical, licenses, spelling
 
-    return {"op3_sentence_rules": licenses.oracle_sql(), "op12_fm_spelling": spelling.oracle_sql(), "op13_streaming_dedup": exactdedup.oracle_sql()}
+    return {"op3_sentence_rules": licenses.oracle_sql(), "op11_fp_search": lexical.oracle_sql(), "op12_fm_spelling": spelling.oracle_sql(), "op13_streaming_dedup": exactdedup.oracle_sql()}
