@@ -2,7 +2,9 @@
 
 Such a tokenizer encodes the words of a text independently: no match of its split pattern holds white space, and neither NFC nor
 lower-casing by character reaches across it. So a text's ids are the ids of its words in turn, and a word is encoded once per
-Python worker and then looked up. A text in which a special token's string stands goes to the library whole.
+Python worker and then looked up. Words are lower-cased and parted from commas and full stops beforehand only in texts of proven
+characters; a letter that becomes a letter and a mark, or a mark that becomes part of a letter, is left to the library's own steps.
+A text in which a special token's string stands goes to the library whole.
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ import re
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
+#: Letters that stay letters, and one each, under NFC and lower-casing, and signs that stay signs; all others are unproven.
+PROVEN = " -įı-ſΑ-ΡΣ-Ωα-ωА-я‐-‧‰-›€ぁ-ゔァ-ヺ一-龥가-힣"
+UNPROVEN = re.compile(f"[^\\x00-\\x7F{PROVEN}]")
 #: A full stop or comma before white space that doesn't end a word, but a run of signs; then the signs stay together.
 RUN = re.compile(r"[.,](?=[ \n])(?<=[^\w \n\t\r].|_.)", re.DOTALL)
 #: Words of letters without a mark of their own and signs other than the apostrophe: each run of letters or of signs is one match.
@@ -62,10 +67,12 @@ class WordIds(dict):
         """The ids of a text as little-endian unsigned 32-bit integers."""
         if self.special.search(text):
             return b"".join(i.to_bytes(4, "little") for i in self.tokenizer.encode(text, add_special_tokens=False).ids)
-        raw = text.encode().lower()  # only ASCII letters change
-        if not RUN.search(text):
-            for sign in (b", ", b". ", b",\n", b".\n"):
-                raw = raw.replace(sign, b" %c " % sign[0])
+        raw = text.encode()
+        if text.isascii() or not UNPROVEN.search(text):
+            raw = raw.lower()  # only ASCII letters change
+            if not RUN.search(text):
+                for sign in (b", ", b". ", b",\n", b".\n"):
+                    raw = raw.replace(sign, b" %c " % sign[0])
         if self.bytes > self.most_bytes:
             self.clear()
             self.bytes = 0
