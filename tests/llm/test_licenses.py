@@ -133,6 +133,14 @@ def test_sql_on_published_texts(spark):
     assert got == sorted(con.sql(licenses.oracle_sql()).fetchall())
 
 
+def test_every_known_sentence_is_read_by_itself(spark):
+    """A text of one sentence is read whatever its words are."""
+    alone = ["The origin of this software must not be misrepresented; you must not claim that you wrote the original software.", "This notice may not be removed or altered from any source distribution."]
+    got = scan(spark, *alone, *[t for _, t in licenses.SENTENCES], "This project is licensed under the MIT License, Copyright 2020 A. Person")
+    assert [x[0] for x in got[:2]] == ["zlib_origin", "zlib_notice"]
+    assert all(x[2] == 1 for x in got) and got[-1][1] == "MIT"
+
+
 def test_hard_rows(spark, hard):
     rows = licenses.scan_licenses(hard).collect()
     assert len(rows) == len(HARD) and all(tuple(r)[1:] == ("", "", 0, 0) for r in rows)
