@@ -1,6 +1,7 @@
 import array
 import bisect
 import hashlib
+import unicodedata
 import zlib
 
 import numpy as np
@@ -8,6 +9,7 @@ import pandas as pd
 import public_tokenizers
 import pytest
 import tiktoken
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from wardline.llm import bytebpe, idstream, packing, wordtok
@@ -54,6 +56,16 @@ def test_words_of_letters_and_signs_equal_the_library(library):
         assert w.encode(t) == packed(library(t)), t
 
 
+def test_every_character_equals_the_library(library):
+    """Before and after signs, white space and letters, those included that become a letter and a mark or join the mark after them."""
+    w = wordtok.WordIds(WORDS)
+    assigned = [c for c in map(chr, range(0x110000)) if unicodedata.category(c) not in ("Cs", "Co", "Cn")]
+    bad = [hex(ord(c)) for c in assigned if w.encode(t := f"A{c}, {c}. H{c}b,\n.{c}. J{c}.\n{c}X, 'S") != packed(library(t))]
+    assert bad == []
+    for t in ("Tarih: 1923, MECLİSİ, ANKARA", "Otel KADİ, İSTANBULİ, ve EVİ. Geldi", "J\u030c, H\u0331. T\u0308\n \u0301x, .\u0301"):
+        assert w.encode(t) == packed(library(t))
+
+
 def test_held_words_are_bounded(docs):
     w = wordtok.WordIds(WORDS, most_bytes=20_000)
     for t in [*docs["text"][:50], "x" * 100_000, "日本語" * 30_000]:
@@ -216,6 +228,14 @@ def test_op9(spark, sf_dir, docs, library):
     assert (got["start"] == 4096 * got["piece"]).all()
 
 
+def test_plan_of_a_given_table_is_as_short_as_can_be(spark, sf_dir):
+    pieces = packing.token_pieces(spark.read.parquet(f"{sf_dir}/../sf0.1/documents.parquet"), WORDS)
+    histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    least = -(-sum(n * c for n, c in histogram.items()) // packing.CAPACITY)
+    assert packing.plan_sequences(histogram)[1] == least
+    assert packing.Plan(histogram, packing.CAPACITY, {}, packing.BINS).next >= least
+
+
 def test_packing_hard_rows(spark, hard):
     got = packing.pack_documents(hard, WORDS, 512).toPandas()
     whole(got, 512)
