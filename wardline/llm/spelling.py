@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, hot_join, texts, written
+from .common import documents, hot_join, pieces, texts, written
 
 LEAST_LETTERS, LEAST_COUNT, RATIO, DROP = 6, 5, 5, 199
 #: Code points of words in a block, about, before copies for halves of other lengths.
@@ -36,9 +36,12 @@ LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 0xC0 el
 # ---- vocabulary ----
 
 
-def runs(text: str) -> list[bytes]:
+def run_counts(text: str) -> Counter:
     """Maximal runs [A-Za-z\\u00C0-\\u00FF]+, A-Z in lower case, as Latin-1."""
-    return text.encode("latin-1", "replace").translate(LETTERS).split()
+    found: Counter = Counter()
+    for part in pieces(text.encode("latin-1", "replace").translate(LETTERS)):
+        found.update(part.split())
+    return found
 
 
 def dropped(word: bytes, start: int, drop: int) -> bytes:
@@ -62,9 +65,8 @@ def word_counts(docs: DataFrame, least_letters: int = LEAST_LETTERS, drop: int =
         for f in frames:
             for doc_id, text in zip(f["id"], f["text"], strict=True):
                 start = zlib.crc32(f"{doc_id}:".encode())
-                for word, n in Counter(w for w in runs(text) if len(w) >= least_letters).items():
-                    word = dropped(word, start, drop)
-                    if len(word) >= least_letters:
+                for word, n in run_counts(text).items():
+                    if len(word) >= least_letters and len(word := dropped(word, start, drop)) >= least_letters:
                         held[word] += n
                 if len(held) >= MOST_HELD:
                     yield out()
