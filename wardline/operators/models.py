@@ -1,8 +1,8 @@
 """Least squares and generalised linear models with many fixed effects and clustered errors.
 
-Data stay distributed: effects are taken out by alternating group means (a group-by and a join for each effect and round), and only
-k x k cross-products and one score for each cluster and coefficient are aggregated. Iterations are written to the shared folder
-that spark.checkpoint.dir names, so that a lost executor costs one round and the lineage stays short.
+Data stay distributed: effects are taken out on combinations of levels (`effects.demean`), and only k x k cross-products (`gram`) and
+one score for each cluster and coefficient are aggregated. Iterations are written to the shared folder that spark.checkpoint.dir
+names, so that a lost executor costs one round and the lineage stays short.
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .effects import demean
+from .gram import gram, grams
 from .metrics import stored as _cut
 from .quantiles import exact_quantiles
 
-TOLERANCES = ((1e-8, 200), (1e-6, 200))
+__all__ = ["demean"]
 
 
 # ---- design ----
@@ -82,63 +84,14 @@ def drop_singletons(df: DataFrame, effects: Sequence[str], most: int = 50) -> Da
     raise RuntimeError("singletons remain")
 
 
-# ---- fixed effects ----
-
-
-def _level_mean(c: str, effect: str) -> Column:
-    w = Window.partitionBy(effect)
-    return F.sum(F.col("_w") * F.col(c)).over(w) / F.sum("_w").over(w)
-
-
-def demean(df: DataFrame, columns: Sequence[str], effects: Sequence[str], weight: str | None = None, tolerances: Sequence[tuple[float, int]] = TOLERANCES, every: int = 4) -> tuple[DataFrame, dict]:
-    """Columns without the means of all effects, by turns until the largest mean left, in units of the column's own size, is below
-    the tolerance; then below its fallback.
-
-    What is taken out depends only on the combination of effects a row has. So rows are first summed to combinations, the turns
-    work on these, and the rows are joined with the outcome once: a level that holds a third of all rows is but its combinations.
-    Returns the frame and {converged, tolerance, rounds, change}. One effect needs one round. Rows with a null effect go.
-    """
-    df = df.filter(complete(list(effects))).withColumns({c: F.col(c).cast("double") for c in columns})
-    w = F.col(weight) if weight else F.lit(1.0)
-    keys, values = [f"_e{k}" for k in range(len(effects))], [f"_v{k}" for k in range(len(columns))]
-    cells = df.groupBy(*[F.col(e).alias(k) for e, k in zip(effects, keys, strict=True)]).agg(F.sum(w).alias("_w"), *[(F.sum(w * F.col(c)) / F.sum(w)).alias(v) for c, v in zip(columns, values, strict=True)])
-    cells = _cut(cells.withColumns({f"{v}_0": F.col(v) for v in values}))
-    got = df.agg(*[F.sqrt(F.sum(w * F.col(c) * F.col(c)) / F.sum(w)).alias(v) for c, v in zip(columns, values, strict=True)]).first()
-    scale = {v: got[v] or 1.0 for v in values}
-    state = {"converged": False, "tolerance": tolerances[-1][0], "rounds": 0, "change": float("inf")}
-    for tolerance, most in tolerances:
-        start = state["rounds"]
-        while not state["converged"] and state["rounds"] - start < most:
-            for _ in range(1 if len(effects) == 1 else every):
-                for k in keys:
-                    cells = cells.withColumns({v: F.col(v) - _level_mean(v, k) for v in values})
-                state["rounds"] += 1
-            cells = _cut(cells)
-            state["change"] = 0.0
-            for k in keys[:-1]:  # the last effect's means are zero
-                left = cells.groupBy(k).agg(*[F.abs(F.sum(F.col("_w") * F.col(v)) / F.sum("_w") / scale[v]).alias(v) for v in values])
-                state["change"] = max(state["change"], left.agg(F.max(F.greatest(*values) if len(values) > 1 else F.col(values[0])).alias("m")).first()["m"] or 0.0)
-            state |= {"converged": state["change"] <= tolerance, "tolerance": tolerance}
-    taken = cells.select(*keys, *[(F.col(f"{v}_0") - F.col(v)).alias(v) for v in values])
-    out = df.join(taken, [F.col(e) == F.col(k) for e, k in zip(effects, keys, strict=True)])
-    return out.withColumns({c: F.col(c) - F.col(v) for c, v in zip(columns, values, strict=True)}).drop(*keys, *values), state
-
-
 # ---- least squares ----
 
 
 def cross_products(df: DataFrame, x: Sequence[str], y: Sequence[str] = (), weight: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """X'X, X'y, y'y and the number of rows, as sums of one aggregate."""
-    w = F.col(weight) if weight else F.lit(1.0)
-    pairs = [(i, j) for i in range(len(x)) for j in range(i, len(x))]
-    cells = [F.sum(w * F.col(x[i]) * F.col(x[j])) for i, j in pairs] + [F.sum(w * F.col(a) * F.col(b)) for a in x for b in y] + [F.sum(w * F.col(b) * F.col(b)) for b in y]
-    got = df.agg(F.count("*"), *cells).first()
-    values = [float(v or 0) for v in got[1:]]
-    xx = np.zeros((len(x), len(x)))
-    for (i, j), v in zip(pairs, values, strict=False):
-        xx[i, j] = xx[j, i] = v
-    at = len(pairs)
-    return xx, np.array(values[at : at + len(x) * len(y)]).reshape(len(x), len(y)), np.array(values[at + len(x) * len(y) :]), int(got[0])
+    """X'X, X'y for all outcomes y, y'y and the number of rows, in one pass over rows without nulls."""
+    total, n = gram(df, [*x, *y], weight)
+    k = len(x)
+    return total[:k, :k], total[:k, k:], np.diag(total)[k:].copy(), n
 
 
 def independent(xx: np.ndarray, tolerance: float = 1e-9) -> list[int]:
@@ -220,12 +173,20 @@ def scores(df: DataFrame, x: Sequence[str], residual: Column, cluster: Sequence[
 
 
 def _meat(s: DataFrame, k: int) -> tuple[np.ndarray, int]:
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
-    got = s.agg(F.count("*"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).first()
-    out = np.zeros((k, k))
-    for (i, j), v in zip(pairs, got[1:], strict=True):
-        out[i, j] = out[j, i] = float(v or 0)
-    return out, int(got[0])
+    """The sum of the clusters' outer products, and the number of clusters."""
+    return gram(s, [f"s{j}" for j in range(k)])
+
+
+def covariance_of(bread: np.ndarray, scored: DataFrame, names: Sequence[str], residual: Column, clusters: Sequence[str], n: int, rank: int) -> tuple[np.ndarray, dict[str, int]]:
+    """CRV1 by one cluster, or by two less that of their intersection: the covariance and the numbers of clusters."""
+    sets, counts = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else []), {}
+    covariance = np.zeros((len(names), len(names)))
+    for j, own in enumerate(sets):
+        meat, g = _meat(scores(scored, names, residual, own), len(names))
+        counts["*".join(own)] = g
+        factor = g / (g - 1) * (n - 1) / max(n - rank, 1) if g > 1 else float("nan")
+        covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
+    return (covariance + covariance.T) / 2, counts
 
 
 def ols(df: DataFrame, y: str, x: Sequence[str], clusters: Sequence[str] = ()) -> Fit:
@@ -251,14 +212,7 @@ def ols(df: DataFrame, y: str, x: Sequence[str], clusters: Sequence[str] = ()) -
         dof = max(n - k, 1)
         covariance = bread * sse / dof
     else:
-        sets = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else [])
-        covariance = np.zeros((k, k))
-        for j, own in enumerate(sets):
-            meat, g = _meat(scores(active, names, residual, own), k)
-            counts["*".join(own)] = g
-            factor = g / (g - 1) * (n - 1) / max(n - k, 1) if g > 1 else float("nan")
-            covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
-        covariance = (covariance + covariance.T) / 2
+        covariance, counts = covariance_of(bread, active, names, residual, clusters, n, k)
         dof = max(min(counts[c] for c in clusters) - 1, 1)
     return Fit(names, [c for c in x if c not in names], beta, covariance, n, counts, dof, sse, float(np.linalg.cond(xx)))
 
@@ -303,21 +257,17 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
         own = own.withColumns({"_one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in (y, *x)})
         x = ["_one", *x]
     own, k = _cut(own), len(x)
-    pairs = [(i, j) for i in range(k) for j in range(i, k)]
     active = F.greatest(*[F.abs(c) for c in x]) if k > 1 else F.abs(x[0])
-    sums = own.groupBy(group).agg(F.count_if(active > 1e-12).alias("n"), *[F.sum(F.col(x[i]) * F.col(x[j])) for i, j in pairs], *[F.sum(F.col(c) * F.col(y)) for c in x]).collect()
+    counts = dict(own.groupBy(group).agg(F.count_if(active > 1e-12)).collect())
     solved, betas = {}, []
-    for r in sums:
-        xx = np.zeros((k, k))
-        for (i, j), v in zip(pairs, r[2:], strict=False):
-            xx[i, j] = xx[j, i] = float(v or 0)
-        xy, kept = np.array([float(v or 0) for v in r[2 + len(pairs) :]]), independent(xx)
-        beta, bread = np.zeros(k), np.zeros((k, k))
+    for g, (total, _) in grams(own, [*x, y], group).items():
+        xx, xy = total[:k, :k], total[:k, k]
+        kept, beta, bread = independent(xx), np.zeros(k), np.zeros((k, k))
         if kept:
             bread[np.ix_(kept, kept)] = np.linalg.inv(xx[np.ix_(kept, kept)])
             beta = bread @ xy
-        solved[r[0]] = (int(r["n"]), kept, beta, bread)
-        betas.append((r[0], beta.tolist()))
+        solved[g] = (int(counts[g]), kept, beta, bread)
+        betas.append((g, beta.tolist()))
     spark = df.sparkSession
     kind = df.select(group).schema[0].dataType.simpleString()
     fitted = own.join(spark.createDataFrame(betas, f"{group} {kind}, _b array<double>"), group)
@@ -325,9 +275,7 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
     fitted = fitted.filter(active > 1e-12).withColumn("_u", residual)
     sets, meats = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else []), []
     for own_set in sets:
-        s = fitted.groupBy(group, *own_set).agg(*[F.sum(F.col(c) * F.col("_u")).alias(f"s{j}") for j, c in enumerate(x)])
-        got = s.groupBy(group).agg(F.count("*"), *[F.sum(F.col(f"s{i}") * F.col(f"s{j}")) for i, j in pairs]).collect()
-        meats.append({r[0]: r for r in got})
+        meats.append(grams(scores(fitted, x, F.col("_u"), [group, *own_set]), [f"s{j}" for j in range(k)], group))
     out = []
     for g, (n, kept, beta, bread) in solved.items():
         if not kept or not n:
@@ -335,9 +283,7 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
             continue
         covariance, least = np.zeros((k, k)), None
         for j, m in enumerate(meats):
-            meat, clusters_n = np.zeros((k, k)), int(m[g][1])
-            for (i, l), v in zip(pairs, m[g][2:], strict=True):
-                meat[i, l] = meat[l, i] = float(v or 0)
+            meat, clusters_n = m[g]
             factor = clusters_n / (clusters_n - 1) * (n - 1) / max(n - len(kept), 1) if clusters_n > 1 else float("nan")
             covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
             least = clusters_n if least is None else min(least, clusters_n) if j < 2 else least
