@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import describe, inference, link, metrics, models, nameprob, reconcile, reshape
+from wardline.operators import cells, describe, glm, inference, link, metrics, models, nameprob, reconcile, reshape
 from wardline.plans import layouts, sensitivity
 from wardline.sources import manifest, readers
 
@@ -155,7 +155,7 @@ def test_glm_equals_dummies(spark, kind):
     eta = 0.3 * x + 0.2 * g - 0.5
     y = {"poisson_log": rng.poisson(np.exp(eta)), "binomial_logit": (rng.random(n) < 1 / (1 + np.exp(-eta))), "gamma_log": rng.gamma(2, np.exp(eta) / 2)}[kind].astype(float)
     df = spark.createDataFrame([(int(a), float(b), float(c)) for a, b, c in zip(g, x, y, strict=True)], "g int, x double, y double")
-    fit, how = models.glm(df, "y", ["x"], ["g"], kind, "g")
+    model = glm.glm(df, "y", ["x"], ["g"], kind, ["g"])
     d, beta = np.column_stack([x, np.eye(5)[g]]), np.zeros(6)
     for _ in range(50):
         e = d @ beta
@@ -163,7 +163,7 @@ def test_glm_equals_dummies(spark, kind):
         w = mu * (1 - mu) if kind == "binomial_logit" else mu if kind == "poisson_log" else np.ones(n)
         z = e + (y - mu) / (w if kind != "gamma_log" else mu)
         beta = np.linalg.solve((d * w[:, None]).T @ d, d.T @ (w * z))
-    assert how["converged"] and abs(fit.beta[0] - beta[0]) < 2e-5
+    assert model.converged and abs(model.fit.beta[0] - beta[0]) < 2e-5
 
 
 def test_bootstrap_and_influence(spark, panel):
@@ -174,7 +174,7 @@ def test_bootstrap_and_influence(spark, panel):
     total = s.agg(F.sum(F.col("score") * F.col("score"))).first()[0]
     n, k, m = fit.n, 2, fit.clusters["g"]
     assert np.isclose(total * m / (m - 1) * (n - 1) / (n - k), fit.covariance[0, 0], rtol=1e-6)
-    w = models.wild_bootstrap(s, "g", "score", float(fit.beta[0]), 400, 3).first()
+    w = cells.score_bootstrap(s.withColumnRenamed("score", "s0"), "g", ["a"], [float(fit.beta[0])], 400, 3).first()
     assert w["draws"] == 400 and np.isclose(w["sd"], total**0.5, rtol=0.2) and w["p"] < 0.05
     assert models.influence(s, "g", "score", 3).count() == 3
 
@@ -182,7 +182,7 @@ def test_bootstrap_and_influence(spark, panel):
 def test_cells_identify_contrasts_only(panel):
     df, (g, h, a, b, y) = panel
     one = df.withColumns(reshape.cell_basis(({"x": F.col("b"), "z": 1 - F.col("b")}, {"p": (F.col("h") > 4).cast("double"), "q": (F.col("h") <= 4).cast("double")})))
-    got = {r["contrast"]: r for r in models.cell_model(one, "y", ["x_p", "x_q", "z_p", "z_q"], ["a"], ["g"], ["g", "h"], {"did": {"x_p": 1, "x_q": -1, "z_p": -1, "z_q": 1}, "level": {"x_p": 1}}).collect()}
+    got = {r["contrast"]: r for r in cells.cell_model(one, "y", ["x_p", "x_q", "z_p", "z_q"], ["a"], ["g"], ["g", "h"], {"did": {"x_p": 1, "x_q": -1, "z_p": -1, "z_q": 1}, "level": {"x_p": 1}}).collect()}
     d = np.column_stack([b * (h > 4), b * (h <= 4), (1 - b) * (h > 4), a, np.eye(12)[g]])
     beta = np.linalg.lstsq(d, y, rcond=None)[0]
     assert got["did"]["identified"] and abs(got["did"]["estimate"] - (beta[0] - beta[1] - beta[2])) < 1e-6

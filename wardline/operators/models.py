@@ -1,4 +1,4 @@
-"""Least squares and generalised linear models with many fixed effects and clustered errors.
+"""Least squares with many fixed effects and clustered errors.
 
 Data stay distributed: effects are taken out on combinations of levels (`effects.demean`), and only k x k cross-products (`gram`) and
 one score for each cluster and coefficient are aggregated. Iterations are written to the shared folder that spark.checkpoint.dir
@@ -309,19 +309,6 @@ def refit_summary(refitted: DataFrame) -> DataFrame:
     return refitted.filter(F.col("estimate").isNotNull()).groupBy("term").agg(F.count("*").alias("refits"), F.min("estimate").alias("least"), F.percentile("estimate", F.lit(0.5)).alias("median"), F.max("estimate").alias("most"))
 
 
-def wild_bootstrap(cluster_scores: DataFrame, cluster: str, score: str, estimate: float, draws: int = 9999, seed: int = 1) -> DataFrame:
-    """Sign flips of cluster scores: p-value and basic interval. A sign is the first bit of the SHA-256 of seed, draw and cluster.
-
-    Clusters times draws are made and summed within tasks; nothing but one sum for each draw is shuffled.
-    """
-    flips = cluster_scores.withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(draws))))
-    key = F.concat_ws("|", F.lit(seed).cast("string"), F.col("draw").cast("string"), F.col(cluster).cast("string"))
-    sign = F.when(F.substring(F.sha2(key, 256), 1, 1) < "8", 1.0).otherwise(-1.0)
-    sums = flips.groupBy("draw").agg(F.sum(sign * F.col(score)).alias("delta"))
-    q = sums.agg(F.count("*").alias("draws"), F.stddev_samp("delta").alias("sd"), F.percentile("delta", F.lit(0.025)).alias("q025"), F.percentile("delta", F.lit(0.975)).alias("q975"), F.count_if(F.abs("delta") >= abs(estimate)).alias("beyond"))
-    return q.select("draws", F.lit(estimate).alias("estimate"), "sd", (F.lit(estimate) - F.col("q975")).alias("ci_low"), (F.lit(estimate) - F.col("q025")).alias("ci_high"), ((F.col("beyond") + 1) / (F.col("draws") + 1)).alias("p"))
-
-
 def influence(cluster_scores: DataFrame, cluster: str, score: str, k: int = 10) -> DataFrame:
     """The k clusters whose score shifts a coefficient most when left out, to first order."""
     return cluster_scores.select(cluster, (-F.col(score)).alias("shift"), F.abs(F.col(score)).alias("size")).orderBy(F.desc("size"), cluster).limit(k)
@@ -335,113 +322,62 @@ def influence_summary(cluster_scores: DataFrame, score: str) -> DataFrame:
 
 def influence_scores(df: DataFrame, fit: Fit, y: str, term: str, cluster: str) -> DataFrame:
     """cluster, score: each cluster's part in one coefficient."""
-    bread_row = np.linalg.inv(cross_products(df.filter(complete([y, *fit.names])), fit.names)[0])[fit.names.index(term)]
-    residual = F.col(y) - sum((float(b) * F.col(c) for b, c in zip(fit.beta, fit.names, strict=True)), F.lit(0.0))
-    direction = sum((float(b) * F.col(c) for b, c in zip(bread_row, fit.names, strict=True)), F.lit(0.0))
-    return df.filter(complete([y, *fit.names])).groupBy(cluster).agg(F.sum(direction * residual).alias("score"))
-
-
-# ---- generalised linear models ----
-
-
-def _family(kind: str, eta: Column, y: Column) -> tuple[Column, Column, Column, Column]:
-    """mean, weight, working response, deviance."""
-    if kind == "binomial_logit":
-        e = F.greatest(F.least(eta, F.lit(25.0)), F.lit(-25.0))
-        mu = 1 / (1 + F.exp(-e))
-        w = F.greatest(mu * (1 - mu), F.lit(1e-10))
-        return mu, w, e + (y - mu) / w, -2 * (y * F.log(mu) + (1 - y) * F.log(1 - mu))
-    e = F.greatest(F.least(eta, F.lit(20.0)), F.lit(-20.0))
-    mu = F.exp(e)
-    if kind == "poisson_log":
-        return mu, mu, e + (y - mu) / mu, 2 * F.when(y > 0, y * F.log(y / mu) - (y - mu)).otherwise(mu)
-    if kind == "gamma_log":
-        return mu, F.lit(1.0), e + (y - mu) / mu, 2 * ((y - mu) / mu - F.log(F.greatest(y / mu, F.lit(1e-12))))
-    raise ValueError(kind)
-
+    return influences(df, fit, y, [term], cluster).withColumnRenamed("s0", "score")
 
-def glm(df: DataFrame, y: str, x: Sequence[str], effects: Sequence[str], kind: str, cluster: str | None = None, most: int = 40, tolerance: float = 1e-8) -> tuple[Fit, dict]:
-    """Iteratively reweighted least squares with fixed effects taken out by weighted means in every step; a step that raises the deviance is halved.
 
-    Clustered errors by one cluster. Returns the fit and {converged, deviance, rounds}.
-    """
-    keep = list(dict.fromkeys([y, *x, *effects, *([cluster] if cluster else [])]))
-    df = df.filter(complete(keep)).select(*keep)
-    df = _cut(drop_singletons(df, effects) if effects else df.withColumn("_one", F.lit(1.0)))
-    x = list(x) if effects else ["_one", *x]
-    mean = df.agg(F.avg(y)).first()[0]
-    start = float(np.log(mean / (1 - mean))) if kind == "binomial_logit" else float(np.log(max(mean, 1e-4)))
-    df = df.withColumn("_eta", F.lit(start))
-    deviance = df.agg(F.sum(_family(kind, F.col("_eta"), F.col(y))[3])).first()[0]
-    for k in range(most):
-        _, w, z, _ = _family(kind, F.col("_eta"), F.col(y))
-        step = df.withColumn("_w", w).withColumn("_z", z).withColumns({f"_x{j}": F.col(c).cast("double") for j, c in enumerate(x)}).withColumn("_r", F.col("_z"))
-        cols = ["_r", *[f"_x{j}" for j in range(len(x))]]
-        flat = demean(step, cols, effects, "_w")[0] if effects else step
-        flat = _cut(flat)
-        xx, xy, _, _ = cross_products(flat, cols[1:], ["_r"], "_w")
-        kept = independent(xx)
-        beta = np.zeros(len(x))
-        beta[kept] = np.linalg.solve(xx[np.ix_(kept, kept)], xy[kept, 0])
-        fitted = sum((float(b) * F.col(f"_x{j}") for j, b in enumerate(beta)), F.lit(0.0))
-        # what the effects and the model explain of the working response
-        target = F.col("_z") - (F.col("_r") - fitted)
-        size, now = 1.0, None
-        while True:
-            new = flat.withColumn("_new", F.col("_eta") + size * (target - F.col("_eta")))
-            now = new.agg(F.sum(_family(kind, F.col("_new"), F.col(y))[3])).first()[0]
-            if now <= deviance * (1 + 1e-10) + 1e-12 or size < 1e-3 or k == 0:
-                break
-            size /= 2
-        done = abs(deviance - now) <= tolerance * (abs(now) + 0.1)
-        deviance = now
-        df = _cut(new.select(*keep, *(["_one"] if not effects else []), F.col("_new").alias("_eta"), *[F.col(c).alias(f"_d{c}") for c in cols], "_w"))
-        if done:
-            break
-        df = df.drop(*[f"_d{c}" for c in cols], "_w")
-    bread = np.linalg.inv(xx[np.ix_(kept, kept)])
-    names, n = [x[j] for j in kept], df.count()
-    mu, w, _, _ = _family(kind, F.col("_eta"), F.col(y))
-    factor = (F.col(y) - mu) / mu if kind == "gamma_log" else F.col(y) - mu
-    if cluster:
-        meat, g = _meat(df.groupBy(cluster).agg(*[F.sum(F.col(f"_d_x{j}") * factor).alias(f"s{i}") for i, j in enumerate(kept)]), len(kept))
-        covariance, dof = g / max(g - 1, 1) * bread @ meat @ bread, max(g - 1, 1)
-    else:
-        g, covariance, dof = 0, bread, max(n - len(kept), 1)
-    return Fit(names, [c for c in x if c not in names], beta[kept], covariance, n, {cluster: g} if cluster else {}, dof, float(deviance), float(np.linalg.cond(xx[np.ix_(kept, kept)]))), {"converged": bool(done), "deviance": float(deviance), "rounds": k + 1}
-
-
-# ---- cells ----
+def influences(df: DataFrame, fit: Fit, y: str, terms: Sequence[str], cluster: str) -> DataFrame:
+    """cluster, s0, s1, ...: each cluster's part in the coefficients of terms, in one pass."""
+    own = df.filter(complete([y, *fit.names]))
+    bread = np.linalg.inv(cross_products(own, fit.names)[0])
+    residual = F.col(y) - sum((float(b) * F.col(c) for b, c in zip(fit.beta, fit.names, strict=True)), F.lit(0.0))
+    directions = [sum((float(b) * F.col(c) for b, c in zip(bread[fit.names.index(t)], fit.names, strict=True)), F.lit(0.0)) for t in terms]
+    return own.groupBy(cluster).agg(*[F.sum(d * residual).alias(f"s{j}") for j, d in enumerate(directions)])
+
+
+def influential(df: DataFrame, outcomes: Sequence[str], x: Sequence[str], term: str, effects: Sequence[str], cluster: str, k: int = 10) -> DataFrame:
+    """outcome, cluster, rank, shift: for each outcome the k clusters whose leaving out moves a coefficient most, to first order (ties
+    by cluster). All outcomes are taken through the effects together."""
+    keep = list(dict.fromkeys([*outcomes, *x, *effects, cluster]))
+    flat, _ = demean(df.filter(complete(keep)).select(*keep, F.col(cluster).alias("_c")), [*outcomes, *x], effects)
+    flat, out = _cut(flat), None
+    for y in outcomes:
+        s = influence_scores(flat, ols(flat, y, x), y, term, "_c")
+        own = influence(s, "_c", "score", k).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("size"), "_c")))  # k rows
+        own = own.select(F.lit(y).alias("outcome"), F.col("_c").alias(cluster), "rank", "shift")
+        out = own if out is None else out.unionByName(own)
+    return out
 
 
-def cell_model(df: DataFrame, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str], contrasts: dict[str, dict[str, float]]) -> DataFrame:
-    """Contrasts of the coefficients of cell weights that sum to 1, by a pseudo-inverse: a contrast counts where the data identify it.
+def without_influential(df: DataFrame, outcomes: Sequence[str], x: Sequence[str], term: str, effects: Sequence[str], cluster: str, k: int = 10) -> DataFrame:
+    """outcome, left_out, n, estimate, shift: every outcome's coefficient without each cluster that `influential` names for any outcome.
 
-    contrast, estimate, se, identified, n, df: identified if it lies in the row space of the design without the effects' means.
+    Where the effects are nested in the cluster (each level is seen in one cluster only), what the effects take out of the other rows
+    doesn't change, so that an exact refit is the full fit's cross-products less the cluster's own. They are summed for the named
+    clusters alone, k times the outcomes at most. Otherwise each is refitted. left_out null: the full fit.
     """
-    x = [*cells, *controls]
-    keep = list(dict.fromkeys([y, *x, *effects, *clusters]))
+    named = [r[0] for r in influential(df, outcomes, x, term, effects, cluster, k).select(cluster).distinct().orderBy(cluster).collect()]
+    keep = list(dict.fromkeys([*outcomes, *x, *effects, cluster]))
     own = df.filter(complete(keep)).select(*keep)
-    flat = _cut(demean(own, [y, *x], effects)[0] if effects else own)
-    xx, xy, _, n = cross_products(flat, x, [y])
-    bread = np.linalg.pinv(xx, rcond=1e-10, hermitian=True)
-    beta = bread @ xy[:, 0]
-    space = bread @ xx
-    residual = F.col(y) - sum((float(b) * F.col(c) for b, c in zip(beta, x, strict=True)), F.lit(0.0))
-    rank = int(round(np.trace(space)))
-    sets = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else [])
-    covariance, least = np.zeros((len(x), len(x))), None
-    for j, own_set in enumerate(sets):
-        meat, g = _meat(scores(flat, x, residual, own_set), len(x))
-        covariance += (-1 if j == 2 else 1) * (g / max(g - 1, 1)) * ((n - 1) / max(n - rank, 1)) * bread @ meat @ bread
-        least = g if least is None else min(least, g)
-    out = []
-    for name, coefficients in contrasts.items():
-        c = np.array([coefficients.get(v, 0.0) for v in x])
-        ok = bool(np.abs(space @ c - c).max() < 1e-6)
-        v = float(c @ covariance @ c)
-        out.append((name, float(c @ beta) if ok else None, float(np.sqrt(v)) if ok and v >= 0 else None, ok, n, (least or n) - 1))
-    return df.sparkSession.createDataFrame(out, "contrast string, estimate double, se double, identified boolean, n long, df int")
+    kind = df.select(cluster).schema[0].dataType.simpleString()
+    nested = own.groupBy(*effects).agg((F.min(cluster) < F.max(cluster)).alias("_more")).filter("_more").isEmpty()
+    if nested:
+        flat = _cut(demean(own.withColumn("_c", F.col(cluster)), [*outcomes, *x], effects)[0])
+        total, n = gram(flat, [*x, *outcomes])
+        parts = grams(flat.filter(F.col("_c").isin(named)), [*x, *outcomes], "_c")
+        fits = {None: (total, n)} | {c: (total - parts[c][0], n - parts[c][1]) for c in named}
+        p, j, rows = len(x), list(x).index(term), []
+        for c, (zz, rest) in fits.items():
+            kept = independent(zz[:p, :p])
+            beta = np.linalg.solve(zz[np.ix_(kept, kept)], zz[np.ix_(kept, range(p, p + len(outcomes)))]) if j in kept else None
+            rows += [(y, c, rest, None if beta is None else float(beta[kept.index(j), m])) for m, y in enumerate(outcomes)]
+    else:
+        rows = []
+        for y in outcomes:
+            for c in (None, *named):
+                fit, _ = fixed_effects(own if c is None else own.filter(F.col(cluster) != c), y, x, effects, [])
+                rows.append((y, c, fit.n, float(fit.beta[fit.names.index(term)]) if term in fit.names else None))
+    full = {y: e for y, c, _, e in rows if c is None}
+    return df.sparkSession.createDataFrame([(*r, None if r[3] is None or full[r[0]] is None else r[3] - full[r[0]]) for r in rows], f"outcome string, left_out {kind}, n long, estimate double, shift double")
 
 
 def row_count_over(df: DataFrame, by: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators import inference, models, nameprob, reshape
+from wardline.operators import cells, glm, inference, models, nameprob, reshape
 from wardline.plans import sensitivity
 from wardline.plans.frames import ENCOUNTERS_SQL, encounters, table
 from wardline.plans.queries import SHARES, _name_parts, _name_sql
@@ -101,32 +101,41 @@ def _without(spark, sf):
 SCORES = f"""{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)}, est AS (SELECT estimate FROM fit WHERE j = 3), sc AS (SELECT c2 AS facility, sum(s) AS score FROM part WHERE j = 3 GROUP BY 1)"""
 
 
-def _scores(spark, sf):
+def _flat(spark, sf):
     df, _ = models.demean(_regression(spark, sf), ["y", "a", "b", "ab"], ["facility"])
-    fit = models.ols(df, "y", ["a", "b", "ab"], ["provider", "facility"])
-    return models.influence_scores(df, fit, "y", "ab", "facility"), float(fit.beta[fit.names.index("ab")])
+    return df, models.ols(df, "y", ["a", "b", "ab"], ["provider", "facility"])
+
+
+def _scores(spark, sf):
+    return models.influence_scores(*_flat(spark, sf), "y", "ab", "facility")
+
+
+BIT = "(instr('0123456789abcdef', substr(sha256({seed} || '|' || CAST({unit} AS string) || '|' || CAST((draw - 1) // 256 AS string)), CAST((draw - 1) % 256 // 4 + 1 AS int), 1)) - 1 >> CAST(3 - (draw - 1) % 4 AS int)) & 1"
 
 
 @query(
     "wild_bootstrap",
-    f"""{SCORES}, f AS (SELECT draw, sum(CASE WHEN substr(sha256('1|' || CAST(draw AS string) || '|' || CAST(facility AS string)), 1, 1) < '8' THEN score ELSE -score END) AS delta FROM sc, range(1, 10000) t(draw) GROUP BY 1)
-SELECT count(*) AS draws, round((SELECT estimate FROM est), 3) AS estimate, round(stddev_samp(delta), 3) AS sd, round((SELECT estimate FROM est) - quantile_cont(delta, 0.975), 3) AS ci_low, round((SELECT estimate FROM est) - quantile_cont(delta, 0.025), 3) AS ci_high,
-round((count(*) FILTER (abs(delta) >= abs((SELECT estimate FROM est))) + 1) / 10000.0, 6) AS p FROM f""",
+    f"""{SCORES.replace("est AS (SELECT estimate FROM fit WHERE j = 3), sc AS (SELECT c2 AS facility, sum(s) AS score FROM part WHERE j = 3 GROUP BY 1)", "sc AS (SELECT j, c2 AS facility, sum(s) AS score FROM part GROUP BY 1, 2)")}, sign AS (SELECT facility, draw, 1 - 2 * ({BIT.format(seed="'1'", unit="facility")}) AS sign FROM (SELECT DISTINCT facility FROM sc), range(1, 10000) t(draw)),
+f AS (SELECT j, draw, sum(sign * score) AS delta FROM sc JOIN sign USING (facility) GROUP BY 1, 2)
+SELECT {TERM.replace('CASE j', 'CASE f.j')} AS contrast, count(*) AS draws, round(any_value(estimate), 3) AS estimate, round(stddev_samp(delta), 3) AS sd, round(any_value(estimate) - quantile_cont(delta, 0.975), 3) AS ci_low, round(any_value(estimate) - quantile_cont(delta, 0.025), 3) AS ci_high,
+round((count(*) FILTER (abs(delta) >= abs(estimate)) + 1) / 10000.0, 6) AS p FROM f JOIN fit ON fit.j = f.j GROUP BY f.j""",
 )
 def _wild(spark, sf):
-    s, estimate = _scores(spark, sf)
-    return models.wild_bootstrap(s, "facility", "score", estimate).select("draws", *[F.round(c, 3).alias(c) for c in ("estimate", "sd", "ci_low", "ci_high")], "p")
+    """Three coefficients with the same signs in every draw."""
+    df, fit = _flat(spark, sf)
+    out = cells.score_bootstrap(models.influences(df, fit, "y", fit.names, "facility"), "facility", fit.names, fit.beta)
+    return out.select("contrast", "draws", *[F.round(c, 3).alias(c) for c in ("estimate", "sd", "ci_low", "ci_high")], "p")
 
 
 @query("top_influence", f"{SCORES} SELECT facility, round(-score, 4) AS shift, round(abs(score), 4) AS size FROM sc ORDER BY abs(score) DESC, facility LIMIT 10")
 def _influence(spark, sf):
-    s, _ = _scores(spark, sf)
+    s = _scores(spark, sf)
     return models.influence(s, "facility", "score").select("facility", F.round("shift", 4).alias("shift"), F.round("size", 4).alias("size"))
 
 
 @query("influence_summary", f"{SCORES} SELECT count(*) AS clusters, round(max(abs(score)), 4) AS largest, round(quantile_cont(abs(score), 0.99), 4) AS p99 FROM sc")
 def _influence_summary(spark, sf):
-    s, _ = _scores(spark, sf)
+    s = _scores(spark, sf)
     return models.influence_summary(s, "score").select("clusters", F.round("largest", 4).alias("largest"), F.round("p99", 4).alias("p99"))
 
 
@@ -197,13 +206,45 @@ def newton(rounds: int = 12) -> str:
 @query(
     "poisson_glm",
     f"""{ENC}, p AS (SELECT facility, provider, days AS y, {A} AS x FROM encounters), fac AS (SELECT facility, sum(y) AS sy, count(*) FILTER (x = 0) AS n0, count(*) FILTER (x = 1) AS n1, sum(y * x) AS s1 FROM p GROUP BY 1), {newton()},
-mu AS (SELECT provider, y, x, sy * exp(b * x) / (n0 + n1 * exp(b)) AS m, n1 * exp(b) / (n0 + n1 * exp(b)) AS xbar FROM p JOIN fac USING (facility), b12), h AS (SELECT sum(m * (x - xbar) * (x - xbar)) AS h, count(*) AS n FROM mu), s AS (SELECT provider, sum((x - xbar) * (y - m)) AS s FROM mu GROUP BY 1),
-v AS (SELECT sum(s * s) AS v, count(*) AS g FROM s) SELECT 'a' AS term, round(b, 4) AS estimate, round(sqrt(g / (g - 1) * v) / h, 4) AS se, g - 1 AS df, n, TRUE AS converged FROM b12, h, v""",
+mu AS (SELECT provider, facility, y, x, sy * exp(b * x) / (n0 + n1 * exp(b)) AS m, n1 * exp(b) / (n0 + n1 * exp(b)) AS xbar FROM p JOIN fac USING (facility), b12), h AS (SELECT sum(m * (x - xbar) * (x - xbar)) AS h, count(*) AS n, sum((y - m) * (y - m) / m) AS pearson, count(DISTINCT facility) AS levels FROM mu),
+c1 AS (SELECT sum(s * s) AS v, count(*) AS g FROM (SELECT sum((x - xbar) * (y - m)) AS s FROM mu GROUP BY provider)), c2 AS (SELECT sum(s * s) AS v, count(*) AS g FROM (SELECT sum((x - xbar) * (y - m)) AS s FROM mu GROUP BY facility)), c12 AS (SELECT sum(s * s) AS v, count(*) AS g FROM (SELECT sum((x - xbar) * (y - m)) AS s FROM mu GROUP BY provider, facility))
+SELECT 'a' AS term, round(b, 4) AS estimate, round(sqrt((n - 1.0) / (n - 1) * (c1.v * c1.g / (c1.g - 1) + c2.v * c2.g / (c2.g - 1) - c12.v * c12.g / (c12.g - 1))) / h, 4) AS se, round(pearson / (n - 1 - levels), 4) AS dispersion, least(c1.g, c2.g) - 1 AS df, n, TRUE AS converged FROM b12, h, c1, c2, c12""",
 )
 def _glm(spark, sf):
     df = encounters(spark, sf).select("facility", "provider", F.col("days").alias("y"), (F.col("order_status") == "F").cast("double").alias("a"))
-    fit, how = models.glm(df, "y", ["a"], ["facility"], "poisson_log", "provider")
-    return spark.createDataFrame([(r[0], round(r[1], 4), round(r[2], 4), r[7], r[8], how["converged"]) for r in fit.rows()], "term string, estimate double, se double, df int, n long, converged boolean")
+    m = glm.glm(df, "y", ["a"], ["facility"], "poisson_log", ["provider", "facility"])
+    return spark.createDataFrame([(r[0], round(r[1], 4), round(r[2], 4), round(m.dispersion, 4), m.fit.df, r[7], m.converged) for r in m.rows()], "term string, estimate double, se double, dispersion double, df int, n long, converged boolean")
+
+
+GLM_OUTCOMES = {"days": ("poisson_log", "days", "TRUE"), "late": ("binomial_logit", "CAST(days > 1 AS double)", "TRUE"), "charge": ("gamma_log", "total", "total > 100000")}
+PAIRS = ("11", "10", "01", "00")
+
+
+def _saturated(name: str, kind: str, y: str, where: str) -> str:
+    """Without effects and controls a model of a, b and ab fits the four means exactly. Whatever the link, the contrast of its fitted
+    means is then that of the means, and its delta-method error that of the mean errors summed by cluster."""
+    link = {"poisson_log": "ln(m{c})", "gamma_log": "ln(m{c})", "binomial_logit": "ln(m{c} / (1 - m{c}))"}[kind]
+    slope = {"poisson_log": "m{c}", "gamma_log": "m{c}", "binomial_logit": "(m{c} * (1 - m{c}))"}[kind]
+    spread = {"poisson_log": "m", "gamma_log": "m * m", "binomial_logit": "m * (1 - m)"}[kind]
+    sign = {"11": 1, "10": -1, "01": -1, "00": 1}
+    own = f"r AS (SELECT provider AS c1, facility AS c2, CAST({A} AS string) || CAST({B} AS string) AS c, CAST({y} AS double) AS y FROM encounters WHERE {where}), w AS (SELECT c, avg(y) AS m, count(*) AS k FROM r GROUP BY 1)"
+    means = "t AS (SELECT " + ", ".join(f"max(m) FILTER (c = '{c}') AS m{c}" for c in PAIRS) + ", sum(k) AS n, sum(k * m) / sum(k) AS mean FROM w)"
+    parts = "e AS (SELECT c1, c2, " + f"(y - m) / k * CASE c {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {v}' for c, v in sign.items())} END AS d, (y - m) / k * CASE c {' '.join(f'WHEN {chr(39)}{c}{chr(39)} THEN {v} / ' + slope.format(c=c) for c, v in sign.items())} END AS l, (y - m) * (y - m) / ({spread}) AS chi FROM r JOIN w USING (c), t)"
+    sums = ", ".join(f"v{j} AS (SELECT count(*) AS g, sum(d * d) AS d, sum(l * l) AS l FROM (SELECT sum(d) AS d, sum(l) AS l FROM e GROUP BY {by}))" for j, by in enumerate(("c1", "c2", "c1, c2")))
+    v = {c: f"sqrt((n - 1.0) / (n - 4) * (v0.{c} * v0.g / (v0.g - 1) + v1.{c} * v1.g / (v1.g - 1) - v2.{c} * v2.g / (v2.g - 1)))" for c in "dl"}
+    total = {"d": " + ".join(f"({s}) * m{c}" for c, s in sign.items()), "l": " + ".join(f"({s}) * {link.format(c=c)}" for c, s in sign.items())}
+    return f"""SELECT * FROM (WITH {own}, {means}, {parts}, {sums} SELECT '{name}' AS outcome, '{kind}' AS family, 'ab' AS term, round({total['l']}, 5) AS link_estimate, round({v['l']}, 5) AS link_se, round(({total['d']}) / mean, 6) AS contrast, round({v['d']} / mean, 6) AS contrast_se,
+{', '.join(f'round(m{c} / mean, 6) AS mean_{c}' for c in PAIRS)}, round((SELECT sum(chi) FROM e) / (n - 4), 5) AS dispersion, CAST(n AS BIGINT) AS n, TRUE AS converged FROM t, v0, v1, v2)"""
+
+
+@query("marginal_contrasts", f"{ENC} {' UNION ALL '.join(_saturated(n, *spec) for n, spec in GLM_OUTCOMES.items())}")
+def _marginal(spark, sf):
+    """Interactions on the link's scale and average marginal contrasts, in units of the outcome's mean, of three families."""
+    e = encounters(spark, sf)
+    df = e.select("provider", "facility", *[F.expr(y).cast("double").alias(n) for n, (_, y, _) in GLM_OUTCOMES.items()], "total", (F.col("order_status") == "F").cast("double").alias("a"), (F.col("segment") == "BUILDING").cast("double").alias("b")).withColumn("ab", F.col("a") * F.col("b"))
+    out = glm.pair_models(df, {n: (kind, where) for n, (kind, _, where) in GLM_OUTCOMES.items()}, "a", "b", "ab", [], [], ["provider", "facility"])
+    share = [F.round(F.col(c) / F.col("outcome_mean"), 6).alias(c) for c in ("contrast", "contrast_se", *[f"mean_{c}" for c in PAIRS])]
+    return out.select("outcome", "family", "term", F.round("link_estimate", 5).alias("link_estimate"), F.round("link_se", 5).alias("link_se"), *share, F.round("dispersion", 5).alias("dispersion"), "n", "converged")
 
 
 @query(
@@ -227,8 +268,7 @@ def _cells(spark, sf):
     left = {"f": F.col("a"), "n": 1 - F.col("a")}
     right = {"b": F.col("b"), "o": 1 - F.col("b")}
     df = df.withColumns(reshape.cell_basis((left, right)))
-    cells = ["f_b", "f_o", "n_b", "n_o"]
-    out = models.cell_model(df, "y", cells, [], ["facility"], ["provider", "facility"], {"did": {"f_b": 1, "f_o": -1, "n_b": -1, "n_o": 1}, "level": {"f_b": 1}})
+    out = cells.cell_model(df, "y", ["f_b", "f_o", "n_b", "n_o"], [], ["facility"], ["provider", "facility"], {"did": {"f_b": 1, "f_o": -1, "n_b": -1, "n_o": 1}, "level": {"f_b": 1}})
     return out.withColumn("estimate", F.round("estimate", 3)).withColumn("se", F.round("se", 3))
 
 

@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators import inference, models
+from wardline.operators import glm, inference, models
 
 
 def swept(df: DataFrame, specs: dict[str, dict], y: str, effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
@@ -72,8 +72,8 @@ def outcome_models(df: DataFrame, outcomes: dict[str, str], x: Sequence[str], ef
                 out.append((y, kind, None, *[None] * 7, n, False, f"{int(events or 0)} events"))
                 continue
         try:
-            fit, how = models.glm(df, y, x, effects, kind, cluster)
-            out += [(y, kind, *r, how["converged"], None) for r in fit.rows()]
+            model = glm.glm(df, y, x, effects, kind, [cluster])
+            out += [(y, kind, *r[:7], model.fit.df, r[7], model.converged, None) for r in model.rows()]
         except (ValueError, IndexError, RuntimeError, np.linalg.LinAlgError) as e:
             out.append((y, kind, None, *[None] * 7, 0, False, str(e)[:100]))
     return df.sparkSession.createDataFrame(out, "outcome string, family string, term string, estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string")
