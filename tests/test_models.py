@@ -2,7 +2,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wardline.operators import effects, gram, models
+from wardline.operators import cells, effects, glm, gram, models
+from wardline.plans import sensitivity
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +88,159 @@ def test_empty_and_constant(spark):
     flat, how = effects.demean(df, ["y"], ["g", "h"])
     assert how["converged"] and all(abs(r["y"]) < 1e-9 for r in flat.collect())
     assert effects.demean(df.limit(0), ["y"], ["g", "h"])[0].count() == 0
+
+
+# ---- models ----
+
+
+@pytest.fixture(scope="module")
+def visits(spark):
+    """Two effects, two clusters, a pair of exposures with their product, a covariate, and outcomes of three families."""
+    rng = np.random.default_rng(20)
+    n = 700
+    f, c, d = rng.integers(0, 8, n), rng.integers(0, 5, n), rng.integers(0, 30, n)
+    a, b, z = (rng.random(n) < 0.4).astype(float), (rng.random(n) < 0.3).astype(float), rng.normal(size=n)
+    eta = 0.3 + 0.2 * a - 0.1 * b + 0.3 * a * b + 0.2 * z + 0.1 * f - 0.1 * c
+    out = {"poisson_log": rng.poisson(np.exp(eta)), "binomial_logit": (rng.random(n) < 1 / (1 + np.exp(-eta))), "gamma_log": rng.gamma(3, np.exp(eta) / 3)}
+    out = {k: v.astype(float) for k, v in out.items()}
+    rows = [tuple(float(x) for x in r) for r in zip(f, c, d, a, b, a * b, z, *out.values(), strict=True)]
+    df = spark.createDataFrame(rows, "f double, c double, d double, a double, b double, ab double, z double, poisson_log double, binomial_logit double, gamma_log double")
+    return df.withColumns({k: F.col(k).cast("int") for k in "fcd"}).repartition(3).persist(), f, c, d, np.column_stack([a, b, a * b, z]), out
+
+
+def by_dummies(x, y, f, c, kind):
+    """Newton's steps with every level as a column."""
+    full = np.hstack([x, np.eye(8)[f], np.eye(5)[c][:, 1 : c.max() + 1]])
+    beta = np.linalg.lstsq(full, np.full(len(y), np.log(y.mean()) if kind != "binomial_logit" else 0.0), rcond=None)[0]
+    for _ in range(60):
+        e = full @ beta
+        mu = 1 / (1 + np.exp(-e)) if kind == "binomial_logit" else np.exp(e)
+        w = {"binomial_logit": mu * (1 - mu), "poisson_log": mu, "gamma_log": np.ones(len(y))}[kind]
+        slope = mu if kind != "binomial_logit" else w
+        beta = np.linalg.solve((full * w[:, None]).T @ full, full.T @ (w * (e + (y - mu) / slope)))
+    return full, beta, mu, w
+
+
+@pytest.mark.parametrize("kind", ["poisson_log", "binomial_logit", "gamma_log"])
+def test_glm_errors_and_marginal_contrasts_equal_dummies(visits, kind):
+    df, f, c, d, x, out = visits
+    y, n = out[kind], len(x)
+    both = kind == "binomial_logit"  # the others with one effect, which needs no rounds
+    full, beta, mu, w = by_dummies(x, y, f, c if both else np.zeros(n, int), kind)
+    model = glm.glm(df, kind, ["a", "b", "ab", "z"], ["f", "c"] if both else ["f"], kind, ["d", "f"])
+    assert model.converged and np.allclose(model.fit.beta, beta[:4], atol=1e-5)
+    other = full[:, 4:]
+    flat = x - other @ np.linalg.solve((other * w[:, None]).T @ other, (other * w[:, None]).T @ x)
+    s = flat * ((y - mu) / (mu if kind == "gamma_log" else 1))[:, None]
+    bread, meat = np.linalg.inv((flat * w[:, None]).T @ flat), 0
+    for sign, keys in ((1, d), (1, f), (-1, d * 100 + f)):
+        sums = np.array([s[keys == k].sum(axis=0) for k in np.unique(keys)])
+        g = len(sums)
+        meat = meat + sign * g / (g - 1) * (n - 1) / (n - 4) * sums.T @ sums
+    covariance = bread @ meat @ bread
+    assert np.allclose(model.fit.covariance, covariance, rtol=2e-3, atol=1e-8)
+    spread = {"poisson_log": mu, "binomial_logit": mu * (1 - mu), "gamma_log": mu**2}[kind]
+    assert np.isclose(model.dispersion, ((y - mu) ** 2 / spread).sum() / (n - 4 - 8 - (4 if both else 0)), rtol=1e-4)
+    got, eta = glm.marginal_contrast(model, "a", "b", "ab"), full @ beta
+    estimate, gradient = 0.0, np.zeros(4)
+    for p, q, sign in ((1, 1, 1), (1, 0, -1), (0, 1, -1), (0, 0, 1)):
+        e = eta + (np.array([p, q, p * q]) - x[:, :3]) @ beta[:3]
+        m = 1 / (1 + np.exp(-e)) if kind == "binomial_logit" else np.exp(e)
+        slope = m * (1 - m) if kind == "binomial_logit" else m
+        assert np.isclose(got[f"mean_{p}{q}"], m.mean(), rtol=1e-5)
+        estimate += sign * m.mean()
+        gradient += sign * np.array([p * slope.mean(), q * slope.mean(), p * q * slope.mean(), (slope * x[:, 3]).mean()])
+    assert np.isclose(got["estimate"], estimate, rtol=1e-3, atol=1e-6) and np.isclose(got["se"], np.sqrt(max(gradient @ covariance @ gradient, 0)), rtol=5e-3)  # two-way errors of few clusters may be negative
+
+
+def test_models_that_cannot_be_fitted_are_rows(visits):
+    df, *_ = visits
+    one = df.withColumn("never", F.lit(0.0))
+    rows = {r["outcome"]: r for r in glm.pair_models(one, {"never": ("binomial_logit", None), "poisson_log": ("poisson_log", "z > 99")}, "a", "b", "ab", ["z"], ["f"], ["d"]).collect()}
+    assert all(r["note"] and r["contrast"] is None for r in rows.values())
+    with pytest.raises(ValueError, match="no family"):
+        glm.glm(df, "z", ["a"], [], "normal")
+
+
+def test_predictions_and_status_by_definition(spark, visits):
+    df, f, c, d, x, out = visits
+    y, n = out["gamma_log"], len(x)
+    a, b, z = x[:, 0], x[:, 1], x[:, 3]
+    w = np.column_stack([a * b, a * (1 - b), (1 - a) * b, (1 - a) * (1 - b)])
+    own = df.select("f", "c", "d", "z", F.col("gamma_log").alias("y"), *[e.alias(k) for k, e in (("p", F.col("ab")), ("q", F.col("a") - F.col("ab")), ("r", F.col("b") - F.col("ab")), ("s", 1 - F.col("a") - F.col("b") + F.col("ab")))])
+    support = spark.createDataFrame([("p", True, False), ("q", True, True), ("r", False, False), ("s", True, False)], "cell string, passed boolean, limited boolean")
+    did = {"p": 1.0, "q": -1.0, "r": -1.0, "s": 1.0}
+    table, fits = cells.directional_models(own, "y", ["p", "q", "r", "s"], ["z"], {"U0": [], "M2": ["f"], "M3": ["f", "d"]}, ["d", "f"], {"did": did, "level": {"p": 1.0}, "pq": {"p": 1.0, "q": -1.0}}, support)
+    got = {(r["model_id"], r["kind"], r["name"]): r for r in table.collect()}
+    assert len(got) == 2 * 4 + 3 * 3
+    full = np.hstack([w[:, :3], z[:, None], np.eye(8)[f]])  # s is the reference
+    beta = np.linalg.lstsq(full, y, rcond=None)[0]
+    own_beta = np.append(beta[:3], 0.0)
+    for k, name in enumerate("pqrs"):
+        assert np.isclose(got["U0", "prediction", name]["estimate"], y[w[:, k] == 1].mean())
+        assert np.isclose(got["M2", "prediction", name]["estimate"], y.mean() + own_beta[k] - w.mean(axis=0) @ own_beta)
+        assert got["M2", "prediction", name]["identified"]
+    assert [got["M2", "prediction", k]["status"] for k in "pqrs"] == ["PASS", "LIMITED_SUPPORT", "NON_ESTIMABLE_SUPPORT", "PASS"]
+    assert got["M2", "contrast", "level"]["status"] == "NON_ESTIMABLE_IDENTIFICATION" and got["U0", "contrast", "level"]["status"] == "PASS"
+    assert got["M3", "contrast", "did"]["status"] == "NON_ESTIMABLE_SUPPORT" and got["M2", "contrast", "pq"]["status"] == "LIMITED_SUPPORT"
+    third = np.hstack([w[:, :3], z[:, None], np.eye(8)[f], np.eye(30)[d][:, 1:]])
+    assert np.isclose(got["M3", "contrast", "did"]["estimate"], np.linalg.lstsq(third, y, rcond=None)[0][:3] @ [1, -1, -1], atol=1e-6)
+    # errors of a saturated mean, by clusters
+    e = np.where(w[:, 0] == 1, y - y[w[:, 0] == 1].mean(), 0.0) / w[:, 0].sum()
+    v = 0.0
+    for sign, keys in ((1, d), (1, f), (-1, d * 100 + f)):
+        sums = np.array([e[keys == k].sum() for k in np.unique(keys)])
+        v += sign * len(sums) / (len(sums) - 1) * (n - 1) / (n - 4) * (sums**2).sum()
+    assert np.isclose(got["U0", "prediction", "p"]["se"], np.sqrt(v))
+    # all contrasts of a draw have the same signs
+    boot = {r["contrast"]: r for r in cells.bootstrap_contrasts(fits["M2"], "f", {"did": did, "twice": {k: 2 * v for k, v in did.items()}, "level": {"p": 1.0}}, 300, 9).collect()}
+    assert set(boot) == {"did", "twice"} and np.isclose(boot["twice"]["sd"], 2 * boot["did"]["sd"]) and boot["twice"]["p"] == boot["did"]["p"]
+
+
+def test_signs_in_tasks_equal_one_matrix(spark):
+    rng = np.random.default_rng(2)
+    s = rng.normal(size=(40, 2))
+    df = spark.createDataFrame([(k, float(a), float(b)) for k, (a, b) in enumerate(s)], "g int, s0 double, s1 double").repartition(6)
+    got = {r["contrast"]: r for r in cells.score_bootstrap(df, "g", ["u", "v"], [0.5, 9.0], 600, 4).collect()}
+    delta = np.column_stack([cells.signs_of(4, str(k), 600) for k in range(40)]) @ s
+    for j, (name, e) in enumerate((("u", 0.5), ("v", 9.0))):
+        r = got[name]
+        assert r["draws"] == 600 and np.isclose(r["sd"], delta[:, j].std(ddof=1)) and np.isclose(r["ci_low"], e - np.quantile(delta[:, j], 0.975))
+        assert np.isclose(r["p"], (1 + (np.abs(delta[:, j]) >= e).sum()) / 601)
+    assert abs(delta.mean()) < 0.5 and len({tuple(cells.signs_of(4, str(k), 600)) for k in range(40)}) == 40
+
+
+def test_vectors_are_pooled_like_their_contrasts():
+    rng = np.random.default_rng(3)
+    fits = [(rng.normal(size=3), np.cov(rng.normal(size=(3, 9))), 40) for _ in range(6)]
+    w = np.array([1.0, -2.0, 0.5])
+    got, e, v = cells.pooled_contrast(w, fits), [w @ b for b, _, _ in fits], [w @ c @ w for _, c, _ in fits]
+    total = np.mean(v) + 7 / 6 * np.var(e, ddof=1)
+    assert np.isclose(got["estimate"], np.mean(e)) and np.isclose(got["se"] ** 2, total) and got["df"] <= 40
+    one = cells.pooled_contrast(w, fits[:1])
+    assert one["df"] == 40 and np.isclose(one["se"] ** 2, v[0])
+
+
+@pytest.mark.parametrize("effects_", [["f"], ["f", "c"]])
+def test_downdated_refits_equal_full_refits(visits, effects_):
+    df, *_ = visits
+    outcomes, x, k = ["poisson_log", "gamma_log"][: 3 - len(effects_)], ["a", "b", "ab", "z"], 3 - len(effects_)
+    named = models.influential(df, outcomes, x, "ab", effects_, "f", k).collect()
+    assert sorted((r["outcome"], r["rank"]) for r in named) == [(y, j + 1) for y in sorted(outcomes) for j in range(k)]
+    got = models.without_influential(df, outcomes, x, "ab", effects_, "f", k).collect()
+    assert {r["left_out"] for r in got} == {None} | {r["f"] for r in named}
+    for r in got:
+        own = df if r["left_out"] is None else df.filter(F.col("f") != r["left_out"])
+        fit, _ = models.fixed_effects(own, r["outcome"], x, effects_, [])
+        assert np.isclose(r["estimate"], fit.beta[fit.names.index("ab")], atol=1e-7)
+
+
+def test_covariance_by_other_steps(visits):
+    df, *_ = visits
+    flat, _ = effects.demean(df.withColumn("f2", F.col("f")), ["gamma_log", "a", "b", "ab", "z"], ["f2"])
+    fit = models.ols(flat, "gamma_log", ["a", "b", "ab", "z"], ["d", "f"])
+    good = sensitivity.recomputed_covariance(flat, "gamma_log", fit.names, ["d", "f"], fit.covariance)
+    assert good.count() == 10 and good.filter("NOT passed").isEmpty()
+    wrong = fit.covariance.copy()
+    wrong[1, 1] *= 1.01
+    assert [(r["row"], r["column"]) for r in sensitivity.recomputed_covariance(flat, "gamma_log", fit.names, ["d", "f"], wrong).filter("NOT passed").collect()] == [("b", "b")]

@@ -11,8 +11,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .effects import demean
+from .gram import grams
 from .metrics import written
-from .models import complete, covariance_of, cross_products, scores, t_quantile, t_two_sided
+from .models import cluster_sets, complete, scores, t_quantile, t_two_sided
 
 #: What a functional may lack of the row space, relative to its size; how negative a variance may be by rounding.
 IDENTIFIED, NEGATIVE = 1e-8, -1e-12
@@ -72,18 +73,42 @@ def pseudo_inverse(xx: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def fit_cells(df: DataFrame, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> CellFit:
     """Least squares on cell weights and controls after the effects; rows with a null in any of the columns go."""
+    fits = fit_groups(df.withColumn("_all", F.lit(0)), "_all", y, cells, controls, effects, clusters)
+    if 0 not in fits:
+        raise ValueError("no row")
+    return fits[0]
+
+
+def fit_groups(df: DataFrame, group: str, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> dict[object, CellFit]:
+    """fit_cells for every group (a draw, a subset), all in the same few jobs; effects are those of each group."""
     names = [*cells, *controls]
-    keep = list(dict.fromkeys([y, *names, *effects, *clusters]))
+    keep = list(dict.fromkeys([group, y, *names, *effects, *clusters]))
     own = df.filter(complete(keep)).select(*keep)
-    level = own.agg(F.avg(F.col(y).cast("double")), *[F.avg(F.col(c).cast("double")) for c in cells]).first()
-    if level[0] is None:
-        raise ValueError("no row")
-    flat = written(demean(own, [y, *names], effects)[0] if effects else own.withColumns({c: F.col(c).cast("double") for c in (y, *names)}))
-    xx, xy, _, n = cross_products(flat, names, [y])
-    bread, projector, rank = pseudo_inverse(xx)
-    beta = bread @ xy[:, 0]
-    covariance, counts = covariance_of(bread, flat, names, residual_of(names, beta, y), clusters, n, rank)
-    return CellFit(names, list(cells), beta, covariance, bread, projector, rank, n, max(min(counts[c] for c in clusters) - 1, 1), counts, float(level[0]), np.array(level[1:], float), flat, y)
+    levels = {r[0]: r for r in own.groupBy(group).agg(F.avg(F.col(y).cast("double")), *[F.avg(F.col(c).cast("double")) for c in cells]).collect()}
+    if effects:
+        within = {f"_g{k}": F.struct(F.col(group).alias("g"), F.col(e).alias("e")) for k, e in enumerate(effects)}
+        own = demean(own.withColumns(within), [y, *names], list(within))[0].drop(*within)
+    flat = written(own.withColumns({c: F.col(c).cast("double") for c in (y, *names)}))
+    solved = {}
+    for g, (total, n) in grams(flat, [*names, y], group).items():
+        bread, projector, rank = pseudo_inverse(total[:-1, :-1])
+        solved[g] = (bread, projector, rank, n, bread @ total[:-1, -1])
+    kind = df.select(group).schema[0].dataType.simpleString()
+    betas = df.sparkSession.createDataFrame([(g, s[-1].tolist()) for g, s in solved.items()], f"`{group}` {kind}, _b array<double>")
+    residual = F.col(y) - sum((F.get("_b", F.lit(j)) * F.col(c) for j, c in enumerate(names)), F.lit(0.0))
+    fitted = flat.join(betas, group)  # a row for each group: broadcast by its size
+    meats = [grams(scores(fitted, names, residual, [group, *s]), [f"s{j}" for j in range(len(names))], group) for s in cluster_sets(clusters)]
+    out = {}
+    for g, (bread, projector, rank, n, beta) in solved.items():
+        covariance, counts = np.zeros_like(bread), {}
+        for j, (s, m) in enumerate(zip(cluster_sets(clusters), meats, strict=True)):
+            meat, many = m[g]
+            counts["*".join(s)] = many
+            factor = many / (many - 1) * (n - 1) / max(n - rank, 1) if many > 1 else float("nan")
+            covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
+        level = np.array(levels[g][1:], float)
+        out[g] = CellFit(names, list(cells), beta, (covariance + covariance.T) / 2, bread, projector, rank, n, max(min(counts[c] for c in clusters) - 1, 1), counts, float(level[0]), level[1:], flat.filter(F.col(group) == g), y)
+    return out
 
 
 def residual_of(names: Sequence[str], beta: np.ndarray, y: str) -> Column:
@@ -203,4 +228,4 @@ def pooled_contrast(weights: np.ndarray, fits: Sequence[tuple[np.ndarray, np.nda
     df = min((m - 1) * (1 + w / share) ** 2, least) if share > 0 and m > 1 else float(least)
     estimate, se = float(weights @ beta), float(np.sqrt(max(t, 0.0)))
     z = estimate / se if se > 0 else None
-    return {"estimate": estimate, "within": w, "between": b, "se": se, "df": df, "p": t_two_sided(z, df) if z is not None else None, "missing_information": share / t if t > 0 else None, "m": m}
+    return {"estimate": estimate, "within": w, "between": b, "se": se, "df": float(df), "p": t_two_sided(z, df) if z is not None else None, "missing_information": share / t if t > 0 else None, "m": m}

@@ -177,11 +177,15 @@ def _meat(s: DataFrame, k: int) -> tuple[np.ndarray, int]:
     return gram(s, [f"s{j}" for j in range(k)])
 
 
+def cluster_sets(clusters: Sequence[str]) -> list[list[str]]:
+    """Each cluster alone, and of two also their intersection, which is taken off."""
+    return [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else [])
+
+
 def covariance_of(bread: np.ndarray, scored: DataFrame, names: Sequence[str], residual: Column, clusters: Sequence[str], n: int, rank: int) -> tuple[np.ndarray, dict[str, int]]:
     """CRV1 by one cluster, or by two less that of their intersection: the covariance and the numbers of clusters."""
-    sets, counts = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else []), {}
-    covariance = np.zeros((len(names), len(names)))
-    for j, own in enumerate(sets):
+    covariance, counts = np.zeros((len(names), len(names))), {}
+    for j, own in enumerate(cluster_sets(clusters)):
         meat, g = _meat(scores(scored, names, residual, own), len(names))
         counts["*".join(own)] = g
         factor = g / (g - 1) * (n - 1) / max(n - rank, 1) if g > 1 else float("nan")
@@ -273,8 +277,8 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
     fitted = own.join(spark.createDataFrame(betas, f"{group} {kind}, _b array<double>"), group)
     residual = F.col(y) - sum((F.get("_b", F.lit(j)) * F.col(c) for j, c in enumerate(x)), F.lit(0.0))
     fitted = fitted.filter(active > 1e-12).withColumn("_u", residual)
-    sets, meats = [[c] for c in clusters] + ([list(clusters)] if len(clusters) == 2 else []), []
-    for own_set in sets:
+    meats = []
+    for own_set in cluster_sets(clusters):
         meats.append(grams(scores(fitted, x, F.col("_u"), [group, *own_set]), [f"s{j}" for j in range(k)], group))
     out = []
     for g, (n, kept, beta, bread) in solved.items():
@@ -359,7 +363,7 @@ def without_influential(df: DataFrame, outcomes: Sequence[str], x: Sequence[str]
     keep = list(dict.fromkeys([*outcomes, *x, *effects, cluster]))
     own = df.filter(complete(keep)).select(*keep)
     kind = df.select(cluster).schema[0].dataType.simpleString()
-    nested = own.groupBy(*effects).agg((F.min(cluster) < F.max(cluster)).alias("_more")).filter("_more").isEmpty()
+    nested = all(own.groupBy(e).agg((F.min(cluster) < F.max(cluster)).alias("_more")).filter("_more").isEmpty() for e in effects)
     if nested:
         flat = _cut(demean(own.withColumn("_c", F.col(cluster)), [*outcomes, *x], effects)[0])
         total, n = gram(flat, [*x, *outcomes])

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import PySparkException as SparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from wardline.operators import link, metrics, models
 from wardline.plans import cohort, layouts, quarter
 from wardline.plans.frames import ENCOUNTERS_SQL, encounters, occurrences, table
 from wardline.plans.registry import query
-from wardline.sources import manifest, readers
+from wardline.sources import manifest, numbered, publish, readers
 
 ENC = f"WITH {ENCOUNTERS_SQL}"
 
@@ -47,6 +48,18 @@ def _csv(spark, sf):
     return readers.read_csv(spark, path, names, line_column="line").withColumn("layout", F.lit(layout))
 
 
+@query(
+    "numbered_scan",
+    """SELECT CAST(o_orderkey AS string) AS id, CASE o_orderkey % 3 WHEN 0 THEN 'one, "' || o_orderstatus || '"' WHEN 1 THEN 'two' || chr(10) || 'lines' || chr(10) || chr(10) || o_orderstatus ELSE o_orderpriority END AS note, row_number() OVER (PARTITION BY o_orderkey % 7 ORDER BY o_orderkey) AS source_row FROM orders""",
+)
+def _numbered(spark, sf):
+    """Seven files whose rows hold quoted line ends; each row gets the number it has in its file."""
+    path = shared(spark, "orders-numbered")
+    o = table(spark, sf, "orders").selectExpr("o_orderkey", "CAST(o_orderkey AS string) AS id", "CASE o_orderkey % 3 WHEN 0 THEN concat('one, \"', o_orderstatus, '\"') WHEN 1 THEN concat('two', chr(10), 'lines', chr(10), chr(10), o_orderstatus) ELSE o_orderpriority END AS note", "o_orderkey % 7 AS part")
+    o.repartition("part").sortWithinPartitions("part", "o_orderkey").drop("o_orderkey").write.partitionBy("part").option("header", True).option("quote", '"').option("escape", '"').csv(path)
+    return numbered.read_numbered_csv(spark, path, ["id", "note"])
+
+
 @query("tolerant_scan", "SELECT CAST(o_orderkey AS string) AS id, CAST(o_custkey AS string) AS customer FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey % 5 <> 0")
 def _tolerant(spark, sf):
     """Every fourth line has a field too many, every fifth no key of digits."""
@@ -99,6 +112,31 @@ def _build(spark, sf):
     return readers.read_partitions(spark, path, visit_year=2008).groupBy(*by).agg(F.count("*").alias("rows"), F.round(F.sum("total"), 2).alias("charges"))
 
 
+@query(
+    "published_build",
+    f"""{ENC} SELECT visit_year, visit_quarter, count(*) AS source_rows, count(*) FILTER (days > 0) AS kept, count(*) FILTER (days > 0) AS rows, count(*) FILTER (days > 0 AND total > 100000) AS large, CASE WHEN visit_quarter < 3 THEN 'v1' ELSE 'v2' END AS fingerprint, round(sum(total) FILTER (days > 0), 2) AS charges FROM encounters GROUP BY 1, 2""",
+)
+def _published(spark, sf):
+    """Two quarters of each year are published, a build of the rest fails half-way and leaves them readable, another one succeeds."""
+    root, by = shared(spark, "published"), ["visit_year", "visit_quarter"]
+    e = encounters(spark, sf).select("visit_id", "visit_year", "visit_quarter", "total", "days")
+
+    def build(some: str, fingerprint: str, fail: bool = False):
+        required = e.filter(some).select(*by).distinct().withColumn("fingerprint", F.lit(fingerprint))
+        total = F.when(F.col("visit_id") % 2 == 0, F.raise_error(F.lit("half-way"))).otherwise(F.col("total")) if fail else F.col("total")
+        return publish.publish(spark, root, by, required, lambda todo: e.join(todo.select(*by), by, "left_semi"), lambda rows: rows.filter("days > 0").withColumn("total", total), {"kept": F.col("days") > 0}, {"large": F.col("total") > 100_000}, ("kept", "rows"))
+
+    build("visit_quarter < 3", "v1")
+    try:
+        build("visit_quarter >= 3", "v2", fail=True)
+        raise AssertionError("the build should have failed")
+    except SparkException:
+        pass
+    build("visit_quarter >= 3", "v2")
+    rows = publish.read_published(spark, root, by).groupBy(*by).agg(F.round(F.sum("total"), 2).alias("charges"))
+    return publish.current(spark, root, by).select(*by, "source_rows", "kept", "rows", "large", "fingerprint").join(rows, by)
+
+
 @query("fan_out_tables", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _fan(spark, sf):
     path = shared(spark, "tables")

@@ -272,6 +272,102 @@ def _cells(spark, sf):
     return out.withColumn("estimate", F.round("estimate", 3)).withColumn("se", F.round("se", 3))
 
 
+CELLS = ("f_b", "f_o", "n_b", "n_o")
+DID = {"f_b": 1.0, "f_o": -1.0, "n_b": -1.0, "n_o": 1.0}
+
+
+def _celled(spark, sf):
+    df = _regression(spark, sf)
+    return df.withColumns(reshape.cell_basis(({"f": F.col("a"), "n": 1 - F.col("a")}, {"b": F.col("b"), "o": 1 - F.col("b")})))
+
+
+def _functionals(source: str, g: str) -> str:
+    """CTEs: the error of each functional t (name, j, coefficient) of the columns of `part`, clustered two ways."""
+    own = f"{g}p AS (SELECT t.name, c1, c2, sum(t.k * s) AS s FROM {source} p JOIN {g}t t ON t.j = p.j GROUP BY t.name, c1, c2)"
+    sums = ", ".join(f"{g}v{m} AS (SELECT name, sum(s * s) AS v{m} FROM (SELECT name, sum(s) AS s FROM {g}p GROUP BY name, {by}) GROUP BY name)" for m, by in enumerate(("c1", "c2", "c1, c2")))
+    return f"{own}, {sums}"
+
+
+TOTAL = "v0 * g0 / (g0 - 1) + v1 * g1 / (g1 - 1) - v2 * g2 / (g2 - 1)"
+
+
+@query(
+    "cell_predictions",
+    f"""{ENC}, {REG}, named AS (SELECT *, CASE WHEN x1 = 1 THEN 'f_' ELSE 'n_' END || CASE WHEN x2 = 1 THEN 'b' ELSE 'o' END AS cell FROM reg), w AS (SELECT cell, count(*) AS k, avg(y) AS m, any_value(x1) AS x1, any_value(x2) AS x2, any_value(x3) AS x3 FROM named GROUP BY 1),
+o AS (SELECT count(*) AS n, avg(y) AS y, avg(x1) AS x1, avg(x2) AS x2, avg(x3) AS x3, count(DISTINCT c1) AS g0, count(DISTINCT c2) AS g1, count(DISTINCT {{'a': c1, 'b': c2}}) AS g2, least(count(DISTINCT c1), count(DISTINCT c2)) - 1 AS df FROM reg),
+u_part AS (SELECT cell AS j, c1, c2, (y - m) / k AS s FROM named JOIN w USING (cell)), u_t AS (SELECT cell AS name, cell AS j, 1.0 AS k FROM w UNION ALL SELECT 'did', cell, CASE WHEN cell IN ('f_b', 'n_o') THEN 1.0 ELSE -1.0 END FROM w), {_functionals('u_part', 'u_')},
+one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)}, est AS (SELECT max(estimate) FILTER (j = 1) AS b1, max(estimate) FILTER (j = 2) AS b2, max(estimate) FILTER (j = 3) AS b3 FROM fit),
+m_t AS (SELECT cell AS name, j, CASE j WHEN 1 THEN w.x1 - o.x1 WHEN 2 THEN w.x2 - o.x2 ELSE w.x3 - o.x3 END AS k FROM w, o, (SELECT unnest([1, 2, 3]) AS j) UNION ALL SELECT 'did', 3, 1.0), {_functionals('part', 'm_')},
+status AS (SELECT cell AS name, CASE WHEN k < 10 THEN 'NON_ESTIMABLE_SUPPORT' WHEN k < 0.2 * n THEN 'LIMITED_SUPPORT' ELSE 'PASS' END AS status FROM w, o UNION ALL SELECT 'did', CASE WHEN min(k) < 10 THEN 'NON_ESTIMABLE_SUPPORT' WHEN min(k) < 0.2 * any_value(n) THEN 'LIMITED_SUPPORT' ELSE 'PASS' END FROM w, o),
+found AS (
+  SELECT 'U0' AS model_id, CASE WHEN name = 'did' THEN 'contrast' ELSE 'prediction' END AS kind, name, CASE WHEN name = 'did' THEN (SELECT sum(m * CASE WHEN cell IN ('f_b', 'n_o') THEN 1 ELSE -1 END) FROM w) ELSE (SELECT m FROM w WHERE cell = name) END AS estimate, sqrt((n - 1.0) / (n - 4) * ({TOTAL})) AS se FROM u_v0 JOIN u_v1 USING (name) JOIN u_v2 USING (name), o
+  UNION ALL SELECT 'M2', CASE WHEN name = 'did' THEN 'contrast' ELSE 'prediction' END, name, CASE WHEN name = 'did' THEN b3 ELSE y + (SELECT (w.x1 - o.x1) * b1 + (w.x2 - o.x2) * b2 + (w.x3 - o.x3) * b3 FROM w WHERE cell = name) END, sqrt((n - 1.0) / (n - 3) * ({TOTAL})) FROM m_v0 JOIN m_v1 USING (name) JOIN m_v2 USING (name), o, est
+)
+SELECT model_id, kind, name, round(estimate, 3) AS estimate, round(se, 3) AS se, TRUE AS identified, CAST(df AS BIGINT) AS df, n, status FROM found JOIN status USING (name), o
+UNION ALL SELECT 'U0', 'contrast', 'level', round(estimate, 3), round(se, 3), TRUE, df, n, status FROM found JOIN status USING (name), o WHERE model_id = 'U0' AND name = 'f_b'
+UNION ALL SELECT 'M2', 'contrast', 'level', NULL, NULL, FALSE, df, n, 'NON_ESTIMABLE_IDENTIFICATION' FROM o""",
+)
+def _predictions(spark, sf):
+    df = _celled(spark, sf)
+    counts = reshape.melt(df, [], list(CELLS)).groupBy(F.col("variable").alias("cell")).agg(F.sum("value").alias("k"), F.count("*").alias("n"))
+    support = counts.select("cell", (F.col("k") >= 10).alias("passed"), (F.col("k") < 0.2 * F.col("n")).alias("limited"))
+    out, _ = cells.directional_models(df, "y", CELLS, [], {"U0": [], "M2": ["facility"]}, ["provider", "facility"], {"did": DID, "level": {"f_b": 1.0}}, support)
+    shown = [F.when(F.col("identified"), F.round(c, 3)).alias(c) for c in ("estimate", "se")]
+    return out.select("model_id", "kind", "name", *shown, "identified", "df", "n", "status")
+
+
+def _slopes(source: str) -> str:
+    """Within each specification g, the slope of y on v where b is 1 less that where it is 0, with errors clustered by c1: fit."""
+    return f"""sl AS (SELECT g, b, avg(v) AS vm, avg(y) AS ym, covar_pop(v, y) / var_pop(v) AS k, var_pop(v) * count(*) AS ss FROM {source} GROUP BY 1, 2),
+inf AS (SELECT g, c1, sum(CASE b WHEN 1 THEN 1 ELSE -1 END * (v - vm) / ss * (y - ym - k * (v - vm))) AS s, count(*) AS n FROM {source} JOIN sl USING (g, b) GROUP BY 1, 2),
+var_ AS (SELECT g, sum(s * s) * count(*) / (count(*) - 1) * (sum(n) - 1) / (sum(n) - 4) AS v, sum(n)::BIGINT AS n, count(*) - 1 AS df FROM inf GROUP BY 1),
+fit AS (SELECT g, sum(CASE b WHEN 1 THEN k ELSE -k END) AS e, any_value(var_.v) AS v, any_value(n) AS n, any_value(df) AS df FROM sl JOIN var_ USING (g) GROUP BY g)"""
+
+
+SECOND = f"(0.2 + 0.5 * {PROB})"
+
+
+@query(
+    "measured_cells",
+    f"""{ENC}, r AS (SELECT provider AS c1, {B} AS b, total AS y, CAST({PROB} AS double) AS p, CAST({SECOND} AS double) AS p2 FROM encounters),
+u AS (SELECT DISTINCT provider AS c1, draw, {UNIFORM.format(seed=5, unit='provider')} AS u FROM encounters, range(1, 21) t(draw)),
+src AS (SELECT 'population_probability' AS g, c1, b, y, p AS v FROM r UNION ALL SELECT 'national_probability', c1, b, y, p2 FROM r
+  UNION ALL SELECT 'population_hard_0.6', c1, b, y, CASE WHEN p >= 1 - p THEN 1.0 ELSE 0 END FROM r WHERE greatest(p, 1 - p) >= 0.6 UNION ALL SELECT 'national_hard_0.6', c1, b, y, CASE WHEN p2 >= 1 - p2 THEN 1.0 ELSE 0 END FROM r WHERE greatest(p2, 1 - p2) >= 0.6
+  UNION ALL SELECT 'draw' || CAST(draw AS string), c1, b, y, CASE WHEN u < p THEN 1.0 ELSE 0 END FROM r JOIN u USING (c1)), {_slopes('src')},
+pool AS (SELECT avg(e) AS e, avg(v) AS w, var_samp(e) * (1 + 1.0 / count(*)) AS share, min(n) AS n, min(df) AS least, count(*) AS m FROM fit WHERE g LIKE 'draw%')
+SELECT g AS specification, 'did' AS contrast, round(e, 3) AS estimate, round(sqrt(v), 3) AS se, CAST(df AS DOUBLE) AS df, n, CAST(1 AS BIGINT) AS m FROM fit WHERE g NOT LIKE 'draw%'
+UNION ALL SELECT 'population_drawn', 'did', round(e, 3), round(sqrt(w + share), 3), round(least((m - 1) * pow(1 + w / share, 2), least), 3), n, m FROM pool""",
+)
+def _measured(spark, sf):
+    """The difference in differences with a class known by probability, by threshold and by 20 draws, under two priors."""
+    df = _regression(spark, sf).withColumns({"p": F.expr(PROB).cast("double"), "p2": F.expr(SECOND).cast("double")}).withColumns({"q": 1 - F.col("p"), "q2": 1 - F.col("p2")})
+    out = sensitivity.measured_cells(df, "provider", {"population": {"x": "p", "z": "q"}, "national": {"x": "p2", "z": "q2"}}, {"b": F.col("b"), "o": 1 - F.col("b")}, "y", [], {"U0": []}, ["provider"], {"did": {"x_b": 1.0, "x_o": -1.0, "z_b": -1.0, "z_o": 1.0}}, 20, 5, [0.6])
+    return out.select("specification", "contrast", F.round("estimate", 3).alias("estimate"), F.round("se", 3).alias("se"), F.round("df", 3).alias("df"), "n", "m")
+
+
+@query("audited_covariance", f"{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)} SELECT {TERM} AS term, round(se, 3) AS reported, round(se, 3) AS recomputed, TRUE AS passed FROM fit")
+def _audited(spark, sf):
+    df, fit = _flat(spark, sf)
+    out = sensitivity.recomputed_covariance(df, "y", fit.names, ["provider", "facility"], fit.covariance)
+    return out.filter("row = column").select(F.col("row").alias("term"), F.round(F.sqrt("reported"), 3).alias("reported"), F.round(F.sqrt("recomputed"), 3).alias("recomputed"), "passed")
+
+
+@query(
+    "influential_refits",
+    f"""WITH s0 AS ({ENC}, {REG} SELECT 'y' AS o, c1, c2, y, x1, x2, x3 FROM reg UNION ALL SELECT 'days', provider, facility, days, {A}, {B}, {A} * {B} FROM encounters),
+top AS (SELECT * FROM (WITH src AS (SELECT o AS g, * FROM s0), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)} SELECT g, c2, abs(sum(s)) AS size FROM part WHERE j = 3 GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY g ORDER BY size DESC, c2) <= 3),
+named AS (SELECT DISTINCT c2 AS f FROM top UNION ALL SELECT -1),
+fits AS (SELECT * FROM (WITH src AS (SELECT {{'o': o, 'f': f}} AS g, s0.* FROM s0 JOIN named ON c2 <> f), {demeaned('d', 'src', 'g, c2')}, {solved('d', 3, 1)} SELECT g.o AS outcome, g.f AS f, count_ AS n, estimate FROM fit JOIN (SELECT g, count(*) AS count_ FROM src GROUP BY 1) USING (g) WHERE j = 3))
+SELECT a.outcome, nullif(a.f, -1) AS left_out, a.n, round(a.estimate, 5) AS estimate, round(a.estimate - b.estimate, 5) AS shift FROM fits a JOIN fits b ON b.outcome = a.outcome AND b.f = -1""",
+)
+def _influential(spark, sf):
+    """Two outcomes, each without every facility that is among the three most influential of either."""
+    e = encounters(spark, sf)
+    df = e.select("provider", "facility", F.col("total").alias("y"), "days", (F.col("order_status") == "F").cast("double").alias("a"), (F.col("segment") == "BUILDING").cast("double").alias("b")).withColumn("ab", F.col("a") * F.col("b"))
+    out = models.without_influential(df, ["y", "days"], ["a", "b", "ab"], "ab", ["facility"], "facility", 3)
+    return out.select("outcome", "left_out", "n", F.round("estimate", 5).alias("estimate"), F.round("shift", 5).alias("shift"))
+
+
 @query("cell_basis", f"{ENC} SELECT visit_id, {PROB} * {B} AS p_b, {PROB} * (1 - {B}) AS p_o, (1 - {PROB}) * {B} AS q_b, (1 - {PROB}) * (1 - {B}) AS q_o FROM encounters".replace(" AS p_b", " AS p_b"))
 def _basis(spark, sf):
     e = encounters(spark, sf).withColumn("p", F.expr(PROB).cast("double")).withColumn("b", (F.col("segment") == "BUILDING").cast("double"))

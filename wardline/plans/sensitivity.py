@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wardline.operators import glm, inference, models
+from wardline.operators import cells, glm, inference, models
 
 
 def swept(df: DataFrame, specs: dict[str, dict], y: str, effects: Sequence[str], clusters: Sequence[str]) -> DataFrame:
@@ -62,6 +62,50 @@ def drawn_cells(df: DataFrame, unit: str, classes: Sequence[str], right: dict[st
     return df.join(picked, unit).withColumns({f"{c}_{n}": (F.col("value") == c).cast("double") * r for c in classes for n, r in right.items()}).drop("value")
 
 
+#: Draws that are fitted together: so many copies of the rows are written at a time.
+DRAWS_TOGETHER = 5
+
+
+def measured_cells(df: DataFrame, unit: str, priors: dict[str, dict[str, str]], right: dict[str, Column], y: str, controls: Sequence[str], specs: dict[str, Sequence[str]], clusters: Sequence[str], contrasts: dict[str, dict[str, float]], draws: int = 20, seed: int = 1, thresholds: Sequence[float] = (0.5, 0.8)) -> DataFrame:
+    """How contrasts of cells depend on what a unit's class is taken to be: specification, model_id, contrast, estimate, se, df, p, n, m.
+
+    priors: {name: {class: column of its probability}}, the main one first. Specifications: probabilities as weights and classes of
+    the largest probability at or above each threshold under every prior, and `draws` drawn classes under the main one, whose
+    coefficient vectors and covariance matrices are pooled before a contrast is taken. right: indicators of the other side that sum
+    to 1. Contrasts that the data don't identify, in any draw, are null.
+    """
+    main, out = next(iter(priors)), []
+    classes = list(priors[main])
+    names = [f"{c}_{r}" for c in classes for r in right]
+
+    def crossed(source: DataFrame, left: dict[str, Column]) -> DataFrame:
+        return source.withColumns({f"{c}_{r}": left[c] * other.cast("double") for c in classes for r, other in right.items()})
+
+    for prior, columns in priors.items():
+        largest = F.greatest(*[F.col(c) for c in columns.values()])
+        label = F.coalesce(*[F.when(F.col(columns[c]) == largest, c) for c in classes])
+        frames = {f"{prior}_probability": crossed(df, {c: F.col(columns[c]).cast("double") for c in classes})}
+        frames |= {f"{prior}_hard_{t:g}": crossed(df.filter(largest >= t), {c: (label == c).cast("double") for c in classes}) for t in thresholds}
+        for spec, frame in frames.items():
+            for model, effects in specs.items():
+                fits = list(cells.fit_groups(frame.withColumn("_all", F.lit(0)), "_all", y, names, controls if effects else [], effects, clusters).values())
+                for name, w in contrasts.items():
+                    r = fits[0].contrast(w) if fits else {"identified": False, "n": 0}
+                    out.append((spec, model, name, *([r["estimate"], r["se"], float(r["df"]), r["p"]] if r["identified"] else [None] * 4), r["n"], 1))
+    drawn = inference.categorical_draws(df.withColumns({c: F.col(k) for c, k in priors[main].items()}), unit, classes, draws, seed)
+    for model, effects in specs.items():
+        fits = []
+        for first in range(1, draws + 1, DRAWS_TOGETHER):
+            some = drawn.filter(F.col("draw").between(first, min(first + DRAWS_TOGETHER - 1, draws))).withColumnRenamed("value", "_class")
+            own = crossed(df.join(some, unit), {c: (F.col("_class") == c).cast("double") for c in classes})
+            fits += list(cells.fit_groups(own, "draw", y, names, controls if effects else [], effects, clusters).values())
+        for name, w in contrasts.items():
+            ok, n = bool(fits) and all(f.contrast(w)["identified"] for f in fits), fits[0].n if fits else 0
+            r = cells.pooled_contrast(np.array([float(w.get(c, 0.0)) for c in fits[0].names]), [(f.beta, f.covariance, f.df) for f in fits]) if ok else {}
+            out.append((f"{main}_drawn", model, name, *[r.get(k) for k in ("estimate", "se", "df", "p")], n, len(fits)))
+    return df.sparkSession.createDataFrame(out, "specification string, model_id string, contrast string, estimate double, se double, df double, p double, n long, m int")
+
+
 def outcome_models(df: DataFrame, outcomes: dict[str, str], x: Sequence[str], effects: Sequence[str], cluster: str, least_events: int = 100) -> DataFrame:
     """A model of its own family for each outcome; a binary one with too few events is a row with a note, as is one that fails."""
     out = []
@@ -104,6 +148,68 @@ def recomputed(df: DataFrame, y: str, x: Sequence[str], reported: DataFrame, tol
     return joined.withColumn("passed", F.coalesce(F.abs(F.col("reported") - F.col("recomputed")) <= tolerance * F.greatest(F.abs("reported"), F.lit(1.0)), F.lit(False)))
 
 
+def recomputed_covariance(df: DataFrame, y: str, x: Sequence[str], clusters: Sequence[str], reported: np.ndarray, tolerance: float = 1e-6) -> DataFrame:
+    """row, column, reported, recomputed, passed of every covariance, by other steps: a QR factor of stacked triangles instead of an
+    inverse of cross-products, and cluster sums of sorted segments of Arrow batches instead of grouped sums of expressions.
+
+    df: the fitted rows, after their effects. A segment's sums are added up over batches by cluster, so that a cluster of any size is
+    one row for each batch at most.
+    """
+    names, k = [y, *x], len(x)
+    active = F.greatest(*[F.abs(F.col(c)) for c in x]) if k > 1 else F.abs(F.col(x[0]))
+    own = df.filter(models.complete([*names, *clusters])).filter(active > 1e-12)
+
+    def triangles(batches):
+        import pyarrow as pa
+
+        held = np.zeros((0, k + 1))
+        for b in batches:
+            z = np.column_stack([b.column(j).to_numpy(zero_copy_only=False) for j in [*range(1, k + 1), 0]])
+            held = np.linalg.qr(np.vstack([held, z]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array(list(map(list, held)), pa.list_(pa.float64()))], ["r"])
+
+    rows = own.select(*[F.col(c).cast("double") for c in names]).mapInArrow(triangles, "r array<double>").collect()  # k + 1 rows of each task
+    triangle = np.linalg.qr(np.array([r["r"] for r in rows], float).reshape(-1, k + 1), mode="r")
+    inverse = np.linalg.inv(triangle[:k, :k])
+    beta, bread, n = inverse @ triangle[:k, k], inverse @ inverse.T, own.count()
+    total = np.zeros((k, k))
+    for at, keys in enumerate(models.cluster_sets(clusters)):
+
+        def segments(batches, kk=len(keys)):
+            import pyarrow as pa
+            import pyarrow.compute as pc
+
+            for b in batches:
+                if not b.num_rows:
+                    continue
+                z = np.column_stack([b.column(kk + j).to_numpy(zero_copy_only=False) for j in range(k + 1)])
+                part = z[:, 1:] * (z[:, 0] - z[:, 1:] @ beta)[:, None]
+                order = pc.sort_indices(b.select(list(range(kk))), [(c, "ascending") for c in b.schema.names[:kk]]).to_numpy()
+                sorted_ = [b.column(j).take(pa.array(order)) for j in range(kk)]
+                change = np.zeros(len(order), bool)
+                change[0] = True
+                for c in sorted_:
+                    change[1:] |= pc.not_equal(c.slice(1), c.slice(0, len(c) - 1)).to_numpy(zero_copy_only=False)
+                starts = np.flatnonzero(change)
+                sums = np.add.reduceat(part[order], starts)
+                yield pa.RecordBatch.from_arrays([*[c.take(pa.array(starts)) for c in sorted_], pa.array(list(map(list, sums)), pa.list_(pa.float64()))], [*b.schema.names[:kk], "s"])
+
+        source = own.select(*keys, *[F.col(c).cast("double") for c in names])
+        kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in source.select(*keys).schema)
+        summed = source.select(*[F.col(c).alias(f"_{j}" if j >= len(keys) else c) for j, c in enumerate(source.columns)]) if len(set(source.columns)) < len(source.columns) else source
+        found = summed.mapInArrow(segments, f"{kinds}, s array<double>").groupBy(*keys).agg(*[F.sum(F.get("s", F.lit(j))).alias(f"s{j}") for j in range(k)])
+        pairs = [(i, j) for i in range(k) for j in range(i, k)]
+        cells_ = found.select(F.posexplode(F.array(F.lit(1.0), *[F.col(f"s{i}") * F.col(f"s{j}") for i, j in pairs]))).groupBy("pos").agg(F.sum("col").alias("v")).collect()
+        v = {r["pos"]: r["v"] for r in cells_}
+        meat, g = np.zeros((k, k)), v[0]
+        for p, (i, j) in enumerate(pairs, 1):
+            meat[i, j] = meat[j, i] = v[p]
+        total += (-1 if at == 2 else 1) * g / (g - 1) * (n - 1) / max(n - k, 1) * bread @ meat @ bread
+    scale = np.sqrt(np.abs(np.outer(np.diag(reported), np.diag(reported))))
+    out = [(x[i], x[j], float(reported[i, j]), float(total[i, j]), bool(abs(reported[i, j] - total[i, j]) <= tolerance * max(scale[i, j], 1e-300))) for i in range(k) for j in range(i, k)]
+    return df.sparkSession.createDataFrame(out, "row string, column string, reported double, recomputed double, passed boolean")
+
+
 def readjusted(df: DataFrame, family: Sequence[str], p: str, key: Sequence[str], adjusted: str, method: str = "bh", tolerance: float = 1e-9) -> DataFrame:
     """family, key, recomputed, passed: adjusted p-values by their definition, family by family in Python, compared with reported ones.
 
