@@ -135,35 +135,6 @@ def decode_audio(media: DataFrame, media_col: str = "media") -> DataFrame:
     return media.drop("pcm").mapInPandas(decode, f"{schema}, pcm binary")
 
 
-def pack_pcm(media: bytes) -> bytes:
-    """A 16-bit PCM WAV without loss in half its size or less: rate, number of samples, the even samples, and residuals.
-
-    A fixed predictor, as lossless audio codecs have: an odd sample is expected to be the mean (rounded down) of its neighbours, the
-    last one its neighbour. Residuals are there only if one isn't zero; what `resample_double` makes has none.
-    """
-    _, rate, data = read_wav(media)
-    pcm = np.frombuffer(data, "<i2")
-    even, odd = pcm[0::2], pcm[1::2]
-    residual = odd - _expected(even, len(odd))
-    return struct.pack("<II", rate, len(pcm)) + even.tobytes() + (residual.tobytes() if residual.any() else b"")
-
-
-def unpack_pcm(packed: bytes) -> bytes:
-    """The WAV that was packed."""
-    rate, n = struct.unpack_from("<II", packed)
-    even = np.frombuffer(packed, "<i2", n - n // 2, 8)
-    residual = np.frombuffer(packed, "<i2", -1, 8 + 2 * len(even))
-    pcm = np.empty(n, "<i2")
-    pcm[0::2], pcm[1::2] = even, _expected(even, n // 2)
-    pcm[1::2][: len(residual)] += residual
-    return wav(pcm.tobytes(), PCM, rate, 16)
-
-
-def _expected(even: np.ndarray, n: int) -> np.ndarray:
-    wide = even.astype(np.int32)
-    return ((wide[:n] + np.append(wide[1:], wide[-1:])[:n]) >> 1).astype(np.int16)
-
-
 def _mulaw_wav(text: str, unit: int) -> tuple[int, bytes]:
     raw = text.encode()
     return len(raw), wav(raw + bytes([PAD]) * ((-len(raw)) % unit if raw else unit), MULAW, RATE_IN, 8)
@@ -184,15 +155,18 @@ def store_mulaw(docs: DataFrame, unit: int = UNIT) -> DataFrame:
 
 
 def stored_audio(docs: DataFrame, unit: int = UNIT) -> DataFrame:
-    """doc_id, n_bytes, media (as store_mulaw) and pcm: the resampled PCM (as decode_audio) in the form of pack_pcm, written and read back."""
+    """doc_id, n_bytes, media (as store_mulaw) and pcm (the resampled PCM WAV, as decode_audio), written and read back.
+
+    Every 16-bit sample is stored, and compressed as bytes: twice the samples of twice the size make the PCM the larger part.
+    """
     spark = docs.sparkSession
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for f in _by_bytes(frame, "text"):
                 made = [_mulaw_wav(t, unit) for t in f["text"]]
-                packed = [pack_pcm(wav(resample_double(to_pcm(tag, data)).astype("<i2").tobytes(), PCM, 2 * rate, 16)) for tag, rate, data in (read_wav(m) for _, m in made)]
-                yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made], "pcm": packed})
+                pcm = [wav(resample_double(to_pcm(tag, data)).astype("<i2").tobytes(), PCM, 2 * rate, 16) for tag, rate, data in (read_wav(m) for _, m in made)]
+                yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made], "pcm": pcm})
 
     path = f"{shared_dir(spark)}/telephony-{uuid.uuid4().hex}"
     schema = "doc_id long, n_bytes long, media binary, pcm binary"
@@ -213,7 +187,7 @@ def audio_features(stored: DataFrame) -> DataFrame:
     """Read each stored mu-law WAV and its stored PCM (column pcm, of stored_audio) back, decode the samples as all three codes, and describe the result.
 
     feature: peak, sum of magnitudes and sign changes of the mu-law PCM and of the A-law PCM, then the sum of magnitudes and CRC of
-    the ADPCM decoding of the payload's blocks of 576 bytes, then the CRC of the 16 kHz PCM WAV that the stored PCM unpacks to.
+    the ADPCM decoding of the payload's blocks of 576 bytes, then the CRC of the stored 16 kHz PCM WAV.
     """
 
     def describe(pcm: np.ndarray) -> str:
@@ -226,7 +200,7 @@ def audio_features(stored: DataFrame) -> DataFrame:
                 data = [read_wav(x)[2] for x in f["media"]]
                 blocks = np.frombuffer(b"".join(data), np.uint8).reshape(-1, ADPCM_BLOCK)
                 adpcm, rows, at = decode_adpcm(blocks), [], 0
-                for x, media, pcm in zip(data, f["media"], map(unpack_pcm, f["pcm"]), strict=True):
+                for x, media, pcm in zip(data, f["media"], f["pcm"], strict=True):
                     codes, own = np.frombuffer(x, np.uint8), adpcm[at : at + len(x) // ADPCM_BLOCK]
                     at += len(own)
                     mu = MULAW_TO_PCM[codes]
