@@ -242,8 +242,9 @@ def test_exact_quantiles(spark, monkeypatch):
     rows = [(None if g == 0 else g, float(v)) for g in range(4) for v in np.round(rng.lognormal(3, 1, 700), 1)] + [(9, None), (8, 1.5), (7, 1.0), (7, 2.0)] + [(6, 5.0)] * 300
     shares = {"a": 0.0, "b": 0.013, "c": 0.5, "d": 0.9, "e": 0.995, "f": 1.0}
     df = spark.createDataFrame(rows, "g int, v double")
-    for slack in (0.0005, 0.05):
+    for slack, held in ((0.0005, 100_000), (0.0005, 0), (0.05, 0)):
         monkeypatch.setattr(quantiles, "SLACK", slack)
+        monkeypatch.setattr(quantiles, "HELD_VALUES", held)
         got = {r["g"]: [r[k] for k in shares] for r in quantiles.exact_quantiles(df, ["g"], "v", shares).collect()}
         assert got.pop(9) == [None] * 6
         assert all(np.allclose(x, np.quantile([v for k, v in rows if k == g and v is not None], list(shares.values()))) for g, x in got.items()) and len(got) == 7

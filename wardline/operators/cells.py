@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .effects import demean
 from .gram import grams
-from .metrics import written
+from .tables import written
 from .models import cluster_sets, complete, scores, t_quantile, t_two_sided
 
 #: What a functional may lack of the row space, relative to its size; how negative a variance may be by rounding.

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .metrics import written
+from .tables import written
 
 TOLERANCES = ((1e-8, 200), (1e-6, 200))
 

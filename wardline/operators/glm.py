@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .effects import demean
 from .gram import gram
-from .metrics import stored
+from .tables import stored
 from .models import Fit, complete, covariance_of, cross_products, drop_singletons, independent
 
 #: Bounds of the linear predictor, by the link.

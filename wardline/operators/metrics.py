@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +12,9 @@ from wardline.functions import decode
 
 from . import reshape
 from .quantiles import beside, exact_quantiles
+from .tables import stored, written
+
+__all__ = ["stored", "written"]
 
 
 def default_category(df: DataFrame, code: str, category: str, is_default: str, sequence: str) -> DataFrame:
@@ -232,29 +233,6 @@ def duplicates(df: DataFrame, key: str, order: Sequence[Column]) -> DataFrame:
     return rest.unionByName(numbered)
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """checkpoint() to the session's shared folder; without one (local tests) a cache."""
-    sc = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if folder and not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(folder)
-    return df.checkpoint() if sc._jsc.sc().getCheckpointDir().isDefined() else df.persist()
-
-
-def written(df: DataFrame) -> DataFrame:
-    """df as a Parquet table of the session's shared folder, read back: unlike a checkpoint it has its real size, by which joins are planned."""
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/table-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def visit_key(year: Column, quarter: Column, record: Column, seq: Column) -> Column:
     return F.concat(year.cast("string"), F.lit("Q"), quarter.cast("string"), F.lit("|"), F.coalesce(record.cast("string"), F.lit("MISSING")), F.lit("|"), seq.cast("string"))
 

@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .effects import demean
 from .gram import gram, grams
-from .metrics import stored as _cut
+from .tables import stored as _cut
 from .quantiles import exact_quantiles
 
 __all__ = ["demean"]

@@ -1,8 +1,8 @@
 """Exact quantiles of groups of any size, interpolated between neighbouring values.
 
-One aggregate over all rows of a group would hold all its distinct values. Here each value is counted first. Approximate quantiles,
-wrong by a known share of the ranks at most, then bound a short stretch of values round each quantile; exact counts below the
-stretch, and the values in it, give the exact quantile.
+Each value is counted first. A group of few distinct values holds them in one aggregate. Where a group has more, approximate
+quantiles, wrong by a known share of the ranks at most, bound a short stretch of values round each quantile; the counts below a
+stretch, and a sorted running count of the values in it, which can spill, give the exact quantile. No buffer grows with a group.
 """
 
 from __future__ import annotations
@@ -11,48 +11,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from .tables import written
 
 #: A stretch spans this share of the ranks on either side of its quantile; approximate quantiles are off by a fifth of it at most.
 SLACK, ACCURACY = 0.0005, 10_000
+#: Distinct values of a group that one aggregate holds.
+HELD_VALUES = 100_000
 
 
 def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:
     """by, and a column for each quantile {name: share}, interpolated linearly; null values don't count; a group without values has nulls.
 
-    A group's null key is a group of its own. Ties need no rule: equal values are one.
+    A group's null key is a group of its own. Ties need no rule: equal values are one. The values are counted in one pass and stored.
     """
     names = list(quantiles)
     keys = [f"_k{k}" for k in range(len(by))]
-    cells = df.select(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)], F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c"))
-    known = F.col("_v").isNotNull()
+    named = [F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]
+    cells = written(df.select(*named, F.col(value).cast("double").alias("_v")).groupBy(*keys, "_v").agg(F.count("*").alias("_c")))
+    full = cells.filter(F.col("_v").isNotNull())
+    most = full.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    if most <= HELD_VALUES:
+        shares = F.array(*[F.lit(float(q)) for q in quantiles.values()])
+        found = cells.groupBy(*keys).agg(F.percentile("_v", shares, F.col("_c")).alias("_q"))
+        return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *[F.get("_q", F.lit(k)).alias(n) for k, n in enumerate(names)])
     edges = [float(q) for share in quantiles.values() for q in (max(0.0, share - SLACK), min(1.0, share + SLACK))]
     v = F.col(value).cast("double")
-    bounds = df.groupBy(*[F.col(c).alias(k) for c, k in zip(by, keys, strict=True)]).agg(F.count(v).alias("_n"), F.percentile_approx(v, edges, ACCURACY).alias("_e"))
-    full = cells.filter(known)
-    rows = bounds.join(full, [bounds[k].eqNullSafe(full[k]) for k in keys], "left").select(*[bounds[k] for k in keys], "_v", "_c", "_n", "_e") if keys else full.join(bounds)
-    aggs = [F.first("_n").alias("_n")]
-    for k in range(len(names)):
-        low, high = F.get("_e", F.lit(2 * k)), F.get("_e", F.lit(2 * k + 1))
-        v, c = F.col("_v"), F.col("_c")
-        aggs += [
-            F.sum(F.when(v < low, c).otherwise(0)).alias(f"_below{k}"), F.max(F.when(v < low, v)).alias(f"_prev{k}"), F.min(F.when(v > high, v)).alias(f"_next{k}"),
-            F.sort_array(F.collect_list(F.when(v.between(low, high), F.struct(v.alias("v"), c.alias("c"))))).alias(f"_in{k}"),
-        ]
-    found = rows.groupBy(*keys).agg(*aggs)
-
-    def at(k: int, rank: Column) -> Column:
-        """The value of a rank, from 0: the first in the stretch whose running count is above it."""
-        left = rank - F.col(f"_below{k}")
-        start = F.struct(F.lit(None).cast("double").alias("v"), F.lit(0).cast("long").alias("n"))
-        walk = F.aggregate(f"_in{k}", start, lambda a, x: F.struct(F.when((a["n"] <= left) & (a["n"] + x["c"] > left), x["v"]).otherwise(a["v"]).alias("v"), (a["n"] + x["c"]).alias("n")))
-        return F.when(left < 0, F.col(f"_prev{k}")).otherwise(F.coalesce(walk["v"], F.col(f"_next{k}")))
-
-    out = []
-    for k, share in enumerate(quantiles.values()):
-        place = (F.col("_n") - 1) * F.lit(float(share))
-        low = F.floor(place)
-        out.append((at(k, low) + (at(k, F.ceil(place)) - at(k, low)) * (place - low)).alias(names[k]))
-    return found.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *out)
+    bounds = written(df.groupBy(*named).agg(F.count(v).alias("_n"), F.percentile_approx(v, edges, ACCURACY).alias("_e")))
+    rows = beside(full, bounds, keys, "inner")
+    low, high = [F.get("_e", F.lit(2 * k)) for k in range(len(names))], [F.get("_e", F.lit(2 * k + 1)) for k in range(len(names))]
+    v, c, ks = F.col("_v"), F.col("_c"), range(len(names))
+    below = written(rows.groupBy(*keys).agg(*[x for k in ks for x in (F.sum(F.when(v < low[k], c).otherwise(0)).alias(f"_b{k}"), F.max(F.when(v < low[k], v)).alias(f"_p{k}"), F.min(F.when(v > high[k], v)).alias(f"_n{k}"))]))
+    # a rank next to a quantile is in the stretch round it, or the value before or after it; within it values are numbered in order
+    near = F.filter(F.array(*[F.struct(F.lit(k).alias("k"), v.between(low[k], high[k]).alias("in")) for k in ks]), lambda x: x["in"])
+    stretches = below.select(*keys, F.posexplode(F.array(*[F.struct(F.col(f"_b{k}").alias("b"), F.col(f"_p{k}").alias("p"), F.col(f"_n{k}").alias("n")) for k in ks])).alias("_k", "_s"))
+    order = Window.partitionBy(*keys, "_k").orderBy("_v").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = rows.withColumn("_k", F.explode(F.transform(near, lambda x: x["k"]))).select(*keys, "_k", "_v", "_c", F.sum("_c").over(order).alias("_until"))
+    places = beside(stretches, bounds.select(*keys, "_n"), keys, "inner").withColumn("_place", (F.col("_n") - 1) * F.element_at(F.array(*[F.lit(float(q)) for q in quantiles.values()]), F.col("_k") + 1))
+    ranked = beside(places, inside, [*keys, "_k"])
+
+    def at(rank: Column) -> Column:
+        """The value of a rank, from 0."""
+        left = rank - F.col("_s.b")
+        found = F.max(F.when((F.col("_until") > left) & (F.col("_until") - F.col("_c") <= left), v))
+        return F.coalesce(found, F.max(F.when(left < 0, F.col("_s.p")).otherwise(F.col("_s.n"))))
+
+    ends = ranked.groupBy(*keys, "_k").agg(at(F.floor("_place")).alias("_lo"), at(F.ceil("_place")).alias("_hi"), F.any_value("_place").alias("_place"))
+    value_ = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_place") - F.floor("_place"))
+    found = ends.groupBy(*keys).agg(*[F.max(F.when(F.col("_k") == k, value_)).alias(n) for k, n in enumerate(names)])
+    out = beside(bounds.select(*keys), found, keys) if keys else found
+    return out.select(*[F.col(k).alias(c) for c, k in zip(by, keys, strict=True)], *names)
 
 
 def beside(left: DataFrame, right: DataFrame, by: Sequence[str], how: str = "left") -> DataFrame:
