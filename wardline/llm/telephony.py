@@ -22,6 +22,8 @@ from .common import documents, shared_dir, texts
 RATE_IN, RATE_OUT = 8000, 16000
 PAD, UNIT = 0xFF, 576
 ADPCM_BLOCK = 576
+#: Bytes of media that are described at a time.
+READ_BYTES = 4 << 20
 PCM, ADPCM, ALAW, MULAW = 1, 0x11, 6, 7
 #: Fixed values of IMA ADPCM: index steps of the magnitude bits, then the 89 quantiser steps.
 INDEX_STEP = np.array([-1, -1, -1, -1, 2, 4, 6, 8], np.int64)
@@ -175,8 +177,9 @@ def stored_audio(docs: DataFrame, unit: int = UNIT) -> DataFrame:
         texts(docs)
         .mapInPandas(store, schema)
         .write.option("compression", "zstd")
-        .option("parquet.compression.codec.zstd.level", "6")
+        .option("parquet.compression.codec.zstd.level", "11")
         .option("parquet.block.size", str(32 << 20))
+        .option("parquet.page.size", str(4 << 20))
         .option("parquet.enable.dictionary", "false")
         .parquet(path)
     )
@@ -194,23 +197,29 @@ def audio_features(stored: DataFrame) -> DataFrame:
         wide = pcm.astype(np.int32)
         return f"{int(np.abs(wide).max())}:{int(np.abs(wide).sum(dtype=np.int64))}:{int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))}"
 
-    def features(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for f in _by_bytes(frame, "media"):
-                data = [read_wav(x)[2] for x in f["media"]]
+    def features(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            # values stay in the batch's own buffers, and few are expanded at once
+            part = np.cumsum([x.as_buffer().size for x in b.column("media")]) // READ_BYTES
+            for first, last in zip(starts := np.flatnonzero(np.diff(part, prepend=-1)), [*starts[1:], b.num_rows], strict=True):
+                own_rows = b.slice(int(first), int(last - first))
+                files, pcms = ([x.as_buffer() for x in own_rows.column(c)] for c in ("media", "pcm"))
+                data = [read_wav(x.to_pybytes())[2] for x in files]
                 blocks = np.frombuffer(b"".join(data), np.uint8).reshape(-1, ADPCM_BLOCK)
                 adpcm, rows, at = decode_adpcm(blocks), [], 0
-                for x, media, pcm in zip(data, f["media"], f["pcm"], strict=True):
+                for x, media, pcm in zip(data, files, pcms, strict=True):
                     codes, own = np.frombuffer(x, np.uint8), adpcm[at : at + len(x) // ADPCM_BLOCK]
                     at += len(own)
                     mu = MULAW_TO_PCM[codes]
                     block_sum = int(np.abs(own.astype(np.int32)).sum(dtype=np.int64))
                     feature = f"mulaw={describe(mu)};alaw={describe(ALAW_TO_PCM[codes])};adpcm={block_sum}:{zlib.crc32(own.astype('<i2').tobytes()):08x};pcm={zlib.crc32(pcm):08x}"
-                    rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature, len(pcm)))
-                out = pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"], index=f.index)
-                yield pd.concat([f[["doc_id", "n_bytes"]], out], axis=1)
+                    rows.append((len(x), hashlib.sha256(x).hexdigest(), zlib.crc32(x[-32:]), media.size, hashlib.sha256(media).hexdigest(), feature, pcm.size))
+                columns = [own_rows.column("doc_id"), own_rows.column("n_bytes"), *[pa.array(c) for c in zip(*rows, strict=True)]]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "pcm_bytes"])
 
-    return stored.mapInPandas(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long")
+    return stored.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long")
 
 
 def _by_bytes(frame: pd.DataFrame, column: str, most: int = 4 << 20) -> Iterator[pd.DataFrame]:
