@@ -137,6 +137,23 @@ def _published(spark, sf):
     return publish.current(spark, root, by).select(*by, "source_rows", "kept", "rows", "large", "fingerprint").join(rows, by)
 
 
+@query(
+    "file_fingerprints",
+    """WITH f AS (SELECT s_nationkey AS k, sha256(string_agg(s_suppkey || '|' || s_name || chr(10), '' ORDER BY s_suppkey)) AS sha256, sum(octet_length((s_suppkey || '|' || s_name || chr(10))::BLOB)) AS bytes FROM supplier GROUP BY 1)
+SELECT CAST(k AS BIGINT) AS k, CAST(bytes AS BIGINT) AS bytes, sha256, CASE WHEN k % 5 = 0 THEN 'changed' WHEN k % 7 = 0 THEN 'new' ELSE 'same' END AS status FROM f""",
+)
+def _files(spark, sf):
+    """A file for each nation is read as bytes; some differ from what a manifest has of them, some it lacks."""
+    path = shared(spark, "files")
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("k"), "s_suppkey", F.concat_ws("|", "s_suppkey", "s_name").alias("value"))
+    s.repartition("k").sortWithinPartitions("k", "s_suppkey").select("k", "value").write.partitionBy("k").text(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path)
+    now = files.select(F.col("k").cast("long").alias("k"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    known = now.filter("k % 7 <> 0 OR k % 5 = 0").select("k", F.when(F.col("k") % 5 == 0, "other").otherwise(F.col("sha256")).alias("known"))
+    status = F.when(F.col("known").isNull(), "new").when(F.col("known") == F.col("sha256"), "same").otherwise("changed")
+    return now.join(known, "k", "left").select("k", "bytes", "sha256", status.alias("status"))
+
+
 @query("fan_out_tables", "SELECT o_orderkey, o_custkey, o_totalprice FROM orders")
 def _fan(spark, sf):
     path = shared(spark, "tables")

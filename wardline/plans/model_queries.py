@@ -345,6 +345,50 @@ def _measured(spark, sf):
     return out.select("specification", "contrast", F.round("estimate", 3).alias("estimate"), F.round("se", 3).alias("se"), F.round("df", 3).alias("df"), "n", "m")
 
 
+#: specification: (outcome, exposure, partner, rows), as expressions; each is fitted with the product of exposure and partner.
+SPECIFICATIONS = {
+    "probability_population": ("total", f"CAST({PROB} AS double)", B, "TRUE"),
+    "probability_national": ("total", f"CAST({SECOND} AS double)", B, "TRUE"),
+    "threshold_0.6": ("total", "CAST((provider * 17) % 100 >= 50 AS int)", B, "abs((provider * 17) % 100 - 50) >= 10"),
+    "classified_subset": ("total", A, B, "weekday_raw < '5'"),
+    "intersection": ("total", f"{A} * {B}", "CAST(priority = '1-URGENT' AS int)", "TRUE"),
+    "modifier": ("total", A, "CAST(priority = '2-HIGH' AS int)", "TRUE"),
+    "negative_control": ("discharge_hour", A, B, "TRUE"),
+    "historical": ("ln(1 + total)", A, B, "visit_year < 2008"),
+}
+
+
+@query(
+    "specification_sweep",
+    f"""{ENC}, s0 AS ({' UNION ALL '.join(f"SELECT '{n}' AS g, provider AS c1, facility AS c2, CAST({y} AS double) AS y, CAST({x} AS double) AS x1, CAST({z} AS double) AS x2, CAST(({x}) * ({z}) AS double) AS x3 FROM encounters WHERE {where}" for n, (y, x, z, where) in SPECIFICATIONS.items())}), {demeaned('d', 's0', 'g, c2')}, {solved('d', 3, 2)}
+SELECT g AS spec, CASE j WHEN 1 THEN 'exposure' WHEN 2 THEN 'partner' ELSE 'product' END AS term, round(estimate, 4) AS estimate, round(se, 4) AS se, n FROM fit""",
+)
+def _specifications(spark, sf):
+    """Probability and threshold exposures, a subset by class, an intersection, a modifier, a negative control and a historical model."""
+    df, specs = encounters(spark, sf), {}
+    for k, (name, (y, x, z, where)) in enumerate(SPECIFICATIONS.items()):
+        df = df.withColumns({f"y{k}": F.expr(y).cast("double"), f"x{k}": F.expr(x).cast("double"), f"z{k}": F.expr(z).cast("double"), f"w{k}": F.expr(where)}).withColumn(f"p{k}", F.col(f"x{k}") * F.col(f"z{k}"))
+        specs[name] = {"y": f"y{k}", "x": [f"x{k}", f"z{k}", f"p{k}"], "where": F.col(f"w{k}")}
+    out = sensitivity.swept(df, specs, "total", ["facility"], ["provider", "facility"])
+    term = F.when(F.col("term").startswith("x"), "exposure").when(F.col("term").startswith("z"), "partner").otherwise("product")
+    return out.select("spec", term.alias("term"), F.round("estimate", 4).alias("estimate"), F.round("se", 4).alias("se"), "n")
+
+
+#: cohort definitions: the rows of each.
+DEFINITIONS = {"principal": "status_raw < '40'", "any_listed": "status_raw < '60'", "strict": "status_raw < '20' AND priority < '4'"}
+
+
+@query("definition_models", f"{ENC} {' UNION ALL '.join(_saturated(f'{d}_{n}', k, y, where) for d, where in DEFINITIONS.items() for n, (k, y, _) in GLM_OUTCOMES.items() if n != 'charge')} UNION ALL SELECT 'rare_late', 'binomial_logit', 'ab', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, 0, FALSE")
+def _definitions(spark, sf):
+    """Length of stay and a yes-or-no outcome under three definitions of a cohort; a cohort without both outcomes is a row without estimates."""
+    e = encounters(spark, sf).withColumns({"a": (F.col("order_status") == "F").cast("double"), "b": (F.col("segment") == "BUILDING").cast("double")}).withColumn("ab", F.col("a") * F.col("b"))
+    outcomes = {f"{d}_{n}": (k, y, where) for d, where in DEFINITIONS.items() for n, (k, y, _) in GLM_OUTCOMES.items() if n != "charge"} | {"rare_late": ("binomial_logit", GLM_OUTCOMES["late"][1], "days < 1")}
+    df = e.withColumns({n: F.expr(y).cast("double") for n, (_, y, _) in outcomes.items()})
+    out = glm.pair_models(df, {n: (k, where) for n, (k, _, where) in outcomes.items()}, "a", "b", "ab", [], [], ["provider", "facility"])
+    share = [F.round(F.col(c) / F.col("outcome_mean"), 6).alias(c) for c in ("contrast", "contrast_se", *[f"mean_{c}" for c in PAIRS])]
+    return out.select("outcome", "family", "term", F.round("link_estimate", 5).alias("link_estimate"), F.round("link_se", 5).alias("link_se"), *share, F.round("dispersion", 5).alias("dispersion"), "n", "converged")
+
+
 @query("audited_covariance", f"{ENC}, {REG}, one AS (SELECT 1 AS g, * FROM reg), {demeaned('d', 'one', 'c2')}, {solved('d', 3, 2)} SELECT {TERM} AS term, round(se, 3) AS reported, round(se, 3) AS recomputed, TRUE AS passed FROM fit")
 def _audited(spark, sf):
     df, fit = _flat(spark, sf)
