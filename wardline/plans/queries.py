@@ -682,6 +682,40 @@ def _manifest(spark, sf):
     return manifest.manifest(encounters(spark, sf), ["visit_year", "visit_quarter"], m, F.col("repeated") == 0, "v1")
 
 
+DASH = {
+    "coverage": "SELECT 'M001' AS key, CAST(count(*) AS double) AS value FROM encounters UNION ALL SELECT 'M002', count(DISTINCT visit_year * 10 + visit_quarter) FROM encounters UNION ALL SELECT 'M004', 20 UNION ALL SELECT 'M005', count(DISTINCT order_status) FROM encounters UNION ALL SELECT 'M006', count(DISTINCT facility) FROM encounters UNION ALL SELECT 'M008', count(*) FROM encounters WHERE segment = 'BUILDING' UNION ALL SELECT 'M010', count(*) FROM encounters WHERE visit_year < 2008 UNION ALL SELECT 'M014', 32",
+    "providers": "SELECT 'PM001' AS key, CAST(count(DISTINCT provider) AS double) AS value FROM encounters UNION ALL SELECT 'PM002', count(DISTINCT provider) FROM encounters WHERE days > 0 UNION ALL SELECT 'PM004', count(DISTINCT provider) FROM encounters WHERE visit_year = 2010 UNION ALL SELECT 'PM007', count(DISTINCT provider) FROM encounters WHERE provider % 3 = 0",
+    "partitions": "SELECT visit_year, visit_quarter, CASE WHEN visit_quarter = 4 THEN 0 ELSE 1 END AS available, CASE WHEN visit_year % 3 = 0 THEN 'FAIL' ELSE 'PASS' END AS reconciliation, CASE WHEN visit_quarter = 4 THEN 'EXCLUDED' ELSE 'BUILT' END AS status FROM encounters GROUP BY 1, 2",
+    "enhancements": "SELECT CASE n_nationkey % 5 WHEN 0 THEN 'IMPLEMENTED' WHEN 1 THEN 'IMPLEMENTED_PRIMARY_ONLY' WHEN 2 THEN 'PROXY_ONLY' WHEN 3 THEN 'STRUCTURALLY_UNAVAILABLE' END AS status FROM nation",
+    "validations": "SELECT CASE s_suppkey % 7 WHEN 0 THEN 'PAUSED_VERIFIED' WHEN 1 THEN 'FAIL' ELSE 'PASS' END AS status FROM supplier",
+    "components": "SELECT CASE r_regionkey WHEN 0 THEN 'DEFERRED' WHEN 1 THEN 'PENDING' ELSE 'COMPLETE' END AS status FROM region",
+    "demonstration": "SELECT CASE WHEN visit_year < 2010 THEN 'Schema reconciliation' ELSE 'Other' END AS section, CASE WHEN days > 0 THEN 'Output rows' ELSE 'Input rows' END AS metric, CAST(count(*) AS double) AS value FROM encounters GROUP BY 1, 2",
+}
+
+
+@query(
+    "dashboard_measures",
+    f"""{ENC}, {', '.join(f'{t} AS ({q})' for t, q in DASH.items())}, m AS (
+{' UNION ALL '.join([f"SELECT '{m}' AS measure, CAST((SELECT max(value) FROM {t} WHERE key = '{k}') AS double) AS value" for m, (t, k) in star.KEYED.items()] + [f"SELECT '{m}', CAST((SELECT count(*) FROM {t} WHERE {c}) AS double)" for m, (t, c) in star.COUNTED.items()] + [f"SELECT '{m}', (SELECT sum(value) FROM {t} WHERE section = '{x}' AND metric = '{k}')" for m, (t, x, k) in star.SUMMED.items()])}
+UNION ALL SELECT 'Covered Years', (SELECT CAST(count(DISTINCT visit_year) AS double) FROM partitions WHERE available = 1 AND visit_year IN (2007, 2008, 2009)))
+SELECT measure, value, CAST(NULL AS string) AS label FROM m WHERE measure NOT IN ('Available Quarters', 'Controls Not Paused')
+{' '.join(f"UNION ALL SELECT '{r}', (SELECT value FROM m WHERE measure = '{a}') / nullif((SELECT value FROM m WHERE measure = '{b}'), 0), NULL" for r, (a, b) in star.RATIOS.items())}
+UNION ALL SELECT 'Selected Period Label', NULL, '2007-2009' UNION ALL SELECT 'Dashboard Overall Status', NULL, 'PENDING'""",
+)
+def _dashboard(spark, sf):
+    """The 33 measures over seven tables, with three years selected."""
+    encounters(spark, sf).createOrReplaceTempView("dash_encounters")
+    for t in ("nation", "supplier", "region"):
+        table(spark, sf, t).createOrReplaceTempView(f"dash_{t}")
+    names = {t: f"dash_{t}" for t in ("encounters", "nation", "supplier", "region")}
+    frames = {}
+    for t, q in DASH.items():
+        for n, view in names.items():
+            q = q.replace(f"FROM {n}", f"FROM {view}")
+        frames[t] = spark.sql(q)
+    return star.dashboard(frames, frames["partitions"].select(F.col("visit_year").alias("year"), "available"), [2007, 2008, 2009])
+
+
 @query(
     "star_measures",
     f"""{ENC}, f AS (SELECT segment, visit_year, visit_quarter, provider, status_raw = '20' AS died, count(*) AS n, sum(total) AS total FROM encounters GROUP BY ALL)
