@@ -158,6 +158,27 @@ def coverage(df: DataFrame, by: Sequence[str], mapped: Column) -> DataFrame:
     return df.groupBy(*by).agg(F.count("*").alias("n"), F.count_if(mapped).alias("mapped")).withColumn("coverage", F.col("mapped") / F.col("n"))
 
 
+def attribute_coverage(df: DataFrame, key: str, conditions: dict[str, Column]) -> DataFrame:
+    """One row: rows, distinct keys, and for each condition {name: condition} the share of the rows for which it is known that meet it."""
+    return df.agg(F.count("*").alias("rows"), F.count_distinct(key).alias("distinct_keys"), *[F.avg(c.cast("int")).alias(n) for n, c in conditions.items()])
+
+
+def mapping_coverage(df: DataFrame, by: Sequence[str], code: str, mapped: dict[str, Column]) -> DataFrame:
+    """Occurrences and distinct codes by group, and for each mapping {name: condition} the share of occurrences and the distinct codes
+    that lack it. A code counts as mapped where all its occurrences in the group are."""
+    codes = df.groupBy(*by, code).agg(F.count("*").alias("_n"), *[F.count_if(c).alias(f"_m{k}") for k, c in enumerate(mapped.values())])
+    aggs = [F.sum("_n").alias("occurrences"), F.count(code).alias("distinct_codes")]
+    for k, n in enumerate(mapped):
+        aggs += [(F.sum(f"_m{k}") / F.sum("_n")).alias(f"{n}_share"), F.count_if((F.col(f"_m{k}") < F.col("_n")) & F.col(code).isNotNull()).alias(f"{n}_lacking")]
+    return codes.groupBy(*by).agg(*aggs)
+
+
+def linkage_by_role(df: DataFrame, by: Sequence[str], role: str, method: str, unit: str) -> DataFrame:
+    """Records, distinct units and the share of the role's records, by group, role and method of linkage."""
+    out = df.groupBy(*by, role, method).agg(F.count("*").alias("records"), F.count_distinct(unit).alias("units"))
+    return out.withColumn("role_share", F.col("records") / F.sum("records").over(Window.partitionBy(*by, role)))
+
+
 def unmapped_codes(df: DataFrame, by: Sequence[str], code: str, mapped: Column, k: int = 100) -> DataFrame:
     """The k most frequent codes without a mapping by group."""
     return top_k(df.filter(~F.coalesce(mapped, F.lit(False))), by, code, k)

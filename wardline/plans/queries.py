@@ -682,6 +682,33 @@ def _manifest(spark, sf):
     return manifest.manifest(encounters(spark, sf), ["visit_year", "visit_quarter"], m, F.col("repeated") == 0, "v1")
 
 
+@query(
+    "attribute_coverage",
+    """SELECT count(*) AS rows, count(DISTINCT s_nationkey) AS distinct_keys, round(avg(CAST(s_acctbal > 0 AS int)), 6) AS positive_share, round(avg(CAST(nullif(s_suppkey % 4, 3) IS NOT NULL AS int)), 6) AS known_share, round(avg(CAST(nullif(s_suppkey % 4, 3) = 1 AS int)), 6) AS one_of_known FROM supplier""",
+)
+def _attributes(spark, sf):
+    s = table(spark, sf, "supplier").withColumn("group", F.nullif(F.col("s_suppkey") % 4, F.lit(3)))
+    return metrics.attribute_coverage(s, "s_nationkey", {"positive_share": F.col("s_acctbal") > 0, "known_share": F.col("group").isNotNull(), "one_of_known": F.col("group") == 1})
+
+
+@query(
+    "code_mapping_coverage",
+    f"""WITH {OCCURRENCES_SQL} SELECT role, system, count(*) AS occurrences, count(DISTINCT code) AS distinct_codes, round(avg(CAST(code % 7 > 0 AS int)), 6) AS described_share, count(DISTINCT code) FILTER (code % 7 = 0) AS described_lacking, round(avg(CAST(code % 3 > 0 AS int)), 6) AS grouped_share, count(DISTINCT code) FILTER (code % 3 = 0) AS grouped_lacking FROM occurrences GROUP BY 1, 2""",
+)
+def _mapping(spark, sf):
+    return metrics.mapping_coverage(occurrences(spark, sf), ["role", "system"], "code", {"described": F.col("code") % 7 > 0, "grouped": F.col("code") % 3 > 0})
+
+
+@query(
+    "linkage_by_role",
+    f"""WITH {OCCURRENCES_SQL}, l AS (SELECT role, CASE WHEN code % 5 = 0 THEN 'UNRESOLVED' WHEN code % 2 = 0 THEN 'DIRECT' ELSE 'CROSSWALK' END AS method, supplier FROM occurrences), c AS (SELECT role, method, count(*) AS records, count(DISTINCT supplier) AS units FROM l GROUP BY 1, 2)
+SELECT role, method, records, units, round(records / sum(records) OVER (PARTITION BY role), 6) AS role_share FROM c""",
+)
+def _linkage_role(spark, sf):
+    method = F.when(F.col("code") % 5 == 0, "UNRESOLVED").when(F.col("code") % 2 == 0, "DIRECT").otherwise("CROSSWALK")
+    return metrics.linkage_by_role(occurrences(spark, sf).withColumn("method", method), [], "role", "method", "supplier")
+
+
 DASH = {
     "coverage": "SELECT 'M001' AS key, CAST(count(*) AS double) AS value FROM encounters UNION ALL SELECT 'M002', count(DISTINCT visit_year * 10 + visit_quarter) FROM encounters UNION ALL SELECT 'M004', 20 UNION ALL SELECT 'M005', count(DISTINCT order_status) FROM encounters UNION ALL SELECT 'M006', count(DISTINCT facility) FROM encounters UNION ALL SELECT 'M008', count(*) FROM encounters WHERE segment = 'BUILDING' UNION ALL SELECT 'M010', count(*) FROM encounters WHERE visit_year < 2008 UNION ALL SELECT 'M014', 32",
     "providers": "SELECT 'PM001' AS key, CAST(count(DISTINCT provider) AS double) AS value FROM encounters UNION ALL SELECT 'PM002', count(DISTINCT provider) FROM encounters WHERE days > 0 UNION ALL SELECT 'PM004', count(DISTINCT provider) FROM encounters WHERE visit_year = 2010 UNION ALL SELECT 'PM007', count(DISTINCT provider) FROM encounters WHERE provider % 3 = 0",
