@@ -165,16 +165,17 @@ def stored_audio(docs: DataFrame, unit: int = UNIT) -> DataFrame:
 
     def store(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            for f in _by_bytes(frame, "text"):
+            for f in _by_bytes(frame, "text", 1 << 20):
                 made = [_mulaw_wav(t, unit) for t in f["text"]]
                 pcm = [wav(resample_double(to_pcm(tag, data)).astype("<i2").tobytes(), PCM, 2 * rate, 16) for tag, rate, data in (read_wav(m) for _, m in made)]
                 yield pd.DataFrame({"doc_id": f["doc_id"], "n_bytes": [n for n, _ in made], "media": [m for _, m in made], "pcm": pcm})
 
     path = f"{shared_dir(spark)}/telephony-{uuid.uuid4().hex}"
     schema = "doc_id long, n_bytes long, media binary, pcm binary"
-    # long values: small row groups keep the writer's memory low
+    # long values: small row groups keep the writer's memory low; texts in order, so that copies in a task share pages
     (
         texts(docs)
+        .sortWithinPartitions("text")
         .mapInPandas(store, schema)
         .write.option("compression", "zstd")
         .option("parquet.compression.codec.zstd.level", "11")
