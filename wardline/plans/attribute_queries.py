@@ -304,10 +304,12 @@ def _disagreements(spark, sf):
 
 @query(
     "dimension_checks",
-    """SELECT 'unique' AS "check", 0.0 AS expected, 0.0 AS observed, TRUE AS passed UNION ALL SELECT 'repeated', 0.0, CAST(count(*) AS double), count(*) = 0 FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
-UNION ALL SELECT 'acctbal_is_null', 0.0, CAST(count(*) AS double), count(*) = 0 FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'c_mktsegment_vocabulary', 0.0, CAST(count(*) AS double), count(*) = 0 FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
-UNION ALL SELECT 'total', (SELECT round(sum(o_totalprice), 2) FROM orders), (SELECT round(sum(o_totalprice), 2) FROM orders), TRUE UNION ALL SELECT 'missing', 0.0, CAST(count(*) AS double), count(*) = 0 FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM customer WHERE c_acctbal > 0)
-UNION ALL SELECT 'unexpected', 0.0, 0.0, TRUE UNION ALL SELECT 'repeated_cells', 0.0, 0.0, TRUE""",
+    """WITH cells AS (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 0 GROUP BY 1), parts AS (SELECT o_orderstatus, sum(o_totalprice) AS total FROM orders GROUP BY 1), found AS (
+SELECT 'unique' AS "check", 0.0 AS expected, CAST(count(*) AS double) AS observed FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1) UNION ALL SELECT 'repeated', 0.0, CAST(count(*) AS double) FROM (SELECT o_custkey FROM orders GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'acctbal_is_null', 0.0, CAST(count(*) AS double) FROM customer WHERE c_acctbal < 0 UNION ALL SELECT 'c_mktsegment_vocabulary', 0.0, CAST(count(*) AS double) FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')
+UNION ALL SELECT 'total', (SELECT round(sum(o_totalprice), 2) FROM orders), (SELECT round(sum(total), 2) FROM parts) UNION ALL SELECT 'missing', 0.0, CAST(count(*) AS double) FROM (SELECT n_nationkey FROM nation EXCEPT SELECT c_nationkey FROM cells)
+UNION ALL SELECT 'unexpected', 0.0, CAST(count(*) AS double) FROM (SELECT c_nationkey FROM cells EXCEPT SELECT n_nationkey FROM nation) UNION ALL SELECT 'repeated_cells', 0.0, CAST(count(*) AS double) FROM (SELECT c_nationkey FROM cells GROUP BY 1 HAVING count(*) > 1))
+SELECT "check", expected, observed, abs(expected - observed) < 0.005 AS passed FROM found""",
 )
 def _dimension(spark, sf):
     c, o = table(spark, sf, "customer"), table(spark, sf, "orders")
