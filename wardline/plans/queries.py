@@ -726,7 +726,7 @@ DASH = {
 {' UNION ALL '.join([f"SELECT '{m}' AS measure, CAST((SELECT max(value) FROM {t} WHERE key = '{k}') AS double) AS value" for m, (t, k) in star.KEYED.items()] + [f"SELECT '{m}', CAST((SELECT count(*) FROM {t} WHERE {c}) AS double)" for m, (t, c) in star.COUNTED.items()] + [f"SELECT '{m}', (SELECT sum(value) FROM {t} WHERE section = '{x}' AND metric = '{k}')" for m, (t, x, k) in star.SUMMED.items()])}
 UNION ALL SELECT 'Covered Years', (SELECT CAST(count(DISTINCT visit_year) AS double) FROM partitions WHERE available = 1 AND visit_year IN (2007, 2008, 2009)))
 SELECT measure, value, CAST(NULL AS string) AS label FROM m WHERE measure NOT IN ('Available Quarters', 'Controls Not Paused')
-{' '.join(f"UNION ALL SELECT '{r}', (SELECT value FROM m WHERE measure = '{a}') / nullif((SELECT value FROM m WHERE measure = '{b}'), 0), NULL" for r, (a, b) in star.RATIOS.items())}
+{' '.join(f"UNION ALL SELECT '{r}', round((SELECT value FROM m WHERE measure = '{a}') / nullif((SELECT value FROM m WHERE measure = '{b}'), 0), 6), NULL" for r, (a, b) in star.RATIOS.items())}
 UNION ALL SELECT 'Selected Period Label', NULL, '2007-2009' UNION ALL SELECT 'Dashboard Overall Status', NULL, 'PENDING'""",
 )
 def _dashboard(spark, sf):
