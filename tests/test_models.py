@@ -244,3 +244,18 @@ def test_covariance_by_other_steps(visits):
     wrong = fit.covariance.copy()
     wrong[1, 1] *= 1.01
     assert [(r["row"], r["column"]) for r in sensitivity.recomputed_covariance(flat, "gamma_log", fit.names, ["d", "f"], wrong).filter("NOT passed").collect()] == [("b", "b")]
+
+
+def test_what_cells_do_not_identify_stays_so_over_many_rows():
+    """Four weights that sum to 1 less their means span three directions; the rounding of long sums is no fourth one."""
+    share, n = np.array([0.1, 0.4, 0.1, 0.4]), 900_000
+    xx = n * (np.diag(share) - np.outer(share, share))
+    rounded = xx + 1e-12 * n * np.ones((4, 4))  # what sums of so many terms were found to be off by
+    _, projector, rank = cells.pseudo_inverse(rounded, n)
+    assert rank == 3 and np.allclose(projector, np.eye(4) - 0.25, atol=1e-9)
+
+
+def test_a_small_column_is_no_rounding_of_a_large_one():
+    x = np.column_stack([np.array([1e9, 2e9, 4e9, 3e9]), np.array([1e-3, 0.0, 2e-3, 1e-3]), np.zeros(4)])
+    bread, projector, rank = cells.pseudo_inverse(x.T @ x, 1_000_000)
+    assert rank == 2 and np.allclose(projector, np.diag([1.0, 1.0, 0.0])) and np.allclose(x @ bread @ x.T, x @ np.linalg.pinv(x))

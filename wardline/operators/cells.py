@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .effects import demean
 from .gram import grams
 from .tables import written
-from .models import cluster_sets, complete, scores, t_quantile, t_two_sided
+from .models import alike, cluster_sets, complete, scores, t_quantile, t_two_sided
 
 #: What a functional may lack of the row space, relative to its size; how negative a variance may be by rounding.
 IDENTIFIED, NEGATIVE = 1e-8, -1e-12
@@ -21,7 +21,7 @@ IDENTIFIED, NEGATIVE = 1e-8, -1e-12
 
 @dataclass
 class CellFit:
-    """names: cells, then controls. flat: the rows that were fitted, without the effects' means."""
+    """names: cells, then controls. flat: what was fitted, rows that are alike as one of _n, without the effects' means."""
 
     names: list[str]
     cells: list[str]
@@ -63,12 +63,15 @@ class CellFit:
         return self.functional(np.array([float(weights.get(c, 0.0)) for c in self.names]))
 
 
-def pseudo_inverse(xx: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
-    """Inverse on the row space, the projector onto it, and the rank, by eigenvalues above 10 k epsilon times the largest."""
-    values, vectors = np.linalg.eigh((xx + xx.T) / 2)
-    some = values > len(xx) * np.finfo(float).eps * max(float(values[-1]), 1.0) * 10
-    v = vectors[:, some]
-    return (v / values[some]) @ v.T, v @ v.T, int(some.sum())
+def pseudo_inverse(xx: np.ndarray, terms: int = 0) -> tuple[np.ndarray, np.ndarray, int]:
+    """Inverse on the row space, the projector onto it, and the rank, by eigenvalues above k epsilon times the number of terms that
+    were summed (10 at least) for columns of length 1: what the rounding of the sums can leave of a column that others span."""
+    size = np.sqrt(np.diag(xx))
+    size[size == 0] = 1.0
+    values, vectors = np.linalg.eigh((xx + xx.T) / 2 / np.outer(size, size))
+    some = values > len(xx) * np.finfo(float).eps * max(terms, 10)
+    v = np.linalg.qr(vectors[:, some] * size[:, None])[0]
+    return v @ np.linalg.inv(v.T @ xx @ v) @ v.T, v @ v.T, int(some.sum())
 
 
 def fit_cells(df: DataFrame, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> CellFit:
@@ -79,25 +82,28 @@ def fit_cells(df: DataFrame, y: str, cells: Sequence[str], controls: Sequence[st
     return fits[0]
 
 
-def fit_groups(df: DataFrame, group: str, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str]) -> dict[object, CellFit]:
-    """fit_cells for every group (a draw, a subset), all in the same few jobs; effects are those of each group."""
+def fit_groups(df: DataFrame, group: str, y: str, cells: Sequence[str], controls: Sequence[str], effects: Sequence[str], clusters: Sequence[str], weight: str | None = None) -> dict[object, CellFit]:
+    """fit_cells for every group (a draw, a subset), all in the same few jobs; effects are those of each group.
+
+    weight: how many rows a row stands for, all of the same design, with y their mean.
+    """
     names = [*cells, *controls]
     keep = list(dict.fromkeys([group, y, *names, *effects, *clusters]))
-    own = df.filter(complete(keep)).select(*keep)
-    levels = {r[0]: r for r in own.groupBy(group).agg(F.avg(F.col(y).cast("double")), *[F.avg(F.col(c).cast("double")) for c in cells]).collect()}
+    own = alike(df.filter(complete(keep)), y, [c for c in keep if c != y], weight)
+    levels = {r[0]: r for r in own.groupBy(group).agg(*[F.sum(F.col("_n") * F.col(c).cast("double")) / F.sum("_n") for c in (y, *cells)], F.sum("_n")).collect()}
     if effects:
         within = {f"_g{k}": F.struct(F.col(group).alias("g"), F.col(e).alias("e")) for k, e in enumerate(effects)}
-        own = demean(own.withColumns(within), [y, *names], list(within))[0].drop(*within)
+        own = demean(own.withColumns(within), [y, *names], list(within), "_n")[0].drop(*within)
     flat = written(own.withColumns({c: F.col(c).cast("double") for c in (y, *names)}))
     solved = {}
-    for g, (total, n) in grams(flat, [*names, y], group).items():
-        bread, projector, rank = pseudo_inverse(total[:-1, :-1])
-        solved[g] = (bread, projector, rank, n, bread @ total[:-1, -1])
+    for g, (total, terms) in grams(flat, [*names, y], group, "_n").items():
+        bread, projector, rank = pseudo_inverse(total[:-1, :-1], terms)
+        solved[g] = (bread, projector, rank, int(levels[g][-1]), bread @ total[:-1, -1])
     kind = df.select(group).schema[0].dataType.simpleString()
     betas = df.sparkSession.createDataFrame([(g, s[-1].tolist()) for g, s in solved.items()], f"`{group}` {kind}, _b array<double>")
     residual = F.col(y) - sum((F.get("_b", F.lit(j)) * F.col(c) for j, c in enumerate(names)), F.lit(0.0))
     fitted = flat.join(betas, group)  # a row for each group: broadcast by its size
-    meats = [grams(scores(fitted, names, residual, [group, *s]), [f"s{j}" for j in range(len(names))], group) for s in cluster_sets(clusters)]
+    meats = [grams(scores(fitted, names, F.col("_n") * residual, [group, *s]), [f"s{j}" for j in range(len(names))], group) for s in cluster_sets(clusters)]
     out = {}
     for g, (bread, projector, rank, n, beta) in solved.items():
         covariance, counts = np.zeros_like(bread), {}
@@ -106,7 +112,7 @@ def fit_groups(df: DataFrame, group: str, y: str, cells: Sequence[str], controls
             counts["*".join(s)] = many
             factor = many / (many - 1) * (n - 1) / max(n - rank, 1) if many > 1 else float("nan")
             covariance += (-1 if j == 2 else 1) * factor * bread @ meat @ bread
-        level = np.array(levels[g][1:], float)
+        level = np.array(levels[g][1:-1], float)
         out[g] = CellFit(names, list(cells), beta, (covariance + covariance.T) / 2, bread, projector, rank, n, max(min(counts[c] for c in clusters) - 1, 1), counts, float(level[0]), level[1:], flat.filter(F.col(group) == g), y)
     return out
 
@@ -202,7 +208,7 @@ def bootstrap_contrasts(fit: CellFit, cluster: str, contrasts: dict[str, dict[st
     known = {n: w for n, w in contrasts.items() if fit.contrast(w)["identified"]}
     targets = np.column_stack([[float(w.get(c, 0.0)) for c in fit.names] for w in known.values()])
     pull = fit.bread @ targets
-    s = scores(fit.flat, fit.names, residual_of(fit.names, fit.beta, fit.y), [cluster])
+    s = scores(fit.flat, fit.names, F.col("_n") * residual_of(fit.names, fit.beta, fit.y), [cluster])
     own = s.select(cluster, *[sum((float(pull[i, j]) * F.col(f"s{i}") for i in range(len(fit.names))), F.lit(0.0)).alias(f"_s{j}") for j in range(len(known))])
     own = own.withColumnsRenamed({f"_s{j}": f"s{j}" for j in range(len(known))})
     return score_bootstrap(own, cluster, list(known), [fit.contrast(w)["estimate"] for w in known.values()], draws, seed)

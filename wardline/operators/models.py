@@ -17,7 +17,7 @@ from pyspark.sql.window import Window
 
 from .effects import demean
 from .gram import gram, grams
-from .tables import stored as _cut
+from .tables import stored as _cut, written
 from .quantiles import exact_quantiles
 
 __all__ = ["demean"]
@@ -86,6 +86,21 @@ def drop_singletons(df: DataFrame, effects: Sequence[str], most: int = 50) -> Da
 
 # ---- least squares ----
 
+#: Up to so many columns rows that agree in all of them are summed before a fit; a wider design has next to no such rows.
+ALIKE = 16
+
+
+def alike(df: DataFrame, y: str, keys: Sequence[str], weight: str | None = None) -> DataFrame:
+    """keys, y and _n: rows that agree in all keys as one, with their number (or sum of weights) and their mean of y. Rows without y go.
+
+    Coefficients and clustered errors depend on rows through these sums alone, if the keys are the design, the effects and the clusters.
+    The result is written, so that the rows are read once for all that follows.
+    """
+    own = df.filter(F.col(y).isNotNull()).select(*keys, F.col(y).cast("double").alias(y), (F.col(weight) if weight else F.lit(1)).cast("long").alias("_n"))
+    if len(keys) > ALIKE or y in keys:
+        return own
+    return written(own.groupBy(*keys).agg((F.sum(F.col("_n") * F.col(y)) / F.sum("_n")).alias(y), F.sum("_n").alias("_n")))
+
 
 def cross_products(df: DataFrame, x: Sequence[str], y: Sequence[str] = (), weight: str | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """X'X, X'y for all outcomes y, y'y and the number of rows, in one pass over rows without nulls."""
