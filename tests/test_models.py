@@ -250,7 +250,7 @@ def test_what_cells_do_not_identify_stays_so_over_many_rows():
     """Four weights that sum to 1 less their means span three directions; the rounding of long sums is no fourth one."""
     share, n = np.array([0.1, 0.4, 0.1, 0.4]), 900_000
     xx = n * (np.diag(share) - np.outer(share, share))
-    rounded = xx + 1e-12 * n * np.ones((4, 4))  # what sums of so many terms were found to be off by
+    rounded = xx + 1e-12 * n * np.ones((4, 4))  # below n epsilon, which sums of n terms may be off by
     _, projector, rank = cells.pseudo_inverse(rounded, n)
     assert rank == 3 and np.allclose(projector, np.eye(4) - 0.25, atol=1e-9)
 
@@ -259,3 +259,26 @@ def test_a_small_column_is_no_rounding_of_a_large_one():
     x = np.column_stack([np.array([1e9, 2e9, 4e9, 3e9]), np.array([1e-3, 0.0, 2e-3, 1e-3]), np.zeros(4)])
     bread, projector, rank = cells.pseudo_inverse(x.T @ x, 1_000_000)
     assert rank == 2 and np.allclose(projector, np.diag([1.0, 1.0, 0.0])) and np.allclose(x @ bread @ x.T, x @ np.linalg.pinv(x))
+
+
+def test_rows_that_are_alike_are_fitted_as_one(spark):
+    rows = [(i % 2, float(i % 3), i % 4, i % 5, float(i * i % 17)) for i in range(120)]
+    df = spark.createDataFrame(rows, "s int, a double, f int, g int, y double")
+    summed = models.alike(df, "y", ["s", "a", "f", "g"])
+    assert summed.count() < 120 and summed.agg(F.sum("_n")).first()[0] == 120
+    whole, short = ({r["s"]: r for r in models.grouped_fits(d, "s", "y", ["a"], ["f"], ["g"], weight=w).collect()} for d, w in ((df, None), (summed, "_n")))
+    full = models.fixed_effects(df.filter("s = 1"), "y", ["a"], ["f"], ["g"])[0].rows()[0]
+    for fits in (whole, short):
+        assert fits[1]["n"] == full[8] and np.allclose([fits[1]["estimate"], fits[1]["se"]], full[1:3])
+
+
+def test_specifications_and_draws_share_their_fits(spark, monkeypatch):
+    df = spark.createDataFrame([(i % 9, float(i % 2), float(i % 3 == 0), i % 5, float(i * i % 17), 0.1 * (i % 9)) for i in range(180)], "u long, a double, b double, f int, y double, p double")
+    calls = []
+    for module, name in ((models, "grouped_fits"), (cells, "fit_groups")):
+        monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), n=name, **k: (calls.append(n), f(*a, **k))[1])
+    out = {(r["spec"], r["outcome"]): r for r in sensitivity.swept(df, {"one": {"x": ["a"]}, "two": {"x": ["b"], "where": F.col("f") > 0}, "none": {"x": ["a"], "where": F.col("f") > 9}}, "y", ["f"], ["u"]).collect()}
+    assert calls == ["grouped_fits"] and out["one", "y"]["term"] == "a" and out["two", "y"]["term"] == "b" and out["none", "y"]["note"] == "no row"
+    calls.clear()
+    sensitivity.measured_cells(df.withColumn("q", 1 - F.col("p")), "u", {"main": {"x": "p", "z": "q"}}, {"b": F.col("b"), "o": 1 - F.col("b")}, "y", [], {"U0": []}, ["u"], {"did": {"x_b": 1.0, "x_o": -1.0, "z_b": -1.0, "z_o": 1.0}}, 7, 1, [0.6]).collect()
+    assert calls == ["fit_groups"] * 2  # the two specifications, the seven draws

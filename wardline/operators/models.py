@@ -258,28 +258,28 @@ def sequence(df: DataFrame, y: str, exposure: Sequence[str], controls: Sequence[
 FIT_SCHEMA = "estimate double, se double, t double, p double, ci_low double, ci_high double, df int, n long, converged boolean, note string"
 
 
-def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str], expected: Sequence = ()) -> DataFrame:
+def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: Sequence[str], clusters: Sequence[str], expected: Sequence = (), weight: str | None = None) -> DataFrame:
     """group, term, estimate, ...: one fit for each group (a subset, a draw, a year left out), all of them in the same few jobs.
 
     Effects are those of each group; cross-products and scores are summed by group, so that only k x k numbers for each of them reach
     the driver. Collinear terms of a group are rows with a note, as is a group in which nothing can be estimated and an expected one
-    without rows. Rows with a null in any of the columns go; errors as in ols().
+    without rows. Rows with a null in any of the columns go; errors as in ols(). weight: how many rows a row stands for, with y their mean.
     """
     keep = list(dict.fromkeys([group, y, *x, *effects, *clusters]))
-    own, how = df.filter(complete(keep)).select(*keep), {"converged": True}
+    own, how = alike(df.filter(complete(keep)), y, [c for c in keep if c != y], weight), {"converged": True}
     if effects:
         names = [f"_g{k}" for k in range(len(effects))]
         own = own.withColumns({n: F.struct(F.col(group).alias("g"), F.col(e).alias("e")) for n, e in zip(names, effects, strict=True)})
-        own, how = demean(own, [y, *x], names)
+        own, how = demean(own, [y, *x], names, "_n")
         own = own.drop(*names)
     else:
         own = own.withColumns({"_one": F.lit(1.0)} | {c: F.col(c).cast("double") for c in (y, *x)})
         x = ["_one", *x]
     own, k = _cut(own), len(x)
     active = F.greatest(*[F.abs(c) for c in x]) if k > 1 else F.abs(x[0])
-    counts = dict(own.groupBy(group).agg(F.count_if(active > 1e-12)).collect())
+    counts = dict(own.groupBy(group).agg(F.sum(F.when(active > 1e-12, F.col("_n")).otherwise(0))).collect())
     solved, betas = {}, []
-    for g, (total, _) in grams(own, [*x, y], group).items():
+    for g, (total, _) in grams(own, [*x, y], group, "_n").items():
         xx, xy = total[:k, :k], total[:k, k]
         kept, beta, bread = independent(xx), np.zeros(k), np.zeros((k, k))
         if kept:
@@ -291,7 +291,7 @@ def grouped_fits(df: DataFrame, group: str, y: str, x: Sequence[str], effects: S
     kind = df.select(group).schema[0].dataType.simpleString()
     fitted = own.join(spark.createDataFrame(betas, f"{group} {kind}, _b array<double>"), group)
     residual = F.col(y) - sum((F.get("_b", F.lit(j)) * F.col(c) for j, c in enumerate(x)), F.lit(0.0))
-    fitted = fitted.filter(active > 1e-12).withColumn("_u", residual)
+    fitted = fitted.filter(active > 1e-12).withColumn("_u", F.col("_n") * residual)
     meats = []
     for own_set in cluster_sets(clusters):
         meats.append(grams(scores(fitted, x, F.col("_u"), [group, *own_set]), [f"s{j}" for j in range(k)], group))
