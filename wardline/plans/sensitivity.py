@@ -17,12 +17,18 @@ def swept(df: DataFrame, specs: dict[str, dict], y: str, effects: Sequence[str],
     Probability exposures, thresholds, modifiers, subsets, negative controls and interactions differ only in these. A specification
     that can't be estimated is a row with a note.
     """
-    alike: dict[tuple, dict[str, Column]] = {}
+    together: dict[tuple, dict[str, dict]] = {}
     for name, s in specs.items():
-        alike.setdefault((s.get("y", y), tuple(s["x"]), tuple(s.get("effects", effects))), {})[name] = s.get("where", F.lit(True))
+        together.setdefault((len(s["x"]), tuple(s.get("effects", effects))), {})[name] = s
     out = None
-    for (outcome, x, own), subsets in alike.items():  # specifications that differ in their rows alone are fitted together
-        part = models.grouped_fits(models.stacked(df, subsets, "spec"), "spec", outcome, x, own, clusters, list(subsets)).withColumn("outcome", F.lit(outcome))
+    for (k, own), some in together.items():  # with equally many columns and the same effects: fitted together, from one scan
+        xs = [f"_x{j}" for j in range(k)]
+        items = [F.struct(F.lit(n).alias("spec"), F.col(s.get("y", y)).cast("double").alias("_y"), *[F.col(c).cast("double").alias(f"_x{j}") for j, c in enumerate(s["x"])], F.coalesce(s.get("where", F.lit(True)), F.lit(False)).alias("c")) for n, s in some.items()]
+        keys = list(dict.fromkeys([*own, *clusters]))
+        rows = df.select(*keys, F.explode(F.filter(F.array(*items), lambda s: s["c"])).alias("s")).select(*keys, *[f"s.{c}" for c in ("spec", "_y", *xs)])
+        names = df.sparkSession.createDataFrame([(n, s.get("y", y), list(s["x"])) for n, s in some.items()], "spec string, outcome string, _terms array<string>")
+        part = models.grouped_fits(rows, "spec", "_y", xs, own, clusters, list(some)).join(names, "spec")
+        part = part.withColumn("term", F.get("_terms", F.substring("term", 3, 9).cast("int"))).drop("_terms")
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -47,11 +53,13 @@ def multiple_imputation(df: DataFrame, unit: str, probability: str, exposure: st
 
     product: (name, other column) of an interaction made anew in every draw.
     """
-    drawn = inference.bernoulli_draws(df, unit, probability, draws, seed).select(unit, "draw", F.col("value").cast("double").alias(exposure))
-    own = df.drop(exposure).join(drawn, unit)  # every draw of every row, fitted together
+    own = [c for c in (*x, *(product or ())) if c not in (exposure, *(product or ())[:1])]
+    base = models.alike(df, y, list(dict.fromkeys([unit, probability, *own, *effects, *clusters])))  # rows that no draw tells apart are drawn as one
+    drawn = inference.bernoulli_draws(base, unit, probability, draws, seed).select(unit, "draw", F.col("value").cast("double").alias(exposure))
+    own = base.join(drawn, unit)  # every draw of every row, fitted together
     if product:
         own = own.withColumn(product[0], F.col(exposure) * F.col(product[1]))
-    fits = models.grouped_fits(own, "draw", y, x, effects, clusters).filter("note is null")
+    fits = models.grouped_fits(own, "draw", y, x, effects, clusters, weight="_n").filter("note is null")
     estimates = fits.select("draw", "term", "estimate", F.pow("se", 2).alias("variance"))
     return estimates, inference.rubin(estimates, ["term"], "estimate", "variance")
 
@@ -62,8 +70,8 @@ def drawn_cells(df: DataFrame, unit: str, classes: Sequence[str], right: dict[st
     return df.join(picked, unit).withColumns({f"{c}_{n}": (F.col("value") == c).cast("double") * r for c in classes for n, r in right.items()}).drop("value")
 
 
-#: Draws that are fitted together: so many copies of the rows are written at a time.
-DRAWS_TOGETHER = 5
+#: What is fitted together is at most so many copies of the rows.
+COPIES = 5
 
 
 def measured_cells(df: DataFrame, unit: str, priors: dict[str, dict[str, str]], right: dict[str, Column], y: str, controls: Sequence[str], specs: dict[str, Sequence[str]], clusters: Sequence[str], contrasts: dict[str, dict[str, float]], draws: int = 20, seed: int = 1, thresholds: Sequence[float] = (0.5, 0.8)) -> DataFrame:
@@ -77,28 +85,42 @@ def measured_cells(df: DataFrame, unit: str, priors: dict[str, dict[str, str]],
     main, out = next(iter(priors)), []
     classes = list(priors[main])
     names = [f"{c}_{r}" for c in classes for r in right]
-
-    def crossed(source: DataFrame, left: dict[str, Column]) -> DataFrame:
-        return source.withColumns({f"{c}_{r}": left[c] * other.cast("double") for c in classes for r, other in right.items()})
-
-    for prior, columns in priors.items():
-        largest = F.greatest(*[F.col(c) for c in columns.values()])
-        label = F.coalesce(*[F.when(F.col(columns[c]) == largest, c) for c in classes])
-        frames = {f"{prior}_probability": crossed(df, {c: F.col(columns[c]).cast("double") for c in classes})}
-        frames |= {f"{prior}_hard_{t:g}": crossed(df.filter(largest >= t), {c: (label == c).cast("double") for c in classes}) for t in thresholds}
-        for spec, frame in frames.items():
-            for model, effects in specs.items():
-                fits = list(cells.fit_groups(frame.withColumn("_all", F.lit(0)), "_all", y, names, controls if effects else [], effects, clusters).values())
-                for name, w in contrasts.items():
-                    r = fits[0].contrast(w) if fits else {"identified": False, "n": 0}
-                    out.append((spec, model, name, *([r["estimate"], r["se"], float(r["df"]), r["p"]] if r["identified"] else [None] * 4), r["n"], 1))
-    drawn = inference.categorical_draws(df.withColumns({c: F.col(k) for c, k in priors[main].items()}), unit, classes, draws, seed)
+    every = list(dict.fromkeys(e for effects in specs.values() for e in effects))
+    df = df.withColumns({f"_p{k}_{j}": F.col(columns[c]).cast("double") for k, columns in enumerate(priors.values()) for j, c in enumerate(classes)} | {f"_r{j}": c.cast("double") for j, c in enumerate(right.values())})
+    keys = list(dict.fromkeys([unit, *[f"_p{k}_{j}" for k in range(len(priors)) for j in range(len(classes))], *[f"_r{j}" for j in range(len(right))], *controls, *every, *clusters]))
+    base = models.alike(df, y, keys)
+    n, rows = base.agg(F.sum("_n"), F.count("*")).first()
+    some = max(COPIES, COPIES * n // rows) if n else COPIES
+    weights = {}  # each class's weight, and which rows there are, by specification
+    for k, prior in enumerate(priors):
+        p = [F.col(f"_p{k}_{j}") for j in range(len(classes))]
+        largest = F.greatest(*p) if len(p) > 1 else p[0]
+        label = F.coalesce(*[F.when(c == largest, j) for j, c in enumerate(p)])
+        weights[f"{prior}_probability"] = (F.lit(True), p)
+        weights |= {f"{prior}_hard_{t:g}": (largest >= t, [(label == j).cast("double") for j in range(len(classes))]) for t in thresholds}
+
+    def fitted(source: DataFrame, effects: Sequence[str]) -> dict:
+        crossed = source.withColumns({f"{c}_{r}": F.get("_w", F.lit(i)) * F.col(f"_r{j}") for i, c in enumerate(classes) for j, r in enumerate(right)})
+        return cells.fit_groups(crossed, "_g", y, names, controls if effects else [], effects, clusters, "_n")
+
+    def parts(keys_: list) -> list[list]:
+        return [keys_[k : k + some] for k in range(0, len(keys_), some)]
+
+    drawn = inference.categorical_draws(base.withColumns({c: F.col(f"_p0_{j}") for j, c in enumerate(classes)}), unit, classes, draws, seed)
     for model, effects in specs.items():
-        fits = []
-        for first in range(1, draws + 1, DRAWS_TOGETHER):
-            some = drawn.filter(F.col("draw").between(first, min(first + DRAWS_TOGETHER - 1, draws))).withColumnRenamed("value", "_class")
-            own = crossed(df.join(some, unit), {c: (F.col("_class") == c).cast("double") for c in classes})
-            fits += list(cells.fit_groups(own, "draw", y, names, controls if effects else [], effects, clusters).values())
+        fits: dict = {}
+        for own in parts(list(weights)):
+            items = F.array(*[F.struct(F.lit(g).alias("g"), F.coalesce(weights[g][0], F.lit(False)).alias("c"), F.array(*weights[g][1]).alias("w")) for g in own])
+            fits |= fitted(base.withColumn("_s", F.explode(F.filter(items, lambda s: s["c"]))).withColumns({"_g": F.col("_s.g"), "_w": F.col("_s.w")}), effects)
+        for spec in weights:
+            for name, w in contrasts.items():
+                r = fits[spec].contrast(w) if spec in fits else {"identified": False, "n": 0}
+                out.append((spec, model, name, *([r["estimate"], r["se"], float(r["df"]), r["p"]] if r["identified"] else [None] * 4), r["n"], 1))
+        fits = {}
+        for own in parts(list(range(1, draws + 1))):
+            picked = drawn.filter(F.col("draw").isin(own)).select(unit, F.col("draw").alias("_g"), F.array(*[(F.col("value") == c).cast("double") for c in classes]).alias("_w"))
+            fits |= fitted(base.join(picked, unit), effects)
+        fits = [fits[d] for d in sorted(fits)]
         for name, w in contrasts.items():
             ok, n = bool(fits) and all(f.contrast(w)["identified"] for f in fits), fits[0].n if fits else 0
             r = cells.pooled_contrast(np.array([float(w.get(c, 0.0)) for c in fits[0].names]), [(f.beta, f.covariance, f.df) for f in fits]) if ok else {}
