@@ -250,3 +250,35 @@ def test_exact_quantiles(spark, monkeypatch):
         assert all(np.allclose(x, np.quantile([v for k, v in rows if k == g and v is not None], list(shares.values()))) for g, x in got.items()) and len(got) == 7
     whole = quantiles.exact_quantiles(df, [], "v", {"m": 0.5}).first()["m"]
     assert np.isclose(whole, np.median([v for _, v in rows if v is not None]))
+
+
+def test_the_name_cascade_runs_on_distinct_names(spark, monkeypatch):
+    seen, whole = [], nameprob.candidates
+    monkeypatch.setattr(nameprob, "candidates", lambda parts, key: (seen.append(parts.count()), whole(parts, key))[1])
+    words = spark.createDataFrame([("A", 0.5, 0.1, 0.2, 0.1, 0.1), ("B", 0.1, 0.5, 0.2, 0.1, 0.1)], "name string, white double, black double, hispanic double, asian double, other double")
+    df = spark.createDataFrame([(k, "A" if k % 2 else " b", "A" if k < 9 else "X", None) for k in range(10)], "id int, l string, f string, m string")
+    out = {r["id"]: r for r in nameprob.model(df, nameprob.dictionary({"last": words, "first": words}), "id", {"last": "l", "first": "f", "middle": "m"}).collect()}
+    assert seen == [4] and len(out) == 10 and out[9]["population_max"] is None and out[0]["last_match"] and not out[0]["middle_match"] and out[0]["last_black"] == 0.5
+
+
+def test_each_licence_meets_its_best_entry_alone(spark):
+    from wardline.plans import cohort
+
+    df = spark.createDataFrame([(k, f"ME{100 + k % 2:06d}") for k in range(6)], "id int, lic string")
+    registry = spark.createDataFrame([(n, f"ME{100 + n % 3}", n % 2, 1, n % 5) for n in range(30)], "npi int, registry_licence string, active int, physician int, slot int")
+    out = cohort.licence_candidates(df, registry, "lic")
+    assert {r["id"]: r["npi"] for r in out.collect()} == {k: 15 if k % 2 == 0 else 25 for k in range(6)}
+    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    assert next(k for k, s in enumerate(lines) if "Join" in s) < next(k for k, s in enumerate(lines) if "Window" in s)
+
+
+def test_long_keys_and_exact_totals(spark, tmp_path):
+    from wardline.plans import registry as library
+
+    spark.createDataFrame([(1_234_567, "n", "b", 1), (12, "n", "b", 1)], "p_partkey long, p_name string, p_brand string, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    assert sorted(r["padded"] for r in library.queries()["text_cleaning"](spark, str(tmp_path)).collect()) == ["000012", "123456"]
+    spark.createDataFrame([(k, k % 2 * 1e14 + 0.01, "FP"[k % 2]) for k in range(6)], "o_custkey long, o_totalprice double, o_orderstatus string").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(1, 1.0, "BUILDING", 1)], "c_custkey long, c_acctbal double, c_mktsegment string, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1,)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
+    total = library.queries()["dimension_checks"](spark, str(tmp_path)).filter("check = 'total'").first()
+    assert total["expected"] == total["observed"] == 300000000000000.06 and total["passed"]

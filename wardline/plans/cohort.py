@@ -114,6 +114,9 @@ def agree(df: DataFrame, source: DataFrame, by: Sequence[str], count: str) -> Da
 
 
 def licence_candidates(df: DataFrame, registry: DataFrame, licence: str) -> DataFrame:
-    """Ranked matches of licence keys: active entries first, then physicians, then the order of slots, then the number."""
-    left, right = df.withColumn("key", labels.licence_key(F.col(licence))).filter("key is not null"), registry.withColumn("key", labels.licence_key(F.col("registry_licence")))
-    return link.best_match(left, right, ["key"], df.columns, [F.desc("active"), F.desc("physician"), F.col("slot"), F.col("npi")])
+    """The best match of each row's licence key: active entries first, then physicians, then the order of slots, then the number.
+
+    The order is the registry's own, so that each key's best entry is found before the join, and no row meets the others.
+    """
+    left, right = df.distinct().withColumn("key", labels.licence_key(F.col(licence))).filter("key is not null"), registry.withColumn("key", labels.licence_key(F.col("registry_licence"))).filter("key is not null")
+    return left.join(link.unique_on(right, ["key"], [F.desc("active"), F.desc("physician"), F.col("slot"), F.col("npi")]), ["key"])
