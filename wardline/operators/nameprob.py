@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import link
+from .tables import written
 
 CLASSES = ("white", "black", "hispanic", "asian", "other")
 PARTS = ("last", "first", "middle")
@@ -108,9 +109,18 @@ def derived(prefix: str, classes: Sequence[str] = CLASSES, two: tuple[str, str]
 
 
 def model(df: DataFrame, d: DataFrame, key: str, columns: dict[str, str], priors: dict[str, dict[str, float]] | None = None) -> DataFrame:
-    """Posteriors under each prior for each row, in one pass; the model applies where last and first name are in the dictionary."""
-    wide = wide_names(best_names(candidates(name_parts(df, key, columns), key), d, key), key)
-    out = df.join(wide, key, "left").fillna(False, [f"{p}_match" for p in PARTS])
+    """Posteriors under each prior for each row; the model applies where last and first name are in the dictionary.
+
+    The cascade runs on distinct names. Those that were found are written, and joined to the rows by part.
+    """
+    parts = name_parts(df, key, columns).select(F.col("raw").alias("_raw"), "name_type", "raw").distinct()
+    found = written(best_names(candidates(parts, "_raw"), d, "_raw").select("_raw", "name_type", *CLASSES))
+    out = df
+    for p in PARTS:
+        own = found.filter(F.col("name_type") == p).select(F.col("_raw").alias(f"_{p}"), F.struct(*CLASSES).alias(f"_s{p}"))
+        out = out.withColumn(f"_{p}", F.nullif(F.upper(F.trim(columns[p])), F.lit("")) if p in columns else F.lit(None).cast("string")).join(own, f"_{p}", "left")
+    values = {f"{p}_match": F.col(f"_s{p}").isNotNull() for p in PARTS} | {f"{p}_{c}": F.col(f"_s{p}.{c}") for p in PARTS for c in CLASSES}
+    out = out.select(*df.columns, *[c.alias(n) for n, c in values.items()])
     for prefix, prior in (priors or {"population": POPULATION_PRIOR, "physician": PHYSICIAN_PRIOR}).items():
         out = posterior(out, prior, prefix, F.col("last_match") & F.col("first_match"))
         out = out.withColumns(derived(prefix))
