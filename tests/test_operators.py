@@ -282,3 +282,22 @@ def test_long_keys_and_exact_totals(spark, tmp_path):
     spark.createDataFrame([(1,)], "n_nationkey int").write.parquet(str(tmp_path / "nation.parquet"))
     total = library.queries()["dimension_checks"](spark, str(tmp_path)).filter("check = 'total'").first()
     assert total["expected"] == total["observed"] == 300000000000000.06 and total["passed"]
+
+
+def test_the_fact_reads_its_sources_once(spark, sf_dir, monkeypatch):
+    from wardline.plans import build_queries
+
+    read, plain_table = spark.sparkContext.accumulator(0), build_queries.table
+
+    def counted(session, sf, name):
+        def passed(key):
+            read.add(1)
+            return True
+
+        df = plain_table(session, sf, name)
+        return df.filter(F.udf(passed, "boolean")("l_orderkey")) if name == "lineitem" else df
+
+    n = plain_table(spark, sf_dir, "lineitem").count()
+    monkeypatch.setattr(build_queries, "table", counted)
+    rows = build_queries._quarter_fact(spark, sf_dir).collect()
+    assert rows and 0 < read.value <= n  # orders of another service are left out before

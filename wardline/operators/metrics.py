@@ -70,10 +70,13 @@ def completed(visits: DataFrame, metrics: DataFrame, key: str, zeros: Sequence[s
     return visits.join(metrics, key, "left").fillna(0, list(zeros))
 
 
-def at_least_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.9, positive: bool = False) -> DataFrame:
-    """threshold (the exact quantile of the value in its partition) and high_flag. A small table of thresholds is joined back."""
+def at_least_quantile(df: DataFrame, by: Sequence[str], value: str, q: float = 0.9, positive: bool = False, source: DataFrame | None = None) -> DataFrame:
+    """threshold (the exact quantile of the value in its partition) and high_flag. A small table of thresholds is joined back.
+
+    source: the partitions and values of the same rows, if they can be had for less than df.
+    """
     high = F.col(value) >= F.col("threshold")
-    return beside(df, exact_quantiles(df, by, value, {"threshold": q}), by).withColumn("high_flag", (F.col(value) > 0) & high if positive else high)
+    return beside(df, exact_quantiles(df if source is None else source, by, value, {"threshold": q}), by).withColumn("high_flag", (F.col(value) > 0) & high if positive else high)
 
 
 def winsor_limits(df: DataFrame, by: Sequence[str], value: str, quantiles: dict[str, float]) -> DataFrame:

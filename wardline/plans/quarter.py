@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from wardline.functions import clean, decode
 from wardline.operators import link, metrics, reshape
+from wardline.operators.tables import written
 
 #: Columns of the raw layout by group.
 TEXTS = {
@@ -96,9 +97,9 @@ def comorbidities(rows: DataFrame, conditions: DataFrame) -> DataFrame:
 
 def procedures(rows: DataFrame, codes: DataFrame) -> DataFrame:
     """Service codes and, while they are reported, ICD procedures, with description and group of their system's table."""
-    services = occurrences(rows, SERVICES, F.lit("CPT_HCPCS"))
-    icd = occurrences(rows.filter(F.col("procedure_system").isNotNull()), PROCEDURES, F.col("procedure_system"))
-    out = link.lookup(services.unionByName(icd), codes, {"system": "system", "code": "key"}, {"description": "description", "group": "group", "_k": "key"})
+    every = occurrences(rows, [*SERVICES, *PROCEDURES], F.col("procedure_system"))
+    own = every.withColumn("system", F.when(F.col("source_field").isin(SERVICES), "CPT_HCPCS").otherwise(F.col("system"))).filter("system is not null")
+    out = link.lookup(own, codes, {"system": "system", "code": "key"}, {"description": "description", "group": "group", "_k": "key"})
     return out.withColumn("mapped_flag", F.col("_k").isNotNull()).withColumn("group_mapped_flag", F.col("group").isNotNull()).drop("_k")
 
 
@@ -112,21 +113,22 @@ def fact(rows: DataFrame, diagnosis: DataFrame, hits: DataFrame, procedure: Data
     """One row for each visit: decoded person, visit and place, charges, and metrics of its diagnoses, comorbidities and procedures.
 
     companion: facility, visit_year, visit_quarter, facility_name, county; ruca: zip5, primaryruca. A visit without occurrences has
-    counts of zero. Procedure counts reach the quarter's 90th percentile or not; only counts above zero can.
+    counts of zero. Procedure counts reach the quarter's 90th percentile or not; only counts above zero can. rows are read several
+    times. Procedure metrics are written: the percentile needs no other columns.
     """
     c, y = F.col, F.col("visit_year")
-    dx = metrics.visit_metrics(diagnosis, "visit_key", "role", ["secondary", "external_cause"], "category", "principal", {"principal_code": "code", "principal_description": "description", "principal_category": "category"})
-    dx = dx.select("visit_key", c("n_codes").alias("diagnosis_count"), c("n_secondary").alias("secondary_count"), c("n_external_cause").alias("external_cause_count"), "principal_code", "principal_description", "principal_category")
-    groups = diagnosis.filter(c("role").isin("principal", "secondary")).groupBy("visit_key").agg(F.count_distinct("category").alias("distinct_group_count"))
+    own = diagnosis.withColumn("_group", F.when(c("role").isin("principal", "secondary"), c("category")))
+    dx = metrics.visit_metrics(own, "visit_key", "role", ["secondary", "external_cause"], "_group", "principal", {"principal_code": "code", "principal_description": "description", "principal_category": "category"})
+    dx = dx.select("visit_key", c("n_codes").alias("diagnosis_count"), c("n_secondary").alias("secondary_count"), c("n_external_cause").alias("external_cause_count"), c("n_groups").alias("distinct_group_count"), "principal_code", "principal_description", "principal_category")
     px = metrics.procedure_metrics(procedure, "visit_key", "code", "system", "role", "group")
-    px = px.select("visit_key", c("n_cpt").alias("cpt_count"), c("n_em").alias("em_count"), c("n_icd").alias("icd_count"), c("n_groups").alias("procedure_group_count"), "em_level", "critical_care")
+    px = written(px.select("visit_key", c("n_cpt").alias("cpt_count"), c("n_em").alias("em_count"), c("n_icd").alias("icd_count"), c("n_groups").alias("procedure_group_count"), (c("n_cpt") - c("n_em") + c("n_icd")).alias("procedure_count"), "em_level", "critical_care"))
     out = link.lookup(rows, companion, {k: k for k in ("facility", "visit_year", "visit_quarter")}, {"companion_name": "facility_name", "companion_county": "county"})
     out = link.lookup(out.withColumn("zip5", clean.zip5(c("zip_raw"))), ruca, {"zip5": "zip5"}, {"ruca": "primaryruca"})
-    for part in (dx, groups, metrics.condition_count(hits, "visit_key", "condition"), px):
+    for part in (dx, metrics.condition_count(hits, "visit_key", "condition"), px):
         out = out.join(part, "visit_key", "left")
-    zeros = ["diagnosis_count", "secondary_count", "external_cause_count", "distinct_group_count", "n_conditions", "cpt_count", "em_count", "icd_count", "procedure_group_count"]
-    out = out.fillna(0, zeros).withColumn("procedure_count", c("cpt_count") - c("em_count") + c("icd_count"))
-    out = metrics.at_least_quantile(out, ["visit_year", "visit_quarter"], "procedure_count", 0.9, positive=True)
+    zeros = ["diagnosis_count", "secondary_count", "external_cause_count", "distinct_group_count", "n_conditions", "cpt_count", "em_count", "icd_count", "procedure_group_count", "procedure_count"]
+    counts = metrics.completed(rows.select(*KEYS), px.select("visit_key", "procedure_count"), "visit_key", ["procedure_count"])
+    out = metrics.at_least_quantile(out.fillna(0, zeros), ["visit_year", "visit_quarter"], "procedure_count", 0.9, positive=True, source=counts)
     off_site, off_site_status = decode.off_site(c("location_raw"), y)
     hours = decode.clock_hours(c("los_days"), clean.number(c("discharge_raw")), decode.arrival_hour(c("arrival_raw")))
     return out.select(
@@ -139,6 +141,6 @@ def fact(rows: DataFrame, diagnosis: DataFrame, hits: DataFrame, procedure: Data
         *[h.alias(n) for n, h in hours.items()], "zip5", decode.rurality(c("ruca")).alias("rurality"), decode.by_period(c("admission_raw"), y, decode.ADMISSION, "Unmapped").alias("admission"),
         decode.by_period(c("status_raw"), y, decode.DISPOSITION, "Missing", "Unmapped/legacy").alias("disposition"), *[f.alias(n) for n, f in decode.disposition_flags(c("status_raw")).items()],
         decode.by_period(c("payer_raw"), y, decode.PAYER).alias("payer"), decode.by_period(c("payer_raw"), y, decode.PAYER_GROUP).alias("payer_group"), *zeros[:4], "principal_code", "principal_description", "principal_category",
-        "n_conditions", *zeros[5:], "procedure_count", c("threshold").alias("procedure_threshold"), c("high_flag").alias("high_procedure_flag"), decode.gated(c("em_level"), y).alias("em_level"), decode.gated(c("critical_care"), y).alias("critical_care"),
+        "n_conditions", *zeros[5:], c("threshold").alias("procedure_threshold"), c("high_flag").alias("high_procedure_flag"), decode.gated(c("em_level"), y).alias("em_level"), decode.gated(c("critical_care"), y).alias("critical_care"),
         *[v.alias(n) for n, v in decode.charges([c(k.lower()) for k in CHARGES], c("tchgs"), decode.charge_tolerance(y)).items()], *[f"{role}_licence" for role in PRACTITIONERS],
     )
