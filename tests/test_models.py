@@ -282,3 +282,26 @@ def test_specifications_and_draws_share_their_fits(spark, monkeypatch):
     calls.clear()
     sensitivity.measured_cells(df.withColumn("q", 1 - F.col("p")), "u", {"main": {"x": "p", "z": "q"}}, {"b": F.col("b"), "o": 1 - F.col("b")}, "y", [], {"U0": []}, ["u"], {"did": {"x_b": 1.0, "x_o": -1.0, "z_b": -1.0, "z_o": 1.0}}, 7, 1, [0.6]).collect()
     assert calls == ["fit_groups"] * 2  # the two specifications, the seven draws
+
+
+@pytest.mark.parametrize("effects_", [[], ["f"]])
+def test_glms_read_rows_once_and_sum_those_alike(spark, effects_):
+    read = spark.sparkContext.accumulator(0)
+
+    def passed(key):
+        read.add(1)
+        return True
+
+    rows = [(i % 2, i // 2 % 2, i % 4 // 3, i % 5, i % 7, float(i * i % 11 % 4), float(i * i % 11 > 4), 0.1 + i * i % 13) for i in range(560)]
+    df = spark.createDataFrame(rows, "a int, b int, ab int, f int, d int, days double, late double, charge double")
+    outcomes = {"days": ("poisson_log", None), "late": ("binomial_logit", "days < 3"), "charge": ("gamma_log", "charge > 1")}
+    alone = df.withColumn("z", F.rand(1) * 1e-9).withColumns({f"z{k}": F.col("z") for k in range(glm.ALIKE)})  # too many columns to be summed
+    got = {r["outcome"]: r for r in glm.pair_models(df.filter(F.udf(passed, "boolean")("a")), outcomes, "a", "b", "ab", [], effects_, ["d", "f"]).collect()}
+    assert read.value == len(rows)
+    for y, (kind, where) in outcomes.items():
+        own = df.filter(where or "true")
+        model = glm.glm(own, y, ["a", "b", "ab"], effects_, kind, ["d", "f"])
+        whole = glm.fitted(glm.summed(alone.filter(where or "true"), {y: (kind, None)}, ["a", "b", "ab", "d", "f", *[f"z{k}" for k in range(glm.ALIKE)]])[y], y, ["a", "b", "ab"], effects_, kind, ["d", "f"])
+        assert model.fitted.count() < model.fit.n == own.count() == whole.fitted.count() == got[y]["n"]
+        assert np.allclose(model.fit.beta, whole.fit.beta) and np.allclose(model.fit.covariance, whole.fit.covariance) and np.isclose(model.dispersion, whole.dispersion) and np.isclose(model.deviance, whole.deviance)
+        assert np.isclose(got[y]["link_estimate"], whole.fit.beta[-1]) and np.isclose(got[y]["contrast"], glm.marginal_contrast(whole, "a", "b", "ab")["estimate"])

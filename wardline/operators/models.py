@@ -69,15 +69,16 @@ def sample(df: DataFrame, policy: str, outcomes: Sequence[str], eligible: str |
     return out.filter(F.col(eligible)) if eligible else out
 
 
-def drop_singletons(df: DataFrame, effects: Sequence[str], most: int = 50) -> DataFrame:
-    """Without rows that are alone in a level of any effect, until there are none."""
-    before = df.count()
+def drop_singletons(df: DataFrame, effects: Sequence[str], most: int = 50, weight: str | None = None) -> DataFrame:
+    """Without rows that are alone in a level of any effect, until there are none. weight: how many rows a row stands for."""
+    size = F.sum(weight) if weight else F.count("*")
+    before = df.agg(size).first()[0]
     for _ in range(most):
         for e in effects:
-            levels = df.groupBy(e).agg(F.count("*").alias("_n")).filter("_n > 1").select(F.col(e).alias("_e"))
+            levels = df.groupBy(e).agg(size.alias("_size")).filter("_size > 1").select(F.col(e).alias("_e"))
             df = df.join(levels, F.col(e) == F.col("_e"), "left_semi")
         df = _cut(df)
-        after = df.count()
+        after = df.agg(size).first()[0]
         if after == before:
             return df
         before = after
